@@ -1,12 +1,15 @@
 """The corpus queries and the SQL twins of those that SQL can express."""
 
 from liftline.llm import (
+    bpe_automaton,
     chat_format,
+    language_id,
     license_scan,
     source_mixing,
+    suffix_dedup,
 )
 
-_MODULES = (chat_format, source_mixing, license_scan)
+_MODULES = (language_id, chat_format, suffix_dedup, source_mixing, license_scan, bpe_automaton)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
