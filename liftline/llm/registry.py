@@ -3,13 +3,15 @@
 from liftline.llm import (
     bpe_automaton,
     chat_format,
+    chunk_dedup,
     language_id,
     license_scan,
+    simhash_dedup,
     source_mixing,
     suffix_dedup,
 )
 
-_MODULES = (language_id, chat_format, suffix_dedup, source_mixing, license_scan, bpe_automaton)
+_MODULES = (language_id, chunk_dedup, chat_format, simhash_dedup, suffix_dedup, source_mixing, license_scan, bpe_automaton)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
