@@ -4,17 +4,19 @@ from liftline.llm import (
     bpe_automaton,
     chat_format,
     chunk_dedup,
+    exact_search,
     language_id,
+    learned_partitions,
     license_scan,
     simhash_dedup,
     source_mixing,
     suffix_dedup,
 )
 
-_MODULES = (language_id, chunk_dedup, chat_format, simhash_dedup, suffix_dedup, source_mixing, license_scan, bpe_automaton)
+_MODULES = (language_id, chunk_dedup, chat_format, simhash_dedup, exact_search, suffix_dedup, source_mixing, learned_partitions, license_scan, bpe_automaton)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:
-    QUERIES |= _module.QUERIES
+    QUERIES |= getattr(_module, "REGISTERED", None) or _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
