@@ -1,12 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of ``documents``. Rows with null doc_id are kept by the dedup stages; an empty table passes through.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import source_mixing
+from liftline.llm import bpe_automaton, language_id, simhash_dedup, source_mixing, suffix_dedup
 from liftline.llm.common import materialise, table
+from liftline.llm.spans import join_sized
+from liftline.session import ship
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (null or letterless texts) go; where lang is null it is filled in."""
+    ship(spark)
+    judged = language_id.predict(docs, language_id.learn(docs), docs.columns)
+    kept = judged.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    ship(spark)
+    found = simhash_dedup.similar(docs)
+    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return join_sized(docs, gone, "doc_id", "left_anti", F.lit(8)).select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that a document with a smaller doc_id has too are cut out; a letter that a cut splits goes as a whole. Documents of which nothing is left go."""
+    ship(spark)
+    cut = suffix_dedup.dedup(docs, docs.columns)
+    names = list(docs.columns)
+
+    def as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept")).to_pylist()]
+            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            cols["text"] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+
+    some = cut.where(F.octet_length("kept") > 0).select(*(c for c in names if c != "text"), "kept")
+    return some.mapInArrow(as_text, docs.schema)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +63,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text, for every row."""
+    ship(spark)
+    return bpe_automaton.digests(docs, bpe_automaton.default_path())
+
+
 STAGES = [
+    ("identify_languages", identify_languages),
+    ("drop_near_copies", drop_near_copies),
+    ("drop_repeated_passages", drop_repeated_passages),
     ("mix_sources", mix_sources),
+    ("encode_texts", encode_texts),
 ]
 
+#: Hyperdimensional cosines, min-hash estimates and merges are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
