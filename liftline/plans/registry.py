@@ -1,4 +1,13 @@
 """All registered queries and their SQL twins, gathered from the plan modules."""
 
+from __future__ import annotations
+
+from liftline.plans import lifts
+
+_MODULES = (lifts,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
