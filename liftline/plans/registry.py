@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from liftline.plans import lifts
+from liftline.plans import lifts, resampling, statistics
 
-_MODULES = (lifts,)
+_MODULES = (lifts, statistics, resampling)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
