@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from liftline.llm.common import materialise, row_key
 
 #: A table of spans or places up to this size is broadcast, so that texts stay where they are; a larger one is joined by shuffling both sides.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: str, how: str, size: F.Column) -> DataFrame:
@@ -62,8 +62,6 @@ def digest_columns(cut_rows: DataFrame) -> DataFrame:
 
 
 def gather(pieces: DataFrame) -> DataFrame:
-    """(rid, start, end) rows -> rid, starts, ends, written to the shared folder; a group is the spans of one text."""
-    both = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    return materialise(both.select("rid", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")))
-
-
+    """Rows of rid, starts, ends -> one for each rid, written to the shared folder; a group is the spans of one text."""
+    both = pieces.groupBy("rid").agg(F.collect_list(F.struct("starts", "ends")).alias("s"))
+    return materialise(both.select("rid", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends")))

@@ -10,9 +10,10 @@ on the input, so removals do not depend on each other.
    its own documents share; of the rest it sends each hash once, in packed
    blobs by bucket, so that a hash costs a bucket one entry per task at most
    however many documents hold it.
-2. The windows of each anchor that matters form a segment of text. Equal
-   segments are merged, with their smallest and largest doc_id, and meet by
-   anchor, many anchors to a block of about a megabyte.
+2. The windows of each anchor that matters form a segment of text. Of a task's
+   equal segments all documents but the smallest lose theirs at once; the one
+   left is sent to its anchor's bucket. There equal segments are merged, many
+   anchors to a block of about a quarter of a megabyte.
 3. Over each block's suffix order the intervals of common prefixes are
    expanded breadth first: extending the intervals of common length l backward
    over the Burrows-Wheeler transform yields those of l + 1, so common-prefix
@@ -32,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm.common import materialise, row_key, table
-from liftline.llm.spans import cut, digest_columns, gather, join_sized
+from liftline.llm.spans import cut, digest_columns, gather, join_sized, merged
 
 MIN_BYTES = 50
-GRAM = 20
+GRAM = 32
 #: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments.
-_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 2_000_000, 4 << 20, 1 << 20
+_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 2_000_000, 4 << 20, 1 << 18
 _POS = np.uint64((1 << 24) - 1)
+_PLACES, _LAST = 400_000, np.iinfo(np.int64).max
 _PIECE = 1 << 23  # a longer text is hashed in pieces of so many windows
 
 
@@ -142,6 +143,16 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
         return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def _pack48(h: np.ndarray) -> bytes:
+    """The upper 48 bits; that two anchors agree in those by chance costs a comparison, not a result."""
+    return (h >> np.uint64(32)).astype(np.uint32).tobytes() + (h >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
+def _unpack48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, np.uint16, n, 4 * n)
+
+
 #: rid and ords: anchors (by ordinal) that matter. Else a bucket's blob: hashes and ordinals, with rids and their runs' lengths, and the hashes already known to be shared.
 _SENT = "bucket int, rid bigint, ords array<int>, hashes binary, numbers binary, rids binary, lengths binary, known binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("ords", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("hashes", "numbers", "rids", "lengths", "known"))])
@@ -178,7 +189,7 @@ def _send(buckets: int, least: int, gram: int):  # noqa: ANN202
             if len(own) or len(seen):
                 r = rid[own]
                 edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-                add(bucket=k, hashes=h[own].tobytes(), numbers=number[own].astype(np.int32).tobytes(), rids=r[edge].tobytes(), lengths=np.diff(np.r_[edge, len(r)]).astype(np.int32).tobytes(), known=seen.tobytes())
+                add(bucket=k, hashes=_pack48(h[own]), numbers=number[own].astype(np.int32).tobytes(), rids=r[edge].tobytes(), lengths=np.diff(np.r_[edge, len(r)]).astype(np.int32).tobytes(), known=_pack48(seen))
         yield pa.RecordBatch.from_pydict(rows, _SENT_ARROW)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +219,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([col["rid"].take(pa.array(settled)), col["ords"].take(pa.array(settled))], ["rid", "ords"])
         for a, b, c, d, e in zip(*(col[x].to_pylist() for x in ("hashes", "numbers", "rids", "lengths", "known")), strict=True):
             if a is not None:
-                h.append(np.frombuffer(a, np.uint64))
+                h.append(_unpack48(a))
                 number.append(np.frombuffer(b, np.int32))
                 rid.append(np.repeat(np.frombuffer(c, np.int64), np.frombuffer(d, np.int32)))
-                known.append(np.frombuffer(e, np.uint64))
+                known.append(_unpack48(e))
     if not h:
         return
     h, rid, number, known = (np.concatenate(x) for x in (h, rid, number, known))
@@ -231,45 +242,77 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid[at[e]]), pa.ListArray.from_arrays(offsets, pa.array(number[at[e[0] : stop]]))], ["rid", "ords"])
 
 
-#: seg: a distinct segment of a task's, with its doc_ids' range. Else an occurrence: where it starts in the text of rid.
-_SEGMENTS = "anchor bigint, seg_key bigint, seg binary, low bigint, high bigint, rid bigint, start int"
-_SEGMENTS_ARROW = pa.schema([("anchor", pa.int64()), ("seg_key", pa.int64()), ("seg", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("rid", pa.int64()), ("start", pa.int32())])
-
-
-def _segments(least: int, gram: int):  # noqa: ANN202
-    def send(found: dict[tuple[int, bytes], list[int]], places: list[tuple]) -> pa.RecordBatch:
-        own = [(a, key, s, low, high, None, None) for (a, s), (low, high, key) in found.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*(own + places), strict=True), _SEGMENTS_ARROW, strict=True)], schema=_SEGMENTS_ARROW)
+def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, ords -> rid, bits: a text's anchors that matter as a bit set."""
+    for batch in batches:
+        bits = []
+        for x in batch.column(1):
+            ords = np.array(x.values)
+            flags = np.zeros(int(ords.max()) + 1, np.uint8)
+            flags[ords] = 1
+            bits.append(np.packbits(flags).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["rid", "bits"])
+
+
+#: rid, starts, ends: spans of a text that surely go. Else a bucket's blob of segments to compare.
+_SEGMENTS = "bucket int, rid bigint, starts array<int>, ends array<int>, blob binary"
+_SPANS_ARROW = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), *_SPANS_ARROW, ("blob", pa.binary())])
+#: Arrays of a blob, then the segments' bytes.
+_FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("rid", np.int64), ("start", np.int32), ("size", np.uint8))
+
+
+def _by_text(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
+    """Spans as one row for each text, merged."""
+    order = np.argsort(rid, kind="stable")
+    rid, start, end = rid[order], start[order], end[order]
+    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)] if len(rid) else np.zeros(1, np.int64)
+    runs = [merged(start[i:j], end[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+    return rid[edge[:-1]].tolist(), [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs]
+
+
+def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
+    """Each segment goes to its anchor's bucket once for each task, for the smallest doc_id that the task has it from; the task's other documents lose it at once."""
+
+    def send(places: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lowest: dict[tuple[int, bytes], int] = {}
+        for x, seg, d, _, _ in places:
+            lowest[x, seg] = min(d, lowest.get((x, seg), d))
+        kept, gone = [], []
+        for p in places:
+            (kept if lowest[p[0], p[1]] == p[2] else gone).append(p)
+        if gone:
+            rid, start, size = (np.array(c, np.int64) for c in zip(*((p[3], p[4], len(p[1])) for p in gone), strict=True))
+            rids, starts, ends = _by_text(rid, start, start + size)
+            yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r in rids], pa.int32()), *(pa.array(c, f.type) for c, f in zip((rids, starts, ends), _SPANS_ARROW, strict=True)), pa.nulls(len(rids), pa.binary())], schema=_SEGMENTS_ARROW)
+        own: list[list[tuple]] = [[] for _ in range(buckets)]
+        for p, k in zip(kept, _bucket(np.array([p[0] for p in kept], np.uint64), buckets).tolist(), strict=True):
+            own[k].append(p)
+        used = [k for k in range(buckets) if own[k]]
+        blobs = []
+        for k in used:
+            x, seg, d, r, at = zip(*own[k], strict=True)
+            blobs.append(b"".join([np.array([len(x)], np.int64).tobytes(), *(np.array(c, t).tobytes() for c, (_, t) in zip((x, d, r, at, [len(y) for y in seg]), _FIELDS, strict=True)), *seg]))
+        empty = [pa.nulls(len(used), f.type) for f in _SPANS_ARROW]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *empty, pa.array(blobs, pa.binary())], schema=_SEGMENTS_ARROW)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, bytes], list[int]] = {}
         places: list[tuple] = []
         for batch in batches:
-            rids, ids, texts, ords = (batch.column(i) for i in range(4))
-            rids, ids = rids.to_pylist(), ids.to_pylist()
-            wanted = [np.array(x.values) for x in ords]
-            for h, row, ordinal, a, b, shift, joined in _runs(texts.to_pylist(), least, gram):
+            rids, ids, texts, bits = (batch.column(i).to_pylist() for i in range(4))
+            for h, row, ordinal, a, b, shift, joined in _runs(texts, least, gram):
                 pick = np.zeros(len(h), bool)
                 edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else ()
                 for i, j in zip(edge, [*edge[1:], len(row)], strict=True):
-                    w = wanted[row[i]] - ordinal[i]
-                    pick[i + w[(w >= 0) & (w < j - i)]] = True
-                for x, r, p, q, s in zip(h[pick].view(np.int64).tolist(), row[pick].tolist(), a[pick].tolist(), b[pick].tolist(), shift[pick].tolist(), strict=True):
-                    seg, d = joined[p : q + least], ids[r]
-                    old = found.get((x, seg))
-                    if old is None:
-                        k = xxhash.xxh3_64_intdigest(seg)
-                        found[x, seg] = old = [d, d, k - (1 << 64) if k >> 63 else k]
-                    elif d < old[0]:
-                        old[0] = d
-                    elif d > old[1]:
-                        old[1] = d
-                    places.append((x, old[2], None, d, None, rids[r], p + s))
-                if len(places) >= 200_000:
-                    yield send(found, places)
-                    found, places = {}, []
+                    flags = np.unpackbits(np.frombuffer(bits[row[i]], np.uint8)).astype(bool)[ordinal[i] : ordinal[i] + j - i]
+                    pick[i : i + len(flags)] = flags
+                for x, r, p, q, s in zip(h[pick].tolist(), row[pick].tolist(), a[pick].tolist(), b[pick].tolist(), shift[pick].tolist(), strict=True):
+                    places.append((x, joined[p : q + least], ids[r], rids[r], p + s))
+                if len(places) >= _PLACES:
+                    yield from send(places)
+                    places = []
         if places:
-            yield send(found, places)
+            yield from send(places)
 
     return apply
 
@@ -277,35 +320,31 @@ def _segments(least: int, gram: int):  # noqa: ANN202
 def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array by the first ``depth`` symbols at least, and its inverse: symbols packed eight at a time, then doubled among those that still tie."""
     n = len(codes)
-    padded = np.zeros(n + 8, np.uint64)
+    padded = np.zeros(n + 8, np.uint8)
     padded[:n] = codes
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i]
-    sa = np.argsort(key, kind="stable")
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    sa = np.argsort(key).astype(np.int32)
     ks = key[sa]
     new = np.r_[True, ks[1:] != ks[:-1]]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = head
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     length = 8
     while length < depth:
-        single = new & np.r_[new[1:], True]
-        slots = np.flatnonzero(~single)
+        slots = np.flatnonzero(~(new & np.r_[new[1:], True]))
         if not len(slots):
             break
         own = sa[slots]
-        pair = (rank[own] << 32) | (rank[np.minimum(own + length, n)] + 1)
-        order = np.argsort(pair, kind="stable")
+        pair = (rank[own].astype(np.int64) << 32) | (rank[np.minimum(own + length, n)] + 1)
+        order = np.argsort(pair)
         own, pair = own[order], pair[order]
         sa[slots] = own
         fresh = np.r_[True, pair[1:] != pair[:-1]]
         rank[own] = np.maximum.accumulate(np.where(fresh, slots, 0))
         new[slots] = fresh
         length *= 2
-    inverse = np.empty(n + 1, np.int64)
-    inverse[sa] = np.arange(n)
+    inverse = np.empty(n + 1, np.int32)
+    inverse[sa] = np.arange(n, dtype=np.int32)
     inverse[n] = -1
     return sa, inverse
 
@@ -319,71 +358,98 @@ def bounded_intervals(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     and k bounds. So from the boundaries with common prefixes up to l those of l + 1 follow, in increasing order;
     a rank is settled once and then left alone.
     """
-    n = len(codes)
     sa, inverse = suffix_order(codes, depth)
     came = inverse[sa + 1]  # the k of each j; -1 for the last suffix
     symbol = codes[sa]
     cuts = np.r_[True, symbol[1:] != symbol[:-1]]  # common prefix 0
-    open_ = np.flatnonzero(~cuts)
+    cuts[1:] |= (came[1:] < 0) | (came[:-1] < 0)
+    open_ = np.flatnonzero(~cuts).astype(np.int32)
     low, high = came[open_ - 1], came[open_]
     for _ in range(1, depth):
-        interval = np.cumsum(cuts)
-        apart = (low < 0) | (high < 0) | (interval[low] != interval[high])
+        interval = np.cumsum(cuts, dtype=np.int32)
+        apart = interval[low] != interval[high]
         cuts[open_[apart]] = True
         stay = ~apart
         open_, low, high = open_[stay], low[stay], high[stay]
         if not len(open_):
             break
-    return sa, np.cumsum(cuts) - 1 if n else np.empty(0, np.int64)
+    return sa, np.cumsum(cuts, dtype=np.int32) - 1
 
 
-def _block(anchors: list[int], keys: list[int], segs: list[bytes], lows: np.ndarray, highs: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """anchor, seg_key, first window, windows, smallest doc_id: runs of windows that a document of the segment's may lose."""
-    sizes = np.array([len(s) for s in segs])
-    ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
+def _owners(segs: list[bytes], lows: np.ndarray, least: int) -> np.ndarray:
+    """Of each window of each segment, one segment after the other, the smallest doc_id that has it."""
+    sizes = np.array([len(x) for x in segs])
+    starts = np.cumsum(sizes + 1) - sizes - 1
     codes = np.frombuffer(b"\xff".join(segs) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, which becomes 0, the least
     sa, interval = bounded_intervals(codes, least)
-    number = np.empty(len(codes), np.int64)
+    number = np.empty(len(codes), np.int32)
     number[sa] = interval
     counts = sizes - least + 1
+    first = np.cumsum(counts) - counts
     seg_of = np.repeat(np.arange(len(segs)), counts)
-    offset = np.arange(len(seg_of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    group = number[starts[seg_of] + offset]
-    least_id = np.full(int(interval[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least_id, group, lows[seg_of])
-    owner = least_id[group]
-    useful = owner < highs[seg_of]
-    same = np.r_[False, (seg_of[1:] == seg_of[:-1]) & (owner[1:] == owner[:-1]) & useful[:-1]] & useful
-    first = np.flatnonzero(useful & ~same)
-    run = np.add.reduceat(useful, first) if len(first) else np.empty(0, np.int64)
-    for i, n in zip(first.tolist(), run.tolist(), strict=True):
-        s = int(seg_of[i])
-        yield anchors[s], keys[s], int(offset[i]), int(n), int(owner[i])
-
-
-_LOSSES_ARROW = pa.schema([("anchor", pa.int64()), ("seg_key", pa.int64()), ("skip", pa.int32()), ("windows", pa.int32()), ("owner", pa.int64())])
+    group = number[np.repeat(starts - first, counts) + np.arange(len(seg_of))]
+    lowest = np.full(int(interval[-1]) + 1, _LAST)
+    np.minimum.at(lowest, group, lows[seg_of])
+    return lowest[group]
+
+
+def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rid, start, end of what goes: equal segments are one, and those of some anchors make a block."""
+    number: dict[tuple[int, bytes], int] = {}
+    which = np.array([number.setdefault(key, len(number)) for key in zip(c["anchor"].tolist(), texts, strict=True)])
+    keys = list(number)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    which, segs = place[which], [keys[i][1] for i in order]
+    anchor = np.array([keys[i][0] for i in order], np.uint64)
+    lows = np.full(len(segs), _LAST)
+    np.minimum.at(lows, which, c["doc"])
+    ends = np.cumsum([len(x) + 1 for x in segs])
+    owners, i = [], 0
+    while i < len(segs):  # to the end of the anchor in which a block fills up
+        last = min(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _BLOCK)), len(segs) - 1)
+        j = int(np.searchsorted(anchor, anchor[last], side="right"))
+        owners.append(_owners(segs[i:j], lows[i:j], least))
+        i = j
+    owner = np.concatenate(owners)
+    counts = np.array([len(x) - least + 1 for x in segs])
+    first = np.cumsum(counts) - counts
+    n = counts[which]
+    entry = np.repeat(np.arange(len(which)), n)
+    offset = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    lost = np.flatnonzero(owner[first[which][entry] + offset] < c["doc"][entry])
+    if not len(lost):
+        return (np.empty(0, np.int64),) * 3
+    edge = np.flatnonzero(np.r_[True, (np.diff(lost) > 1) | (np.diff(entry[lost]) > 0)])
+    low, high = lost[edge], lost[np.r_[edge[1:] - 1, len(lost) - 1]]
+    e = entry[low]
+    return c["rid"][e], c["start"][e] + offset[low], c["start"][e] + offset[high] + least
 
 
 def _compare(least: int):  # noqa: ANN202
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            a, k, s, lo, hi = zip(*held, strict=True)
-            found = list(_block(list(a), list(k), list(s), np.array(lo), np.array(hi), least))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * 5, _LOSSES_ARROW, strict=True)], schema=_LOSSES_ARROW)
-
+        held: dict[str, list] = {f: [] for f, _ in _FIELDS}
+        texts: list[bytes] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= _BLOCK and row[0] != held[-1][0]:
-                    yield send()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2]) + 1
-        if held:
-            yield send()
+            settled = batch.filter(batch.column(1).is_valid())
+            if settled.num_rows:
+                yield settled.select(["rid", "starts", "ends"])
+            for blob in batch.column(4).to_pylist():
+                if blob is None:
+                    continue
+                n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+                for f, t in _FIELDS:
+                    held[f].append(np.frombuffer(blob, t, n, at))
+                    at += n * np.dtype(t).itemsize
+                for size in held["size"][-1].tolist():
+                    texts.append(blob[at : at + size])
+                    at += size
+        if texts:
+            columns = {f: np.concatenate(x) for f, x in held.items()}
+            rid, start, end = _settle(columns, texts, least)
+            if len(rid):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_by_text(rid, start, end), _SPANS_ARROW, strict=True)], schema=_SPANS_ARROW)
 
     return apply
 
@@ -395,15 +461,11 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) ->
     buckets = max(1, -(-total // _BUCKET_BYTES))
     sent = keyed.select("rid", "text").mapInArrow(_send(buckets, least, gram), _SENT)
     matter = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, ords array<int>")
-    matter = materialise(matter.groupBy("rid").agg(F.flatten(F.collect_list("ords")).alias("ords")))
-    chosen = join_sized(keyed, matter, "rid", "inner", 4 * F.size("ords"))
-    found = materialise(chosen.select("rid", "doc_id", "text", "ords").mapInArrow(_segments(least, gram), _SEGMENTS))
-    segs = found.where(F.col("seg").isNotNull()).select("anchor", "seg_key", "seg", "low", "high").repartition("anchor")
-    segs = segs.groupBy("anchor", "seg_key", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    losses = segs.sortWithinPartitions("anchor").mapInArrow(_compare(least), "anchor bigint, seg_key bigint, skip int, windows int, owner bigint")
-    places = found.where(F.col("seg").isNull()).select("anchor", "seg_key", F.col("low").alias("doc_id"), "rid", "start")
-    lost = places.join(losses, ["anchor", "seg_key"]).where(F.col("owner") < F.col("doc_id"))
-    return gather(lost.select("rid", (F.col("start") + F.col("skip")).alias("start"), (F.col("start") + F.col("skip") + F.col("windows") + (least - 1)).alias("end")))
+    matter = matter.groupBy("rid").agg(F.flatten(F.collect_list("ords")).alias("ords"))
+    matter = materialise(matter.mapInArrow(_as_bits, "rid bigint, bits binary"))
+    chosen = join_sized(keyed, matter, "rid", "inner", F.octet_length("bits"))
+    segs = chosen.select("rid", "doc_id", "text", "bits").mapInArrow(_segments(buckets, least, gram), _SEGMENTS)
+    return gather(segs.repartition(buckets, "bucket").mapInArrow(_compare(least), "rid bigint, starts array<int>, ends array<int>"))
 
 
 def dedup(docs: DataFrame, keep: list[str], least: int = MIN_BYTES) -> DataFrame:
