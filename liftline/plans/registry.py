@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from liftline.plans import lifts, resampling, statistics
+from liftline.plans import correlations, lifts, resampling, series, statistics
 
-_MODULES = (lifts, statistics, resampling)
+_MODULES = (lifts, statistics, resampling, series, correlations)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
