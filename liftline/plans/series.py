@@ -173,3 +173,22 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("interval_expand", f"WITH {_BARS} SELECT strategy, count(*) AS bars, sum(dir)::BIGINT AS net FROM bars GROUP BY strategy")
 def interval_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(spark, sf_dir).groupBy("strategy").agg(F.count(F.lit(1)).alias("bars"), F.sum("dir").alias("net"))
+
+
+@_register("event_window_stats", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd_pop, round(avg((value > 50)::INT::DOUBLE), 6) AS above_50 FROM events GROUP BY 1, 2")
+def event_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of a plan that serves streams too."""
+    from liftline.streaming.counts import running_stats
+
+    out = running_stats(table(spark, sf_dir, "events"), "ts", "value", ["event_type"])
+    return out.select("start", "event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd_pop", "above_50")))
+
+
+@_register("walk_forward_filters", None)
+def walk_forward_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation over the instruments' hourly closes: positions, trades, permutation ranks, outcomes, filters."""
+    from liftline.operators import simulate
+
+    ship(spark)
+    rows = simulate.evaluate(_series(spark, sf_dir).select("series", "t", "close"), [(2, 4), (2, 6), (3, 8), (4, 10), (5, 12)], 60, 30, reps=50)
+    return simulate.filter_table(rows, {"None": "true", "IS PF > 1": "pf > 1.0", "MC MDD >= 50": "mdd_rank >= 50", "MC Calmar >= 50 + gate": "calmar_rank >= 50 AND pf > 1.0"}, ("series",), least=5)
