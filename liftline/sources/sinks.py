@@ -16,10 +16,9 @@ def fixed(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.format_string(f"%.{n}f", F.col(c).cast("double")) for c, n in places.items()})
 
 
-def write_fixed(df: DataFrame, path: str, places: dict[str, int], quoted: tuple[str, ...] = ("strategy",), mode: str = "errorifexists") -> None:
-    """Fixed precision, with names in quotes."""
-    out = fixed(df, places).withColumns({c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"')) for c in quoted})
-    out.write.mode(mode).options(header=True, quote="", escapeQuotes=False).csv(path)
+def write_fixed(df: DataFrame, path: str, places: dict[str, int], mode: str = "errorifexists") -> None:
+    """Fixed precision, every field in quotes, so that names may hold commas."""
+    fixed(df, places).write.mode(mode).options(header=True, quoteAll=True, escape='"').csv(path)
 
 
 def write_matrix(df: DataFrame, row: str, column: str, value: str, labels: list, path: str, mode: str = "errorifexists") -> None:
