@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm import bpe_automaton, language_id, simhash_dedup, source_mixing, suffix_dedup
-from liftline.llm.common import materialise, table
+from liftline.llm.common import materialise, prepare, table
 from liftline.llm.spans import join_sized
-from liftline.session import ship
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (null or letterless texts) go; where lang is null it is filled in."""
-    ship(spark)
+    prepare(spark)
     judged = language_id.predict(docs, language_id.learn(docs), docs.columns)
     kept = judged.where(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
@@ -28,7 +27,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
-    ship(spark)
+    prepare(spark)
     found = simhash_dedup.similar(docs)
     gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return join_sized(docs, gone, "doc_id", "left_anti", F.lit(8)).select(docs.columns)
@@ -36,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that a document with a smaller doc_id has too are cut out; a letter that a cut splits goes as a whole. Documents of which nothing is left go."""
-    ship(spark)
+    prepare(spark)
     cut = suffix_dedup.dedup(docs, docs.columns)
     names = list(docs.columns)
 
@@ -58,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A source's target may end within one document, which then counts as a whole copy if at least half of it is taken.
     """
+    prepare(spark)
     mixed = source_mixing.mix(docs)
     copies = F.when(F.col("mix_size") > 0, F.floor(F.col("taken") / F.col("mix_size") + 0.5)).otherwise(F.lit(0)).cast("int")
     return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, for every row."""
-    ship(spark)
+    prepare(spark)
     return bpe_automaton.digests(docs, bpe_automaton.default_path())
 
 

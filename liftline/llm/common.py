@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 from liftline.session import ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a batch that goes to Python: of texts, which may be long, and of packed blocks. They stand in for a bound in bytes.
+TEXTS, BLOCKS = 1000, 64
+
+
+def prepare(spark: SparkSession, rows: int = TEXTS) -> None:
+    """Send the package to the executors and bound the batches that Python gets."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    ship(spark)
     path = f"{shared_dir(spark)}/liftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
