@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+from tokenizers import Tokenizer
 
 from liftline.llm.common import table
 
@@ -39,6 +41,29 @@ WORDS_KEPT = 400_000
 ARCS_KEPT = 1_000_000
 
 
+#: Lower-case letters that newer Unicode tables have and Python's lack, as the library maps them.
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEWER = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
+
+
+def _letters(path: str) -> str:
+    """A class of letters as the library's splitter knows them. The regex module's Unicode tables are later ones: of letters that Python's tables lack, the splitter is asked."""
+    unknown = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    asked = regex.findall(r"\p{L}", unknown)
+    pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str("".join(f"a{c} " for c in asked))
+    whole = {a for _, (a, b) in pieces if b - a == 2}
+    runs: list[list[int]] = []
+    for k, c in enumerate(map(ord, asked)):
+        if 3 * k in whole:
+            continue
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[\p{L}--[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]]" if runs else r"\p{L}"
+
+
 class Automaton:
     """States come in families, one for each token: (u, k) is where the arcs of u lead after the first k gadgets.
 
@@ -135,7 +160,11 @@ class Encoder(dict):
         self.automaton = Automaton(model["vocab"], merges, base)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.ascii_words = regex.compile(pattern)
+        letters = _letters(path)
+        other = rf"(?:(?!{letters})[^\p{{White_Space}}\p{{N}}])+"
+        self.words = regex.compile(pattern.replace(r"[\p{L}]+", f"{letters}+").replace(r"[^\p{White_Space}\p{L}\p{N}]+", other), regex.V1)
         self.label = {i: x for x, i in model["vocab"].items()} | {i: x for x, i in self.special.items()}
 
     def __missing__(self, word: str) -> tuple[str, str, int]:
@@ -148,23 +177,30 @@ class Encoder(dict):
         return found
 
     def normalize(self, text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return (text.translate(NEWER_LOWER) if _NEWER.search(text) else text).lower()
+
+    def find(self, text: str) -> list[str]:
+        """The words of a normalized text."""
+        return (self.ascii_words if text.isascii() else self.words).findall(text)
 
     def split(self, text: str) -> Iterator[str]:
         """The pre-split words, and special tokens as they are."""
         if "<|" not in text:
-            yield from self.words.findall(self.normalize(text))
+            yield from self.find(self.normalize(text))
             return
         for piece in self.special_split.split(text):
             if piece in self.special:
                 yield piece
             elif piece:
-                yield from self.words.findall(self.normalize(piece))
+                yield from self.find(self.normalize(piece))
 
     def encode(self, text: str) -> tuple[list[str], list[str], int]:
         """Ids and labels as lists of space-joined pieces, and the number of ids."""
         if "<|" not in text:
-            found = [self[w] for w in self.words.findall(self.normalize(text))]
+            found = [self[w] for w in self.find(self.normalize(text))]
         else:
             found = [(str(self.special[w]), w, 1) if w in self.special else self[w] for w in self.split(text)]
         return [x[0] for x in found], [x[1] for x in found], sum(x[2] for x in found)
@@ -189,7 +225,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [[int(i) for i in " ".join(e.encode(t or "")[0]).split()] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("ids", "array<int>"))
+    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
