@@ -35,7 +35,10 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOURLY = "hourly AS (SELECT event_type AS series, floor(epoch(ts) / 3600)::BIGINT AS hour, arg_max(value + 100.0::DOUBLE, (ts, event_id)) AS close FROM events GROUP BY 1, 2)"
 _SERIES = f"WITH RECURSIVE {_HOURLY}, shared AS (SELECT hour FROM hourly GROUP BY hour HAVING count(DISTINCT series) = (SELECT count(DISTINCT series) FROM hourly)), s AS (SELECT series, hour, close, (row_number() OVER (PARTITION BY series ORDER BY hour) - 1)::INTEGER AS t FROM hourly WHERE hour IN (SELECT hour FROM shared)), r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY series ORDER BY t)) AS ret FROM s)"
-_BY = Window.partitionBy("series").orderBy("t")
+
+
+def _by_series():  # noqa: ANN202
+    return Window.partitionBy("series").orderBy("t")
 
 
 @_register("hourly_last", f"WITH {_HOURLY} SELECT series, hour, close FROM hourly")
@@ -58,7 +61,7 @@ _SIGNAL = f"sig AS (SELECT *, CASE WHEN t < 25 OR slow IS NULL THEN 0 WHEN fast
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sequence.log_returns(_series(spark, sf_dir))
-    r = r.withColumns({"fast": sequence.sma("close", 5, _BY), "slow": sequence.sma("close", 20, _BY)})
+    r = r.withColumns({"fast": sequence.sma("close", 5, _by_series()), "slow": sequence.sma("close", 20, _by_series())})
     return r.withColumn("position", sequence.crossover(F.col("fast"), F.col("slow"), F.col("t"), 25, short=True))
 
 
@@ -70,7 +73,7 @@ def sma_cross_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("hysteresis", f"{_SERIES} SELECT series, t, coalesce(last_value(CASE WHEN ret < -0.2 THEN 1 WHEN ret > 0.2 THEN 0 END IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position FROM r")
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sequence.log_returns(_series(spark, sf_dir))
-    return r.select("series", "t", sequence.hysteresis(F.col("ret"), -0.2, 0.2, _BY).alias("position"))
+    return r.select("series", "t", sequence.hysteresis(F.col("ret"), -0.2, 0.2, _by_series()).alias("position"))
 
 
 _RUNS = "runs AS (SELECT *, sum(turn) OVER (PARTITION BY series ORDER BY t) AS run FROM (SELECT *, (position <> coalesce(lag(position) OVER (PARTITION BY series ORDER BY t), 0))::INT AS turn FROM sig))"
@@ -93,7 +96,7 @@ _GRID = ((3, 12), (5, 20), (8, 24), (10, 40))
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sequence.log_returns(_series(spark, sf_dir))
-    r = r.withColumns({f"s{p}": sequence.sma("close", p, _BY) for p in sorted({x for pair in _GRID for x in pair})})
+    r = r.withColumns({f"s{p}": sequence.sma("close", p, _by_series()) for p in sorted({x for pair in _GRID for x in pair})})
     cells = F.array(*(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), sequence.crossover(F.col(f"s{f}"), F.col(f"s{s}"), F.col("t"), s + 5).alias("position")) for f, s in _GRID))
     return r.select("series", "t", "ret", F.inline(cells))
 

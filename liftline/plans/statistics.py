@@ -49,7 +49,7 @@ def rank_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG_ALL = " UNION ALL ".join(f"SELECT asset, '{m}' AS metric, {m} AS x FROM panel" for m in _RANKS)
 
 
-@_register("rank_ttest_moments", f"SELECT asset, metric, count(x) AS n, round(avg(x), {PLACES}) AS mean, round(stddev_samp(x), {PLACES}) AS sd, round((avg(x) - 50) / (stddev_samp(x) / sqrt(count(x))), {PLACES}) AS t FROM ({_LONG_ALL}) GROUP BY asset, metric")
+@_register("rank_ttest_moments", f"SELECT asset, metric, count(x) AS n, round(avg(x), {PLACES}) AS mean, round(stddev_samp(x), {PLACES}) AS sd, round((avg(x) - 50) / nullif(stddev_samp(x) / sqrt(count(x)), 0), {PLACES}) AS t FROM ({_LONG_ALL}) GROUP BY asset, metric")
 def rank_ttest_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_moments(spark, sf_dir).select("asset", "metric", "n", *(_r(F.col(c), c) for c in ("mean", "sd", "t")))
 
