@@ -153,7 +153,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // _BUCKET_BYTES))
     sent = keyed.mapInArrow(_send(buckets), "bucket int, chunks binary, rid bigint, start int, end int")
     gone = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, start int, end int")
-    return gather(gone.select("rid", F.array("start").alias("starts"), F.array("end").alias("ends")))
+    return gather(gone, buckets)
 
 
 def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:

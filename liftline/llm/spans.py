@@ -61,7 +61,23 @@ def digest_columns(cut_rows: DataFrame) -> DataFrame:
     return cut_rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def gather(pieces: DataFrame) -> DataFrame:
-    """Rows of rid, starts, ends -> one for each rid, written to the shared folder; a group is the spans of one text."""
-    both = pieces.groupBy("rid").agg(F.collect_list(F.struct("starts", "ends")).alias("s"))
-    return materialise(both.select("rid", F.flatten("s.starts").alias("starts"), F.flatten("s.ends").alias("ends")))
+def by_text(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
+    """Spans as one row for each text, merged."""
+    order = np.argsort(rid)
+    rid, start, end = rid[order], start[order], end[order]
+    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)] if len(rid) else np.zeros(1, np.int64)
+    runs = [merged(start[i:j], end[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+    return rid[edge[:-1]].tolist(), [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[np.array(b.column(i)) for i in range(3)] for b in batches if b.num_rows]
+    if held:
+        schema = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+        columns = by_text(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def gather(pieces: DataFrame, parts: int) -> DataFrame:
+    """Rows of rid, start, end -> rid, starts, ends: one for each rid, merged, written to the shared folder. A task sorts the spans of its share of the texts."""
+    return materialise(pieces.repartition(parts, "rid").mapInArrow(_together, "rid bigint, starts array<int>, ends array<int>"))

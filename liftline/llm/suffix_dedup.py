@@ -33,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm.common import materialise, row_key, table
-from liftline.llm.spans import cut, digest_columns, gather, join_sized, merged
+from liftline.llm.spans import by_text, cut, digest_columns, gather, join_sized
 
 MIN_BYTES = 50
-GRAM = 32
+GRAM = 20
 #: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments.
 _BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 2_000_000, 4 << 20, 1 << 18
 _POS = np.uint64((1 << 24) - 1)
@@ -210,13 +211,14 @@ def _send(buckets: int, least: int, gram: int):  # noqa: ANN202
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's buckets -> rid, ords: which of the sent anchors other documents hold too."""
+    """A task's buckets -> rid, ord: which of the sent anchors other documents hold too."""
     h, rid, number, known = [], [], [], []
     for batch in batches:
         col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-        settled = [i for i, ok in enumerate(col["rid"].is_valid().to_pylist()) if ok]
-        if settled:
-            yield pa.RecordBatch.from_arrays([col["rid"].take(pa.array(settled)), col["ords"].take(pa.array(settled))], ["rid", "ords"])
+        settled = batch.filter(col["rid"].is_valid())
+        if settled.num_rows:
+            ords = settled.column("ords")
+            yield pa.RecordBatch.from_arrays([settled.column("rid").take(pa.compute.list_parent_indices(ords)), pa.compute.list_flatten(ords)], ["rid", "ord"])
         for a, b, c, d, e in zip(*(col[x].to_pylist() for x in ("hashes", "numbers", "rids", "lengths", "known")), strict=True):
             if a is not None:
                 h.append(_unpack48(a))
@@ -233,44 +235,35 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
     shared = (np.minimum.reduceat(rs, first) != np.maximum.reduceat(rs, first)) | np.isin(hs[first], known)
     at = order[np.repeat(shared, np.diff(np.r_[first, len(hs)]))]
-    at = at[np.argsort(rid[at], kind="stable")]
-    edge = np.flatnonzero(np.r_[True, rid[at][1:] != rid[at][:-1]]) if len(at) else np.empty(0, np.int64)
-    for k in range(0, len(edge), 10_000):
-        e = edge[k : k + 10_000]
-        stop = edge[k + 10_000] if k + 10_000 < len(edge) else len(at)
-        offsets = pa.array(np.r_[e, stop] - e[0], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(rid[at[e]]), pa.ListArray.from_arrays(offsets, pa.array(number[at[e[0] : stop]]))], ["rid", "ords"])
+    yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(number[at])], ["rid", "ord"])
 
 
 def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, ords -> rid, bits: a text's anchors that matter as a bit set."""
-    for batch in batches:
-        bits = []
-        for x in batch.column(1):
-            ords = np.array(x.values)
-            flags = np.zeros(int(ords.max()) + 1, np.uint8)
-            flags[ords] = 1
-            bits.append(np.packbits(flags).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["rid", "bits"])
+    """A task's rows of rid, ord -> rid, bits: a text's anchors that matter as a bit set."""
+    held = [(np.array(b.column(0)), np.array(b.column(1))) for b in batches if b.num_rows]
+    if not held:
+        return
+    rid, number = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(rid)
+    rid, number = rid[order], number[order]
+    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)]
+    bits = []
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        flags = np.zeros(int(number[i:j].max()) + 1, np.uint8)
+        flags[number[i:j]] = 1
+        bits.append(np.packbits(flags).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(rid[edge[:-1]]), pa.array(bits, pa.binary())], ["rid", "bits"])
 
 
 #: rid, starts, ends: spans of a text that surely go. Else a bucket's blob of segments to compare.
 _SEGMENTS = "bucket int, rid bigint, starts array<int>, ends array<int>, blob binary"
+_SPAN = ["rid", "start", "end"]
 _SPANS_ARROW = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 _SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), *_SPANS_ARROW, ("blob", pa.binary())])
 #: Arrays of a blob, then the segments' bytes.
 _FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("rid", np.int64), ("start", np.int32), ("size", np.uint8))
 
 
-def _by_text(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
-    """Spans as one row for each text, merged."""
-    order = np.argsort(rid, kind="stable")
-    rid, start, end = rid[order], start[order], end[order]
-    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)] if len(rid) else np.zeros(1, np.int64)
-    runs = [merged(start[i:j], end[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
-    return rid[edge[:-1]].tolist(), [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs]
-
-
 def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
     """Each segment goes to its anchor's bucket once for each task, for the smallest doc_id that the task has it from; the task's other documents lose it at once."""
 
@@ -283,7 +276,7 @@ def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
             (kept if lowest[p[0], p[1]] == p[2] else gone).append(p)
         if gone:
             rid, start, size = (np.array(c, np.int64) for c in zip(*((p[3], p[4], len(p[1])) for p in gone), strict=True))
-            rids, starts, ends = _by_text(rid, start, start + size)
+            rids, starts, ends = by_text(rid, start, start + size)
             yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r in rids], pa.int32()), *(pa.array(c, f.type) for c, f in zip((rids, starts, ends), _SPANS_ARROW, strict=True)), pa.nulls(len(rids), pa.binary())], schema=_SEGMENTS_ARROW)
         own: list[list[tuple]] = [[] for _ in range(buckets)]
         for p, k in zip(kept, _bucket(np.array([p[0] for p in kept], np.uint64), buckets).tolist(), strict=True):
@@ -434,7 +427,8 @@ def _compare(least: int):  # noqa: ANN202
         for batch in batches:
             settled = batch.filter(batch.column(1).is_valid())
             if settled.num_rows:
-                yield settled.select(["rid", "starts", "ends"])
+                starts, ends = settled.column("starts"), settled.column("ends")
+                yield pa.RecordBatch.from_arrays([settled.column("rid").take(pa.compute.list_parent_indices(starts)), pa.compute.list_flatten(starts), pa.compute.list_flatten(ends)], _SPAN)
             for blob in batch.column(4).to_pylist():
                 if blob is None:
                     continue
@@ -449,7 +443,7 @@ def _compare(least: int):  # noqa: ANN202
             columns = {f: np.concatenate(x) for f, x in held.items()}
             rid, start, end = _settle(columns, texts, least)
             if len(rid):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_by_text(rid, start, end), _SPANS_ARROW, strict=True)], schema=_SPANS_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], _SPAN)
 
     return apply
 
@@ -460,12 +454,11 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) ->
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // _BUCKET_BYTES))
     sent = keyed.select("rid", "text").mapInArrow(_send(buckets, least, gram), _SENT)
-    matter = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, ords array<int>")
-    matter = matter.groupBy("rid").agg(F.flatten(F.collect_list("ords")).alias("ords"))
-    matter = materialise(matter.mapInArrow(_as_bits, "rid bigint, bits binary"))
+    matter = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, ord int")
+    matter = materialise(matter.repartition(buckets, "rid").mapInArrow(_as_bits, "rid bigint, bits binary"))
     chosen = join_sized(keyed, matter, "rid", "inner", F.octet_length("bits"))
     segs = chosen.select("rid", "doc_id", "text", "bits").mapInArrow(_segments(buckets, least, gram), _SEGMENTS)
-    return gather(segs.repartition(buckets, "bucket").mapInArrow(_compare(least), "rid bigint, starts array<int>, ends array<int>"))
+    return gather(segs.repartition(buckets, "bucket").mapInArrow(_compare(least), "rid bigint, start int, end int"), buckets)
 
 
 def dedup(docs: DataFrame, keep: list[str], least: int = MIN_BYTES) -> DataFrame:
