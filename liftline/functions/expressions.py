@@ -63,3 +63,13 @@ def sharpe(n: Column, total: Column, squares: Column) -> Column:
     mean = ratio(total, n)
     variance = ratio(squares, n) - mean * mean
     return F.when(variance > 1e-24, mean / F.sqrt(F.when(variance > 1e-24, variance))).otherwise(F.lit(0.0))
+
+
+def phi_of_tier(tier: Column) -> Column:
+    """sweep_phi_0.04 -> 0.04."""
+    return F.regexp_extract(tier, r"sweep_phi_([0-9.]+)", 1).try_cast("double")
+
+
+def is_valid_pf(pf: Column, sentinel: float = 900.0) -> Column:
+    """Whether a profit factor is a measured one, not the mark for no losses."""
+    return finite(pf) & (pf < sentinel)

@@ -132,3 +132,30 @@ def factor_portfolios(spark: SparkSession, count: int, members: int = 10, loadin
     rows = spark.range(count).select(F.col("id").alias("portfolio"), F.explode(F.sequence(F.lit(1), F.lit(members))).alias("m"))
     value = F.lit(loading) * normal(F.col("portfolio"), zero, seed) + F.lit((1 - loading**2) ** 0.5) * normal(F.col("portfolio"), F.col("m"), seed + 1)
     return rows.groupBy("portfolio").agg(F.avg(value).alias("value"))
+
+
+def pick_path(bars: DataFrame, edge: Column) -> DataFrame:
+    """Of bars on an edge path and on a null path (``path`` edge or null), for each strategy and window those of the path that its tag names."""
+    return bars.where(F.col("path") == F.when(edge, F.lit("edge")).otherwise(F.lit("null")))
+
+
+def signal_sweep(spark: SparkSession, strengths: tuple[float, ...], paths: int, bars: int, pairs: list[tuple[int, int]], in_sample: int, out_sample: int, reps: int = 50) -> DataFrame:
+    """tier, phi and the evaluation's rows for each strength of momentum."""
+    out = None
+    for phi in strengths:  # a short list of parameters; each adds a branch to one plan
+        rows = evaluate(price_paths(spark, paths, bars, momentum=phi), pairs, in_sample, out_sample, reps).select(F.lit(f"sweep_phi_{phi}").alias("tier"), F.lit(phi).alias("phi"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def portfolio_null(members: DataFrame, reps: int = 100, seed: int = 5) -> DataFrame:
+    """portfolio, actual, null_mean, rank: drawdown of the members' summed sequences (portfolio, member, pnls of one length) against sums of independently permuted ones. A portfolio is one group of a few sequences."""
+
+    def apply(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(g.sort_values("member")["pnls"].tolist(), np.int64)
+        own = resample.max_drawdown(x.sum(axis=0)[None, :], True)[0]
+        r = np.random.default_rng(seed + int(g["portfolio"].iloc[0]))
+        null = np.array([resample.max_drawdown(r.permuted(x, axis=1).sum(axis=0)[None, :], True)[0] for _ in range(reps)])
+        return pd.DataFrame({"portfolio": [int(g["portfolio"].iloc[0])], "actual": [float(own)], "null_mean": [float(null.mean())], "rank": [float((own < null).mean() * 100)]})
+
+    return members.groupBy("portfolio").applyInPandas(apply, "portfolio bigint, actual double, null_mean double, rank double")

@@ -111,3 +111,24 @@ _E = ", ".join(f"sum(dir * ({draw_sql('bar::BIGINT', f'{d}::BIGINT', '0::BIGINT'
 def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = correlation.random_projection(positions(spark, sf_dir))
     return out.select("strategy", *(F.round(f"e{d}", 6).alias(f"e{d}") for d in range(3)))
+
+
+DRAWS, PICKS = 20, 10
+
+
+@_register("draw_pair_corr", f"{_PAIRS}, u AS (SELECT DISTINCT vec_id FROM vals), d AS (SELECT draw, vec_id FROM (SELECT draw, vec_id, row_number() OVER (PARTITION BY draw ORDER BY {draw_sql('vec_id::BIGINT', '1::BIGINT', 'draw::BIGINT', '0::BIGINT')}, vec_id) AS k FROM u, (SELECT unnest(range({DRAWS})) AS draw)) WHERE k <= {PICKS}) SELECT a.draw, count(*) AS pairs, round(avg(r), 6) AS mean_r FROM d a JOIN d b ON a.draw = b.draw AND a.vec_id < b.vec_id JOIN pairs ON pairs.i = a.vec_id AND pairs.j = b.vec_id GROUP BY a.draw")
+def draw_pair_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean pairwise correlation within random draws of ten series."""
+    from pyspark.sql import Window
+
+    from liftline.functions.rng import draw
+
+    values = _values(spark, sf_dir)
+    units = values.select("vec_id").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DRAWS - 1).cast("bigint"))))
+    keyed = units.withColumn("key", draw(F.col("vec_id"), F.lit(1), F.col("draw"), F.lit(0)))
+    picked = keyed.withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy("key", "vec_id"))).where(F.col("k") <= PICKS).select("draw", "vec_id")
+    long = picked.join(values, "vec_id")
+    a = long.select("draw", "window_i", F.col("vec_id").alias("i"), F.col("x").cast("double").alias("x"))
+    b = long.select("draw", "window_i", F.col("vec_id").alias("j"), F.col("x").cast("double").alias("y"))
+    pairs = a.join(b, ["draw", "window_i"]).where("i < j").groupBy("draw", "i", "j").agg(correlation.safe_corr(F.col("x"), F.col("y")).alias("r"))
+    return pairs.groupBy("draw").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("r"), 6).alias("mean_r"))
