@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from liftline.llm import bpe_automaton, language_id, simhash_dedup, source_mixing, suffix_dedup
 from liftline.llm.common import materialise, prepare, table
-from liftline.llm.spans import join_sized
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prepare(spark)
     found = simhash_dedup.similar(docs)
     gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return join_sized(docs, gone, "doc_id", "left_anti", F.lit(8)).select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,16 +11,6 @@ from pyspark.sql import functions as F
 
 from liftline.llm.common import materialise, row_key
 
-#: A table of spans or places up to this size is broadcast, so that texts stay where they are; a larger one is joined by shuffling both sides.
-BROADCAST_BYTES = 2 << 20
-
-
-def join_sized(left: DataFrame, right: DataFrame, on: str, how: str, size: F.Column) -> DataFrame:
-    """Join a table that is already written; broadcast it if the sum of its rows' sizes in bytes, plus 32 a row, is proven small."""
-    n, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return left.join(F.broadcast(right) if total + 32 * n <= BROADCAST_BYTES else right, on, how)
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The maximal runs that half-open spans cover."""
     order = np.argsort(starts, kind="stable")
@@ -33,7 +23,7 @@ def cut(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept (binary), for every row of docs; spans: rid, starts, ends (arrays), one row per rid."""
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     rows = docs.select(*keep, row_key().alias("rid"), F.col("text").alias("liftline_text"))
-    joined = join_sized(rows, spans, "rid", "left", 8 * F.size("starts"))
+    joined = rows.join(spans, "rid", "left")  # Spark broadcasts by its own threshold, else shuffles both sides
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm.common import materialise, row_key, table
-from liftline.llm.spans import by_text, cut, digest_columns, gather, join_sized
+from liftline.llm.spans import by_text, cut, digest_columns, gather
 
 MIN_BYTES = 50
 GRAM = 20
@@ -456,7 +456,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) ->
     sent = keyed.select("rid", "text").mapInArrow(_send(buckets, least, gram), _SENT)
     matter = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, ord int")
     matter = materialise(matter.repartition(buckets, "rid").mapInArrow(_as_bits, "rid bigint, bits binary"))
-    chosen = join_sized(keyed, matter, "rid", "inner", F.octet_length("bits"))
+    chosen = keyed.join(matter, "rid")
     segs = chosen.select("rid", "doc_id", "text", "bits").mapInArrow(_segments(buckets, least, gram), _SEGMENTS)
     return gather(segs.repartition(buckets, "bucket").mapInArrow(_compare(least), "rid bigint, start int, end int"), buckets)
 
