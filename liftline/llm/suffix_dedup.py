@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,9 @@ from liftline.llm.spans import by_text, cut, digest_columns, gather
 MIN_BYTES = 50
 GRAM = 20
 #: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments.
-_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 2_000_000, 4 << 20, 1 << 18
+_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 800_000, 4 << 20, 1 << 18
 _POS = np.uint64((1 << 24) - 1)
-_PLACES, _LAST = 400_000, np.iinfo(np.int64).max
+_PLACES, _LAST = 200_000, np.iinfo(np.int64).max
 _PIECE = 1 << 23  # a longer text is hashed in pieces of so many windows
 
 
@@ -149,6 +150,10 @@ def _pack48(h: np.ndarray) -> bytes:
     return (h >> np.uint64(32)).astype(np.uint32).tobytes() + (h >> np.uint64(16)).astype(np.uint16).tobytes()
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
+
+
 def _unpack48(data: bytes) -> np.ndarray:
     n = len(data) // 6
     return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, np.uint16, n, 4 * n)
@@ -190,7 +195,7 @@ def _send(buckets: int, least: int, gram: int):  # noqa: ANN202
             if len(own) or len(seen):
                 r = rid[own]
                 edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-                add(bucket=k, hashes=_pack48(h[own]), numbers=number[own].astype(np.int32).tobytes(), rids=r[edge].tobytes(), lengths=np.diff(np.r_[edge, len(r)]).astype(np.int32).tobytes(), known=_pack48(seen))
+                add(bucket=k, hashes=_pack48(h[own]), numbers=_pack(number[own].astype(np.int32)), rids=r[edge].tobytes(), lengths=_pack(np.diff(np.r_[edge, len(r)]).astype(np.int32)), known=_pack48(seen))
         yield pa.RecordBatch.from_pydict(rows, _SENT_ARROW)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +227,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, c, d, e in zip(*(col[x].to_pylist() for x in ("hashes", "numbers", "rids", "lengths", "known")), strict=True):
             if a is not None:
                 h.append(_unpack48(a))
-                number.append(np.frombuffer(b, np.int32))
-                rid.append(np.repeat(np.frombuffer(c, np.int64), np.frombuffer(d, np.int32)))
+                number.append(np.frombuffer(zstandard.decompress(b), np.int32))
+                rid.append(np.repeat(np.frombuffer(c, np.int64), np.frombuffer(zstandard.decompress(d), np.int32)))
                 known.append(_unpack48(e))
     if not h:
         return
@@ -285,7 +290,8 @@ def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
         blobs = []
         for k in used:
             x, seg, d, r, at = zip(*own[k], strict=True)
-            blobs.append(b"".join([np.array([len(x)], np.int64).tobytes(), *(np.array(c, t).tobytes() for c, (_, t) in zip((x, d, r, at, [len(y) for y in seg]), _FIELDS, strict=True)), *seg]))
+            blob = b"".join([np.array([len(x)], np.int64).tobytes(), *(np.array(c, t).tobytes() for c, (_, t) in zip((x, d, r, at, [len(y) for y in seg]), _FIELDS, strict=True)), *seg])
+            blobs.append(zstandard.compress(blob, 3))
         empty = [pa.nulls(len(used), f.type) for f in _SPANS_ARROW]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *empty, pa.array(blobs, pa.binary())], schema=_SEGMENTS_ARROW)
 
@@ -432,6 +438,7 @@ def _compare(least: int):  # noqa: ANN202
             for blob in batch.column(4).to_pylist():
                 if blob is None:
                     continue
+                blob = zstandard.decompress(blob)
                 n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
                 for f, t in _FIELDS:
                     held[f].append(np.frombuffer(blob, t, n, at))
