@@ -36,9 +36,9 @@ from tokenizers import Tokenizer
 from liftline.llm.common import table
 
 #: Words whose encoding a task keeps; when full, it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Arcs of the final states that a task keeps once it has worked them out.
-ARCS_KEPT = 1_000_000
+ARCS_KEPT = 300_000
 
 
 #: Lower-case letters that newer Unicode tables have and Python's lack, as the library maps them.
@@ -151,7 +151,6 @@ class Encoder(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spec = spec
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.bytes = byte_symbols()
@@ -176,6 +175,11 @@ class Encoder(dict):
         self[word] = found = (" ".join([str(vocab[x]) for x in labels]), " ".join(labels), len(labels))
         return found
 
+    def forget(self) -> None:
+        """Give back what was kept of words; a worker process lives on after a task."""
+        self.clear()
+        self.automaton.arcs.clear()
+
     def normalize(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -224,6 +228,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = [[int(i) for i in " ".join(e.encode(t or "")[0]).split()] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        e.forget()
 
     return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
@@ -252,6 +257,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(" ".join(labels).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
