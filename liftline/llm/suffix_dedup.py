@@ -44,7 +44,7 @@ from liftline.llm.spans import by_text, cut, digest_columns, gather
 MIN_BYTES = 50
 GRAM = 20
 #: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments.
-_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 800_000, 4 << 20, 1 << 18
+_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 800_000, 8 << 20, 1 << 18
 _POS = np.uint64((1 << 24) - 1)
 _PLACES, _LAST = 200_000, np.iinfo(np.int64).max
 _PIECE = 1 << 23  # a longer text is hashed in pieces of so many windows
