@@ -76,7 +76,7 @@ STAGES = [
     ("encode_texts", encode_texts),
 ]
 
-#: Hyperdimensional cosines, min-hash estimates and merges are beyond SQL; the tests hold the stages against brute force.
+#: Hyperdimensional cosines, fingerprints and merges are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

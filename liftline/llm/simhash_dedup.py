@@ -11,9 +11,11 @@ fingerprints are compared with all its visitors, and only a forest of the
 links found there leaves the task, never all pairs. Equal fingerprints are one
 class from the start, led by their smallest doc_id.
 
-With ``sketch``, a class is a text, not a fingerprint, and a link must also
-hold by the estimated Jaccard similarity of 5-word shingles, from one-
-permutation min-hash sketches that travel only to anchors where links were seen.
+In ``similar`` a class is a text, not a fingerprint, and a link must also hold
+by the exact Jaccard similarity of the sets of 5-word shingles (their 64-bit
+hashes). The sets are made for the texts that have a link by fingerprint and
+travel only to the anchors where it was seen; there a pair that verified links
+have not joined yet is decided by its sets.
 
 Defined results: null text or text without words has fingerprint zero and is
 linked like any other; a text with fewer words than a shingle is one shingle;
@@ -39,9 +41,11 @@ from liftline.llm.components import stars
 
 SEED, BITS = 42, 64
 WORDS, DISTANCE = 4, 4
-#: For stages that ask for a similarity: words of a fingerprint's shingles, distance, words of a sketch's shingles, bins, least share of equal bins.
-SIMILAR = {"words": 2, "distance": 9, "sketch_words": 5, "bins": 128, "share": 0.78}
+#: For stages that ask for a similarity: words of a fingerprint's shingles, distance, words of the shingles compared, least similarity.
+SIMILAR = {"words": 2, "distance": 9, "set_words": 5, "similarity": 0.8}
 _PIECE, _PAIRS, _ROWS = 1 << 18, 1 << 21, 200_000
+#: Bytes of shingle sets held by a task before it settles, and pairs decided between two looks at what is joined already.
+_SET_BYTES, _DECIDED = 32 << 20, 1024
 
 
 def _shingles(data: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
@@ -68,33 +72,38 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _sketch(hashes: np.ndarray, bins: int) -> bytes:
-    """The least hash in each bin, as 16 bits; 65535 for an empty bin."""
-    out = np.full(bins, 65535, np.uint16)
-    if len(hashes):
-        h = np.sort(hashes)
-        of = (h >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        out[of[first]] = np.minimum((h[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48), np.uint64(65534)).astype(np.uint16)
-    return out.tobytes()
+def _node(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(data.lower().split()))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, sketch: dict | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number), node (what a class is: the fingerprint, or with a sketch the text's hash), sketch."""
+def fingerprints(docs: DataFrame, words: int = WORDS, texts: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number), node (what a class is: the fingerprint, or the text's hash)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes, sketches = [], [], []
+            fps, nodes = [], []
             for text in batch.column(1).to_pylist():
                 data = text.encode("utf-8") if text else b""
                 fps.append(fingerprint(_hashes(data, words)))
-                if sketch:
-                    nodes.append(xxhash.xxh3_64_intdigest(b" ".join(data.lower().split())))
-                    sketches.append(_sketch(_hashes(data, sketch["sketch_words"]), sketch["bins"]))
+                if texts:
+                    nodes.append(_node(data))
             signed = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), pa.array(np.array(nodes, np.uint64).view(np.int64) if sketch else signed), pa.array(sketches or [None] * len(fps), pa.binary())], ["doc_id", "fp", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), pa.array(np.array(nodes, np.uint64).view(np.int64) if texts else signed)], ["doc_id", "fp", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("fp", "long").add("node", "long").add("sketch", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("fp", "long").add("node", "long"))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """lead (the doc_id), node, shingles: the sorted hashes of the text's set of shingles."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text.encode("utf-8") if text else b"" for text in batch.column(1).to_pylist()]
+            nodes = np.array([_node(data) for data in texts], np.uint64).view(np.int64)
+            sets = [np.unique(_hashes(data, words)).tobytes() for data in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(sets, pa.binary())], ["lead", "node", "shingles"])
+
+    return docs.select(F.col("doc_id").alias("lead"), "text").mapInArrow(apply, docs.select(F.col("doc_id").alias("lead")).schema.add("node", "long").add("shingles", "binary"))
 
 
 def _blocks(distance: int) -> list[tuple[int, int]]:
@@ -168,38 +177,35 @@ def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _compare(distance: int, share: float | None, see_only: bool):  # noqa: ANN202
-    """Rows sorted by anchor -> forest edges (node, root) of leads; or, to see only, the (anchor, fp, lead, home) that have a link."""
+def _grouped(anchor: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by anchor and lead, and the sizes of the anchors in it."""
+    order = np.lexsort((lead, anchor))
+    anchor = anchor[order]
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    return order, np.diff(np.r_[first, len(anchor)])
 
-    def settle(anchor: np.ndarray, fp: np.ndarray, lead: np.ndarray, home: np.ndarray, sketch: np.ndarray | None) -> pa.RecordBatch | None:
-        order = np.lexsort((lead, anchor))
-        anchor, fp, lead, home = anchor[order], fp[order].view(np.uint64), lead[order], home[order]
-        sketch = sketch[order] if sketch is not None else None
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        sizes = np.diff(np.r_[first, len(anchor)])
-        labels, linked = np.arange(len(anchor)), np.zeros(len(anchor), bool)
-        for a, b in _pairs(sizes, home):
-            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (lead[a] != lead[b])
-            a, b = a[near], b[near]
-            if see_only:
-                linked[a] = linked[b] = True
-                continue
-            for k in range(0, len(a), 1 << 16) if sketch is not None else ():
-                x, y = sketch[a[k : k + (1 << 16)]], sketch[b[k : k + (1 << 16)]]
-                used = (x != 65535) | (y != 65535)
-                fine = ((x == y) & used).sum(axis=1) >= share * np.maximum(used.sum(axis=1), 1)
-                labels = _hook(labels, a[k : k + (1 << 16)][fine], b[k : k + (1 << 16)][fine])
-            if sketch is None:
-                labels = _hook(labels, a, b)
-        if see_only:
-            return pa.RecordBatch.from_arrays([pa.array(anchor[linked]), pa.array(fp[linked].view(np.int64)), pa.array(lead[linked]), pa.array(home[linked])], ["anchor", "fp", "lead", "home"])
-        moved = lead != lead[labels]
-        edges = np.unique(np.stack([lead[moved], lead[labels][moved]], axis=1), axis=0) if moved.any() else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["node", "root"])
+
+def _edges(lead: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    moved = lead != lead[labels]
+    edges = np.unique(np.stack([lead[moved], lead[labels][moved]], axis=1), axis=0) if moved.any() else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["node", "root"])
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def _by_anchor(settle, width: int):  # noqa: ANN001, ANN202
+    """settle(columns) over runs of whole anchors of rows sorted by anchor; the fourth column is of booleans, one from width on of shingle sets."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = 0
+        n, size, least = 0, 0, 1  # least grows while one anchor fills all that is held
 
         def columns() -> list:
             return [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -208,49 +214,99 @@ def _compare(distance: int, share: float | None, see_only: bool):  # noqa: ANN20
             if not batch.num_rows:
                 continue
             own = [np.array(batch.column(i)) for i in range(3)] + [np.array(batch.column(3).to_pylist(), bool)]
-            if share is not None and not see_only:
-                own.append(np.stack([np.frombuffer(x, np.uint16) for x in batch.column(4).to_pylist()]))
+            if width > 4:
+                sets = np.empty(batch.num_rows, object)
+                sets[:] = batch.column(4).to_pylist()
+                size += sum(map(len, sets))
+                own.append(sets)
             held.append(tuple(own))
             n += batch.num_rows
-            if n >= _ROWS:
+            if n >= least * _ROWS or size >= least * _SET_BYTES:
                 all_ = columns()
                 last = np.searchsorted(all_[0], all_[0][-1])  # the last anchor may go on
                 if last:
-                    yield settle(*(c[:last] for c in all_), *[None] * (5 - len(all_)))
-                    held, n = [tuple(c[last:] for c in all_)], len(all_[0]) - last
+                    yield settle(*(c[:last] for c in all_))
+                    held = [tuple(c[last:] for c in all_)]
+                    n, size, least = len(all_[0]) - last, sum(map(len, all_[4][last:])) if width > 4 else 0, 1
+                else:
+                    held, least = [tuple(all_)], 2 * least
         if held:
-            all_ = columns()
-            yield settle(*all_, *[None] * (5 - len(all_)))
+            yield settle(*columns())
 
     return apply
 
 
-def classes(prints: DataFrame, distance: int = DISTANCE, share: float | None = None) -> DataFrame:
-    """prints (fingerprints, already written) -> node, component_id: the least doc_id of every class that links reach."""
-    led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead"), *([F.min("sketch").alias("sketch")] if share is not None else [])))
-    copies = led.select("fp", "lead").mapInArrow(_replicate(distance), "anchor bigint, fp bigint, lead bigint, home boolean")
-    meet = copies.repartition("anchor").sortWithinPartitions("anchor")
-    if share is None:
-        edges = meet.mapInArrow(_compare(distance, None, False), "node bigint, root bigint")
-    else:
-        seen = materialise(meet.mapInArrow(_compare(distance, share, True), "anchor bigint, fp bigint, lead bigint, home boolean"))
-        sketched = seen.join(led.select("lead", "fp", "sketch"), ["lead", "fp"]).select("anchor", "fp", "lead", "home", "sketch")
-        edges = sketched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(distance, share, False), "node bigint, root bigint")
+def _compare(distance: int, see_only: bool = False):  # noqa: ANN202
+    """Rows sorted by anchor -> forest edges (node, root) of leads; or, to see only, the (anchor, fp, lead, home) that have a link."""
+
+    def settle(anchor: np.ndarray, fp: np.ndarray, lead: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        order, sizes = _grouped(anchor, lead)
+        anchor, fp, lead, home = anchor[order], fp[order].view(np.uint64), lead[order], home[order]
+        labels, linked = np.arange(len(anchor)), np.zeros(len(anchor), bool)
+        for a, b in _pairs(sizes, home):
+            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (lead[a] != lead[b])
+            if see_only:
+                linked[a[near]] = linked[b[near]] = True
+            else:
+                labels = _hook(labels, a[near], b[near])
+        if see_only:
+            return pa.RecordBatch.from_arrays([pa.array(anchor[linked]), pa.array(fp[linked].view(np.int64)), pa.array(lead[linked]), pa.array(home[linked])], ["anchor", "fp", "lead", "home"])
+        return _edges(lead, labels)
+
+    return _by_anchor(settle, 4)
+
+
+def _decide(distance: int, similarity: float):  # noqa: ANN202
+    """Rows sorted by anchor, with shingle sets -> forest edges (node, root) of leads over links that hold by the sets."""
+
+    def settle(anchor: np.ndarray, fp: np.ndarray, lead: np.ndarray, home: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        order, sizes = _grouped(anchor, lead)
+        fp, lead, home, sets = fp[order].view(np.uint64), lead[order], home[order], [np.frombuffer(x, np.uint64) for x in sets[order]]
+        labels = np.arange(len(lead))
+        for a, b in _pairs(sizes, home):
+            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (lead[a] != lead[b]) & ((a < b) | ~home[b])
+            a, b = a[near], b[near]
+            for k in range(0, len(a), _DECIDED):
+                x, y = a[k : k + _DECIDED], b[k : k + _DECIDED]
+                apart = labels[x] != labels[y]
+                x, y = x[apart], y[apart]
+                fine = np.fromiter((_jaccard(sets[i], sets[j]) >= similarity for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                labels = _hook(labels, x[fine], y[fine])
+        return _edges(lead, labels)
+
+    return _by_anchor(settle, 5)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("anchor").sortWithinPartitions("anchor")
+
+
+def _classes(led: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component_id: the least doc_id of every class that the edges between leads reach."""
     found = stars(edges).select(F.col("node").alias("lead"), "root")
     return materialise(led.join(found, "lead", "left").groupBy("node").agg(F.min(F.coalesce("root", "lead")).alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id for every row."""
-    prints = materialise(fingerprints(docs, words).drop("sketch"))
-    return prints.join(classes(prints, distance), "node", "left").select("doc_id", "fp", "component_id")
+    prints = materialise(fingerprints(docs, words))
+    led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead")))
+    copies = led.select("fp", "lead").mapInArrow(_replicate(distance), "anchor bigint, fp bigint, lead bigint, home boolean")
+    edges = _sorted(copies).mapInArrow(_compare(distance), "node bigint, root bigint")
+    return prints.join(_classes(led, edges), "node", "left").select("doc_id", "fp", "component_id")
 
 
 def similar(docs: DataFrame, settings: dict | None = None) -> DataFrame:
-    """doc_id, component_id for every row: links also need the estimated similarity of word shingles."""
+    """doc_id, component_id for every row: links are pairs of texts whose sets of shingles are that similar."""
     s = settings or SIMILAR
-    prints = materialise(fingerprints(docs, s["words"], s))
-    return prints.select("doc_id", "node").join(classes(prints, s["distance"], s["share"]), "node", "left").select("doc_id", "component_id")
+    prints = materialise(fingerprints(docs, s["words"], True))
+    led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead")))
+    copies = led.select("fp", "lead").mapInArrow(_replicate(s["distance"]), "anchor bigint, fp bigint, lead bigint, home boolean")
+    seen = materialise(_sorted(copies).mapInArrow(_compare(s["distance"], True), "anchor bigint, fp bigint, lead bigint, home boolean"))
+    asked = docs.join(seen.select(F.col("lead").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = led.join(shingle_sets(asked, s["set_words"]).dropDuplicates(["lead", "node"]), ["lead", "node"]).select("lead", "fp", "shingles")
+    edges = _sorted(seen.join(sets, ["lead", "fp"]).select("anchor", "fp", "lead", "home", "shingles")).mapInArrow(_decide(s["distance"], s["similarity"]), "node bigint, root bigint")
+    return prints.select("doc_id", "node").join(_classes(led, edges), "node", "left").select("doc_id", "component_id")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

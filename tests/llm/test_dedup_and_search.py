@@ -242,6 +242,41 @@ def test_similar_documents_are_found(spark):
     assert np.mean([got[10 * i + 1] == 10 * i for i in range(60)]) > 0.95
     assert all(got[10 * i + 2] == 10 * i + 2 and got[10 * i] == 10 * i for i in range(60))
 
+def _jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def _copies(rng, low, high, n, kinds=("append", "block", "scatter"), sizes=(60, 400)):
+    """Rows of pairs (id, id + 1) of a text and a copy with a similarity from low to high, by appended text, a replaced block or single words."""
+    word = lambda k: ["".join(rng.choice(list("abcdefghijklmnopqrst"), 7)) for _ in range(k)]
+    rows = []
+    while len(rows) < 2 * n:
+        w = word(int(rng.integers(*sizes)))
+        kind, change = kinds[len(rows) // 2 % len(kinds)], rng.uniform(0.02, 0.35)
+        m = max(1, int(change * len(w)))
+        if kind == "append":
+            c = w + word(m)
+        elif kind == "block":
+            at = int(rng.integers(0, len(w) - m + 1))
+            c = w[:at] + word(m) + w[at + m :]
+        else:
+            c = list(w)
+            for i in rng.choice(len(w), max(1, m // 5), replace=False):
+                c[i] = word(1)[0]
+        a, b = " ".join(w), " ".join(c)
+        if low <= _jaccard(a, b) < high:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    return rows
+
+
+def test_similarity_is_decided_by_the_sets(spark):
+    rng = np.random.default_rng(31)
+    rows = _copies(rng, 0.7, 0.8, 150, sizes=(30, 120))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar(_docs(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert simhash_dedup._jaccard(np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)) == 0.8
+
 
 # vectors
 
