@@ -278,6 +278,15 @@ def test_similarity_is_decided_by_the_sets(spark):
     assert simhash_dedup._jaccard(np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)) == 0.8
 
 
+@pytest.mark.parametrize("kind", ["append", "block", "scatter"])
+def test_copies_from_080_to_090_are_found(spark, kind):
+    rows = _copies(np.random.default_rng(32), 0.8, 0.9, 400, (kind,))
+    rows += [(i + len(rows), t) for i, t in _copies(np.random.default_rng(33), 0.8, 0.82, 200, (kind,))]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar(_docs(spark, rows)).collect()}
+    assert np.mean([got[i] == i - 1 for i in range(1, len(rows), 2)]) > 0.99
+    assert all(got[i] == i for i in range(0, len(rows), 2))
+
+
 # vectors
 
 
