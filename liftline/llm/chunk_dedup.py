@@ -2,19 +2,23 @@
 
 A gear hash rolls over a text's bytes: it is doubled and the next byte's random
 value added, so in 16 bits it covers the last 16 bytes. A chunk ends where the
-hash is the greatest within RADIUS bytes on both sides. A cut thus depends on
-the bytes near it and on nothing else: an insertion moves no cut but those
-beside it, and a passage that repeats is cut alike wherever it stands. Chunks
-lie more than RADIUS bytes apart but at a text's ends, and near twice that on
-average. Chunks are compared by a 128-bit digest. The first, by doc_id and
-place, stays; others go.
+hash is greater than at the RADIUS bytes before and no less than at the RADIUS
+bytes after. A cut thus depends on the bytes near it and on nothing else: an
+insertion moves no cut but those beside it, and a passage that repeats is cut
+alike wherever it stands. Cuts lie more than RADIUS bytes apart, and near twice
+that on average. Where text repeats with a short period no byte is greater than
+all before it; such stretches are cut every MAX_BYTES from the last cut, so that
+a copy within another text may keep about that much at each end of one. Every
+chunk has at least MIN_BYTES, but a text shorter than that is one chunk. Chunks
+are compared by a 128-bit digest. The first, by doc_id and place, stays; others
+go.
 
 Every task keeps the first of its own equal chunks and sends that one only, in
 packed blobs by bucket of the digest, so that a chunk costs its bucket one
 entry per task at most however often it repeats.
 
-Defined results: null text is empty; chunks under MIN_BYTES (only at a text's
-ends) always stay; a row with null doc_id keeps all and takes nothing; rows
+Defined results: null text is empty; a text under MIN_BYTES goes only where the
+same text, as a whole, stands before; a row with null doc_id keeps all and takes nothing; rows
 equal in doc_id and text are one document and keep the same; rows with one
 doc_id and other texts are ordered by a hash of the text; an empty table gives
 no rows. Extra columns are ignored.
@@ -35,6 +39,7 @@ from liftline.llm.spans import cut, digest_columns, gather
 
 RADIUS = 24
 MIN_BYTES = 24
+MAX_BYTES = 256
 #: Chunks held before they are sent, and text bytes per bucket of digests.
 _HELD, _BUCKET_BYTES = 1_000_000, 4 << 20
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -51,27 +56,32 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def boundaries(data: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Where chunks end, the text's end included."""
-    n, width = len(data), 2 * radius + 1
-    if n < width:
+    n = len(data)
+    if n < 2 * radius + 1:
         return np.array([n])
     h = gear(data)
     top, span = h, 1
-    while 2 * span <= width:
+    while 2 * span <= radius:
         top = np.maximum(top[:-span], top[span:])
         span *= 2
-    rest = width - span
-    top = np.maximum(top[: len(top) - rest], top[rest:]) if rest else top
-    cuts = np.flatnonzero(h[radius : n - radius] == top) + radius + 1
-    return cuts if len(cuts) and cuts[-1] == n else np.r_[cuts, n]
+    rest = radius - span
+    top = np.maximum(top[: len(top) - rest], top[rest:]) if rest else top  # the greatest of the radius bytes from each on
+    own = h[radius : n - radius]
+    cuts = np.flatnonzero((own > top[: len(own)]) & (own >= top[radius + 1 :])) + radius + 1
+    edges = np.r_[0, cuts, n]
+    size = np.diff(edges)
+    if size.max() <= MAX_BYTES:
+        return edges[1:]
+    inner = [np.arange(edges[k] + MAX_BYTES, edges[k + 1] - MIN_BYTES + 1, MAX_BYTES) for k in np.flatnonzero(size > MAX_BYTES)]
+    return np.sort(np.concatenate([edges[1:], *inner]))
 
 
 def _chunks(text: str, doc: int, rid: int) -> list[tuple]:
     data = text.encode("utf-8")
     out, at = [], 0
     for end in boundaries(np.frombuffer(data, np.uint8)).tolist():
-        if end - at >= MIN_BYTES:
-            digest = xxhash.xxh3_128_intdigest(data[at:end])
-            out.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, doc, rid, at, end - at))
+        digest = xxhash.xxh3_128_intdigest(data[at:end])
+        out.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, doc, rid, at, end - at))
         at = end
     return out
 
@@ -148,7 +158,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """rid (row_key), starts, ends: the chunks that stand earlier too, written to the shared folder."""
-    keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= MIN_BYTES)).select(row_key().alias("rid"), "doc_id", "text")
+    keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select(row_key().alias("rid"), "doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // _BUCKET_BYTES))
     sent = keyed.mapInArrow(_send(buckets), "bucket int, chunks binary, rid bigint, start int, end int")

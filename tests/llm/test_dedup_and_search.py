@@ -137,6 +137,22 @@ def test_long_passages_are_caught(spark):
     assert all(out[i] > 0 for i in range(1, 80, 2)) and not any(out[i] for i in range(0, 80, 2)) and not any(out[100 + i] for i in range(40))
 
 
+def test_copies_of_periodic_and_short_texts_go(spark):
+    rng = np.random.default_rng(7)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), k))
+    texts = ["buy now " * 500, "-" * 5000, " " * 3000, "0123456789" * 77, "a" * 49, word(300) + "=" * 2000 + word(300), "tail", "é"]
+    rows = [(10 * i + k, t) for i, t in enumerate(texts) for k in range(3)] + [(None, "tail"), (None, "-" * 5000), (1000, "tai"), (1001, word(90) + "tail")]
+    out = {r.doc_id: (r.n_removed, r.n_bytes) for r in chunk_dedup.dedup(_docs(spark, rows), ["doc_id"]).where("doc_id IS NOT NULL").collect()}
+    assert all(out[10 * i + k] == (len(t.encode()),) * 2 for i, t in enumerate(texts) for k in (1, 2))
+    assert out[1000][0] == 0 and out[1001][0] == 0 and out[60][0] == 0 and out[70][0] == 0
+    passage = "=" * 3000 + word(200)  # within other texts the passage goes but for its ends
+    two = {r.doc_id: r.n_removed for r in chunk_dedup.dedup(_docs(spark, [(i, word(100) + passage + word(100)) for i in range(2)]), ["doc_id"]).collect()}
+    assert two[1] > 2400
+    for t in texts:
+        sizes = np.diff(np.r_[0, chunk_dedup.boundaries(np.frombuffer(t.encode(), np.uint8))])
+        assert sizes.sum() == len(t.encode()) and (len(sizes) == 1 or sizes.min() >= chunk_dedup.MIN_BYTES) and sizes.max() < chunk_dedup.MAX_BYTES + chunk_dedup.MIN_BYTES
+
+
 # SimHash
 
 
