@@ -78,6 +78,77 @@ NAMES = {
     "zlib": ["zlib", "zlib libpng"],
     "zpl": ["zope public"],
 }
+#: label: wordings of notices, SPDX identifiers and names with a glued version, each a rule of its own; the first word is plain.
+_LATER = "(?: only| or later)?"
+_TO_ANY = "hereby granted free of charge to any person"
+WORDINGS = {
+    "afl": ["afl (?:1 [12]|2 [01]|3 0)", "aflv3(?: 0)?"],
+    "agpl": ["agpl [13] 0" + _LATER, "agplv3(?: 0)?" + _LATER, "agpl3" + _LATER],
+    "apache": ["apache (?:1 [01]|2 0)", "apachev2(?: 0)?", "asl 2 0", "aslv2(?: 0)?"],
+    "apsl": ["apsl (?:1 [012]|2 0)", "subject to the apple public source licen[cs]e"],
+    "artistic": ["artistic (?:1 0|2 0)(?: perl| cl8)?", "same terms as perl itself", "same terms as the perl 5 programming language"],
+    "bsd": [
+        "redistribution and use in source and binary forms",
+        "redistribution and use of this software in source and binary forms",
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice",
+        "neither the name of (?:\\S+ ){1,12}may be used to endorse or promote products",
+        "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)",
+        "bsd [234] clause(?: clear| patent| uc| views)?",
+        "0bsd",
+    ],
+    "bsl": ["bsl 1 0", _TO_ANY + " or organization obtaining a copy of the software"],
+    "busl": ["busl 1 1", "bsl 1 1"],
+    "cc0": ["cc0 1 0(?: universal)?", "cc0 public domain dedication"],
+    "cc-by": ["cc by [1234] [05]"],
+    "cc-by-nc": ["cc by nc [1234] [05]"],
+    "cc-by-nc-nd": ["cc by nc nd [1234] [05]"],
+    "cc-by-nc-sa": ["cc by nc sa [1234] [05]"],
+    "cc-by-nd": ["cc by nd [1234] [05]"],
+    "cc-by-sa": ["cc by sa [1234] [05]"],
+    "cddl": ["cddl 1 [01]", "cddlv1(?: [01])?"],
+    "cecill": ["cecill (?:1 [01]|2 [01]|[bc])"],
+    "cpl": ["cpl 1 0", "cplv1(?: 0)?"],
+    "ecl": ["ecl [12] 0"],
+    "elastic": ["elastic 2 0", "elv2"],
+    "epl": ["epl [12] 0", "eplv1(?: 0)?", "eplv2(?: 0)?"],
+    "eupl": ["eupl 1 [012]", "euplv1(?: [012])?"],
+    "fdl": ["gfdl 1 [123]" + _LATER, "fdl 1 [123]", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation"],
+    "gpl": [
+        "gpl [123](?: 0)?" + _LATER, "gplv1" + _LATER, "gplv2(?: 0)?" + _LATER, "gplv3(?: 0)?" + _LATER, "gpl2" + _LATER, "gpl3" + _LATER,
+        "redistribute it and or modify it under the terms of the gnu general public",
+    ],
+    "isc": ["permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided"],
+    "lgpl": [
+        "lgpl (?:2 [01]|3 0|[23])" + _LATER, "lgplv2(?: [01])?" + _LATER, "lgplv3(?: 0)?" + _LATER, "lgpl2(?: 1)?" + _LATER, "lgpl3" + _LATER,
+        "redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public",
+    ],
+    "lppl": ["lppl 1 (?:[012]|3[ac]?)", "conditions of the latex project public"],
+    "mit": [_TO_ANY + " obtaining a copy of this software and associated documentation files(?! the software to deal with)", "deal in the software without restriction"],
+    "mpl": ["mpl (?:1 [01]|2 0)", "mplv1(?: [01])?", "mplv2(?: 0)?", "mpl2", "subject to the (?:terms of the )?mozilla public"],
+    "ms-pl": ["ms pl"],
+    "ms-rl": ["ms rl"],
+    "ncsa": [_TO_ANY + " obtaining a copy of this software and associated documentation files the software to deal with", "deal with the software without restriction"],
+    "ofl": ["ofl 1 [01](?: rfn| no rfn)?", _TO_ANY + " obtaining a copy of the font software"],
+    "osl": ["osl (?:1 [01]|2 [01]|3 0)"],
+    "postgresql": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"],
+    "proprietary": [
+        "proprietary and confidential", "confidential and proprietary", "proprietary licen[cs]e", "proprietary information of",
+        "unauthorized (?:copying|use|reproduction|distribution|duplication|disclosure)(?: \\S+){0,12}? (?:is|are) (?:strictly )?prohibited",
+        "unauthorised (?:copying|use|reproduction|distribution|duplication|disclosure)(?: \\S+){0,12}? (?:is|are) (?:strictly )?prohibited",
+    ],
+    "psf": ["psf 2 0", "python 2 0 1"],
+    "public-domain": ["released (?:in|to|into) the public domain", "placed (?:in|into) the public domain", "dedicated to the public domain", "public domain dedication", "public domain software", "public domain work"],
+    "qpl": ["qpl 1 0"],
+    "ruby": ["same terms as ruby(?: itself)?"],
+    "sspl": ["sspl 1 0", "ssplv1"],
+    "unlicense": ["unencumbered software released into the public domain"],
+    "upl": ["upl 1 0", _TO_ANY + " obtaining a copy of this software associated documentation"],
+    "w3c": ["w3c software notice", "w3c 2015(?:0513)?", "w3c 19980720"],
+    "wtfpl": ["wtfpl", "just do what the f\\S+ you want to"],
+    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications", "altered source versions must be plainly marked as such"],
+    "zpl": ["zpl (?:1 1|2 [01])"],
+}
 _VERSION = "(?: v?(?:version )?v?\\d+(?: \\d+)*)"
 _LICENSE = "licen[cs]e"
 #: priority, regex around a name. A higher priority suppresses what lies within its interval.
@@ -94,7 +165,7 @@ _PRIORITIES = (1, 2, 3)
 
 
 def rules() -> dict[str, list[tuple[str, str, int]]]:
-    """keyword: (label, anchored regex, priority), from every name in every template."""
+    """keyword: (label, anchored regex, priority), from every name in every template and from every wording."""
     found: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
     for label, names in NAMES.items():
         for name in names:
@@ -103,13 +174,17 @@ def rules() -> dict[str, list[tuple[str, str, int]]]:
                 words = ["licensed", "licenced"] if regex.startswith("licen[cs]ed") else [regex.split(" ")[0].split("(")[0]]
                 for word in words:
                     found[word].append((label, f"^{regex} ", priority))
+    for label, wordings in WORDINGS.items():
+        for regex in wordings:
+            found[regex.split(" ")[0].split("(")[0]].append((label, f"^{regex} ", 3 if regex.count(" ") > 4 else 2))
     return dict(found)
 
 
 #: Words of context that a rule sees; the longest rule has fewer.
 _CONTEXT = 24
-#: Every template and every base phrase holds one of these; a text without any has no hit.
-_TERM = r"(?i)licen[cs]e|version|released|distributed|(?<![a-z0-9])v[0-9]"
+#: Every template and every base phrase holds one of the first, every wording starts with one of the last; a text without any has no hit.
+_STARTS = sorted({w.split(" ")[0].split("(")[0] for own in WORDINGS.values() for w in own})
+_TERM = r"(?i)licen[cs]e|version|released|distributed|(?<![a-z0-9])(?:v[0-9]|(?:" + "|".join(_STARTS) + r")(?![a-z0-9]))"
 
 
 def _spaces(text: Column) -> Column:

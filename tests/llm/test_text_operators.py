@@ -168,6 +168,40 @@ def test_rules_are_hundreds_and_ordered():
         assert all(re.compile(rx) and rx.startswith(f"^{word[:3]}") for _, rx, _ in own)
 
 
+HEADERS = [
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("ncsa", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction'),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl", "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study"),
+    ("upl", "permission is hereby granted, free of charge, to any person obtaining a copy of this software, associated documentation and/or data"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"),
+    ("bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("public-domain", "The author has placed this file in the public domain; it is dedicated to the public domain."),
+    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential."),
+    ("artistic", "it under the same terms as Perl itself."), ("ruby", "under the same terms as Ruby."),
+    ("wtfpl", "0. You just DO WHAT THE FUCK YOU WANT TO."), ("w3c", "W3C Software Notice and License"),
+    *[(label, t) for label, own in {
+        "gpl": ["GPLv3", "licensed under GPLv3", "gplv2+", "GPL-2.0-or-later"], "lgpl": ["LGPLv2.1", "LGPL-3.0-only"], "agpl": ["AGPLv3", "AGPL-3.0"], "apache": ["Apache-2.0"],
+        "bsd": ["BSD-3-Clause", "0BSD"], "mpl": ["MPL-2.0", "MPLv2.0"], "epl": ["EPL-2.0"], "cddl": ["CDDL-1.0"], "cc0": ["CC0-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+        "cc-by-nc-nd": ["CC-BY-NC-ND-4.0"], "cc-by-nc-sa": ["CC-BY-NC-SA-3.0"], "cc-by-nd": ["CC-BY-ND-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cecill": ["CECILL-2.1"], "cpl": ["CPL-1.0"],
+        "ecl": ["ECL-2.0"], "elastic": ["Elastic-2.0"], "eupl": ["EUPL-1.2"], "fdl": ["GFDL-1.3"], "lppl": ["LPPL-1.3c"], "ms-pl": ["MS-PL"], "ms-rl": ["MS-RL"], "osl": ["OSL-3.0"],
+        "psf": ["PSF-2.0"], "qpl": ["QPL-1.0"], "sspl": ["SSPL-1.0"], "zpl": ["ZPL-2.1"], "afl": ["AFL-3.0"], "apsl": ["APSL-2.0"], "busl": ["BUSL-1.1"],
+    }.items() for t in own],
+    ("", "permission to leave, version nine, released on bail; a public square, subject to delay, the same terms"),
+]
+
+
+def test_headers_of_every_license(spark):
+    assert {x for label, _ in HEADERS for x in label.split(",") if x} == set(license_scan.NAMES) | set(license_scan.WORDINGS)
+    got = license_scan.scan(_docs(spark, [t for _, t in HEADERS])).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [label for label, _ in HEADERS]
+    assert [r.labels for r in got] == [_license_brute(t)[-1] for _, t in HEADERS]
+
+
 # BPE
 
 
