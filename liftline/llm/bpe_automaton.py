@@ -9,8 +9,12 @@ led. All arcs of one token lead to one state, so states are held by token, with
 the arcs they lost and what they are a copy of; whether a state has some arc
 follows from those.
 
-A pre-split word is encoded by following arcs whose labels spell it; at most
-one path reaches a place in a word, so one pass over the word finds it. The
+The driver compiles the automaton once into arrays: a trie of the tokens' bytes,
+and for every token its making, its parts and the arcs that gadgets took from
+it. The arrays are bounded by the model file and go to the tasks. A pre-split
+word is encoded by transitions over those arrays, many words at once: the
+longest arc from a place is tried first, then shorter ones, and a place from
+which none goes on is left for good, as at most one path reaches a place. The
 decoder emits the labels of the ids.
 
 Defined results: null text counts as empty (no tokens, empty text); every row
@@ -23,67 +27,44 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
-from tokenizers import Tokenizer
 
-from liftline.llm.common import table
+from liftline.llm.common import prepare, table
 
-#: Words whose encoding a task keeps; when full, it starts anew.
-WORDS_KEPT = 200_000
-#: Arcs of the final states that a task keeps once it has worked them out.
-ARCS_KEPT = 300_000
+#: Words whose encoding a task process keeps, the longest such word, and characters of text whose words are encoded together.
+WORDS_KEPT, WORD_KEPT, GROUP = 100_000, 64, 1 << 21
+#: Bytes of a word from which on it is encoded alone.
+LONG = 512
+#: Kinds of characters: white space is dropped, letters and others run on, a number stands alone; NEW is unknown to Python's tables.
+SPACE, LETTER, NUMBER, OTHER, NEW = 0, 1, 2, 3, 4
 
 
-#: Lower-case letters that newer Unicode tables have and Python's lack, as the library maps them.
-NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
-NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_NEWER = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
-
-
-def _letters(path: str) -> str:
-    """A class of letters as the library's splitter knows them. The regex module's Unicode tables are later ones: of letters that Python's tables lack, the splitter is asked."""
-    unknown = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
-    asked = regex.findall(r"\p{L}", unknown)
-    pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str("".join(f"a{c} " for c in asked))
-    whole = {a for _, (a, b) in pieces if b - a == 2}
-    runs: list[list[int]] = []
-    for k, c in enumerate(map(ord, asked)):
-        if 3 * k in whole:
-            continue
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return r"[\p{L}--[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]]" if runs else r"\p{L}"
-
-
-class Automaton:
+class Arcs:
     """States come in families, one for each token: (u, k) is where the arcs of u lead after the first k gadgets.
 
     ``lacks`` has, for (u, v), the gadget that took the arc v from the family of u; ``made`` the gadget that made a
     token; ``parts`` what it joins. A family begins as a copy of the state that its right part's arcs led to then.
     """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], base: list[str]):
-        self.vocab = vocab
+    def __init__(self, merges: Iterable[tuple[str, str]], base: Iterable[str]):
         self.made = dict.fromkeys(base, 0)
         self.parts: dict[str, tuple[str, str]] = {}
         self.lacks: dict[tuple[str, str], int] = {}
-        self.arcs: dict[tuple[str, str], bool] = {}  # of the final states, as far as asked for
         for k, (u, v) in enumerate(merges, 1):
             if u in self.made and v in self.made and self._has(u, v, k - 1):
                 self.lacks[u, v] = k
                 if u + v not in self.made:
                     self.made[u + v], self.parts[u + v] = k, (u, v)
-        self.n_gadgets = len(merges)
-        self.labels = {x[:k]: False for x in self.made for k in range(1, len(x))} | dict.fromkeys(self.made, True)  # False: only begins one
 
     def _has(self, family: str, token: str, k: int) -> bool:
         """Whether state (family, k) has an arc of the token. Copies made after the token had it if their original had; at its making it went beside the arcs of its left part."""
@@ -101,40 +82,185 @@ class Automaton:
                 return True
             token = self.parts[token][0]
 
-    def has(self, after: str, token: str) -> bool:
-        """Whether the token can follow another, once all merges are in."""
-        found = self.arcs.get((after, token))
-        if found is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            found = self.arcs[after, token] = self._has(after, token, self.n_gadgets)
-        return found
-
-    def path(self, word: str, end: str = "") -> list[str]:
-        """The labels of the path that spells the word's symbols, one for each character; the end mark belongs to the last symbol."""
-        n, labels, has = len(word), self.labels, self.has
-        label = [""] * (n + 1)  # of the arc by which the path reaches each place
-        start = [0] * (n + 1)
-        for i in range(n):
-            before = label[i]
-            if i and not before:
+
+class Automaton(NamedTuple):
+    """The compiled arcs. Tokens are numbers; trie nodes are numbered from the root, 0; -1 stands for none."""
+
+    children: np.ndarray  # node * 256 + byte, sorted
+    child: np.ndarray  # the node of each of those
+    inner: np.ndarray  # by node: the token that ends here within a word
+    final: np.ndarray  # by node: the token that ends here with the word
+    shorter: np.ndarray  # by node: the nearest node before it with an inner token
+    node: np.ndarray  # by token, and so are the next four
+    length: np.ndarray  # in bytes
+    made: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    lost: np.ndarray  # family * n + token of the arcs that gadgets took, sorted
+    taker: np.ndarray  # the gadget of each of those
+
+    @classmethod
+    def compile(cls, arcs: Arcs, number: dict[str, int], spelled: dict[str, bytes], ended: set[str], no_end: bool) -> Automaton:
+        n = max(number.values()) + 1
+        made, left, right, node, length = (np.full(n, -1, np.int32) for _ in range(5))
+        children: dict[int, int] = {}
+        inner, final, shorter = [-1], [-1], [-1]
+        for token in sorted(arcs.made, key=lambda x: len(spelled[x])):
+            i, at, last = number[token], 0, -1
+            for byte in spelled[token]:
+                if inner[at] >= 0:
+                    last = at
+                key = at * 256 + byte
+                if key not in children:
+                    children[key] = len(inner)
+                    inner.append(-1), final.append(-1), shorter.append(-1)
+                at = children[key]
+                shorter[at] = last
+            node[i], length[i], made[i] = at, len(spelled[token]), arcs.made[token]
+            if token in ended or no_end:
+                final[at] = i
+            if token not in ended:
+                inner[at] = i
+            if token in arcs.parts:
+                left[i], right[i] = (number[x] for x in arcs.parts[token])
+        keys = np.array(sorted(children), np.int64)
+        lost = {number[u] * n + number[v]: k for (u, v), k in arcs.lacks.items()}
+        lost_keys = np.array(sorted(lost), np.int64)
+        return cls(
+            keys, np.array([children[k] for k in keys.tolist()], np.int32), *(np.array(x, np.int32) for x in (inner, final, shorter)),
+            node, length, made, left, right, lost_keys, np.array([lost[k] for k in lost_keys.tolist()], np.int32),
+        )
+
+    def has(self, after: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token can follow another, once all merges are in: as Arcs._has, for many at once."""
+        out = np.ones(len(token), bool)
+        place, family, gadget = np.arange(len(token)), after.astype(np.int64), np.full(len(token), np.iinfo(np.int32).max)
+        token = token.astype(np.int64)
+        n = len(self.made)
+        while len(place):
+            born, begun = self.made[token], self.made[family]
+            older = gadget > born
+            taken = _look(self.lost, self.taker, family * n + token)
+            gone = older & (born < taken) & (taken <= gadget)
+            out[place[gone]] = False
+            copied = older & (begun > born)
+            gadget = np.where(copied, np.minimum(gadget, begun - 1), np.where(older, born, gadget))
+            family = np.where(copied, self.right[family], family)
+            token = np.where(copied, token, self.left[token])
+            stay = ~gone & (token >= 0)
+            place, family, token, gadget = place[stay], family[stay], token[stay], gadget[stay]
+        return out
+
+    def longest(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The longest token that stands at each start; one that reaches stop is a final one."""
+        best, node, live = np.full(len(start), -1, np.int32), np.zeros(len(start), np.int64), np.flatnonzero(start < stop)
+        at = start.copy()
+        while len(live):
+            found = _look(self.children, self.child, node[live] * 256 + data[at[live]])
+            live, found = live[found >= 0], found[found >= 0]
+            node[live] = found
+            at[live] += 1
+            whole = at[live] == stop[live]
+            token = np.where(whole, self.final[found], self.inner[found])
+            best[live] = np.where(token >= 0, token, best[live])
+            live = live[~whole]
+        return best
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, one after the other, and each word's number of tokens. Words are not empty."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        stops = np.cumsum([len(w) for w in words], dtype=np.int64)
+        begins = np.r_[0, stops[:-1]]
+        token_at, before = np.full(len(data) + 1, -1, np.int32), np.full(len(data), -1, np.int64)  # by place: the token from here, and where the token before it begins
+        dead = np.zeros(len(data) + 1, bool)
+        word, place, last = np.arange(len(words)), begins.copy(), np.full(len(words), -1, np.int64)  # last: where the path's last token begins
+        token = self.longest(data, place, stops)
+        while len(word):
+            stop = stops[word]
+            some = token >= 0
+            end = place + np.where(some, self.length[token], 0)
+            done = some & (end == stop)
+            fine = some & (done | ~dead[end])
+            asked = np.flatnonzero(fine & (last >= 0))
+            fine[asked] = self.has(token_at[last[asked]], token[asked])
+            token_at[place[fine]], before[place[fine]] = token[fine], last[fine]
+            back = ~some  # nothing goes on from here: its last token is tried shorter
+            dead[place[back]] = True
+            from_ = last[back]
+            lost = from_ < 0  # a word that the model cannot spell
+            popped = token_at[from_]
+            last = np.where(fine, place, last)
+            last[back] = np.where(lost, -1, before[from_])
+            token_at[from_[~lost]] = -1
+            place = np.where(fine, end, place)
+            place[back] = np.where(lost, place[back], from_)
+            tried = token.copy()
+            tried[back] = popped
+            shorter = self.shorter[self.node[tried]]
+            token = np.where(shorter >= 0, self.inner[shorter], -1).astype(np.int32)
+            go = np.flatnonzero(fine & ~done)
+            token[go] = self.longest(data, place[go], stop[go])
+            keep = ~(fine & done)
+            keep[np.flatnonzero(back)[lost]] = False
+            word, place, last, token = word[keep], place[keep], last[keep], token[keep]
+        token_at = token_at[:-1]
+        ends = np.r_[0, np.cumsum(token_at >= 0)]
+        return token_at[token_at >= 0], ends[stops] - ends[begins]
+
+
+    def path(self, word: bytes) -> list[int]:
+        """The tokens of one long word, as ``paths`` finds them: a place at a time, over dicts."""
+        child, lost = (dict(zip(k.tolist(), v.tolist(), strict=True)) for k, v in ((self.children, self.child), (self.lost, self.taker)))
+        inner, final, shorter, node, length, made, left, right = (x.tolist() for x in (self.inner, self.final, self.shorter, self.node, self.length, self.made, self.left, self.right))
+        n, size = len(made), len(word)
+
+        def has(family: int, token: int) -> bool:
+            gadget = 1 << 40
+            while token >= 0:
+                born = made[token]
+                if gadget > born:
+                    if born < lost.get(family * n + token, -1) <= gadget:
+                        return False
+                    if made[family] > born:
+                        gadget, family = min(gadget, made[family] - 1), right[family]
+                        continue
+                    gadget = born
+                token = left[token]
+            return True
+
+        def longest(at: int) -> int:
+            best, k = -1, 0
+            while at < size and (k := child.get(k * 256 + word[at], -1)) >= 0:
+                at += 1
+                token = final[k] if at == size else inner[k]
+                best = token if token >= 0 else best
+            return best
+
+        path: list[int] = []
+        dead = bytearray(size + 1)
+        at, token = 0, longest(0)
+        while at < size:
+            if token < 0:
+                if not path:
+                    return []
+                dead[at] = 1
+                token = path.pop()
+                at -= length[token]
+            elif not dead[at + length[token]] and (not path or has(path[-1], token)):
+                path.append(token)
+                at += length[token]
+                token = longest(at)
                 continue
-            for j in range(i + 1, n):
-                token = word[i:j]
-                whole = labels.get(token)
-                if whole is None:
-                    break
-                if whole and not label[j] and (not i or has(before, token)):
-                    label[j], start[j] = token, i
-            if not label[n]:
-                token = word[i:] + end
-                if labels.get(token) and (not i or has(before, token)):
-                    label[n], start[n] = token, i
-        out = []
-        while n:
-            out.append(label[n])
-            n = start[n]
-        return out[::-1]
+            k = shorter[node[token]]
+            token = inner[k] if k >= 0 else -1
+        return path
+
+
+def _look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(asked), -1, np.int32)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], -1)
 
 
 def byte_symbols() -> list[str]:
@@ -144,100 +270,186 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
-class Encoder(dict):
-    """word: (ids and labels, each joined by spaces, and their number). The model file's normalizer, splitter and special tokens are those of its kind: NFC, white space to one space, lower case by character, words by pattern."""
+def kinds(path: str) -> np.ndarray:
+    """The kind of every code point to the library's splitter: by Python's tables, and for those they lack, of which newer tables may say more, by asking it."""
+    from tokenizers import Tokenizer
+
+    of = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((NEW + OTHER if (c := unicodedata.category(chr(i))) == "Cn" else of.get(c[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+    for m in regex.finditer(r"\p{White_Space}", "".join(map(chr, range(0x3100)))):
+        out[m.start()] = SPACE
+    asked = np.flatnonzero(out >= NEW)
+    asked = asked[(asked < 0x40000) | (asked >= 0xE0000)]  # the planes between are empty in every version
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    with_letter = {a for _, (a, b) in split("".join(f"a{chr(c)} " for c in asked)) if b - a == 2}
+    doubled = {a for _, (a, b) in split("".join(f"{chr(c)}{chr(c)} " for c in asked)) if b - a == 2}
+    for k, c in enumerate(asked.tolist()):
+        out[c] = NEW + (LETTER if 3 * k in with_letter else OTHER if 3 * k in doubled else NUMBER)
+    return out
+
+
+class Encoder:
+    """The model file's automaton, normalizer, splitter and special tokens, which are those of its kind: NFC, white space to one space, lower case by character, words by pattern. The driver makes it; tasks get it."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.bytes = byte_symbols()
+        end = model["end_of_word_suffix"] or ""
+        symbols = byte_symbols()
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
-        base = [x for x in (*self.bytes, *(b + self.end for b in self.bytes)) if x in model["vocab"]]
-        self.automaton = Automaton(model["vocab"], merges, base)
+        base = {x: bytes([b]) for b in range(256) for x in (symbols[b], symbols[b] + end) if x in model["vocab"]}
+        arcs = Arcs(merges, base)
+        byte = {x: b for b, x in enumerate(symbols)}
+        ended = {x for x in arcs.made if end and x.endswith(end)}
+        spelled = {x: bytes(byte[c] for c in (x[: -len(end)] if x in ended else x)) for x in arcs.made}
+        self.automaton = Automaton.compile(arcs, model["vocab"], spelled, ended, not end)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.kind = kinds(path)
+        labels = {i: x for x, i in model["vocab"].items()} | {i: x for x, i in self.special.items()}
+        self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
+        self.normalizer = json.dumps(spec["normalizer"])
+        self._begin()
+
+    def _begin(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        self.ascii_words = regex.compile(pattern)
-        letters = _letters(path)
-        other = rf"(?:(?!{letters})[^\p{{White_Space}}\p{{N}}])+"
-        self.words = regex.compile(pattern.replace(r"[\p{L}]+", f"{letters}+").replace(r"[^\p{White_Space}\p{L}\p{N}]+", other), regex.V1)
-        self.label = {i: x for x, i in model["vocab"].items()} | {i: x for x, i in self.special.items()}
-
-    def __missing__(self, word: str) -> tuple[str, str, int]:
-        spelled = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode("utf-8")])
-        labels = self.automaton.path(spelled, self.end)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        vocab = self.automaton.vocab
-        self[word] = found = (" ".join([str(vocab[x]) for x in labels]), " ".join(labels), len(labels))
-        return found
-
-    def forget(self) -> None:
-        """Give back what was kept of words; a worker process lives on after a task."""
-        self.clear()
-        self.automaton.arcs.clear()
+        self.numerals = list(map(str, range(len(self.labels))))
+
+    def __getstate__(self) -> dict:
+        runs = np.flatnonzero(np.r_[True, self.kind[1:] != self.kind[:-1]])  # a few thousand
+        own = {k: v for k, v in self.__dict__.items() if k not in ("known", "special_split", "numerals")}
+        return own | {"kind": (runs.astype(np.int32), self.kind[runs])}
+
+    def __setstate__(self, state: dict) -> None:
+        runs, kind = state["kind"]
+        self.__dict__ |= state | {"kind": np.repeat(kind, np.diff(np.r_[runs, 0x110000]))}
+        self._begin()
+
+    @lru_cache(maxsize=1)  # noqa: B019
+    def _library(self):  # noqa: ANN202
+        from tokenizers import Tokenizer, models
+
+        whole = Tokenizer(models.BPE()).to_str()
+        return Tokenizer.from_str(json.dumps(json.loads(whole) | {"normalizer": json.loads(self.normalizer)})).normalizer
 
     def normalize(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return (text.translate(NEWER_LOWER) if _NEWER.search(text) else text).lower()
+        if (self.kind[_codes(text)] >= NEW).any():  # characters newer than Python's tables
+            return self._library().normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def find(self, text: str) -> list[str]:
-        """The words of a normalized text."""
-        return (self.ascii_words if text.isascii() else self.words).findall(text)
-
-    def split(self, text: str) -> Iterator[str]:
-        """The pre-split words, and special tokens as they are."""
-        if "<|" not in text:
-            yield from self.find(self.normalize(text))
-            return
-        for piece in self.special_split.split(text):
-            if piece in self.special:
-                yield piece
-            elif piece:
-                yield from self.find(self.normalize(piece))
-
-    def encode(self, text: str) -> tuple[list[str], list[str], int]:
-        """Ids and labels as lists of space-joined pieces, and the number of ids."""
-        if "<|" not in text:
-            found = [self[w] for w in self.find(self.normalize(text))]
-        else:
-            found = [(str(self.special[w]), w, 1) if w in self.special else self[w] for w in self.split(text)]
-        return [x[0] for x in found], [x[1] for x in found], sum(x[2] for x in found)
+        """The words of a normalized text: runs of letters, single numbers, runs of others, and contractions where a run of others is an apostrophe."""
+        if not text:
+            return []
+        kind = self.kind[_codes(text)] & 3
+        begins = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)]
+        if "'" in text:
+            starts = np.flatnonzero(begins)
+            ends = np.r_[starts[1:], len(text)]
+            alone = starts[(kind[starts] == OTHER) & (ends == starts + 1)]
+            for i in alone.tolist():
+                if text[i] == "'":
+                    size = 2 if text[i + 1 : i + 2] in ("s", "t", "m", "d") and i + 1 < len(text) else 3 if text[i + 1 : i + 3] in ("re", "ve", "ll") else 0
+                    if size:
+                        begins[i + 1 : i + size] = False
+                        if i + size < len(text):
+                            begins[i + size] = True
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(text)]
+        real = kind[starts] != SPACE
+        return [text[a:b] for a, b in zip(starts[real].tolist(), ends[real].tolist(), strict=True)]
+
+    def pieces(self, text: str) -> list[int | list[str]]:
+        """The pre-split words of what lies between special tokens, and the ids of those."""
+        if not any(s in text for s in self.special):
+            return [self.find(self.normalize(text))]
+        return [self.special[x] if x in self.special else self.find(self.normalize(x)) for x in self.special_split.split(text) if x]
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Encode the words that are not known yet; returns those too long to be kept."""
+        new = sorted(words.difference(self.known))
+        if new:
+            if len(self.known) + len(new) > WORDS_KEPT:
+                for w in list(islice(self.known, len(self.known) // 2)):
+                    if w not in words:
+                        del self.known[w]
+            spelled = {w: w.encode("utf-8") for w in new}
+            short = [w for w, b in spelled.items() if len(b) <= LONG]
+            tokens, counts = self.automaton.paths([spelled[w] for w in short])
+            tokens, ends = tokens.tolist(), np.cumsum(counts)
+            for w, b, n in zip(short, ends.tolist(), counts.tolist(), strict=True):
+                self.known[w] = tuple(tokens[b - n : b])
+            for w in new:
+                if w not in self.known:
+                    self.known[w] = tuple(self.automaton.path(spelled[w]))
+        return [w for w in new if len(w) > WORD_KEPT]
+
+    def _groups(self, texts: list[str | None]) -> Iterator[list[tuple[list, bool]]]:
+        """Pieces of about GROUP characters of text, and whether they end a text. A longer text is cut before a space; no word or composed letter goes across one."""
+        held: list[tuple[list, bool]] = []
+        size = 0
+        for text in texts:
+            at, n = 0, len(text or "")
+            while True:
+                end = n if n - at <= GROUP else text.find(" ", at + GROUP)
+                end = n if end < 0 else end
+                held.append((self.pieces(text[at:end]) if n else [], end == n))
+                size += end - at
+                if size >= GROUP:
+                    yield held
+                    held, size = [], 0
+                if end == n:
+                    break
+                at = end
+        if held:
+            yield held
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text; the words of a group are encoded together."""
+        ids: list[int] = []
+        for held in self._groups(texts):
+            long = self._learn({w for own, _ in held for p in own if isinstance(p, list) for w in p})
+            for own, ends in held:
+                for p in own:
+                    ids.extend(chain.from_iterable(map(self.known.__getitem__, p)) if isinstance(p, list) else (p,))
+                if ends:
+                    yield ids
+                    ids = []
+            for w in long:
+                del self.known[w]
 
     def decode(self, ids: list[int]) -> str:
-        """Without a decoder in the model file, labels are joined by spaces."""
-        return " ".join(self.label[i] for i in ids)
+        """The labels of the ids. Without a decoder in the model file, they are joined by spaces."""
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each task process."""
+    """Compiled once by the driver."""
     return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>."""
+    prepare(docs.sparkSession)
+    e = encoder(path)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for batch in batches:
-            ids = [[int(i) for i in " ".join(e.encode(t or "")[0]).split()] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-        e.forget()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(e.encode(batch.column(1).to_pylist())), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, text: the labels of the ids."""
+    prepare(tokens.sparkSession)
+    e = encoder(path)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -245,19 +457,18 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: a text's ids are encoded, decoded and hashed in one pass over it."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: a text is encoded to ids, these are decoded, and both are hashed in one pass."""
+    prepare(docs.sparkSession)
+    e = encoder(path)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids, labels, count = e.encode(t or "")
-                n.append(count)
-                ids_hash.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(" ".join(labels).encode("utf-8")).hexdigest())
+            for ids in e.encode(batch.column(1).to_pylist()):
+                n.append(len(ids))
+                ids_hash.append(hashlib.sha256(" ".join(map(e.numerals.__getitem__, ids)).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(e.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        e.forget()
 
     return docs.select("doc_id", "text").mapInArrow(apply, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
@@ -273,3 +484,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_bpe_automaton": op10_bpe_automaton}
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")

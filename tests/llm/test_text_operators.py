@@ -211,19 +211,59 @@ def tools():
     return bpe_automaton.Encoder(path), Tokenizer.from_file(path)
 
 
+def _agree(tools, texts):
+    ours, library = tools
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == want, text[:80]
+        assert ours.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("aeinrst'lldve <|endoftext|>ÉßİΣς́\x85\u2028😀中½"), st.characters(exclude_categories=["Cs"])), max_size=30))
-def test_bpe_agrees_with_the_library(tools, text):
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aeinrst'lldve <|endoftext|>ÉßİΣς\u0301\x85\u2028😀中½\U00012550"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=4))
+def test_bpe_agrees_with_the_library(tools, texts):
+    _agree(tools, texts)
+
+
+def test_every_code_point_is_of_the_splitters_kind(tools):
+    ours, library = tools
+    split = library.pre_tokenizer.pre_tokenize_str
+    for low in range(0, 0x110000, 0x10000):
+        codes = [c for c in range(low, low + 0x10000) if not 0xD800 <= c < 0xE000]
+        with_letter = {a for _, (a, b) in split("".join(f"a{chr(c)} " for c in codes)) if b - a == 2}
+        pieces = split("".join(f"{chr(c)}{chr(c)} " for c in codes))
+        doubled, some = {a for _, (a, b) in pieces if b - a == 2}, {a for _, (a, b) in pieces if b - a == 1}
+        for k, c in enumerate(codes):
+            want = bpe_automaton.LETTER if 3 * k in with_letter else bpe_automaton.OTHER if 3 * k in doubled else bpe_automaton.NUMBER if 3 * k in some else bpe_automaton.SPACE
+            assert ours.kind[c] & 3 == want, hex(c)
+
+
+def test_every_code_point_is_normalized_as_the_library_does(tools):
     ours, library = tools
-    ids, labels, n = ours.encode(text)
-    want = library.encode(text, add_special_tokens=False).ids
-    assert [int(i) for i in " ".join(ids).split()] == want and n == len(want)
-    assert " ".join(labels) == library.decode(want, skip_special_tokens=False) == ours.decode(want)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and not 0x40000 <= c < 0xE0000:
+            x = chr(c)
+            assert "".join(ours.normalize(f"a{x}").split()) == "".join(library.normalizer.normalize_str(f"a{x}").split()), hex(c)
+
+
+def test_words_long_and_short_and_texts_in_groups(tools, monkeypatch):
+    ours, _ = tools
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aeiouthnrslédc中"), n)) for n in (1, 3, 700, 513, 200, 40, 5000)]
+    for w in words:
+        b = w.encode()
+        assert ours.automaton.path(b) == ours.automaton.paths([b])[0].tolist()
+    _agree(tools, [*words, "x" * 3000, " ".join(words)])
+    monkeypatch.setattr(bpe_automaton, "GROUP", 50)
+    monkeypatch.setattr(bpe_automaton, "WORDS_KEPT", 20)
+    _agree(tools, [" ".join(words[:2] * 40), "", " \u0301 a\u0301 " * 60, "don't 's'll''s !'s '", "a <|endoftext|> b " * 20])
 
 
 def test_automaton_of_a_small_model():
     merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("b", "aa")]
-    auto = bpe_automaton.Automaton({}, merges, ["a", "b"])
+    arcs = bpe_automaton.Arcs(merges, ["a", "b"])
+    number = {x: i for i, x in enumerate(arcs.made)}
+    auto = bpe_automaton.Automaton.compile(arcs, number, {x: x.encode() for x in number}, set(), True)
 
     def plain(word):
         parts = list(word)
@@ -239,10 +279,12 @@ def test_automaton_of_a_small_model():
             parts = out
         return parts
 
-    for n in range(1, 11):
-        for k in range(1 << n):
-            word = "".join("ab"[(k >> i) & 1] for i in range(n))
-            assert auto.path(word) == plain(word), word
+    words = ["".join("ab"[(k >> i) & 1] for i in range(n)) for n in range(1, 11) for k in range(1 << n)]
+    tokens, counts = auto.paths([w.encode() for w in words])
+    names, at = list(number), 0
+    for w, n in zip(words, counts, strict=True):
+        assert [names[i] for i in tokens[at : at + n]] == plain(w) == [names[i] for i in auto.path(w.encode())], w
+        at += n
 
 
 def test_bpe_query_and_round_trip(spark, small, tools):
