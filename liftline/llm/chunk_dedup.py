@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import row_key, table
-from liftline.llm.spans import cut, digest_columns, gather
+from liftline.llm.common import prepare, row_key, table
+from liftline.llm.spans import cut, digest_columns, gather, sizes, whole_blobs
 
 RADIUS = 24
 MIN_BYTES = 24
@@ -98,12 +98,12 @@ def _firsts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SENT = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _gone(c: np.ndarray, whole: bool) -> pa.RecordBatch:
+def _gone(c: np.ndarray, buckets: int = 0) -> pa.RecordBatch:
     start = c["start"]
     columns = [pa.array(c["rid"]), pa.array(start), pa.array(start + c["size"])]
-    if not whole:
+    if not buckets:
         return pa.RecordBatch.from_arrays(columns, ["rid", "start", "end"])
-    bucket = (c["rid"] % (1 << 20)).astype(np.int32)
+    bucket = (c["rid"] % buckets).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(c), pa.binary()), *columns], schema=_SENT)
 
 
@@ -111,15 +111,14 @@ def _send(buckets: int):  # noqa: ANN202
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         first, gone = _firsts(np.array(held, _CHUNK))
         if len(gone):
-            yield _gone(gone, True)
+            yield _gone(gone, buckets)
         bucket = (first["low"] % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((first["start"], first["rid"], bucket))  # texts together, which packs better
         first, bucket = first[order], bucket[order]
-        cuts = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
-        own = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        blobs = [b"".join(np.ascontiguousarray(first[f][cuts[k] : cuts[k + 1]]).tobytes() for f in _CHUNK.names) for k in own]
-        empty = pa.nulls(len(own), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary()), empty, empty.cast(pa.int32()), empty.cast(pa.int32())], schema=_SENT)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = [b"".join(np.ascontiguousarray(first[f][i:j]).tobytes() for f in _CHUNK.names) for i, j in zip(edge, [*edge[1:], len(first)], strict=True)]
+        empty = pa.nulls(len(edge), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary()), empty, empty.cast(pa.int32()), empty.cast(pa.int32())], schema=_SENT)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -146,24 +145,24 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for batch in batches:
-        settled = batch.filter(batch.column(2).is_valid())
-        if settled.num_rows:
-            yield pa.RecordBatch.from_arrays([settled.column(i) for i in (2, 3, 4)], ["rid", "start", "end"])
-        held += [_unpack(x) for x in batch.column(1).to_pylist() if x is not None]
-    if held:
-        yield _gone(_firsts(np.concatenate(held))[1], False)
+    """Rows sorted by bucket -> rid, start, end of the chunks that go. One bucket is held at a time."""
+    for rows in whole_blobs(batches):
+        settled = [x[1:] for x in rows if x[0] is None]
+        if settled:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*settled, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["rid", "start", "end"])
+        blobs = [_unpack(x[0]) for x in rows if x[0] is not None]
+        if blobs:
+            yield _gone(_firsts(np.concatenate(blobs))[1])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """rid (row_key), starts, ends: the chunks that stand earlier too, written to the shared folder."""
+    prepare(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select(row_key().alias("rid"), "doc_id", "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // _BUCKET_BYTES))
+    buckets, parts = sizes(docs, _BUCKET_BYTES)
     sent = keyed.mapInArrow(_send(buckets), "bucket int, chunks binary, rid bigint, start int, end int")
-    gone = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, start int, end int")
-    return gather(gone, buckets)
+    gone = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "rid bigint, start int, end int")
+    return gather(gone, parts)
 
 
 def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:

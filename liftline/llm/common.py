@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from liftline.session import ship
 
 
-#: Rows of a batch that goes to Python: of texts, which may be long, and of packed blocks. They stand in for a bound in bytes.
-TEXTS, BLOCKS = 1000, 64
+#: Rows and bytes of a batch that goes to Python; the same for every operator, as a plan reads them when it runs.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
-def prepare(spark: SparkSession, rows: int = TEXTS) -> None:
+def prepare(spark: SparkSession) -> None:
     """Send the package to the executors and bound the batches that Python gets."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="liftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,3 +49,12 @@ def materialise(df: DataFrame) -> DataFrame:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits over id and text: rows that repeat an id with another text stay apart, equal rows agree."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def whole(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns as one struct, which no name of an operator's own can clash with."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns))
+
+
+def unpacked(struct: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{struct}.`{c}`") for c in columns]

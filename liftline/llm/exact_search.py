@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import BLOCKS, materialise, prepare, table
+from liftline.llm.common import materialise, prepare, table
 from liftline.llm.vectors import BLOCK, BLOCK_ARROW, best, from_block, held, of_rows, ranked, to_block, usable
 
 TOP, SCALE, EVERY = 5, 256, 50
@@ -140,7 +140,7 @@ def _verify(k: int):  # noqa: ANN202
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of both tables' (vec_id, embedding) rows."""
-    prepare(vectors.sparkSession, BLOCKS)
+    prepare(vectors.sparkSession)
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.floor(x.cast("double") * SCALE).cast("double") * F.floor(x.cast("double") * SCALE).cast("double"))
     fine = vectors.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", "embedding", (-norm).alias("shortness"))
     asked = queries.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", "embedding")

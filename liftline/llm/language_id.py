@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import table
+from liftline.llm.common import prepare, table, unpacked, whole
 
 UNKNOWN = "und"
 #: Components of a vector.
@@ -135,10 +135,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Prototypes from (lang, text) rows. The driver gets one vector per language and merging task, never rows."""
+    prepare(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()
     if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 11) < F.lit(int(train_rows / n * (1 << 53))))
     partial = rows.select("lang", "text").mapInArrow(_partial, "lang string, vector array<bigint>")
     sums: dict[str, np.ndarray] = {}
     for lang, vector in partial.repartition(8).mapInArrow(_merge, "lang string, vector array<bigint>").collect():
@@ -146,14 +147,15 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.nda
     return {x: v / np.linalg.norm(v) for x, v in sorted(sums.items()) if v.any()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """The kept columns with lang_pred and score; the text is the column ``text``."""
+def judged(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
+    """kept_row (a struct of the columns), lang_pred and score; the text is the column ``text``."""
+    prepare(docs.sparkSession)
     names = list(prototypes)
     matrix = np.array(list(prototypes.values())).T if names else np.zeros((DIM, 0))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("liftline_text")).to_pylist()
+            texts = batch.column(1).to_pylist()
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             carried: dict[int, np.ndarray] = {}
             for rows, grams, owner in _groups(texts) if names else ():
@@ -164,11 +166,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                 done = [i for i in carried if i != last]
                 _judge(done, carried, matrix, names, best, score)
             _judge(list(carried), carried, matrix, names, best, score)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], ["kept_row", "lang_pred", "score"])
+
+    rows = docs.select(whole(docs, columns).alias("kept_row"), F.col("text").alias("whole_text"))
+    return rows.mapInArrow(apply, rows.select("kept_row").schema.add("lang_pred", "string").add("score", "double"))
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("liftline_text")).mapInArrow(apply, schema)
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+    """The kept columns with lang_pred and score."""
+    return judged(docs, prototypes, keep).select(*unpacked("kept_row", keep), "lang_pred", "score")
 
 
 def _judge(rows: list[int], carried: dict[int, np.ndarray], matrix: np.ndarray, names: list[str], best: list[str], score: np.ndarray) -> None:

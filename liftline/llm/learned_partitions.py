@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import BLOCKS, materialise, prepare, table
+from liftline.llm.common import materialise, prepare, table
 from liftline.llm.vectors import best, from_block, held, of_rows, ranked, to_block, usable
 
 TOP, EVERY = 20, 20
@@ -189,7 +189,7 @@ def _score(k: int):  # noqa: ANN202
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of both tables' (vec_id, embedding) rows."""
     spark = vectors.sparkSession
-    prepare(spark, BLOCKS)
+    prepare(spark)
     zero = F.exists("embedding", lambda x: x != 0)
     fine, asked = (t.where(F.col("vec_id").isNotNull() & usable() & zero).select("vec_id", "embedding") for t in (vectors, queries))
     sample: dict[int, np.ndarray] = {}

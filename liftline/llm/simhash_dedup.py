@@ -9,7 +9,7 @@ anchor within the radius and visits all anchors within radius plus one, so two
 that match in a block meet at the home of each. At an anchor its home
 fingerprints are compared with all its visitors, and only a forest of the
 links found there leaves the task, never all pairs. Equal fingerprints are one
-class from the start, led by their smallest doc_id.
+class from the start, named by its smallest doc_id.
 
 In ``similar`` a class is a text, not a fingerprint, and links are pairs of
 texts whose sets of 5-word shingles (their 64-bit hashes) have a Jaccard
@@ -27,9 +27,10 @@ have not joined yet is decided.
 
 Defined results: null text or text without words has fingerprint zero and is
 linked like any other; a text with fewer words than a shingle is one shingle;
-a row with null doc_id gets a fingerprint and, if documents share it, their
-component, else a null one; rows that repeat a doc_id are one node; an empty
-table gives no rows. Extra columns are ignored. The fingerprints at one anchor
+a row with null doc_id is linked too, and its component is null only if no
+document is in it (in ``similar`` its component is that of documents with its
+text, else null); rows that repeat a doc_id are one document; an empty table
+gives no rows. Extra columns are ignored. The fingerprints at one anchor
 are compared by one task: their number is that of distinct fingerprints within
 two bits of the anchor in a block, whatever the number of documents, and in
 ``similar`` of the distinct texts that share its min-hashes too.
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise, table
+from liftline.llm.common import materialise, prepare, table
 from liftline.llm.components import stars
 
 SEED, BITS = 42, 64
@@ -331,17 +332,22 @@ def _classes(led: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
+    """doc_id, fp, component_id for every row. Links are between fingerprints, so rows with null doc_id link like others."""
+    prepare(docs.sparkSession)
     prints = materialise(fingerprints(docs, words))
-    led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead")))
-    copies = led.select("fp", "lead").mapInArrow(_replicate(distance), "anchor bigint, fp bigint, lead bigint, home boolean")
-    edges = _sorted(copies).mapInArrow(_compare(distance), "node bigint, root bigint")
-    return prints.join(_classes(led, edges), "node", "left").select("doc_id", "fp", "component_id")
+    led = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")))
+    copies = led.select("fp", F.col("fp").alias("lead")).mapInArrow(_replicate(distance), "anchor bigint, fp bigint, lead bigint, home boolean")
+    links = stars(_sorted(copies).mapInArrow(_compare(distance), "node bigint, root bigint"))
+    joined = led.join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("lead").alias("component_id"))
+    return prints.join(joined.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def similar(docs: DataFrame, settings: dict | None = None) -> DataFrame:
     """doc_id, component_id for every row: links are pairs of texts whose sets of shingles are that similar."""
     s = settings or SIMILAR
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     prints = materialise(set_fingerprints(docs, s["words"]))
     led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead"), F.min("keys").alias("keys")))
     copies = led.select("fp", "lead", "keys").mapInArrow(_replicate_bands, "anchor bigint, fp bigint, lead bigint, home boolean")

@@ -8,10 +8,11 @@ position in [0, 1]; the result is range-sorted by position.
 
 Defined results: null text or a text of white space has size 0 and takes 0
 words; a null source is a source of its own, after all others; repeated rows
-are rows of their own; ties in the hash order fall to doc_id, then size (rows
-that still tie are equal in all that counts here); a null doc_id hashes as the
-empty string; an empty table gives no rows. Other columns are carried along, but for those named
-like a result of this operator, which are replaced.
+are rows of their own; ties in the hash order, which is of doc_id and text, fall
+to doc_id, then size (rows that still tie are equal in all that counts here);
+nulls are left out of the hash; an empty table gives no rows. Other columns are
+carried along, but for those named like a result of this operator, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise, table
+from liftline.llm.common import materialise, table, unpacked, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -29,7 +30,7 @@ SHARE, CAP = 1.5, 2.0
 #: Slopes of the weight schedules 1 + a * (2t - 1), by source: early, even, late.
 SLOPES = (-0.8, 0.0, 0.8)
 #: Documents in one piece of a source's prefix sum.
-PIECE = 4096
+PIECE = 1024
 _HASH_DIGITS = 13  # hex digits: 52 bits, exact as a double
 
 
@@ -62,37 +63,47 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / F.when(slope == 0, F.lit(1.0)).otherwise(2 * slope))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The columns of docs with mix_size, source_size, target, taken, position; range-sorted by position.
+RESULTS = ["mix_size", "source_size", "target", "taken", "position"]
+
+
+def placed(docs: DataFrame, columns: list[str], weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """kept_row (a struct of the columns) with mix_size, source_size, target, taken, position; range-sorted by position.
 
     taken: words that the mix takes of the document, whole passes first, then the rest of the target in hash
     order, so that a source's sum is its target rounded down. A prefix sum over a source, however large, is made of
     pieces of about PIECE documents and of one row per piece. The document is due at the middle of its first copy.
     """
-    docs = docs.drop("source_size", "target", "taken", "position", "mix_size", "mix_key", "mix_hash", "mix_piece")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # null after all others
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.withColumns({"mix_size": size, "mix_key": key, "mix_hash": F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long")})
-    plan = targets(materialise(sized.groupBy(F.col("mix_key").alias("skey")).agg(F.sum("mix_size").alias("source_size"))), weights, share, cap)
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text").cast("binary"))
     n_pieces = max(1, -(-docs.count() // PIECE))
+    sized = docs.select(whole(docs, columns).alias("kept_row"), F.col("doc_id").alias("mix_id"), size.alias("mix_size"), key.alias("mix_key"), F.conv(F.substring(digest, 1, _HASH_DIGITS), 16, 10).cast("long").alias("mix_hash"))
     sized = sized.withColumn("mix_piece", F.floor(F.col("mix_hash") * F.lit(n_pieces / 16.0**_HASH_DIGITS)))
-    pieces = sized.groupBy("mix_key", "mix_piece").agg(F.sum("mix_size").alias("mix_sum"))
+    if "text" not in columns:  # narrow rows: the texts are read and counted once
+        sized = materialise(sized)
+    pieces = materialise(sized.groupBy("mix_key", "mix_piece").agg(F.sum("mix_size").alias("mix_sum")))
+    plan = targets(pieces.groupBy(F.col("mix_key").alias("skey")).agg(F.sum("mix_sum").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("mix_key").orderBy("mix_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(before), F.lit(0).cast("long"))).drop("mix_sum")
     pieces = pieces.join(plan.select(F.col("skey").alias("mix_key"), "source_size", "target", F.col("slope").alias("mix_slope")), "mix_key")
-    inner = Window.partitionBy("mix_key", "mix_piece").orderBy("mix_hash", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(pieces, ["mix_key", "mix_piece"]).withColumn("mix_at", F.col("mix_before") + F.coalesce(F.sum("mix_size").over(inner), F.lit(0).cast("long")))
+    inner = Window.partitionBy("mix_key", "mix_piece").orderBy("mix_hash", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.join(pieces, ["mix_key", "mix_piece"]).withColumn("mix_at", F.col("mix_before") + F.coalesce(F.sum("mix_size").over(inner), F.lit(0).cast("long")))
     goal, passes = F.floor("target"), F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = goal - passes * F.col("source_size")
-    placed = placed.withColumn("taken", (passes * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), left - F.col("mix_at")))).cast("long"))
+    rows = rows.withColumn("taken", (passes * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), left - F.col("mix_at")))).cast("long"))
     due = (F.col("mix_at") + F.least("mix_size", "taken") / 2.0) / F.when(goal > 0, goal)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.least(due, F.lit(1.0)), F.col("mix_slope"))))
-    return placed.select(*docs.columns, "mix_size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(F.least(due, F.lit(1.0)), F.col("mix_slope"))))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "mix_id").select("kept_row", *RESULTS)
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all, if not said), but for those named like a result, with the results of ``placed``."""
+    keep = [c for c in keep or docs.columns if c not in RESULTS]
+    return placed(docs, keep, weights, share, cap).select(*unpacked("kept_row", keep), *RESULTS)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken", "position")
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).withColumnRenamed("mix_size", "size")
 
 
 QUERIES = {"op7_source_mixing": op7_source_mixing}
@@ -106,7 +117,7 @@ ORACLES = {
     "op7_source_mixing": f"""
 WITH sized AS (
     SELECT doc_id, coalesce('=' || source, '~') AS skey, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-           substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {_HASH_DIGITS}) AS h
+           substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, {_HASH_DIGITS}) AS h
     FROM documents
 ), src AS (
     SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS r FROM sized GROUP BY skey

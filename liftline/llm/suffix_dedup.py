@@ -38,15 +38,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise, row_key, table
-from liftline.llm.spans import by_text, cut, digest_columns, gather
+from liftline.llm.common import materialise, prepare, row_key, table
+from liftline.llm.spans import by_text, cut, cut_texts, digest_columns, gather, sizes, whole_blobs, whole_keys
 
 MIN_BYTES = 50
 GRAM = 20
-#: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments.
-_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK = 1 << 20, 800_000, 8 << 20, 1 << 18
+#: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments; segments held before they are sent.
+_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK, _PLACES = 1 << 19, 800_000, 2 << 20, 1 << 18, 100_000
 _POS = np.uint64((1 << 24) - 1)
-_PLACES, _LAST = 200_000, np.iinfo(np.int64).max
+_LAST = np.iinfo(np.int64).max
 _PIECE = 1 << 23  # a longer text is hashed in pieces of so many windows
 
 
@@ -145,20 +145,15 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
         return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    """The upper 48 bits; that two anchors agree in those by chance costs a comparison, not a result."""
-    return (h >> np.uint64(32)).astype(np.uint32).tobytes() + (h >> np.uint64(16)).astype(np.uint16).tobytes()
+def _tops(h: np.ndarray) -> bytes:
+    """The upper 32 bits; that two anchors of a bucket agree in those by chance costs a comparison, not a result."""
+    return (h >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
 
 
-def _unpack48(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, np.uint16, n, 4 * n)
-
-
 #: rid and ords: anchors (by ordinal) that matter. Else a bucket's blob: hashes and ordinals, with rids and their runs' lengths, and the hashes already known to be shared.
 _SENT = "bucket int, rid bigint, ords array<int>, hashes binary, numbers binary, rids binary, lengths binary, known binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("ords", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("hashes", "numbers", "rids", "lengths", "known"))])
@@ -188,14 +183,15 @@ def _send(buckets: int, least: int, gram: int):  # noqa: ANN202
                 add(bucket=r % buckets, rid=r, ords=number[at[i:j]].astype(np.int32))
         at = np.flatnonzero(~mine)
         b, kb = _bucket(h[at], buckets), _bucket(known, buckets)
-        at, known = at[np.argsort(b, kind="stable")], known[np.argsort(kb, kind="stable")]
-        cuts, kcuts = (np.r_[0, np.cumsum(np.bincount(x, minlength=buckets))] for x in (b, kb))
-        for k in range(buckets):
-            own, seen = at[cuts[k] : cuts[k + 1]], known[kcuts[k] : kcuts[k + 1]]
-            if len(own) or len(seen):
-                r = rid[own]
-                edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-                add(bucket=k, hashes=_pack48(h[own]), numbers=_pack(number[own].astype(np.int32)), rids=r[edge].tobytes(), lengths=_pack(np.diff(np.r_[edge, len(r)]).astype(np.int32)), known=_pack48(seen))
+        order, korder = np.argsort(b, kind="stable"), np.argsort(kb, kind="stable")
+        at, b, known, kb = at[order], b[order], known[korder], kb[korder]
+        used = np.union1d(b, kb)
+        edges = [np.searchsorted(x, used, side) for x in (b, kb) for side in ("left", "right")]
+        for k, i, j, ki, kj in zip(used.tolist(), *(e.tolist() for e in edges), strict=True):
+            own = at[i:j]
+            r = rid[own]
+            edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+            add(bucket=k, hashes=_tops(h[own]), numbers=_pack(number[own].astype(np.int32)), rids=r[edge].tobytes(), lengths=_pack(np.diff(np.r_[edge, len(r)]).astype(np.int32)), known=_tops(known[ki:kj]))
         yield pa.RecordBatch.from_pydict(rows, _SENT_ARROW)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,48 +212,38 @@ def _send(buckets: int, least: int, gram: int):  # noqa: ANN202
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's buckets -> rid, ord: which of the sent anchors other documents hold too."""
-    h, rid, number, known = [], [], [], []
-    for batch in batches:
-        col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-        settled = batch.filter(col["rid"].is_valid())
-        if settled.num_rows:
-            ords = settled.column("ords")
-            yield pa.RecordBatch.from_arrays([settled.column("rid").take(pa.compute.list_parent_indices(ords)), pa.compute.list_flatten(ords)], ["rid", "ord"])
-        for a, b, c, d, e in zip(*(col[x].to_pylist() for x in ("hashes", "numbers", "rids", "lengths", "known")), strict=True):
-            if a is not None:
-                h.append(_unpack48(a))
-                number.append(np.frombuffer(zstandard.decompress(b), np.int32))
-                rid.append(np.repeat(np.frombuffer(c, np.int64), np.frombuffer(zstandard.decompress(d), np.int32)))
-                known.append(_unpack48(e))
-    if not h:
-        return
-    h, rid, number, known = (np.concatenate(x) for x in (h, rid, number, known))
-    if not len(h):
-        return
-    order = np.argsort(h, kind="stable")
-    hs, rs = h[order], rid[order]
-    first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-    shared = (np.minimum.reduceat(rs, first) != np.maximum.reduceat(rs, first)) | np.isin(hs[first], known)
-    at = order[np.repeat(shared, np.diff(np.r_[first, len(hs)]))]
-    yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(number[at])], ["rid", "ord"])
+    """Rows sorted by bucket -> rid, ord: which of the sent anchors other documents hold too. One bucket is held at a time."""
+    for rows in whole_blobs(batches):
+        settled = [(r, ords) for r, ords, *_ in rows if ords is not None]
+        if settled:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r for r, _ in settled], [len(o) for _, o in settled])), pa.array(np.concatenate([np.array(o, np.int32) for _, o in settled]))], ["rid", "ord"])
+        sent = [x[2:] for x in rows if x[1] is None]
+        if not sent:
+            continue
+        h = np.concatenate([np.frombuffer(x[0], np.uint32) for x in sent])
+        number = np.concatenate([np.frombuffer(zstandard.decompress(x[1]), np.int32) for x in sent])
+        rid = np.concatenate([np.repeat(np.frombuffer(x[2], np.int64), np.frombuffer(zstandard.decompress(x[3]), np.int32)) for x in sent])
+        known = np.concatenate([np.frombuffer(x[4], np.uint32) for x in sent])
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")
+        hs, rs = h[order], rid[order]
+        first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+        shared = (np.minimum.reduceat(rs, first) != np.maximum.reduceat(rs, first)) | np.isin(hs[first], known)
+        at = order[np.repeat(shared, np.diff(np.r_[first, len(hs)]))]
+        yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(number[at])], ["rid", "ord"])
 
 
 def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows of rid, ord -> rid, bits: a text's anchors that matter as a bit set."""
-    held = [(np.array(b.column(0)), np.array(b.column(1))) for b in batches if b.num_rows]
-    if not held:
-        return
-    rid, number = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.argsort(rid)
-    rid, number = rid[order], number[order]
-    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)]
-    bits = []
-    for i, j in zip(edge[:-1], edge[1:], strict=True):
-        flags = np.zeros(int(number[i:j].max()) + 1, np.uint8)
-        flags[number[i:j]] = 1
-        bits.append(np.packbits(flags).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(rid[edge[:-1]]), pa.array(bits, pa.binary())], ["rid", "bits"])
+    """Rows of rid, ord, sorted by rid -> rid, bits: a text's anchors that matter as a bit set."""
+    for rid, number in whole_keys(batches):
+        edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)]
+        bits = []
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            flags = np.zeros(int(number[i:j].max()) + 1, np.uint8)
+            flags[number[i:j]] = 1
+            bits.append(np.packbits(flags).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rid[edge[:-1]]), pa.array(bits, pa.binary())], ["rid", "bits"])
 
 
 #: rid, starts, ends: spans of a text that surely go. Else a bucket's blob of segments to compare.
@@ -272,46 +258,52 @@ _FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("rid", np.int64), ("start"
 def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
     """Each segment goes to its anchor's bucket once for each task, for the smallest doc_id that the task has it from; the task's other documents lose it at once."""
 
-    def send(places: list[tuple]) -> Iterator[pa.RecordBatch]:
-        lowest: dict[tuple[int, bytes], int] = {}
-        for x, seg, d, _, _ in places:
-            lowest[x, seg] = min(d, lowest.get((x, seg), d))
-        kept, gone = [], []
-        for p in places:
-            (kept if lowest[p[0], p[1]] == p[2] else gone).append(p)
-        if gone:
-            rid, start, size = (np.array(c, np.int64) for c in zip(*((p[3], p[4], len(p[1])) for p in gone), strict=True))
-            rids, starts, ends = by_text(rid, start, start + size)
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        segs = [joined[p:q] for low, high, joined, *_ in held for p, q in zip(low.tolist(), high.tolist(), strict=True)]
+        x, doc, rid, start = (np.concatenate(c) for c in list(zip(*held, strict=True))[3:])
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(s, len(number)) for s in segs])  # equal segments have equal anchors
+        size = np.array([len(s) for s in segs])
+        lowest = np.full(len(number), _LAST)
+        np.minimum.at(lowest, which, doc)
+        kept = doc == lowest[which]
+        if not kept.all():
+            at = np.flatnonzero(~kept)
+            rids, starts, ends = by_text(rid[at], start[at], start[at] + size[at])
             yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r in rids], pa.int32()), *(pa.array(c, f.type) for c, f in zip((rids, starts, ends), _SPANS_ARROW, strict=True)), pa.nulls(len(rids), pa.binary())], schema=_SEGMENTS_ARROW)
-        own: list[list[tuple]] = [[] for _ in range(buckets)]
-        for p, k in zip(kept, _bucket(np.array([p[0] for p in kept], np.uint64), buckets).tolist(), strict=True):
-            own[k].append(p)
-        used = [k for k in range(buckets) if own[k]]
+        at = np.flatnonzero(kept)
+        bucket = _bucket(x[at], buckets)
+        order = np.argsort(bucket, kind="stable")
+        at, bucket = at[order], bucket[order]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         blobs = []
-        for k in used:
-            x, seg, d, r, at = zip(*own[k], strict=True)
-            blob = b"".join([np.array([len(x)], np.int64).tobytes(), *(np.array(c, t).tobytes() for c, (_, t) in zip((x, d, r, at, [len(y) for y in seg]), _FIELDS, strict=True)), *seg])
-            blobs.append(zstandard.compress(blob, 3))
-        empty = [pa.nulls(len(used), f.type) for f in _SPANS_ARROW]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *empty, pa.array(blobs, pa.binary())], schema=_SEGMENTS_ARROW)
+        for i, j in zip(edge, [*edge[1:], len(at)], strict=True):
+            own = at[i:j]
+            columns = dict(anchor=x, doc=doc, rid=rid, start=start, size=size)
+            blobs.append(zstandard.compress(b"".join([np.array([len(own)], np.int64).tobytes(), *(columns[f][own].astype(t).tobytes() for f, t in _FIELDS), *(segs[k] for k in own.tolist())]), 3))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *(pa.nulls(len(edge), f.type) for f in _SPANS_ARROW), pa.array(blobs, pa.binary())], schema=_SEGMENTS_ARROW)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: list[tuple] = []
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            rids, ids, texts, bits = (batch.column(i).to_pylist() for i in range(4))
-            for h, row, ordinal, a, b, shift, joined in _runs(texts, least, gram):
-                pick = np.zeros(len(h), bool)
+            bits = batch.column(3).to_pylist()
+            rids, ids = (np.array(batch.column(i), np.int64) for i in (0, 1))
+            for _hash, row, ordinal, a, b, shift, joined in _runs(batch.column(2).to_pylist(), least, gram):
+                pick = np.zeros(len(row), bool)
                 edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else ()
                 for i, j in zip(edge, [*edge[1:], len(row)], strict=True):
                     flags = np.unpackbits(np.frombuffer(bits[row[i]], np.uint8)).astype(bool)[ordinal[i] : ordinal[i] + j - i]
                     pick[i : i + len(flags)] = flags
-                for x, r, p, q, s in zip(h[pick].tolist(), row[pick].tolist(), a[pick].tolist(), b[pick].tolist(), shift[pick].tolist(), strict=True):
-                    places.append((x, joined[p : q + least], ids[r], rids[r], p + s))
-                if len(places) >= _PLACES:
-                    yield from send(places)
-                    places = []
-        if places:
-            yield from send(places)
+                if pick.any():
+                    r = row[pick]
+                    held.append((a[pick], b[pick] + least, joined, _hash[pick], ids[r], rids[r], a[pick] + shift[pick]))
+                    n += len(r)
+                if n >= _PLACES:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
 
     return apply
 
@@ -394,14 +386,15 @@ def _owners(segs: list[bytes], lows: np.ndarray, least: int) -> np.ndarray:
 
 def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rid, start, end of what goes: equal segments are one, and those of some anchors make a block."""
-    number: dict[tuple[int, bytes], int] = {}
-    which = np.array([number.setdefault(key, len(number)) for key in zip(c["anchor"].tolist(), texts, strict=True)])
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(seg, len(number)) for seg in texts])  # equal segments have equal anchors
     keys = list(number)
-    order = sorted(range(len(keys)), key=keys.__getitem__)
+    anchor = np.empty(len(keys), np.uint64)
+    anchor[which] = c["anchor"]
+    order = np.argsort(anchor, kind="stable")
     place = np.empty(len(keys), np.int64)
     place[order] = np.arange(len(keys))
-    which, segs = place[which], [keys[i][1] for i in order]
-    anchor = np.array([keys[i][0] for i in order], np.uint64)
+    which, segs, anchor = place[which], [keys[i] for i in order.tolist()], anchor[order]
     lows = np.full(len(segs), _LAST)
     np.minimum.at(lows, which, c["doc"])
     ends = np.cumsum([len(x) + 1 for x in segs])
@@ -428,14 +421,14 @@ def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[n
 
 def _compare(least: int):  # noqa: ANN202
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {f: [] for f, _ in _FIELDS}
-        texts: list[bytes] = []
-        for batch in batches:
-            settled = batch.filter(batch.column(1).is_valid())
-            if settled.num_rows:
-                starts, ends = settled.column("starts"), settled.column("ends")
-                yield pa.RecordBatch.from_arrays([settled.column("rid").take(pa.compute.list_parent_indices(starts)), pa.compute.list_flatten(starts), pa.compute.list_flatten(ends)], _SPAN)
-            for blob in batch.column(4).to_pylist():
+        for rows in whole_blobs(batches):  # sorted by bucket, which is held one at a time
+            held: dict[str, list] = {f: [] for f, _ in _FIELDS}
+            texts: list[bytes] = []
+            settled = [x[:3] for x in rows if x[3] is None]
+            if settled:
+                n = [len(starts) for _, starts, _ in settled]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r for r, _, _ in settled], n)), *(pa.array(np.concatenate([np.array(x[k], np.int32) for x in settled])) for k in (1, 2))], _SPAN)
+            for *_, blob in rows:
                 if blob is None:
                     continue
                 blob = zstandard.decompress(blob)
@@ -446,26 +439,25 @@ def _compare(least: int):  # noqa: ANN202
                 for size in held["size"][-1].tolist():
                     texts.append(blob[at : at + size])
                     at += size
-        if texts:
-            columns = {f: np.concatenate(x) for f, x in held.items()}
-            rid, start, end = _settle(columns, texts, least)
-            if len(rid):
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], _SPAN)
+            if texts:
+                rid, start, end = _settle({f: np.concatenate(x) for f, x in held.items()}, texts, least)
+                if len(rid):
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], _SPAN)
 
     return apply
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """rid (row_key), starts, ends: byte spans that documents with smaller ids have too, written to the shared folder."""
+    prepare(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)).select(row_key().alias("rid"), "doc_id", "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // _BUCKET_BYTES))
+    buckets, parts = sizes(docs, _BUCKET_BYTES)
     sent = keyed.select("rid", "text").mapInArrow(_send(buckets, least, gram), _SENT)
-    matter = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "rid bigint, ord int")
-    matter = materialise(matter.repartition(buckets, "rid").mapInArrow(_as_bits, "rid bigint, bits binary"))
+    matter = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "rid bigint, ord int")
+    matter = materialise(matter.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_as_bits, "rid bigint, bits binary"))
     chosen = keyed.join(matter, "rid")
     segs = chosen.select("rid", "doc_id", "text", "bits").mapInArrow(_segments(buckets, least, gram), _SEGMENTS)
-    return gather(segs.repartition(buckets, "bucket").mapInArrow(_compare(least), "rid bigint, start int, end int"), buckets)
+    return gather(segs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(least), "rid bigint, start int, end int"), parts)
 
 
 def dedup(docs: DataFrame, keep: list[str], least: int = MIN_BYTES) -> DataFrame:
@@ -473,6 +465,11 @@ def dedup(docs: DataFrame, keep: list[str], least: int = MIN_BYTES) -> DataFrame
     return cut(docs, repeated_spans(docs, least), keep)
 
 
+def dedup_texts(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
+    """The columns of docs with what is left of each text; rows of which nothing is left go."""
+    return cut_texts(docs, repeated_spans(docs, least))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
 

@@ -196,6 +196,13 @@ def test_simhash_edges(spark):
         by.setdefault(d, set()).add((f, c))
     assert len(got) == len(rows) and {c for _, c in by[5] | by[3]} == {3} and by[8] == by[7] == {(0, 7)}
     assert {c for _, c in by[None]} == {3, None}
+    prints = [(d, b) for d, b in ((9, 0b1), (None, 0b11111), (12, 0b111111111), (None, 0xFFF << 40))]
+    was, simhash_dedup.fingerprints = simhash_dedup.fingerprints, lambda docs, words: docs.selectExpr("doc_id", "CAST(text AS bigint) AS fp")
+    try:  # a row without an id bridges two documents
+        linked = simhash_dedup.near_duplicates(_docs(spark, [(d, str(b)) for d, b in prints])).collect()
+    finally:
+        simhash_dedup.fingerprints = was
+    assert {(r.doc_id, r.fp): r.component_id for r in linked} == {(9, 1): 9, (None, 31): 9, (12, 511): 9, (None, 0xFFF << 40): None}
     assert simhash_dedup.near_duplicates(_docs(spark, rows).limit(0)).count() == 0
 
 

@@ -101,3 +101,27 @@ def test_null_ids_pass(spark, small):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, small)
         assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+CLASHES = ["lang_pred", "score", "kept_row", "kept", "rid", "starts", "ends", "n_bytes", "n_removed", "n_spans", "whole_text", "mix_slope", "mix_before", "mix_id", "target", "taken", "position", "node", "component_id", "bits", "a.b"]
+
+
+def test_clashing_columns_ties_repeats_and_long_texts(spark, small, tmp_path):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), 7))
+    long = " ".join(word() for _ in range(400_000))  # 3.2 MB
+    tied = [" ".join(word() for _ in range(40)) for _ in range(2)]
+    rows = [(1, long), (2, long + " and a tail"), (3, tied[0]), (3, tied[0]), (4, tied[1]), (5, tied[1]), (None, tied[1]), (6, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, None, None if d == 3 else "s", 0, *["x"] * len(CLASHES)) for d, t in rows], ", ".join(["doc_id bigint", "text string", "lang string", "source string", "n_chars bigint", *(f"`{c}` string" for c in CLASHES)]))
+    kept = []
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 5, "en"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        assert docs.where(" OR ".join(f"`{c}` IS NULL OR `{c}` <> 'x'" for c in CLASHES)).count() == 0
+        kept.append(sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str))
+    assert kept[0] == [1, 2, 3, 3, 4, 5, None] and kept[1] == kept[2] == [1, 3, 3, 4, None]
+    assert {d for d in kept[3]} <= {1, 3, 4, None} and kept[3].count(1) <= 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == len(kept[3])
