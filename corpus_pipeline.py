@@ -1,14 +1,13 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of ``documents``. Rows with null doc_id are kept by the dedup stages; an empty table passes through.
+columns of ``documents``, and others that the table has besides, whatever their names. Rows with null doc_id are kept by
+the dedup stages; rows that repeat a doc_id are one document to them, which stays or goes as a whole; an empty table
+passes through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +18,8 @@ from liftline.llm.common import materialise, prepare, table
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (null or letterless texts) go; where lang is null it is filled in."""
     prepare(spark)
-    judged = language_id.predict(docs, language_id.learn(docs), docs.columns)
-    kept = judged.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    judged = language_id.judged(docs, language_id.learn(docs), docs.columns).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return judged.select(*((F.coalesce("kept_row.lang", "lang_pred") if c == "lang" else F.col(f"kept_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +27,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prepare(spark)
     found = simhash_dedup.similar(docs)
     gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that a document with a smaller doc_id has too are cut out; a letter that a cut splits goes as a whole. Documents of which nothing is left go."""
     prepare(spark)
-    cut = suffix_dedup.dedup(docs, docs.columns)
-    names = list(docs.columns)
-
-    def as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept")).to_pylist()]
-            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
-
-    some = cut.where(F.octet_length("kept") > 0).select(*(c for c in names if c != "text"), "kept")
-    return some.mapInArrow(as_text, docs.schema)
+    return suffix_dedup.dedup_texts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A source's target may end within one document, which then counts as a whole copy if at least half of it is taken.
     """
     prepare(spark)
-    mixed = source_mixing.mix(docs)
+    mixed = source_mixing.placed(docs, docs.columns)
     copies = F.when(F.col("mix_size") > 0, F.floor(F.col("taken") / F.col("mix_size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
+    return mixed.select("kept_row", F.explode(F.array_repeat(F.lit(1), copies))).select(*(F.col(f"kept_row.`{c}`") for c in docs.columns))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
