@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z) and cut into words. Rules are regexes over the
 words that follow a keyword, gated by that keyword: only texts that hold a
-license term at all are cut up, only words that start some rule are tried, and
+license term at all (the gate) are cut up, only words that start some rule are tried, and
 only with the rules of that word. Each hit is an interval of words. A hit that
 lies within another hit of the same or a higher priority is suppressed; what
 remains gives the labels. Three base phrases are located apart from the rules
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from liftline.llm.common import table
 
-#: The same words over the text as it is (capitals count as word characters) and over lower-cased text.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters outside words, one by one: Java looks such a class up in a table, a union of ranges it tries in turn. Capitals count as word characters in the text as it is.
+_OTHERS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+_RAW_WORD, _RAW_GAP = f"[^{_OTHERS}]+", f"[{_OTHERS}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Label by base phrase.
@@ -149,17 +149,18 @@ WORDINGS = {
     "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications", "altered source versions must be plainly marked as such"],
     "zpl": ["zpl (?:1 1|2 [01])"],
 }
-_VERSION = "(?: v?(?:version )?v?\\d+(?: \\d+)*)"
+#: A version has at most four numbers, so that every rule is of bounded length.
+_VERSION = "(?: v?(?:version )?v?\\d+(?: \\d+){0,3})"
 _LICENSE = "licen[cs]e"
 #: priority, regex around a name. A higher priority suppresses what lies within its interval.
 TEMPLATES = (
     (1, "{name} " + _LICENSE),
-    (2, "{name}(?: " + _LICENSE + ")? (?:version |v)\\d+(?: \\d+)*"),
+    (2, "{name}(?: " + _LICENSE + ")? (?:version |v)\\d+(?: \\d+){0,3}"),
     (3, "licen[cs]ed under (?:the )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
     (3, "released under (?:the )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
     (3, "distributed under (?:the )?(?:terms of (?:the )?)?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
     (3, "under the terms of (?:the )?{name} " + _LICENSE + _VERSION + "?"),
-    (3, "spdx licen[cs]e identifier {name}(?: \\d+)*(?: only| or later)?"),
+    (3, "spdx licen[cs]e identifier {name}(?: \\d+){0,3}(?: only| or later)?"),
 )
 _PRIORITIES = (1, 2, 3)
 
@@ -180,11 +181,24 @@ def rules() -> dict[str, list[tuple[str, str, int]]]:
     return dict(found)
 
 
-#: Words of context that a rule sees; the longest rule has fewer.
-_CONTEXT = 24
-#: Every template and every base phrase holds one of the first, every wording starts with one of the last; a text without any has no hit.
-_STARTS = sorted({w.split(" ")[0].split("(")[0] for own in WORDINGS.values() for w in own})
-_TERM = r"(?i)licen[cs]e|version|released|distributed|(?<![a-z0-9])(?:v[0-9]|(?:" + "|".join(_STARTS) + r")(?![a-z0-9]))"
+#: Words of context that a rule sees; no rule can match more.
+_CONTEXT = 32
+
+
+def _gate() -> str:
+    """A regex that every text with a hit or a base phrase matches: the plain words that a name or wording begins with, three at most, at the start of a word; put together by first letters."""
+    heads: set[tuple[str, ...]] = set()
+    for regex in (*(n for own in NAMES.values() for n in own), *(w for own in WORDINGS.values() for w in own)):
+        words = regex.split(" ")
+        plain = next((k for k, w in enumerate(words) if not w.isalnum()), len(words))
+        heads.add(tuple(words[: min(plain, 3)]) if plain else (words[0].split("(")[0],))
+    by_letters: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for head in sorted(heads):
+        phrase = _RAW_GAP.join(head)
+        second = phrase[1] if len(head[0]) > 1 else ""
+        by_letters[phrase[0]][second].append(phrase[1 + len(second) :])
+    letters = ("{}(?:{})".format(a, "|".join("{}(?:{})".format(b, "|".join(own)) for b, own in seconds.items())) for a, seconds in by_letters.items())
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(letters) + ")"
 
 
 def _spaces(text: Column) -> Column:
@@ -194,7 +208,7 @@ def _spaces(text: Column) -> Column:
 def _hits(words: Column, by_word: dict[str, list[tuple[str, str, int]]]) -> Column:
     """The (start, -end, -priority, label) of each rule at each word that starts one, sorted."""
     table_of = F.create_map(*(x for word, own in by_word.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority")) for a, b, c in own)))))
-    starts = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].rlike("^(?:" + "|".join(by_word) + ")$"))
+    starts = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(*by_word))
 
     def at(x: Column) -> Column:
         near = F.concat(F.array_join(F.slice(words, x["at"] + 1, F.lit(_CONTEXT)), " "), F.lit(" "))
@@ -224,7 +238,7 @@ def scan(docs: DataFrame) -> DataFrame:
     cut = docs.select(
         "doc_id",
         F.regexp_count(text, F.lit(_RAW_WORD)).cast("long").alias("n_words"),
-        F.when(text.rlike(_TERM), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _GAP, " ")), F.lit(" "))).alias("norm"),
+        F.when(text.rlike(_gate()), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _RAW_GAP, " ")), F.lit(" "))).alias("norm"),
     )
     norm = F.col("norm")
     found = cut.select("*", F.when(norm.isNotNull(), _kept(_hits(F.split(F.trim(norm), " "), rules()))).alias("kept"), *(F.when(norm.contains(f" {p} "), F.split(norm, f"(?<= ){p}(?= )")).alias(f"p{i}") for i, p in enumerate(BASE)))

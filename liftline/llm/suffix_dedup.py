@@ -44,7 +44,7 @@ from liftline.llm.spans import by_text, cut, cut_texts, digest_columns, gather,
 MIN_BYTES = 50
 GRAM = 20
 #: Bytes of text hashed at once; anchors held before they are sent; text bytes per bucket of anchors; bytes in a block of segments; segments held before they are sent.
-_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK, _PLACES = 1 << 19, 800_000, 2 << 20, 1 << 18, 100_000
+_BUFFER, _HELD, _BUCKET_BYTES, _BLOCK, _PLACES = 1 << 19, 800_000, 2 << 20, 1 << 18, 200_000
 _POS = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 _PIECE = 1 << 23  # a longer text is hashed in pieces of so many windows

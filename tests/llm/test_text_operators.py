@@ -127,6 +127,9 @@ def test_schedule_inverse(spark):
 # licenses
 
 
+_RULES = license_scan.rules()
+
+
 def _license_brute(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     starts = {}
@@ -137,8 +140,9 @@ def _license_brute(text):
                 starts.setdefault(label, []).append(i)
     hits = []
     for i, w in enumerate(words):
-        near = " ".join(words[i : i + 24]) + " "
-        for label, rx, priority in license_scan.rules().get(w, []):
+        own = _RULES.get(w, [])
+        near = " ".join(words[i : i + license_scan._CONTEXT]) + " " if own else ""
+        for label, rx, priority in own:
             if m := re.match(rx, near):
                 hits.append((i, i + m[0].count(" "), priority, label))
     kept = [h for h in hits if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] and (o[0], -o[1], -o[2], o[3]) < (h[0], -h[1], -h[2], h[3]) for o in hits)]
@@ -168,6 +172,24 @@ def test_rules_are_hundreds_and_ordered():
         assert all(re.compile(rx) and rx.startswith(f"^{word[:3]}") for _, rx, _ in own)
 
 
+def _most_words(regex):
+    """An upper bound of the words that a rule matches."""
+    regex = re.sub(r"\(\?[!<][^)]*\)", "", regex)
+    while m := re.search(r"\(\?:([^()]*)\)(\{\d+,(\d+)\}\??|\?)?", regex):
+        most = max((part.replace("\\S+", "x") for part in m[1].split("|")), key=lambda x: x.count(" "))
+        regex = regex[: m.start()] + most * int(m[3] or 1) + regex[m.end() :]
+    assert not re.search(r"[*(]|(?<!\\S)(?<!\\d)\+", regex), regex
+    return regex.count(" ")
+
+
+def test_no_rule_matches_more_than_its_context(spark):
+    assert max(_most_words(rx) for own in license_scan.rules().values() for _, rx, _ in own) <= license_scan._CONTEXT
+    texts = ["licensed under the bsd license and mit\u2028 x", "mit\u0085", "unauthorized copying " + "w " * 12 + "is strictly prohibited", "x" * 3_000_000 + " mit license " + "w " * 200_000 + "GPLv3"]
+    got = license_scan.scan(_docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["bsd", "", "proprietary", "gpl,mit"]
+    assert got[2].score == 1.0 and (got[3].first_word, got[3].n_words) == (1, 200_004)
+
+
 HEADERS = [
     ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("ncsa", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction'),
