@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline.functions import rng
@@ -82,3 +82,59 @@ def random_projection(positions: DataFrame, unit: str = "strategy", bar: str = "
     out = positions.groupBy(unit).agg(*sums)
     norm = F.sqrt(sum((F.col(f"e{d}") * F.col(f"e{d}") for d in range(dims)), F.lit(0.0)))
     return out.select(unit, *(F.when(norm > 0, F.col(f"e{d}") / F.when(norm > 0, norm)).otherwise(F.lit(0.0)).alias(f"e{d}") for d in range(dims)))
+
+
+def sample_pairs(units: DataFrame, unit: str, family: str, draws: int, seed: int = 42) -> DataFrame:
+    """i, j, same_family, times for i < j: so many draws of pairs within families, which are weighed by their pairs, and as many across, of two families drawn evenly and a member of each.
+
+    A pair drawn again counts again. Families are one row each; draws are the parallel axis.
+    """
+    zero, one = F.lit(0), F.lit(1)
+    members = units.select(F.col(unit).alias("u"), F.col(family).alias("family")).distinct()
+    members = members.withColumn("m", F.row_number().over(Window.partitionBy("family").orderBy("u")).cast("bigint") - 1)
+    families = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    families = families.withColumns({"f": F.row_number().over(Window.orderBy("family")).cast("bigint") - 1, "pairs": (F.col("size") * (F.col("size") - 1) / 2).cast("bigint")})
+    families = families.withColumn("before", F.sum("pairs").over(Window.orderBy("f")) - F.col("pairs"))
+    both = families.agg(F.sum("pairs").alias("all_pairs"), F.count(F.lit(1)).alias("n_families"))
+    k = units.sparkSession.range(draws).withColumnRenamed("id", "k").crossJoin(F.broadcast(both))  # one row
+    x = rng.draw(zero, zero, F.col("k"), F.lit(1), seed) * F.lit(rng.PRIME).cast("bigint") + rng.draw(zero, zero, F.col("k"), F.lit(2), seed)
+    within = k.where("all_pairs > 0").withColumn("x", x % F.col("all_pairs")).join(families, (F.col("x") >= F.col("before")) & (F.col("x") < F.col("before") + F.col("pairs")))
+    place = F.col("x") - F.col("before")
+    high = F.floor((F.sqrt(place.cast("double") * 8 + 1) + 1) / 2).cast("bigint")
+    within = within.select("k", F.col("family").alias("fa"), F.col("family").alias("fb"), (place - (high * (high - 1) / 2).cast("bigint")).alias("a"), high.alias("b"))
+    draw = lambda i: rng.draw(zero, one, F.col("k"), F.lit(i), seed)
+    cross = k.where("n_families > 1").withColumn("f1", draw(1) % F.col("n_families")).withColumn("f2", (F.col("f1") + 1 + draw(2) % (F.col("n_families") - 1)) % F.col("n_families"))
+    for n, i in ((1, 3), (2, 4)):
+        cross = cross.join(families.select(F.col("f").alias(f"f{n}"), F.col("family").alias(f"name{n}"), F.col("size").alias(f"size{n}")), f"f{n}").withColumn(f"m{n}", draw(i) % F.col(f"size{n}"))
+    cross = cross.select("k", F.col("name1").alias("fa"), F.col("name2").alias("fb"), F.col("m1").alias("a"), F.col("m2").alias("b"))
+    drawn = within.unionByName(cross).groupBy("fa", "fb", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    for side in "ab":
+        drawn = drawn.join(members.select(F.col("family").alias(f"f{side}"), F.col("m").alias(side), F.col("u").alias(f"u{side}")), [f"f{side}", side])
+    pair = drawn.groupBy(F.least("ua", "ub").alias("i"), F.greatest("ua", "ub").alias("j"), (F.col("fa") == F.col("fb")).alias("same_family"))
+    return pair.agg(F.sum("times").alias("times"))
+
+
+def sampled_corr(positions: DataFrame, pairs: DataFrame, unit: str = "strategy", bar: str = "bar", value: str = "dir") -> DataFrame:
+    """The pairs with r, of +1/-1 positions on bars, 0 elsewhere; bars are all that any unit has. Positions meet on the drawn pairs only."""
+    stats = positions.groupBy(unit).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("c"))
+    bars = positions.agg(F.countDistinct(bar).cast("double").alias("nb"))
+    a = positions.select(F.col(unit).alias("i"), F.col(bar).alias("bar"), F.col(value).alias("x"))
+    b = positions.select(F.col(unit).alias("j"), F.col(bar).alias("bar"), F.col(value).alias("y"))
+    dots = pairs.select("i", "j").join(a, "i").join(b, ["j", "bar"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
+    every = pairs.join(dots, ["i", "j"], "left").crossJoin(F.broadcast(bars))  # one row
+    for side in "ij":
+        every = every.join(stats.select(F.col(unit).alias(side), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}")), side)
+    top = F.coalesce("dot", F.lit(0.0)) - F.col("si") * F.col("sj") / F.col("nb")
+    norm = F.sqrt((F.col("ci") - F.col("si") * F.col("si") / F.col("nb")) * (F.col("cj") - F.col("sj") * F.col("sj") / F.col("nb")))
+    return every.select("i", "j", "same_family", "times", "nb", F.when(norm > 1e-12, top / F.when(norm > 1e-12, norm)).otherwise(F.lit(0.0)).alias("r"))
+
+
+def weighted_summary(rows: DataFrame, by: str, x: str, weight: str, cuts: tuple[int, ...], shares: tuple[float, ...]) -> DataFrame:
+    """by, n, mean, floor-index percentiles and shares above, of values that count several times. The values of a group are few: those of the drawn pairs."""
+    order = Window.partitionBy(by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"upto": F.sum(weight).over(order), "all_n": F.sum(weight).over(Window.partitionBy(by))})
+    w = F.col(weight)
+    sums = [F.sum(w).alias("n"), (F.sum(F.col(x) * w) / F.sum(w)).alias("mean")]
+    sums += [F.min(F.when(F.col("upto") > F.floor(F.lit(c / 100) * (F.col("all_n") - 1)), F.col(x))).alias(f"p{c}") for c in cuts]
+    sums += [(F.sum(F.when(F.col(x) > t, w).otherwise(0)) / F.sum(w)).alias(f"above_{t:g}".replace(".", "")) for t in shares]
+    return rows.groupBy(by).agg(*sums)

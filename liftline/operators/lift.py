@@ -47,12 +47,12 @@ def all_filters() -> dict[str, str]:
     return {"None": "true", "IS PF > 1": GATE} | robustness_filters() | ranks | {f"{n} + gate": f"{p} AND {GATE}" for n, p in ranks.items()}
 
 
-def lift(panel: DataFrame, outcome: str, filters: FilterSet, by: Sequence[str] = (), min_pass: int = 0, complement: str = "not") -> DataFrame:
+def lift(panel: DataFrame, outcome: str, filters: FilterSet, by: Sequence[str] = (), min_pass: int = 0, complement: str = "not", min_rows: int = 0) -> DataFrame:
     """by, filter, n_pass, n_fail, pass_pct, fail_pct, base_pct, lift_pp (percent and percentage points).
 
     Rows without an outcome do not count. ``complement`` is what fails: "not" (all that do not pass) or "below" (rows
     whose predicate is false, not missing). All filters are conditional aggregates of one pass, then unpivoted; rows
-    with fewer than min_pass passing ones are left out.
+    with fewer than min_pass passing ones, or min_rows with an outcome, are left out.
     """
     known = F.col(outcome).isNotNull()
     sums = [F.sum(F.when(known, F.lit(1)).otherwise(0)).alias("n"), F.sum(outcome).alias("hits")]
@@ -67,7 +67,7 @@ def lift(panel: DataFrame, outcome: str, filters: FilterSet, by: Sequence[str] =
     for i, name in enumerate(names):
         base = rate("hits", "n") if name not in filters.against else rate(f"ph{names.index(filters.against[name])}", f"p{names.index(filters.against[name])}")
         rows.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("filter"), F.col(f"p{i}").alias("n_pass"), F.col(f"f{i}").alias("n_fail"), rate(f"ph{i}", f"p{i}").alias("pass_pct"), rate(f"fh{i}", f"f{i}").alias("fail_pct"), base.alias("base_pct"), (rate(f"ph{i}", f"p{i}") - base).alias("lift_pp")))
-    out = one.select(*by, F.inline(F.array(*rows)))
+    out = (one.where(F.col("n") >= min_rows) if min_rows else one).select(*by, F.inline(F.array(*rows)))
     return out.where(F.col("n_pass") >= min_pass) if min_pass else out
 
 

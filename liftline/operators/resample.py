@@ -23,12 +23,20 @@ def _draws(unit: int, window: int, reps: np.ndarray, positions: np.ndarray, seed
     """The generator of functions.rng over arrays; products stay below 2 ** 62."""
     p = rng.PRIME
 
+    def rest(x: np.ndarray) -> np.ndarray:  # modulo 2 ** 31 - 1, of what is not negative
+        for _ in range(2):
+            x = (x & p) + (x >> 31)
+        return np.where(x >= p, x - p, x)
+
     def fifth(x: np.ndarray) -> np.ndarray:
-        square = x * x % p
-        return (square * square % p) * x % p
+        square = rest(x * x)
+        return rest(rest(square * square) * x)
 
-    x0 = (seed + unit * rng.UNIT + window * rng.WINDOW + reps[:, None] * rng.REPLICATE + positions[None, :] * rng.POSITION) % p
-    return fifth((fifth(x0) * 48271 + positions[None, :] * 69621 + reps[:, None] * 16807) % p)
+    x0 = np.fmod(seed + unit * rng.UNIT + window * rng.WINDOW + reps[:, None] * rng.REPLICATE + positions[None, :] * rng.POSITION, p)
+    if (x0 < 0).any():  # far windows before the first: signs as in SQL
+        signed = lambda x: np.fmod(np.fmod(np.fmod(x * x, p) ** 2, p) * x, p)
+        return signed(np.fmod(signed(x0) * 48271 + positions[None, :] * 69621 + reps[:, None] * 16807, p))
+    return fifth(rest(fifth(x0) * 48271 + positions[None, :] * 69621 + reps[:, None] * 16807))
 
 
 def _sharpe(n: int, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -49,23 +57,35 @@ def max_drawdown(x: np.ndarray, include_origin: bool = False) -> np.ndarray:
     return (np.maximum(peak, 0) - equity if include_origin else peak - equity).max(axis=1)
 
 
+#: Drawn values that a kernel holds at a time.
+_DRAWN = 1 << 20
+
+
+def _pieces(reps: int, n: int) -> Iterator[np.ndarray]:
+    step = max(1, _DRAWN // max(1, n))
+    for k in range(0, reps, step):
+        yield np.arange(k, min(reps, k + step))
+
+
 def bootstrap_kernel(pnls: np.ndarray, unit: int, window: int, reps: int, seed: int) -> tuple[float, float, float]:
     """Shares (in percent) of samples with replacement whose ROI, Sharpe and PF are strictly below the actual ones."""
     n = len(pnls)
-    sample = pnls[_draws(unit, window, np.arange(reps), np.arange(1, n + 1), seed) % n]
-    one = pnls[None, :]
-    pairs = ((sample.sum(axis=1), one.sum(axis=1)), (_sharpe(n, sample.sum(axis=1), (sample * sample).sum(axis=1)), _sharpe(n, one.sum(axis=1), (one * one).sum(axis=1))), (_pf(sample), _pf(one)))
-    return tuple(float((a < b[0]).mean() * 100.0) for a, b in pairs)
+    stats = lambda x: (x.sum(axis=1), _sharpe(n, x.sum(axis=1), (x * x).sum(axis=1)), _pf(x))
+    actual, below = stats(pnls[None, :]), np.zeros(3)
+    for some in _pieces(reps, n):
+        sample = pnls[_draws(unit, window, some, np.arange(1, n + 1), seed) % n]
+        below += [(x < y[0]).sum() for x, y in zip(stats(sample), actual, strict=True)]
+    return tuple((below / reps * 100.0).tolist())
 
 
-def block_order(n: int, block: int, unit: int, window: int, reps: int, seed: int) -> np.ndarray:
+def block_order(n: int, block: int, unit: int, window: int, reps: np.ndarray, seed: int) -> np.ndarray:
     """Permutations (one a row) that keep blocks together; the rest after the last whole block stays at the end. Too short for two blocks: single trades."""
     size = block if n >= 2 * block else 1
     whole = n // size
-    keys = _draws(unit, window, np.arange(reps) * 101 + size, np.arange(whole), seed)
+    keys = _draws(unit, window, reps * 101 + size, np.arange(whole), seed)
     order = np.argsort(keys, axis=1, kind="stable")
-    moved = (order[:, :, None] * size + np.arange(size)[None, None, :]).reshape(reps, whole * size)
-    return np.hstack([moved, np.tile(np.arange(whole * size, n), (reps, 1))])
+    moved = (order[:, :, None] * size + np.arange(size)[None, None, :]).reshape(len(reps), whole * size)
+    return np.hstack([moved, np.tile(np.arange(whole * size, n), (len(reps), 1))])
 
 
 def _by_group(seqs: DataFrame, keys: list[str], names: list[str], kernel) -> DataFrame:  # noqa: ANN001
@@ -80,7 +100,9 @@ def _by_group(seqs: DataFrame, keys: list[str], names: list[str], kernel) -> Dat
     schema = seqs.select(*keys).schema
     for n in names:
         schema = schema.add(n, "double")
-    return seqs.mapInArrow(apply, schema)
+    spark = seqs.sparkSession  # small rows that cost much: not coalesced by their size
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return seqs.repartition(parts, *keys).mapInArrow(apply, schema)
 
 
 def bootstrap_ranks(seqs: DataFrame, keys: list[str], reps: int = 1000, seed: int = 42, min_trades: int = 10) -> DataFrame:
@@ -93,7 +115,8 @@ def block_ranks(seqs: DataFrame, keys: list[str], blocks: tuple[int, ...] = (1,
 
     def kernel(p: np.ndarray, s: int, w: int) -> tuple[float, ...]:
         actual = max_drawdown(p[None, :], include_origin)[0]
-        return tuple(float((max_drawdown(p[block_order(len(p), b, s, w, reps, seed)], include_origin) > actual).mean() * 100.0) for b in blocks)
+        above = (sum(int((max_drawdown(p[block_order(len(p), b, s, w, some, seed)], include_origin) > actual).sum()) for some in _pieces(reps, len(p))) for b in blocks)
+        return tuple(x / reps * 100.0 for x in above)
 
     return _by_group(seqs.where(F.size("pnls") >= min_trades), keys, [f"block{b}_rank" for b in blocks], kernel)
 
@@ -118,31 +141,27 @@ def cluster_bootstrap(counts: DataFrame, order: list[str], by: list[str] | None
     by = by or []
     numbered = counts.withColumn("k", F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*order)))
     sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("clusters"), pooled_lift(*(F.sum(c) for c in ("n", "hits", "n_pass", "pass_hits"))).alias("point"))
-    drawn = counts.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(sizes))
+    drawn = counts.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(sizes)  # a row for each group
     drawn = drawn.select(*by, "rep", "clusters", F.explode(F.sequence(F.lit(1), F.col("clusters").cast("int"))).alias("i"))
     zero = F.lit(0)
     drawn = drawn.withColumn("k", (rng.draw(zero, zero, F.col("rep"), F.col("i"), seed) % F.col("clusters") + 1).cast("int"))
-    met = drawn.join(F.broadcast(numbered), [*by, "k"])
+    met = drawn.join(numbered, [*by, "k"])
     lifts = met.groupBy(*by, "rep").agg(pooled_lift(*(F.sum(c) for c in ("n", "hits", "n_pass", "pass_hits"))).alias("x"))
     out = lifts.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("se_pop"), F.stddev_samp("x").alias("se_samp"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"), F.avg((F.col("x") >= 0).cast("double")).alias("share_positive"))
-    out = out.join(F.broadcast(sizes), by) if by else out.join(F.broadcast(sizes))
+    out = out.join(sizes, by) if by else out.crossJoin(sizes)
     return out.withColumn("z", F.try_divide("point", "se_pop")).select(*by, "clusters", "point", "mean", "se_pop", "se_samp", "low", "high", "z", "share_positive")
 
 
-def placebo(rows: DataFrame, by: list[str], pool: Column, chosen: Column, hit: str, unit: Column, reps: int = 200, seed: int = 42) -> DataFrame:
-    """by, n_pool, n_chosen, rate, low, high: the chosen rows' rate against same-sized subsamples of the pool.
-
-    How many hits a subsample without replacement holds is all that counts, and that is hypergeometric: it is drawn by
-    ranking the pool's hits and misses as two counts, not by shuffling rows, so a replicate costs one row per group.
-    """
-    counts = rows.groupBy(*by).agg(F.count_if(pool).alias("n_pool"), F.count_if(pool & (F.col(hit) > 0)).alias("hits"), F.count_if(pool & chosen).alias("n_chosen"), F.count_if(pool & chosen & (F.col(hit) > 0)).alias("chosen_hits"))
-    drawn = counts.where("n_chosen > 0").join(F.broadcast(rows.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    # normal approximation of the hypergeometric by twelve uniforms, rounded into its range
-    z = sum((rng.uniform(F.lit(k), F.lit(0), F.col("rep"), F.col("n_pool"), seed) for k in range(12)), F.lit(0.0)) - 6.0
-    share = F.col("hits") / F.col("n_pool")
-    sd = F.sqrt(F.col("n_chosen") * share * (1 - share) * F.try_divide(F.col("n_pool") - F.col("n_chosen"), F.greatest(F.col("n_pool") - 1, F.lit(1))))
-    x = F.greatest(F.lit(0.0), F.least(F.floor(F.col("n_chosen") * share + sd * z + 0.5).cast("double"), F.least("n_chosen", "hits").cast("double")))
-    out = drawn.withColumn("x", x / F.col("n_chosen") * 100.0).groupBy(*by, "n_pool", "n_chosen", "chosen_hits").agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
+def placebo(rows: DataFrame, by: list[str], pool: Column, chosen: Column, hit: str, unit: str, window: str, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """by, n_pool, n_chosen, rate, low, high, below: the chosen rows' rate against subsamples of the pool of the same size, drawn without replacement by the generator's order."""
+    pooled = rows.where(F.coalesce(pool, F.lit(False))).select(*by, unit, window, F.col(hit).alias("hit"), F.coalesce(chosen, F.lit(False)).alias("is_chosen"))
+    counts = pooled.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("is_chosen").alias("n_chosen"), F.count_if(F.col("is_chosen") & (F.col("hit") > 0)).alias("chosen_hits")).where("n_chosen > 0")
+    drawn = pooled.drop("is_chosen").join(counts, by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    keyed = drawn.withColumn("key", rng.draw(F.col(unit), F.col(window), F.col("rep"), F.lit(3), seed))
+    at = F.row_number().over(Window.partitionBy(*by, "rep").orderBy("key", unit, window))
+    taken = keyed.withColumn("at", at).where(F.col("at") <= F.col("n_chosen"))
+    rates = taken.groupBy(*by, "n_pool", "n_chosen", "chosen_hits", "rep").agg((F.count_if(F.col("hit") > 0) * 100.0 / F.first("n_chosen")).alias("x"))
+    out = rates.groupBy(*by, "n_pool", "n_chosen", "chosen_hits").agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
     rate = ratio(F.col("chosen_hits") * 100.0, F.col("n_chosen"))
     return out.select(*by, "n_pool", "n_chosen", rate.alias("rate"), "low", "high", (rate < F.col("low")).alias("below"))
 
@@ -154,11 +173,11 @@ def sample_per_group(rows: DataFrame, group: list[str], most: int, unit: str, se
     return keyed.withColumn("sample_at", F.row_number().over(order)).where(F.col("sample_at") <= most).drop("sample_key", "sample_at")
 
 
-def portfolios(pool: DataFrame, by: list[str], score: str, unit: str, value: Column, top: int = 30, pick: int = 10, count: int = 50, seed: int = 42) -> DataFrame:
-    """by, portfolio, n, mean_value: random picks of ``pick`` of each group's ``top`` units by score; groups with fewer than ``top`` have none."""
+def portfolios(pool: DataFrame, by: list[str], score: str, unit: str, value: Column, top: int = 30, pick: int = 10, count: int = 50, seed: int = 42, least: int | None = None) -> DataFrame:
+    """by, portfolio, n, mean_value: random picks of ``pick`` of each group's ``top`` units by score; groups with fewer than ``least`` (``top``, if not said) have none."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), unit)
     best = pool.withColumn("at", F.row_number().over(order)).where(F.col("at") <= top)
-    full = best.groupBy(*by).agg(F.count(F.lit(1)).alias("n_top")).where(F.col("n_top") == top)
+    full = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all")).where(F.col("n_all") >= (least or top))
     drawn = best.join(full, by, "left_semi").withColumn("portfolio", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     keyed = drawn.withColumn("key", rng.draw(F.col("at"), F.lit(0), F.col("portfolio"), F.lit(1), seed))
     chosen = keyed.withColumn("r", F.row_number().over(Window.partitionBy(*by, "portfolio").orderBy("key", "at"))).where(F.col("r") <= pick)

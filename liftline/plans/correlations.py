@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from liftline.functions.rng import PRIME, draw_sql
 from liftline.operators import correlation, resample
-from liftline.plans.given import table
+from liftline.plans.given import PANEL_SQL, strategies, table
 from liftline.plans.series import _BARS, positions
 
 QUERIES: dict = {}
@@ -132,3 +132,67 @@ def draw_pair_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = long.select("draw", "window_i", F.col("vec_id").alias("j"), F.col("x").cast("double").alias("y"))
     pairs = a.join(b, ["draw", "window_i"]).where("i < j").groupBy("draw", "i", "j").agg(correlation.safe_corr(F.col("x"), F.col("y")).alias("r"))
     return pairs.groupBy("draw").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("r"), 6).alias("mean_r"))
+
+
+#: Draws of each kind.
+PAIR_DRAWS = 500_000
+_D = lambda unit, window, i: draw_sql(f"{unit}::BIGINT", f"{window}::BIGINT", "k::BIGINT", f"{i}::BIGINT")
+_SAMPLED = f"""{PANEL_SQL}, {_BARS}, units AS (SELECT DISTINCT s.strategy AS u, s.family FROM bars JOIN strategies s USING (strategy)),
+members AS (SELECT u, family, row_number() OVER (PARTITION BY family ORDER BY u) - 1 AS m FROM units),
+fam0 AS (SELECT family, count(*) AS size, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM members GROUP BY family),
+fam AS (SELECT *, row_number() OVER (ORDER BY family) - 1 AS f, (sum(pairs) OVER (ORDER BY family) - pairs)::BIGINT AS before FROM fam0),
+tot AS (SELECT sum(pairs)::BIGINT AS all_pairs, count(*) AS nf FROM fam), ks AS (SELECT * FROM (SELECT unnest(range({PAIR_DRAWS})) AS k), tot),
+wx AS (SELECT ({_D(0, 0, 1)} * {PRIME}::BIGINT + {_D(0, 0, 2)}) % all_pairs AS x FROM ks WHERE all_pairs > 0),
+wp AS (SELECT family, x - before AS p, floor((sqrt((x - before)::DOUBLE * 8 + 1) + 1) / 2)::BIGINT AS b FROM wx JOIN fam ON x >= before AND x < before + pairs),
+cx AS (SELECT k, {_D(0, 1, 1)} % nf AS f1, ({_D(0, 1, 1)} % nf + 1 + {_D(0, 1, 2)} % (nf - 1)) % nf AS f2 FROM ks WHERE nf > 1),
+drawn AS (SELECT family AS fa, family AS fb, p - (b * (b - 1) // 2) AS a, b FROM wp UNION ALL SELECT x.family, y.family, {_D(0, 1, 3)} % x.size, {_D(0, 1, 4)} % y.size FROM cx JOIN fam x ON x.f = f1 JOIN fam y ON y.f = f2),
+sampled AS (SELECT least(x.u, y.u) AS i, greatest(x.u, y.u) AS j, fa = fb AS same_family, count(*) AS times FROM drawn JOIN members x ON x.family = fa AND x.m = a JOIN members y ON y.family = fb AND y.m = b GROUP BY ALL),
+st AS (SELECT strategy, sum(dir)::DOUBLE AS s, count(*)::DOUBLE AS c FROM bars GROUP BY strategy), nb AS (SELECT count(DISTINCT bar)::DOUBLE AS nb FROM bars),
+dots AS (SELECT i, j, sum(p.dir * q.dir)::DOUBLE AS dot FROM sampled JOIN bars p ON p.strategy = i JOIN bars q ON q.strategy = j AND q.bar = p.bar GROUP BY i, j),
+corrs AS (SELECT i, j, same_family, times, nb, round((coalesce(dot, 0) - a.s * b.s / nb) / sqrt((a.c - a.s * a.s / nb) * (b.c - b.s * b.s / nb)), 9) AS r FROM sampled LEFT JOIN dots USING (i, j) JOIN st a ON a.strategy = i JOIN st b ON b.strategy = j, nb)"""
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = positions(spark, sf_dir).persist()  # read by five branches
+    units = strategies(spark, sf_dir).join(bars.select("strategy").distinct(), "strategy", "left_semi")
+    pairs = correlation.sample_pairs(units, "strategy", "family", PAIR_DRAWS).persist()
+    return correlation.sampled_corr(bars, pairs).withColumn("r", F.round("r", 9))
+
+
+@_register("sampled_pair_corr", f"{_SAMPLED} SELECT i, j, same_family, times::BIGINT AS times, round(r, 6) AS r FROM corrs")
+def sampled_pair_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn pairs of all strategies, within families and across, with the correlation of their positions."""
+    return _sampled(spark, sf_dir).select("i", "j", "same_family", "times", F.round("r", 6).alias("r"))
+
+
+def _summary_sql(x: str, excess: str) -> str:
+    cuts = ", ".join(f"round(min(x) FILTER (WHERE upto > floor({c / 100!r}::DOUBLE * (all_n - 1))), 6) AS p{c}" for c in _CUTS)
+    shares = ", ".join(f"round(sum(CASE WHEN x > {t} THEN times ELSE 0 END)::DOUBLE / sum(times), 6) AS {n}" for t, n in ((0.1, "above_01"), (0.2, "above_02"), (0.5, "above_05")))
+    return f"""{_SAMPLED}, o AS (SELECT *, sum(times) OVER (PARTITION BY same_family ORDER BY x ROWS UNBOUNDED PRECEDING) AS upto, sum(times) OVER (PARTITION BY same_family) AS all_n FROM (SELECT *, {x} AS x FROM corrs))
+SELECT same_family, sum(times)::BIGINT AS n, round(sum(x * times) / sum(times), 6) AS mean, {cuts}, {shares}{excess} FROM o GROUP BY same_family"""
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    out = correlation.weighted_summary(rows, "same_family", "x", "times", _CUTS, (0.1, 0.2, 0.5))
+    return out.select("same_family", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+@_register("sampled_pair_summary", _summary_sql("r", ""))
+def sampled_pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(_sampled(spark, sf_dir).withColumn("x", F.col("r")))
+
+
+@_register("sampled_abs_summary", _summary_sql("abs(r)", ", round(sum(abs(r) * times) / sum(times) - max(sqrt(2.0::DOUBLE / (pi() * nb))), 6) AS excess"))
+def sampled_abs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of |r|, with the mean's excess over that of independent series."""
+    rows = _sampled(spark, sf_dir).withColumn("x", F.abs("r"))
+    null = rows.groupBy("same_family").agg((F.sum(F.col("x") * F.col("times")) / F.sum("times") - F.max(correlation.null_abs_corr(F.col("nb")))).alias("excess"))
+    return _summary(rows).join(null, "same_family").withColumn("excess", F.round("excess", 6))
+
+
+@_register("corr_density", f"{_PAIRS}, c AS (SELECT least(greatest(floor((round(r, 9) + 1) / 2 * 79), 0), 78)::INTEGER AS bin, count(*) AS n FROM pairs GROUP BY 1) SELECT b.bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / ((SELECT sum(n) FROM c) * (2.0::DOUBLE / 79)), 6) AS density FROM (SELECT unnest(range(79))::INTEGER AS bin) b LEFT JOIN c USING (bin)")
+def corr_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """79 bins on [-1, 1], normalised to an area of 1."""
+    counts = correlation.histogram(_pairs(spark, sf_dir).withColumn("r", F.round("r", 9)), 79)
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("bin", "n", F.round(F.col("n") / (F.col("total") * F.lit(2.0 / 79)), 6).alias("density"))

@@ -83,10 +83,10 @@ sums AS (
 """
 
 
-def lift_sql(filters: dict[str, str], outcome: str, by: tuple[str, ...], against: dict[str, str] | None = None, source: str = "panel", min_pass: int = 0, complement: str = "not") -> str:
+def lift_sql(filters: dict[str, str], outcome: str, by: tuple[str, ...], against: dict[str, str] | None = None, source: str = "panel", min_pass: int = 0, complement: str = "not", min_rows: int = 0) -> str:
     """One SELECT for each filter, put together: plain text against which the one-pass plan is held."""
     keys = "".join(f"{b}, " for b in by)
-    group = f" GROUP BY {', '.join(by)}" if by else ""
+    group = (f" GROUP BY {', '.join(by)}" if by else "") + (f" HAVING count(*) >= {min_rows}" if min_rows else "")
     parts = []
     for i, (name, p) in enumerate(filters.items()):
         ok = f"coalesce({p}, false)"

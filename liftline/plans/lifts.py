@@ -49,7 +49,7 @@ _add("robustness_filters", robustness_filters() | {"IS PF > 1": GATE}, "oos_hit"
 _blocks = {"Baseline": "true", "A: MC ROI >= 50": "roi_rank >= 50", "A: MC PF >= 50": "pf_rank >= 50", "B: gate": GATE, "B: gate + MC ROI >= 50": f"{GATE} AND roi_rank >= 50", "B: gate + Rob all": robustness_filters()["Rob all"]}
 _add("fair_blocks", _blocks, "oos_hit", _ASSET, against={n: "B: gate" for n in _blocks if n.startswith("B: gate +")})
 _add("lift_by_family", {"MC ROI >= 50": "roi_rank >= 50", "IS PF > 1": GATE}, "next_hit", ("family",), where="asset IN ('AMERICA', 'ASIA', 'EUROPE')")
-_add("window_lift", {"MC ROI >= 50": "roi_rank >= 50", "IS PF > 1": GATE}, "next_hit", ("asset", "window_i"), min_pass=3)
+_add("window_lift", {"MC ROI >= 50": "roi_rank >= 50", "IS PF > 1": GATE}, "next_hit", ("asset", "window_i"), min_pass=6, min_rows=10)
 _add("pooled_lift", all_filters(), "next_hit", ())
 _add("headline", {"None": "true", "IS PF > 1": GATE, "Rob all": robustness_filters()["Rob all"], "MC ROI >= 50": "roi_rank >= 50", "MC ROI >= 50 + gate": f"roi_rank >= 50 AND {GATE}"}, "oos_hit", _ASSET)
 _add("cost_levels", {"baseline PF > 1": GATE, "fee PF > 1": "fee_pf > 1.0", "baseline PF > 1 + MC": f"{GATE} AND roi_rank >= 50", "fee PF > 1 + MC": "fee_pf > 1.0 AND roi_rank >= 50"}, "oos_hit", _ASSET, against={"baseline PF > 1 + MC": "baseline PF > 1", "fee PF > 1 + MC": "fee PF > 1"})
@@ -133,3 +133,32 @@ def sweep_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sweep_matrix"] = sweep_matrix
 ORACLES["sweep_matrix"] = f"SELECT method, {', '.join(f'max(lift) FILTER (WHERE asset = {a!r}) AS {a.lower().replace(chr(32), chr(95))}' for a in sorted(ASSET_CLASS))}, round((0.0::DOUBLE + {' + '.join(f'max(lift) FILTER (WHERE asset = {a!r})' for a in sorted(ASSET_CLASS))}) / {len(ASSET_CLASS)}, 4) AS mean FROM ({ORACLES['block_sweep']}) GROUP BY method"
+
+
+def top_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifteen of the ranking."""
+    return filter_ranking(spark, sf_dir).limit(15)
+
+
+QUERIES["top_filters"] = top_filters
+ORACLES["top_filters"] = ORACLES["filter_ranking"] + " LIMIT 15"
+
+
+def sweep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweeps by asset and by class in one table; what one side lacks is null."""
+    return block_sweep(spark, sf_dir).unionByName(grouping_sets_sweep(spark, sf_dir), allowMissingColumns=True)
+
+
+QUERIES["sweep_union"] = sweep_union
+ORACLES["sweep_union"] = f"SELECT * FROM ({ORACLES['block_sweep']}) UNION ALL BY NAME SELECT * FROM ({ORACLES['grouping_sets_sweep']})"
+
+
+def selection_bias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection bias with measures as rows and assets as columns."""
+    long = selection_bias(spark, sf_dir).unpivot(["asset", "mc_pass"], ["is_pf", "oos_pf", "kept"], "measure", "x")
+    wide = long.groupBy("measure", "mc_pass").pivot("asset", sorted(ASSET_CLASS)).agg(F.first("x"))
+    return wide.select("measure", "mc_pass", *(F.col(f"`{a}`").alias(a.lower().replace(" ", "_")) for a in sorted(ASSET_CLASS)))
+
+
+QUERIES["selection_bias_table"] = selection_bias_table
+ORACLES["selection_bias_table"] = "SELECT measure, mc_pass, " + ", ".join(f"max(x) FILTER (WHERE asset = {a!r}) AS {a.lower().replace(' ', '_')}" for a in sorted(ASSET_CLASS)) + " FROM (" + " UNION ALL ".join(f"SELECT asset, mc_pass, '{m}' AS measure, {m} AS x FROM ({ORACLES['selection_bias']})" for m in ("is_pf", "oos_pf", "kept")) + ") GROUP BY measure, mc_pass"

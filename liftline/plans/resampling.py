@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.functions.rng import PRIME, draw_sql
+from liftline.functions.rng import draw_sql
 from liftline.operators import resample
 from liftline.plans.given import PANEL_SQL, TRADE_ORDER, TRADES_SQL, panel, strategies, trades
 from liftline.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-REPS, PATH_REPS, BLOCKS, BOOT = 20, 10, (1, 5, 20), 2000
+REPS, PATH_REPS, BLOCKS, BOOT = 1000, 20, (1, 2, 3, 5, 10, 20), 10_000
 _KEYS = ["strategy", "window_i"]
 
 
@@ -123,46 +123,98 @@ def cluster_bootstrap_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.cluster_bootstrap(_tally(spark, sf_dir, ["asset", "window_i"]), ["window_i"], ["asset"], BOOT))
 
 
-#: Windows to calendar clusters: a map of few rows; windows outside it vanish, as do clusters without rows.
-CALENDAR = {1: "1995-1996", 2: "1995-1996", 3: "1997", 4: "1998", 5: "1999-2000"}
+@_register("mc_block_rank_full", None)
+def mc_block_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With 1000 permutations, which is more than SQL can do in reasonable time."""
+    return resample.block_ranks(_sequences(spark, sf_dir), _KEYS, BLOCKS, 1000)
 
 
-@_register("calendar_bootstrap_ci", _boot_sql(f"SELECT quarter, sum(n) AS n, sum(hits) AS hits, sum(n_pass) AS n_pass, sum(pass_hits) AS pass_hits FROM ({_tally_sql('asset, window_i')}) JOIN (VALUES {', '.join(f'({w}, {q!r})' for w, q in CALENDAR.items())}) m(w, quarter) ON window_i = w GROUP BY quarter", "quarter"))
+_METHODS = [f"block{b}_rank" for b in BLOCKS]
+
+
+@_register("block_rank_sweep", f"""{PANEL_SQL}, ranks AS ({ORACLES["mc_block_rank"]}), long AS ({" UNION ALL ".join(f"SELECT asset, strategy, next_hit, '{m}' AS method, {m} AS rank FROM panel JOIN ranks USING (strategy, window_i) WHERE next_hit IS NOT NULL" for m in _METHODS)})
+SELECT asset, method, count(*) AS n, count(DISTINCT strategy) AS strategies, round(avg(rank), 6) AS mean_rank, round(CASE WHEN stddev_samp(rank) > 0 THEN (avg(rank) - 50) / (stddev_samp(rank) / sqrt(count(*))) END, 6) AS t50,
+       round(avg((rank >= 50)::INT::DOUBLE), 6) AS pass_share, round(avg(next_hit) FILTER (WHERE rank >= 50), 6) AS pass_hit, round(avg(next_hit) FILTER (WHERE NOT rank >= 50), 6) AS fail_hit, round(avg(next_hit), 6) AS base_hit,
+       round(avg(next_hit) FILTER (WHERE rank >= 50) - avg(next_hit), 6) AS lift, round(CASE WHEN stddev_pop(rank) > 1e-9 AND stddev_pop(next_hit) > 1e-9 THEN covar_pop(rank, next_hit) / (stddev_pop(rank) * stddev_pop(next_hit)) END, 6) AS corr
+FROM long GROUP BY asset, method""")
+def block_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block-permutation ranks of six block sizes: mean rank and its t against 50, pass rate, outcomes, lift and correlation with the outcome, by asset."""
+    rows = panel(spark, sf_dir).where("next_hit IS NOT NULL").select("asset", *_KEYS, "next_hit").join(mc_block_rank(spark, sf_dir), _KEYS)
+    long = rows.unpivot(["asset", "strategy", "next_hit"], _METHODS, "method", "rank")
+    passed, hit = F.col("rank") >= 50, F.col("next_hit")
+    out = long.groupBy("asset", "method").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("strategy").alias("strategies"), F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("sd"), F.avg(passed.cast("double")).alias("pass_share"), F.avg(F.when(passed, hit)).alias("pass_hit"),
+        F.avg(F.when(~passed, hit)).alias("fail_hit"), F.avg(hit).alias("base_hit"), F.covar_pop("rank", "next_hit").alias("covariance"), F.stddev_pop("rank").alias("sd_rank"), F.stddev_pop("next_hit").alias("sd_hit"),
+    )
+    t50 = F.when(F.col("sd") > 0, (F.col("mean_rank") - 50) / (F.when(F.col("sd") > 0, F.col("sd")) / F.sqrt("n")))
+    corr = F.when((F.col("sd_rank") > 1e-9) & (F.col("sd_hit") > 1e-9), F.try_divide(F.col("covariance"), F.col("sd_rank") * F.col("sd_hit")))
+    return _rounded(out.select("asset", "method", "n", "strategies", "mean_rank", t50.alias("t50"), "pass_share", "pass_hit", "fail_hit", "base_hit", (F.col("pass_hit") - F.col("base_hit")).alias("lift"), corr.alias("corr")))
+
+
+_RANKS = ("roi_rank", "sharpe_rank", "pf_rank")
+
+
+@_register("cluster_bootstrap_methods", _boot_sql(" UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({_tally_sql('asset, window_i').replace('roi_rank', m)})" for m in _RANKS), "asset, window_i", "method"))
+def cluster_bootstrap_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One resampling of the clusters, and the lift of every rank column over it."""
+    rows = panel(spark, sf_dir)
+    counts = [resample.tallies(rows, ["asset", "window_i"], F.col(m) >= 50).select(F.lit(m).alias("method"), "*") for m in _RANKS]
+    return _rounded(resample.cluster_bootstrap(counts[0].unionByName(counts[1]).unionByName(counts[2]), ["asset", "window_i"], ["method"], BOOT))
+
+
+@_register("calendar_bootstrap_ci", _boot_sql(f"SELECT (window_i + 1994)::INTEGER AS period, sum(n) AS n, sum(hits) AS hits, sum(n_pass) AS n_pass, sum(pass_hits) AS pass_hits FROM ({_tally_sql('asset, window_i')}) GROUP BY 1", "period"))
 def calendar_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window tallies rolled up to calendar clusters, then resampled."""
-    mapped = F.element_at(F.create_map(*(F.lit(x) for pair in CALENDAR.items() for x in pair)), F.col("window_i"))
-    rolled = _tally(spark, sf_dir, ["asset", "window_i"]).withColumn("quarter", mapped).where("quarter IS NOT NULL")
-    rolled = rolled.groupBy("quarter").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "n_pass", "pass_hits")))
-    return _rounded(resample.cluster_bootstrap(rolled, ["quarter"], reps=BOOT))
+    """Window tallies rolled up over assets to the calendar periods of their ship dates, then resampled."""
+    rolled = _tally(spark, sf_dir, ["asset", "window_i"]).withColumn("period", F.col("window_i") + 1994)
+    rolled = rolled.groupBy("period").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "n_pass", "pass_hits")))
+    return _rounded(resample.cluster_bootstrap(rolled, ["period"], reps=BOOT))
 
 
-@_register("mean_bootstrap_ci", f"""{PANEL_SQL}, w AS (SELECT asset, window_i, avg(next_roi) AS x, row_number() OVER (PARTITION BY asset ORDER BY window_i) AS k, count(*) OVER (PARTITION BY asset) AS n FROM panel WHERE next_roi IS NOT NULL GROUP BY asset, window_i),
+_W_LIFT = f"SELECT asset, window_i, (pass_hits::DOUBLE / n_pass::DOUBLE - hits::DOUBLE / n::DOUBLE) * 100 AS x FROM ({_tally_sql('asset, window_i')}) WHERE n >= 10 AND n_pass > 5"
+
+
+@_register("lift_bootstrap_ci", f"""{PANEL_SQL}, l AS ({_W_LIFT}), a AS (SELECT asset, asset AS own, window_i, x FROM l UNION ALL SELECT 'All', asset, window_i, x FROM l),
+w AS (SELECT asset, x, row_number() OVER (PARTITION BY asset ORDER BY window_i, own) AS k, count(*) OVER (PARTITION BY asset) AS n FROM a),
 d AS (SELECT asset, rep, {draw_sql('0::BIGINT', '0::BIGINT', 'rep::BIGINT', 'k::BIGINT', 7)} % n + 1 AS k FROM w, (SELECT unnest(range({BOOT})) AS rep)),
 m AS (SELECT d.asset, rep, avg(x) AS x FROM d JOIN w ON w.asset = d.asset AND w.k = d.k GROUP BY ALL)
 SELECT asset, round(quantile_cont(x, 0.025), 6) AS low, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.975), 6) AS high FROM m GROUP BY asset""")
-def mean_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap of the mean over windows."""
+def lift_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap of the mean of the windows' lifts, by asset and pooled. Windows need 10 rows and more than 5 passing ones."""
+    share = lambda h, n: F.col(h).cast("double") / F.col(n)
+    lifts = _tally(spark, sf_dir, ["asset", "window_i"]).where("n >= 10 AND n_pass > 5").select("asset", F.col("asset").alias("own"), "window_i", ((share("pass_hits", "n_pass") - share("hits", "n")) * 100).alias("x"))
+    return _mean_bootstrap(lifts.unionByName(lifts.withColumn("asset", F.lit("All"))), ["window_i", "own"])
+
+
+def _mean_bootstrap(values: DataFrame, order: list[str]) -> DataFrame:
+    """asset, low, mean, high of the means of resampled values; values are one for each window."""
     from pyspark.sql import Window
 
     from liftline.functions.rng import draw
 
-    means = panel(spark, sf_dir).where("next_roi IS NOT NULL").groupBy("asset", "window_i").agg(F.avg("next_roi").alias("x"))
-    w = means.withColumns({"k": F.row_number().over(Window.partitionBy("asset").orderBy("window_i")), "n": F.count(F.lit(1)).over(Window.partitionBy("asset"))})
-    drawn = w.select("asset", "k", "n").join(F.broadcast(spark.range(BOOT).withColumnRenamed("id", "rep"))).select("asset", "rep", (draw(F.lit(0), F.lit(0), F.col("rep"), F.col("k"), 7) % F.col("n") + 1).cast("int").alias("k"))
-    means = drawn.join(F.broadcast(w.select("asset", "k", "x")), ["asset", "k"]).groupBy("asset", "rep").agg(F.avg("x").alias("x"))
+    w = values.withColumns({"k": F.row_number().over(Window.partitionBy("asset").orderBy(*order)), "n": F.count(F.lit(1)).over(Window.partitionBy("asset"))})
+    drawn = w.select("asset", "k", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BOOT - 1).cast("bigint"))).alias("rep"))
+    drawn = drawn.select("asset", "rep", (draw(F.lit(0), F.lit(0), F.col("rep"), F.col("k"), 7) % F.col("n") + 1).cast("int").alias("k"))
+    means = drawn.join(w.select("asset", "k", "x"), ["asset", "k"]).groupBy("asset", "rep").agg(F.avg("x").alias("x"))
     return means.groupBy("asset").agg(F.round(F.percentile("x", 0.025), 6).alias("low"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.975), 6).alias("high"))
 
 
-_Z = " + ".join(f"{draw_sql(f'{k}::BIGINT', '0::BIGINT', 'rep::BIGINT', 'n_pool::BIGINT')} / {float(PRIME)}::DOUBLE" for k in range(12))
+@_register("mean_bootstrap_ci", f"""{PANEL_SQL}, w AS (SELECT asset, window_i, avg(next_roi) AS x, row_number() OVER (PARTITION BY asset ORDER BY window_i) AS k, count(*) OVER (PARTITION BY asset) AS n FROM panel WHERE next_roi IS NOT NULL GROUP BY asset, window_i),
+d AS (SELECT asset, rep, {draw_sql('0::BIGINT', '0::BIGINT', 'rep::BIGINT', 'k::BIGINT', 7)} % n + 1 AS k FROM w, (SELECT unnest(range({BOOT})) AS rep)),
+m AS (SELECT d.asset, rep, avg(x) AS x FROM d JOIN w ON w.asset = d.asset AND w.k = d.k GROUP BY ALL)
+SELECT asset, round(quantile_cont(x, 0.025), 6) AS low, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.975), 6) AS high FROM m GROUP BY asset""")
+def mean_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap of the mean over windows."""
+    return _mean_bootstrap(panel(spark, sf_dir).where("next_roi IS NOT NULL").groupBy("asset", "window_i").agg(F.avg("next_roi").alias("x")), ["window_i"])
 
 
-@_register("placebo_ci", f"""{PANEL_SQL}, c AS (SELECT asset, count(*) FILTER (WHERE pf > 1.0) AS n_pool, count(*) FILTER (WHERE pf > 1.0 AND next_hit > 0) AS hits, count(*) FILTER (WHERE pf > 1.0 AND roi_rank >= 50) AS n_chosen, count(*) FILTER (WHERE pf > 1.0 AND roi_rank >= 50 AND next_hit > 0) AS chosen_hits FROM panel WHERE next_hit IS NOT NULL GROUP BY asset),
-d AS (SELECT *, hits / n_pool AS share, (0.0::DOUBLE + {_Z}) - 6.0::DOUBLE AS z FROM c, (SELECT unnest(range(200)) AS rep) WHERE n_chosen > 0),
-x AS (SELECT *, greatest(0.0::DOUBLE, least(floor(n_chosen * share + sqrt(n_chosen * share * (1 - share) * ((n_pool - n_chosen)::DOUBLE / greatest(n_pool - 1, 1)::DOUBLE)) * z + 0.5::DOUBLE), least(n_chosen, hits)::DOUBLE)) / n_chosen * 100 AS x FROM d)
+@_register("placebo_ci", f"""{PANEL_SQL}, pool AS (SELECT asset, strategy, window_i, next_hit, roi_rank >= 50 AS chosen FROM panel WHERE next_hit IS NOT NULL AND pf > 1.0),
+c AS (SELECT asset, count(*) AS n_pool, count(*) FILTER (WHERE chosen) AS n_chosen, count(*) FILTER (WHERE chosen AND next_hit > 0) AS chosen_hits FROM pool GROUP BY asset),
+k AS (SELECT p.asset, n_pool, n_chosen, chosen_hits, rep, next_hit, row_number() OVER (PARTITION BY p.asset, rep ORDER BY {draw_sql('strategy::BIGINT', 'window_i::BIGINT', 'rep::BIGINT', '3::BIGINT')}, strategy, window_i) AS place FROM pool p JOIN c ON c.asset = p.asset AND n_chosen > 0, (SELECT unnest(range(1000)) AS rep)),
+x AS (SELECT asset, n_pool, n_chosen, chosen_hits, rep, count(*) FILTER (WHERE next_hit > 0) * 100.0::DOUBLE / max(n_chosen) AS x FROM k WHERE place <= n_chosen GROUP BY ALL)
 SELECT asset, n_pool, n_chosen, round(chosen_hits * 100.0::DOUBLE / n_chosen, 6) AS rate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, chosen_hits * 100.0::DOUBLE / n_chosen < quantile_cont(x, 0.025) AS below FROM x GROUP BY asset, n_pool, n_chosen, chosen_hits""")
 def placebo_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir).where("next_hit IS NOT NULL")
-    return _rounded(resample.placebo(rows, ["asset"], F.col("pf") > 1.0, F.col("roi_rank") >= 50, "next_hit", F.col("strategy")))
+    return _rounded(resample.placebo(rows, ["asset"], F.col("pf") > 1.0, F.col("roi_rank") >= 50, "next_hit", "strategy", "window_i"))
 
 
 @_register("stratified_sample", f"{PANEL_SQL} SELECT family, strategy FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {draw_sql('strategy::BIGINT', '0::BIGINT', '0::BIGINT', '0::BIGINT', 123)}, strategy) AS r FROM strategies) WHERE r <= 40")
@@ -178,3 +230,12 @@ def window_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random picks of ten of each window's thirty best by in-sample profit factor."""
     rows = panel(spark, sf_dir).where("oos_roi IS NOT NULL")
     return _rounded(resample.portfolios(rows, ["window_i"], "pf", "strategy", F.col("oos_roi")))
+
+
+@_register("random_portfolios", f"""{PANEL_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY window_i ORDER BY pf DESC, strategy) AS r, count(*) OVER (PARTITION BY window_i) AS n_all FROM panel WHERE oos_roi IS NOT NULL),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY window_i, portfolio ORDER BY {draw_sql('r::BIGINT', '0::BIGINT', 'portfolio::BIGINT', '1::BIGINT')}, r) AS k FROM best, (SELECT unnest(range(500))::INTEGER AS portfolio) WHERE r <= 17 AND n_all >= 24)
+SELECT window_i, portfolio, count(*) AS n, round(avg(oos_roi), 6) AS mean_value FROM drawn WHERE k <= 10 GROUP BY window_i, portfolio""")
+def random_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 random picks of ten of each window's best seventeen; windows with fewer than 24 strategies have none."""
+    rows = panel(spark, sf_dir).where("oos_roi IS NOT NULL")
+    return _rounded(resample.portfolios(rows, ["window_i"], "pf", "strategy", F.col("oos_roi"), 17, 10, 500, least=24))

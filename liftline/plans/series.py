@@ -127,9 +127,9 @@ def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.rolling_corr(sequence.log_returns(_series(spark, sf_dir)), WIDTH, STEP)
 
 
-@_register("rolling_corr", f"{_SERIES}, {_ROLL} SELECT w, a, b, n, round(r, 6) AS r FROM roll")
+@_register("rolling_corr", f"{_SERIES}, {_ROLL} SELECT w, (w * {STEP} + {WIDTH})::INTEGER AS last_t, a, b, n, round(r, 6) AS r FROM roll")
 def rolling_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolling(spark, sf_dir).withColumn("r", F.round("r", 6))
+    return _rolling(spark, sf_dir).select("w", (F.col("w") * STEP + WIDTH).cast("int").alias("last_t"), "a", "b", "n", F.round("r", 6).alias("r"))
 
 
 @_register("mean_corr", f"{_SERIES}, {_ROLL} SELECT a, b, count(*) AS windows, round(avg(r), 6) AS r FROM roll GROUP BY a, b")
@@ -143,6 +143,31 @@ def corr_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.eigenvalues(_rolling(spark, sf_dir))
 
 
+@_register("corr_eigen_moments", f"{_SERIES}, {_ROLL} SELECT w, round(count(DISTINCT x), 6)::DOUBLE AS trace, round(count(DISTINCT x) + 2 * max(squares), 6)::DOUBLE AS squares FROM (SELECT w, unnest([a, b]) AS x, sum(r * r) OVER (PARTITION BY w) AS squares FROM roll) GROUP BY w")
+def corr_eigen_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the eigenvalues and of their squares, which the matrix itself tells."""
+    return corr_eigen(spark, sf_dir).groupBy("w").agg(F.round(F.sum("eigenvalue"), 6).alias("trace"), F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 6).alias("squares"))
+
+
+_RUNS_SQL = "runs AS (SELECT *, sum(turn) OVER (PARTITION BY series, fast, slow ORDER BY t) AS run FROM (SELECT *, (position <> coalesce(lag(position) OVER (PARTITION BY series, fast, slow ORDER BY t), 0))::INT AS turn FROM grid)), tr AS (SELECT series, fast, slow, run, sum(coalesce(ret, 0)) - 0.001 AS pnl FROM runs WHERE position <> 0 GROUP BY ALL)"
+
+
+@_register("grid_run_metrics", f"""{_SERIES}, {_GRID_SQL}, {_RUNS_SQL}, eq AS (SELECT *, sum(pnl) OVER (PARTITION BY series, fast, slow ORDER BY run) AS equity FROM tr), pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY series, fast, slow ORDER BY run), 0) AS peak FROM eq),
+m AS (SELECT series, fast, slow, count(*) AS trades, sum(pnl) AS roi, sum(greatest(pnl, 0)) AS won, sum(greatest(-pnl, 0)) AS lost, max(peak - equity) AS mdd, avg(pnl) AS mean, stddev_pop(pnl) AS sd FROM pk GROUP BY ALL)
+SELECT series, fast, slow, trades, round(roi, 6) AS roi, round(CASE WHEN lost > 1e-12 THEN least(won / lost, 100.0::DOUBLE) WHEN won > 0 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS pf, round(mdd, 6) AS mdd, round(CASE WHEN mdd > 1e-9 THEN roi / mdd END, 6) AS calmar, round(CASE WHEN sd > 1e-9 THEN mean / sd ELSE 0.0::DOUBLE END, 6) AS sharpe FROM m""")
+def grid_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROI, profit factor, drawdown, Calmar and Sharpe of each grid cell's trades."""
+    keys = ["series", "fast", "slow"]
+    order = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    runs = sequence.trade_runs(_grid(spark, sf_dir), keys, cost=0.001).withColumn("equity", F.sum("pnl").over(order))
+    runs = runs.withColumn("peak", F.greatest(F.max("equity").over(order), F.lit(0.0)))
+    m = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("roi"), F.sum(F.greatest("pnl", F.lit(0.0))).alias("won"), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0))).alias("lost"), F.max(F.col("peak") - F.col("equity")).alias("mdd"), F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("sd"))
+    pf = F.when(F.col("lost") > 1e-12, F.least(F.try_divide("won", "lost"), F.lit(100.0))).when(F.col("won") > 0, F.lit(100.0)).otherwise(F.lit(1.0))
+    calmar = F.when(F.col("mdd") > 1e-9, F.try_divide("roi", "mdd"))
+    sharpe = F.when(F.col("sd") > 1e-9, F.try_divide("mean", "sd")).otherwise(F.lit(0.0))
+    return m.select(*keys, "trades", *(F.round(c, 6).alias(n) for n, c in (("roi", F.col("roi")), ("pf", pf), ("mdd", F.col("mdd")), ("calmar", calmar), ("sharpe", sharpe))))
+
+
 def _ema_sql(name: str, source: str, column: str, period: int) -> str:
     a = f"{2 / (period + 1)!r}::DOUBLE"
     return f"{name} AS (SELECT series, t, {column} AS e FROM {source} WHERE t = 0 UNION ALL SELECT x.series, x.t, {a} * x.{column} + (1 - {a}) * y.e FROM {name} y JOIN {source} x ON x.series = y.series AND x.t = y.t + 1)"

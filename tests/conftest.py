@@ -51,7 +51,7 @@ def rows_of(frame):
     columns = sorted(frame.columns)
 
     def plain(x):
-        if x is None or x != x or type(x).__name__ == "NaTType":
+        if x is None or type(x).__name__ in ("NaTType", "NAType") or x != x:
             return None
         if hasattr(x, "item"):
             x = x.item()

@@ -92,7 +92,7 @@ def test_lift_parts(spark):
 @given(st.lists(st.integers(-1000, 1000), min_size=3, max_size=40), st.integers(1, 12))
 def test_permutations_keep_what_they_must(pnls, block):
     p = np.array(pnls, np.int64)
-    order = resample.block_order(len(p), block, 5, 2, 6, 42)
+    order = resample.block_order(len(p), block, 5, 2, np.arange(6), 42)
     assert (np.sort(order, axis=1) == np.arange(len(p))).all()
     size = block if len(p) >= 2 * block else 1
     tail = np.arange(len(p) // size * size, len(p))
