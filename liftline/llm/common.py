@@ -16,8 +16,9 @@ BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the executors and bound the batches that Python gets."""
+    """Send the package to the executors, bound the batches that Python gets, and let shuffle files go when a query has ended."""
     ship(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
