@@ -10,11 +10,14 @@ the inner product in double precision.
 A part is dealt over as many pieces as its rows need, so neither a popular part
 nor many equal vectors land in one task.
 
+Vectors are partners of those of their own dimension. Each dimension of which
+the sample holds enough has parts and a router of its own; any other is one
+part, which all its queries are scored against.
+
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and rows with null id, take no part; rows with the query's vec_id
-are not its partners; only vectors of the commonest dimension of the sample
-are searched; ties go to the smaller vec_id; an empty table gives no rows.
-Extra columns are ignored.
+are not its partners; ties go to the smaller vec_id; an empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from liftline.llm.vectors import best, from_block, held, of_rows, ranked, to_blo
 TOP, EVERY = 20, 20
 #: Rows that the index is fitted on, at most; parts; neighbours in the graph; hidden units; recall sought within the sample.
 SAMPLE, PARTS, NEIGHBOURS, HIDDEN, RECALL = 6000, 16, 10, 128, 0.96
+#: Rows of a dimension that the sample must hold for a router to be fitted.
+FITTED = 128
 #: Rows in a piece of a part; queries in a block.
 PIECE, QUERIES = 3072, 128
 
@@ -133,16 +138,19 @@ def fit(x: np.ndarray, parts: int = PARTS, k: int = TOP, recall: float = RECALL)
     return router, 1 + next(p for p in range(parts) if shares[p] >= recall or p == parts - 1)
 
 
-def _assign(router: Router, dim: int, probes: int):  # noqa: ANN202
-    """vec_id, embedding -> vec_id, embedding, parts (the most probable ones)."""
+def _assign(routers: dict[int, tuple[int, Router, int]], asked: bool):  # noqa: ANN202
+    """vec_id, embedding -> vec_id, embedding, parts: the most probable one, or as many as a query asks. routers: by dimension, its first part, router and probes. A dimension without one is the part of its negative."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, (ids, data) in of_rows(batch, 0, 1).items():
-                if d == dim:
-                    chosen = router.order(data)[:, :probes].astype(np.int32)
-                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).ravel())) for m in (data, chosen)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["vec_id", "embedding", "parts"])
+            for dim, (ids, data) in of_rows(batch, 0, 1).items():
+                if dim in routers:
+                    first, router, probes = routers[dim]
+                    chosen = (first + router.order(data)[:, : probes if asked else 1]).astype(np.int32)
+                else:
+                    chosen = np.full((len(ids), 1), -dim, np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).ravel())) for m in (data, chosen)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["vec_id", "embedding", "parts"])
 
     return apply
 
@@ -151,10 +159,11 @@ def _pack(limit: int):  # noqa: ANN202
     """Rows of (part, piece, vec_id, embedding) -> blocks of one part and piece."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
-        part, piece = np.array(batch.column(0)), np.array(batch.column(1))
-        for ids, data in of_rows(batch, 2, 3).values():
-            for k in np.unique(np.stack([part, piece], axis=1), axis=0).tolist():
-                own = (part == k[0]) & (piece == k[1])
+        part, piece, size = np.array(batch.column(0)), np.array(batch.column(1)), np.diff(np.array(batch.column(3).offsets))
+        for dim, (ids, data) in of_rows(batch, 2, 3).items():
+            keys = np.stack([part, piece], axis=1)[size == dim]
+            for k in np.unique(keys, axis=0).tolist():
+                own = (keys == k).all(axis=1)
                 yield tuple(k), ids[own], data[own]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,20 +204,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, parts: int = PA
     sample: dict[int, np.ndarray] = {}
     for batch in fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks().to_batches():
         sample = {d: x for d, (_, x) in of_rows(batch, 0, 1).items()}
-    if not sample:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = max(sample, key=lambda d: (len(sample[d]), d))
-    router, probes = fit(sample[dim], parts, k, recall)
+    routers: dict[int, tuple[int, Router, int]] = {}
+    for i, (dim, x) in enumerate(sorted(sample.items())):
+        if len(x) >= FITTED:
+            routers[dim] = (i * parts, *fit(x, parts, k, recall))
     schema = "vec_id bigint, embedding array<double>, parts array<int>"
-    index = materialise(fine.mapInArrow(_assign(router, dim, 1), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part")))
+    index = materialise(fine.mapInArrow(_assign(routers, False), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part")))
     pieces = index.groupBy("part").count().select("part", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    pieces = {r["part"]: r["pieces"] for r in pieces.collect()}  # one row for each part
-    count = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("part")) if pieces else F.lit(1)
-    n = max(1, sum(pieces.values()))
+    pieces = {r["part"]: r["pieces"] for r in pieces.collect()}  # one row for each part: some for each dimension
+    if not pieces:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    count = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("part"))
+    n = sum(pieces.values())
     dealt = index.withColumn("piece", F.pmod(F.xxhash64("vec_id"), count).cast("int")).select("part", "piece", "vec_id", "embedding")
     block = "part int, piece int, dim int, ids binary, data binary"
     left = dealt.repartition(n, "part", "piece").mapInArrow(_pack(PIECE), block)
-    sent = asked.mapInArrow(_assign(router, dim, probes), schema).select(F.explode("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // parts))).cast("int").alias("piece"), "vec_id", "embedding")
+    sent = asked.mapInArrow(_assign(routers, True), schema).select(F.explode("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // len(pieces)))).cast("int").alias("piece"), "vec_id", "embedding")
     packed = materialise(sent.repartition(n, "part", "piece").mapInArrow(_pack(QUERIES), block))
     right = packed.where(F.col("part").isin(*pieces)).select("part", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     met = materialise(left).join(right, ["part", "piece"]).select("dim", "ids", "data", "q_dim", "q_ids", "q_data")

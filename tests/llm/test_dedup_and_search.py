@@ -87,7 +87,7 @@ def test_intervals_by_brute_force():
 # chunks
 
 
-def _chunk_brute(rows):
+def _chunk_brute(rows, least=chunk_dedup.MIN_RUN):
     seen, out = {}, {}
     key = lambda r: (r[0], xxhash.xxh64_intdigest((r[1] or "").encode()))
     order = sorted({r for r in rows if r[0] is not None and r[1]}, key=key)
@@ -100,14 +100,17 @@ def _chunk_brute(rows):
         cuts = [i + 1 for i in range(r, len(b) - r) if hashes[i] == max(hashes[i - r : i + r + 1])]
         if not cuts or cuts[-1] != len(b):
             cuts.append(len(b))
-        kept = b""
+        runs = []  # repeated or not, bytes
         for e in cuts:
             c = b[at:e]
-            if len(c) < chunk_dedup.MIN_BYTES or c not in seen:
-                kept += c
-                seen.setdefault(c, d)
+            again = c in seen
+            seen.setdefault(c, d)
+            if runs and runs[-1][0] == again:
+                runs[-1][1] += c
+            else:
+                runs.append([again, c])
             at = e
-        out[d, t] = kept
+        out[d, t] = b"".join(x for again, x in runs if not again or len(x) < least and x != b)
     return [(d, len((t or "").encode()), hashlib.sha256(out.get((d, t), (t or "").encode())).hexdigest()) for d, t in rows]
 
 
@@ -116,6 +119,8 @@ def test_chunk_dedup_by_brute_force(spark):
     rows += [rows[5], rows[5]]
     got = sorted(((r.doc_id, r.n_bytes, r.kept_sha256) for r in spans.digest_columns(chunk_dedup.dedup(_docs(spark, rows), ["doc_id"])).collect()), key=str)
     assert got == sorted(_chunk_brute(rows), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.kept_sha256) for r in spans.digest_columns(chunk_dedup.dedup(_docs(spark, rows), ["doc_id"], 0)).collect()), key=str)
+    assert got == sorted(_chunk_brute(rows, 0), key=str)
     assert chunk_dedup.dedup(_docs(spark, rows).limit(0), ["doc_id"]).count() == 0
 
 
@@ -378,6 +383,23 @@ def test_learned_partitions_edges(spark):
     assert [tuple(r) for r in learned_partitions.search(two, two).orderBy("query_id").collect()] == [(0, 1, 20, 0.5), (20, 1, 0, 0.5)]
 
 
+def test_learned_partitions_of_every_dimension(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, d)]) for i, d in enumerate([6] * 400 + [5] * 300 + [2] * 30 + [1] * 1)]
+    df = _vectors(spark, rows)
+    got = learned_partitions.search(df, df.where("vec_id % 10 = 0"), k=5).toPandas()
+    found = total = 0
+    for q, v in rows:
+        if q % 10 == 0:
+            near = sorted((-float(np.float32(v).astype(float) @ np.float32(w).astype(float)), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            own = got[got.query_id == q]
+            assert len(own) == len(near)
+            found, total = found + len({i for _, i in near} & set(own.vec_id)), total + len(near)
+            if len(v) == 2:  # no router: all are compared
+                assert [i for _, i in near] == own.sort_values("rank").vec_id.tolist()
+    assert found / total >= 0.9
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(3).normal(0, 1, (800, 6))
     part = learned_partitions.balanced_parts(learned_partitions.neighbours(x, 8), x, 8)
