@@ -10,15 +10,18 @@ that on average. Where text repeats with a short period no byte is greater than
 all before it; such stretches are cut every MAX_BYTES from the last cut, so that
 a copy within another text may keep about that much at each end of one. Every
 chunk has at least MIN_BYTES, but a text shorter than that is one chunk. Chunks
-are compared by a 128-bit digest. The first, by doc_id and place, stays; others
-go.
+are compared by a 128-bit digest. The first, by doc_id and place, stays. Later
+ones are repeats, and a run of them goes where it has at least MIN_RUN bytes or
+is the whole text: a shorter one is a phrase that texts share by chance or
+custom, not a copied passage. A passage of n bytes is found as a run of more
+than n - 2 (MAX_BYTES + MIN_BYTES) bytes, and of about n - 100 where chunks have
+their usual size.
 
 Every task keeps the first of its own equal chunks and sends that one only, in
 packed blobs by bucket of the digest, so that a chunk costs its bucket one
 entry per task at most however often it repeats.
 
-Defined results: null text is empty; a text under MIN_BYTES goes only where the
-same text, as a whole, stands before; a row with null doc_id keeps all and takes nothing; rows
+Defined results: null text is empty; a text under MIN_RUN goes only as a whole; a row with null doc_id keeps all and takes nothing; rows
 equal in doc_id and text are one document and keep the same; rows with one
 doc_id and other texts are ordered by a hash of the text; an empty table gives
 no rows. Extra columns are ignored.
@@ -40,6 +43,8 @@ from liftline.llm.spans import cut, digest_columns, gather, sizes, whole_blobs
 RADIUS = 24
 MIN_BYTES = 24
 MAX_BYTES = 256
+#: The least run of repeated chunks that is removed.
+MIN_RUN = 160
 #: Chunks held before they are sent, and text bytes per bucket of digests.
 _HELD, _BUCKET_BYTES = 1_000_000, 4 << 20
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -165,9 +170,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return gather(gone, parts)
 
 
-def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
+def dedup(docs: DataFrame, keep: list[str], min_run: int = MIN_RUN) -> DataFrame:
     """The kept columns of every row with n_bytes, n_removed, n_spans and the remaining bytes."""
-    return cut(docs, repeated_chunks(docs), keep)
+    return cut(docs, repeated_chunks(docs), keep, min_run)
 
 
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), np.r_[ends[first[1:] - 1], ends[-1]].tolist(), strict=True)) if len(starts) else []
 
 
-def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], as_text: bool = False) -> DataFrame:
-    """kept_row (a struct of the columns), n_bytes, n_removed, n_spans and kept, for every row of docs; spans: rid, starts, ends (arrays), one row per rid. What is kept is binary, or text without letters that a cut splits."""
+def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], as_text: bool = False, least: int = 0) -> DataFrame:
+    """kept_row (a struct of the columns), n_bytes, n_removed, n_spans and kept, for every row of docs; spans: rid, starts, ends (arrays), one row per rid. What is kept is binary, or text without letters that a cut splits. Runs under the least bytes stay, but for whole texts."""
     prepare(docs.sparkSession)
     rows = docs.select(whole(docs, columns).alias("kept_row"), row_key().alias("rid"), F.col("text").alias("whole_text"))
     joined = rows.join(spans, "rid", "left")  # Spark broadcasts by its own threshold, else shuffles both sides
@@ -33,6 +33,7 @@ def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], as_text: boo
             for text, starts, ends in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 data = (text.as_py() or "").encode("utf-8")
                 runs = merged(np.array(starts.values), np.array(ends.values)) if starts.is_valid else []
+                runs = [(a, b) for a, b in runs if b - a >= min(least, len(data))]
                 at, pieces = 0, []
                 for a, b in runs:
                     pieces.append(data[at:a])
@@ -49,9 +50,9 @@ def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], as_text: boo
     return joined.select("kept_row", "whole_text", "starts", "ends").mapInArrow(apply, schema)
 
 
-def cut(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, keep: list[str], least: int = 0) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept (binary), for every row of docs."""
-    return cut_rows(docs, spans, keep).select(*unpacked("kept_row", keep), "n_bytes", "n_removed", "n_spans", "kept")
+    return cut_rows(docs, spans, keep, least=least).select(*unpacked("kept_row", keep), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def cut_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
