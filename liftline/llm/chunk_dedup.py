@@ -43,8 +43,8 @@ from liftline.llm.spans import cut, digest_columns, gather, sizes, whole_blobs
 RADIUS = 24
 MIN_BYTES = 24
 MAX_BYTES = 256
-#: The least run of repeated chunks that is removed.
-MIN_RUN = 160
+#: The least run of repeated chunks that is removed: two chunks of usual size.
+MIN_RUN = 4 * RADIUS
 #: Chunks held before they are sent, and text bytes per bucket of digests.
 _HELD, _BUCKET_BYTES = 1_000_000, 4 << 20
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
