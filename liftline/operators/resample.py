@@ -88,6 +88,28 @@ def block_order(n: int, block: int, unit: int, window: int, reps: np.ndarray, se
     return np.hstack([moved, np.tile(np.arange(whole * size, n), (len(reps), 1))])
 
 
+def path_kernel(pnls: np.ndarray, unit: int, window: int, reps: int, seed: int = 42, bootstrap: bool = False) -> tuple[float, float, float]:
+    """ROI, drawdown and Calmar ranks of a sequence against permutations, or samples with replacement: shares below, above and below. Under three trades: 50 each. Without a drawdown Calmar is 999."""
+    n = len(pnls)
+    if n < 3:
+        return 50.0, 50.0, 50.0
+    calmar = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 999.0)
+    stats = lambda x: (x.sum(axis=1), max_drawdown(x, True))
+    (total,), (fall,) = stats(pnls[None, :])
+    won = np.zeros(3)
+    for some in _pieces(reps, n):
+        order = _draws(unit, window, some, np.arange(1, n + 1), seed)
+        a, b = stats(pnls[order % n] if bootstrap else pnls[np.argsort(order, axis=1, kind="stable")])
+        won += (a < total).sum(), (fall < b).sum(), (calmar(a, b) < calmar(total, fall)).sum()
+    return tuple((won / reps * 100.0).tolist())
+
+
+def path_ranks(seqs: DataFrame, keys: list[str], reps: int = 1000, seed: int = 42) -> DataFrame:
+    """keys, and of permutations and of samples with replacement the ranks of path_kernel."""
+    names = [f"{kind}_{m}_rank" for kind in ("perm", "boot") for m in ("roi", "mdd", "calmar")]
+    return _by_group(seqs, keys, names, lambda p, s, w: path_kernel(p, s, w, reps, seed) + path_kernel(p, s, w, reps, seed, True))
+
+
 def _by_group(seqs: DataFrame, keys: list[str], names: list[str], kernel) -> DataFrame:  # noqa: ANN001
     """A kernel over each (strategy, window) array; batches of groups, never a group's replicates as rows."""
 

@@ -65,19 +65,6 @@ def edge_tag(strategy: Column, window: Column, prevalence: float, dropout: float
     return (rng.uniform(strategy, window, zero, zero, seed) < prevalence) & (rng.uniform(strategy, window, F.lit(1), zero, seed) >= dropout)
 
 
-def sequence_ranks(pnls: np.ndarray, unit: int, window: int, reps: int, seed: int = 42, bootstrap: bool = False) -> tuple[float, float, float]:
-    """ROI, drawdown and Calmar ranks of a sequence against permutations, or samples with replacement. Under three trades: 50 each."""
-    n = len(pnls)
-    if n < 3:
-        return 50.0, 50.0, 50.0
-    order = resample._draws(unit, window, np.arange(reps), np.arange(1, n + 1), seed)
-    sample = pnls[order % n] if bootstrap else pnls[np.argsort(order, axis=1, kind="stable")]
-    total, fall = sample.sum(axis=1), resample.max_drawdown(sample, True)
-    own_total, own_fall = pnls.sum(), resample.max_drawdown(pnls[None, :], True)[0]
-    calmar = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 999.0)
-    return float((total < own_total).mean() * 100), float((own_fall < fall).mean() * 100), float((calmar(total, fall) < calmar(own_total, own_fall)).mean() * 100)
-
-
 def evaluate(series: DataFrame, pairs: list[tuple[int, int]], in_sample: int, out_sample: int, reps: int = 100, cost: float = 0.001, bootstrap: bool = False) -> DataFrame:
     """series, strategy, window_i, n_trades, pf, roi_rank, mdd_rank, calmar_rank, oos_pf, oos_hit: positions, trades in parts per million, ranks of the in-sample sequence, outcome of the out-of-sample bars. Under three trades a profit factor is 0."""
     window, inside = sequence.walk_forward(F.col("t"), in_sample, out_sample)
@@ -88,7 +75,7 @@ def evaluate(series: DataFrame, pairs: list[tuple[int, int]], in_sample: int, ou
     sums = sums.withColumn("pf", pf)
     left = sums.where("inside").select("series", "strategy", "window_i", F.col("n").alias("n_trades"), "pf", F.transform("seq", lambda x: x["pnl"]).alias("pnls"))
     right = sums.where("NOT inside").select("series", "strategy", "window_i", F.col("pf").alias("oos_pf"))
-    ranked = resample._by_group(left, ["series", "strategy", "window_i", "n_trades", "pf"], ["roi_rank", "mdd_rank", "calmar_rank"], lambda p, s, w: sequence_ranks(p, s, w, reps, bootstrap=bootstrap))
+    ranked = resample._by_group(left, ["series", "strategy", "window_i", "n_trades", "pf"], ["roi_rank", "mdd_rank", "calmar_rank"], lambda p, s, w: resample.path_kernel(p, s, w, reps, bootstrap=bootstrap))
     return ranked.join(right, ["series", "strategy", "window_i"]).withColumn("oos_hit", (F.col("oos_pf") > 1).cast("double"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.functions.expressions import ratio
+from liftline.functions.expressions import family_by_prefix, ratio
 from liftline.operators.lift import GATE, FilterSet, all_filters, lift, rank_filters, ranking, robustness_filters
 from liftline.plans.given import ASSET_CLASS, PANEL_SQL, lift_sql, panel
 
@@ -61,6 +61,21 @@ _bins = {f"[{a}, {'inf' if b is None else b})": f"pf >= {a}" + (f" AND pf < {b}"
 _add("pf_strata", _bins | {f"{n} + MC": f"{p} AND roi_rank >= 50" for n, p in _bins.items()}, "oos_hit", (), against={f"{n} + MC": n for n in _bins}, min_pass=1)
 
 
+#: Of nations' names; the longest that fits names the family, the others are OTHER.
+NAMED = ("C", "IND", "INDIA", "IRA", "UNITED")
+
+
+def lift_by_named_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lift by family of the name's longest known prefix; OTHER is measured with the rest and dropped after."""
+    rows = panel(spark, sf_dir).withColumn("family", family_by_prefix(F.col("family"), NAMED))
+    return _rounded(lift(rows, "next_hit", FilterSet({"MC ROI >= 50": "roi_rank >= 50"}), ("family",))).where("family <> 'OTHER'")
+
+
+QUERIES["lift_by_named_family"] = lift_by_named_family
+_NAMED_SQL = "(SELECT * REPLACE (CASE " + " ".join(f"WHEN starts_with(upper(family), '{p}') THEN '{p}'" for p in sorted(NAMED, key=lambda p: (-len(p), p))) + " ELSE 'OTHER' END AS family) FROM panel)"
+ORACLES["lift_by_named_family"] = _sql_rounded(lift_sql({"MC ROI >= 50": "roi_rank >= 50"}, "next_hit", ("family",), source=_NAMED_SQL), "family, " + _COLUMNS) + " WHERE family <> 'OTHER'"
+
+
 def filter_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters by their mean lift over assets."""
     return ranking(lift(panel(spark, sf_dir), "oos_hit", FilterSet(all_filters()), ["asset"]), places=4)

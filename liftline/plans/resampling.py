@@ -70,6 +70,34 @@ def mc_block_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.block_ranks(_sequences(spark, sf_dir), _KEYS, BLOCKS, PATH_REPS)
 
 
+#: As many as the SQL twin can permute in seconds.
+PATHS = 200
+_PATH = f"""sum(pnl)::BIGINT AS total, max(greatest(peak, 0) - eq)::BIGINT AS mdd FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS eq FROM"""
+_CALMAR = "CASE WHEN {0}.mdd > 0 THEN {0}.total::DOUBLE / {0}.mdd::DOUBLE ELSE 999.0::DOUBLE END"
+
+
+def _path_sql(kind: str) -> str:
+    return f"""{kind} AS (SELECT strategy, window_i, b, {_PATH} {kind}_rows)) GROUP BY ALL),
+{kind}_r AS (SELECT strategy, window_i, avg(({kind}.total < own.total)::INT::DOUBLE) * 100 AS {kind}_roi_rank, avg((own.mdd < {kind}.mdd)::INT::DOUBLE) * 100 AS {kind}_mdd_rank, avg(({_CALMAR.format(kind)} < {_CALMAR.format("own")})::INT::DOUBLE) * 100 AS {kind}_calmar_rank FROM {kind} JOIN own USING (strategy, window_i) GROUP BY ALL)"""
+
+
+@_register("mc_path_rank", f"""{_NUMBERED}, own AS (SELECT strategy, window_i, {_PATH} (SELECT *, 0 AS b, i AS pos FROM seq))) GROUP BY ALL),
+drawn AS (SELECT *, {draw_sql("strategy::BIGINT", "window_i::BIGINT", "b::BIGINT", "i::BIGINT")} AS draw FROM seq, (SELECT unnest(range({PATHS})) AS b) WHERE n >= 3),
+perm_rows AS (SELECT strategy, window_i, b, pnl, row_number() OVER (PARTITION BY strategy, window_i, b ORDER BY draw, i) AS pos FROM drawn),
+boot_rows AS (SELECT d.strategy, d.window_i, d.b, s.pnl, d.i AS pos FROM drawn d JOIN seq s ON s.strategy = d.strategy AND s.window_i = d.window_i AND s.i = 1 + d.draw % d.n),
+{_path_sql("perm")}, {_path_sql("boot")}
+SELECT strategy, window_i, {", ".join(f"coalesce({k}_{m}_rank, 50.0::DOUBLE) AS {k}_{m}_rank" for k in ("perm", "boot") for m in ("roi", "mdd", "calmar"))} FROM own LEFT JOIN perm_r USING (strategy, window_i) LEFT JOIN boot_r USING (strategy, window_i)""")
+def mc_path_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROI, drawdown and Calmar ranks against permutations and samples with replacement."""
+    return resample.path_ranks(_sequences(spark, sf_dir), _KEYS, PATHS)
+
+
+@_register("mc_path_rank_full", None)
+def mc_path_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With 1000 of each."""
+    return resample.path_ranks(_sequences(spark, sf_dir), _KEYS, 1000)
+
+
 @_register("drawdown", f"{_NUMBERED} SELECT strategy, window_i, max(peak - eq)::BIGINT AS mdd_cents, max(greatest(peak, 0) - eq)::BIGINT AS mdd_from_origin_cents FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, window_i ORDER BY i) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i ORDER BY i) AS eq FROM seq)) GROUP BY strategy, window_i")
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum drawdown of each sequence in window functions, with both starts of the peak."""

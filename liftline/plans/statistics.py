@@ -54,13 +54,34 @@ def rank_ttest_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_moments(spark, sf_dir).select("asset", "metric", "n", *(_r(F.col(c), c) for c in ("mean", "sd", "t")))
 
 
-@_register("rank_ttest", None)
+#: Nodes of the Simpson rule that the SQL twins integrate Student's density by, with t = sqrt(df) tan(angle).
+_NODES = 2000
+_NORM = "exp(lgamma((df + 1) / 2) - lgamma(df / 2))"
+
+
+def _p_sql(source: str, keys: str) -> str:
+    """keys, p (two-sided) of the source's keys, t, df."""
+    angle = "atan(abs(t) / sqrt(df))"
+    weight = f"CASE WHEN k = 0 OR k = {_NODES} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"SELECT {keys}, 1 - 2 * max({_NORM}) / sqrt(pi()) * max({angle}) / {3 * _NODES} * sum({weight} * pow(cos({angle} * k / {_NODES}), df - 1)) AS p FROM {source}, (SELECT unnest(range({_NODES + 1}))::DOUBLE AS k) GROUP BY {keys}"
+
+
+#: The 0.975 quantile of the normal distribution, and Student's expanded about it in powers of 1 / df.
+_Z = 1.959963984540054
+_EXPANDED = " + ".join([f"{_Z!r}::DOUBLE", *(f"({g!r}::DOUBLE) / pow(df, {k})" for k, g in enumerate(((_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160), 1))])
+_DENSITY = f"({_NORM} / sqrt(pi() * df) * pow(1 + t * t / df, -(df + 1) / 2))"
+
+
+@_register("rank_ttest", f""", m AS (SELECT asset, metric, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, (avg(x) - 50) / nullif(stddev_samp(x) / sqrt(count(x)), 0) AS t, count(x)::DOUBLE - 1 AS df FROM ({_LONG_ALL}) GROUP BY asset, metric),
+near AS (SELECT asset, metric, df, {_EXPANDED} AS t FROM m WHERE df > 0), pn AS ({_p_sql("near", "asset, metric")}), c AS (SELECT asset, metric, t + (p - 0.05::DOUBLE) / (2 * {_DENSITY}) AS t975 FROM near JOIN pn USING (asset, metric)), pt AS ({_p_sql("(SELECT * FROM m WHERE df > 0 AND t IS NOT NULL)", "asset, metric")})
+SELECT asset, metric, n, round(mean, {PLACES}) AS mean, round(sd, {PLACES}) AS sd, round(t, {PLACES}) AS t, round(p, {PLACES}) AS p, round(mean - t975 * sd / sqrt(n), {PLACES}) AS low, round(mean + t975 * sd / sqrt(n), {PLACES}) AS high FROM m LEFT JOIN c USING (asset, metric) LEFT JOIN pt USING (asset, metric)""")
 def rank_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With p-value and 95 % interval; Python sees one row per group."""
     ship(spark)
     m = rank_moments(spark, sf_dir)
     half = t_critical((F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt("n")
-    return m.select("*", t_p_value("t", (F.col("n") - 1).cast("double")).alias("p"), half.alias("half")).select("asset", "metric", "n", "mean", "sd", "t", "p", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
+    m = m.select("*", t_p_value("t", (F.col("n") - 1).cast("double")).alias("p"), half.alias("half"))
+    return m.select("asset", "metric", "n", *(_r(F.col(c), c) for c in ("mean", "sd", "t", "p")), _r(F.col("mean") - F.col("half"), "low"), _r(F.col("mean") + F.col("half"), "high"))
 
 
 _CORR_SQL = " UNION ALL ".join(f"SELECT asset, '{m}' AS metric, {m} AS x, oos_roi AS y FROM panel WHERE oos_roi IS NOT NULL" for m in _RANKS)
@@ -76,10 +97,11 @@ def rank_outcome_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_corr(spark, sf_dir).select("asset", "metric", "n", _r(F.col("r"), "r"), _r(F.col("r") * F.col("r") * 100, "r2_pct"))
 
 
-@_register("rank_outcome_corr_p", None)
+@_register("rank_outcome_corr_p", f""", r AS (SELECT asset, metric, count(*) AS n, corr(x, y) AS r FROM ({_CORR_SQL}) GROUP BY asset, metric HAVING count(*) >= 100),
+pt AS ({_p_sql("(SELECT asset, metric, r * sqrt((n - 2) / (1 - r * r)) AS t, n::DOUBLE - 2 AS df FROM r WHERE abs(r) < 1)", "asset, metric")}) SELECT asset, metric, n, round(r, {PLACES}) AS r, round(CASE WHEN abs(r) >= 1 THEN 0.0::DOUBLE ELSE p END, {PLACES}) AS p FROM r LEFT JOIN pt USING (asset, metric)""")
 def rank_outcome_corr_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return rank_corr(spark, sf_dir).withColumn("p", r_p_value("r", "n"))
+    return rank_corr(spark, sf_dir).withColumn("p", r_p_value("r", "n")).select("asset", "metric", "n", _r(F.col("r"), "r"), _r(F.col("p"), "p"))
 
 
 _IS_OOS = {"ROI": ("roi", "oos_roi", "true"), "Sharpe": ("sharpe", "oos_sharpe", "true"), "PF": ("pf", "oos_pf", "true"), "PF, gate": ("pf", "oos_pf", "pf > 1.0"), "PF, fee": ("pf", "oos_pf", "pf > 1.0 AND fee_pf > 1.0"), "PF, MC ROI >= 50": ("pf", "oos_pf", "roi_rank >= 50"), "PF, MC PF >= 50": ("pf", "oos_pf", "pf_rank >= 50"), "PF, gate + MC": ("pf", "oos_pf", "pf > 1.0 AND roi_rank >= 50")}
@@ -115,18 +137,19 @@ def sharpe_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIT = {"baseline": "true", "rob_fee": "fee_pf > 1.0", "rob_all4": _MEDIANS["rob_all"]}
 
 
-@_register("unit_rank_stats", " UNION ALL ".join(f"SELECT asset, '{n}' AS filter, count(*) AS n, round(avg(roi_rank), {PLACES}) AS mean, round(stddev_pop(roi_rank), {PLACES}) AS sd, round(avg((roi_rank > 50)::INT::DOUBLE) * 100, {PLACES}) AS above_50_pct, round(median(roi_rank), {PLACES}) AS median, round(avg((pf > 1)::INT::DOUBLE) FILTER (WHERE pf < 100), {PLACES}) AS valid_profit_share FROM panel WHERE {p} GROUP BY asset" for n, p in _UNIT.items()))
+@_register("unit_rank_stats", " UNION ALL ".join(f"SELECT asset, '{n}' AS filter, count(*) AS n, round(avg(roi_rank), {PLACES}) AS mean, round(stddev_pop(roi_rank), {PLACES}) AS sd, round(stddev_samp(roi_rank), {PLACES}) AS sd_samp, round(avg((roi_rank > 50)::INT::DOUBLE) * 100, {PLACES}) AS above_50_pct, round(median(roi_rank), {PLACES}) AS median, round(avg((pf > 1)::INT::DOUBLE) FILTER (WHERE pf < 100), {PLACES}) AS valid_profit_share FROM panel WHERE {p} GROUP BY asset" for n, p in _UNIT.items()))
 def unit_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the units that each filter lets through; the share above 50 is strict; capped profit factors do not count as valid."""
     rows = panel(spark, sf_dir).withColumn("filter", F.explode(F.filter(F.array(*(F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(n)) for n, p in _UNIT.items())), lambda x: x.isNotNull())))
-    return rows.groupBy("asset", "filter").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("roi_rank"), "mean"), _r(F.stddev_pop("roi_rank"), "sd"), _r(F.avg((F.col("roi_rank") > 50).cast("double")) * 100, "above_50_pct"), _r(F.median("roi_rank"), "median"), _r(F.avg(F.when(F.col("pf") < 100, (F.col("pf") > 1).cast("double"))), "valid_profit_share"))
+    return rows.groupBy("asset", "filter").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("roi_rank"), "mean"), _r(F.stddev_pop("roi_rank"), "sd"), _r(F.stddev_samp("roi_rank"), "sd_samp"), _r(F.avg((F.col("roi_rank") > 50).cast("double")) * 100, "above_50_pct"), _r(F.median("roi_rank"), "median"), _r(F.avg(F.when(F.col("pf") < 100, (F.col("pf") > 1).cast("double"))), "valid_profit_share"))
 
 
-@_register("strategy_vs_unit", f", u AS (SELECT asset, avg(roi_rank) AS unit_mean FROM panel WHERE {_UNIT['rob_all4']} GROUP BY asset) SELECT p.asset, count(*) AS n, round(avg(roi_rank), {PLACES}) AS strategy_mean, round(max(unit_mean), {PLACES}) AS unit_mean FROM panel p LEFT JOIN u ON u.asset = p.asset GROUP BY p.asset")
+@_register("strategy_vs_unit", f", u AS (SELECT asset, avg(roi_rank) AS unit_mean FROM panel WHERE {_UNIT['rob_all4']} GROUP BY asset) SELECT p.asset, count(*) AS n, round(avg(roi_rank), {PLACES}) AS strategy_mean, round(max(unit_mean), {PLACES}) AS unit_mean, coalesce(round(max(unit_mean), 1)::VARCHAR, 'N/A') AS unit_shown FROM panel p LEFT JOIN u ON u.asset = p.asset GROUP BY p.asset")
 def strategy_vs_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir)
-    unit = rows.where(_UNIT["rob_all4"]).groupBy("asset").agg(_r(F.avg("roi_rank"), "unit_mean"))
-    return rows.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("roi_rank"), "strategy_mean")).join(unit, "asset", "left")
+    unit = rows.where(_UNIT["rob_all4"]).groupBy("asset").agg(_r(F.avg("roi_rank"), "unit_mean"), F.round(F.avg("roi_rank"), 1).cast("string").alias("unit_shown"))
+    out = rows.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("roi_rank"), "strategy_mean")).join(unit, "asset", "left")
+    return out.withColumn("unit_shown", F.coalesce("unit_shown", F.lit("N/A")))
 
 
 _RATES_SQL = "SELECT asset, window_i, count(*) AS n, avg((pf > 1)::INT::DOUBLE) AS gate_rate, avg(roi_rank) AS rank_mean, stddev_samp(roi_rank) AS rank_sd, avg(next_hit) AS next_rate, avg(oos_roi) AS oos_mean FROM panel GROUP BY asset, window_i"
@@ -171,15 +194,20 @@ def rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("all").alias("all"), F.max("width").alias("width")).select("bin", "n", F.round(F.col("n") / (F.col("all") * F.col("width")), 9).alias("density"))
 
 
-@_register("rank_kde", f", r AS (SELECT roi_rank AS x FROM panel), s AS (SELECT stddev_samp(x) * 0.3::DOUBLE AS h, count(*) AS n FROM r), b AS (SELECT floor(x * 10) / 10 AS v, count(*) AS c FROM r GROUP BY 1), g AS (SELECT unnest(range(0, 101, 5)) AS point) SELECT point, round(sum(c * exp(-0.5 * ((point - v) / h) * ((point - v) / h))) / (max(s.n) * max(h) * sqrt(2 * pi())), 9) AS density FROM g, b, s GROUP BY point")
+#: Factors of the sample deviation.
+_BANDWIDTHS = (0.1, 0.15, 0.3)
+
+
+@_register("rank_kde", f", r AS (SELECT roi_rank AS x FROM panel), s AS (SELECT stddev_samp(x) AS sd, count(*) AS n FROM r), g AS (SELECT unnest(range(0, 101, 5)) AS point), b AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in _BANDWIDTHS)}]) AS bandwidth) SELECT bandwidth, point, round(sum(exp(-0.5 * ((point - x) / (sd * bandwidth)) * ((point - x) / (sd * bandwidth)))) / (max(n) * max(sd * bandwidth) * sqrt(2 * pi())), 9) AS density FROM g, r, s, b GROUP BY bandwidth, point")
 def rank_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Gaussian kernel estimate on a grid. Samples are first counted in cells of 0.1, so grid meets cells, not rows."""
+    """A Gaussian kernel estimate on a grid, with three bandwidths. A row adds to each point where it is read; only sums are shuffled."""
     rows = panel(spark, sf_dir).select(F.col("roi_rank").alias("x"))
-    scale = rows.agg((F.stddev_samp("x") * 0.3).alias("h"), F.count("x").alias("n"))
-    cells = rows.groupBy((F.floor(F.col("x") * 10) / 10).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    met = cells.join(F.broadcast(scale)).withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"), F.lit(5).cast("bigint"))))
-    z = (F.col("point") - F.col("v")) / F.col("h")
-    return met.groupBy("point").agg(F.round(F.sum(F.col("c") * F.exp(-0.5 * z * z)) / (F.max("n") * F.max("h") * F.sqrt(F.lit(2.0) * F.pi())), 9).alias("density"))
+    scale = rows.agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))  # one row
+    met = rows.crossJoin(F.broadcast(scale)).withColumn("bandwidth", F.explode(F.array(*map(F.lit, _BANDWIDTHS)))).withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"), F.lit(5).cast("bigint"))))
+    width = F.col("sd") * F.col("bandwidth")
+    z = (F.col("point") - F.col("x")) / width
+    out = met.groupBy("bandwidth", "point").agg(F.sum(F.exp(-0.5 * z * z)).alias("total"), F.max("n").alias("n"), F.max(width).alias("width"))
+    return out.select("bandwidth", "point", F.round(F.try_divide("total", F.col("n") * F.col("width") * F.sqrt(F.lit(2.0) * F.pi())), 9).alias("density"))
 
 
 @_register("tier_quantiles", "SELECT asset, round(avg(roi), 6) AS mean, round(quantile_cont(roi, 0.025), 6) AS low, round(quantile_cont(roi, 0.975), 6) AS high FROM panel GROUP BY asset")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,10 +60,12 @@ def read_results(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return out.drop("window")
 
 
-def presence(folder: str, kind: str, assets: list[str]) -> dict[str, bool]:
-    """Which assets have a file, on a local or mounted folder."""
+def presence(spark: SparkSession, folder: str, kind: str, assets: list[str]) -> dict[str, bool]:
+    """Which assets have a file, on any file system that Spark reads."""
     name = "block_perm_{}.csv" if kind == "block_perm" else "{}_" + kind + ".csv"
-    return {a: bool(glob.glob(os.path.join(folder, name.format(a)))) for a in assets}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return {a: fs.exists(path(f"{folder}/{name.format(a)}")) for a in assets}
 
 
 def read_tolerant(spark: SparkSession, path: str) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.session import ship
 
-#: Entry bar, exit bar, direction, result; little-endian.
-_TRADE = struct.Struct("<IIBd")
+#: Entry bar, exit bar, direction, result; little-endian, packed.
+_TRADE = np.dtype([("entry", "<u4"), ("exit", "<u4"), ("dir", "u1"), ("pnl", "<f8")])
 
 
-def sections(data: bytes) -> Iterator[tuple[str, str, list[tuple[int, int, int, float]]]]:
+def sections(data: bytes) -> Iterator[tuple[str, str, np.ndarray]]:
     """(lookback, section, trades) until the data end. A name of length 0 ends them too; of a section that is cut off the whole trades are kept."""
     at = 0
 
@@ -37,9 +38,9 @@ def sections(data: bytes) -> Iterator[tuple[str, str, list[tuple[int, int, int,
             return
         (count,) = struct.unpack_from("<I", data, at)
         at += 4
-        whole = min(count, (len(data) - at) // _TRADE.size)
-        yield lookback, section, [_TRADE.unpack_from(data, at + k * _TRADE.size) for k in range(whole)]
-        at += whole * _TRADE.size
+        whole = min(count, (len(data) - at) // _TRADE.itemsize)
+        yield lookback, section, np.frombuffer(data, _TRADE, whole, at)
+        at += whole * _TRADE.itemsize
         if whole < count:
             return
 
@@ -47,17 +48,21 @@ def sections(data: bytes) -> Iterator[tuple[str, str, list[tuple[int, int, int,
 def read_trades(spark: SparkSession, base: str) -> DataFrame:
     """family, strategy, lookback, section, i, entry, exit, dir (1 or -1), pnl."""
     ship(spark)
-    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="trades.bin").load(base)
+    try:
+        files = spark.read.format("binaryFile").load(f"{base}/*/*/trades.bin")
+    except Exception as missing:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        files = spark.createDataFrame([], "path string, content binary")
     place = r"/([^/]+)/([^/]+)/trades\.bin$"
     files = files.select(F.regexp_extract("path", place, 1).alias("family"), F.regexp_extract("path", place, 2).alias("strategy"), "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["family", "strategy", "lookback", "section", "i", "entry", "exit", "dir", "pnl"]
         for batch in batches:
             for family, strategy, content in batch.itertuples(index=False):
                 for lookback, section, trades in sections(bytes(content)):
-                    rows = [(family, strategy, lookback, section, i, a, b, 1 if d == 1 else -1, p) for i, (a, b, d, p) in enumerate(trades)]
-                    yield pd.DataFrame(rows, columns=columns)
+                    more = {"i": np.arange(len(trades), dtype=np.int32), "entry": trades["entry"].astype(np.int64), "exit": trades["exit"].astype(np.int64), "dir": np.where(trades["dir"] == 1, 1, -1).astype(np.int32), "pnl": trades["pnl"].astype(np.float64)}
+                    yield pd.DataFrame({"family": family, "strategy": strategy, "lookback": lookback, "section": section, **more})
 
     return files.mapInPandas(decode, "family string, strategy string, lookback string, section string, i int, entry bigint, exit bigint, dir int, pnl double")
 
@@ -87,4 +92,4 @@ def write_log(path: str, parts: list[tuple[str, str, str, list[tuple[int, int, i
             for x in (name, lookback, section):
                 raw = x.encode("utf-8")
                 f.write(struct.pack("<H", len(raw)) + raw)
-            f.write(struct.pack("<I", len(trades)) + b"".join(_TRADE.pack(*t) for t in trades))
+            f.write(struct.pack("<I", len(trades)) + np.array([tuple(t) for t in trades], _TRADE).tobytes())

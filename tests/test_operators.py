@@ -98,7 +98,7 @@ def test_permutations_keep_what_they_must(pnls, block):
     tail = np.arange(len(p) // size * size, len(p))
     assert (order[:, len(p) - len(tail) :] == tail).all()
     assert (p[order].sum(axis=1) == p.sum()).all()
-    roi, mdd, calmar = simulate.sequence_ranks(p, 1, 1, 20)
+    roi, mdd, calmar = resample.path_kernel(p, 1, 1, 20)
     assert roi == 0.0  # a permuted sum is never strictly below
     assert 0 <= mdd <= 100 and 0 <= calmar <= 100
     assert all(0 <= x <= 100 for x in resample.bootstrap_kernel(p, 1, 1, 20, 42))
@@ -107,7 +107,7 @@ def test_permutations_keep_what_they_must(pnls, block):
 def test_drawdown_starts():
     assert resample.max_drawdown(np.array([[-5, 3, -4]]))[0] == 4
     assert resample.max_drawdown(np.array([[-5, 3, -4]]), True)[0] == 6
-    assert simulate.sequence_ranks(np.array([1, 2]), 1, 1, 5) == (50.0, 50.0, 50.0)
+    assert resample.path_kernel(np.array([1, 2]), 1, 1, 5) == (50.0, 50.0, 50.0)
 
 
 def test_one_cluster_has_no_spread(spark):

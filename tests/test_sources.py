@@ -14,7 +14,7 @@ def test_results_with_labels_and_missing_values(spark, tmp_path):
     assert rows["A,(1;2)"].window_i == 3 and rows["B"].window_i == 4
     assert rows["A,(1;2)"].actual_sharpe is None and rows["A,(1;2)"].actual_pf == float("inf")
     assert rows["B"].roi_pct_rank is None and rows["B"].asset == "btc"
-    assert tables.presence(str(tmp_path), "mc_perwindow", ["btc", "sol"]) == {"btc": True, "sol": False}
+    assert tables.presence(spark, str(tmp_path), "mc_perwindow", ["btc", "sol"]) == {"btc": True, "sol": False}
 
 
 def test_missing_files_are_an_empty_table(spark, tmp_path):
@@ -58,6 +58,10 @@ def test_trade_logs(spark, tmp_path):
     assert [(r.window_i, r.pnls) for r in kept] == [(3, [float(k) for k in range(10)])]
     bars = trade_logs.held_positions(rows, 100, oos_only=True).collect()
     assert {b.dir for b in bars} == {-1} and min(b.bar for b in bars) == 200 and max(b.bar for b in bars) == 405
+    for other in (tmp_path / "trades.bin", tmp_path / "RSI" / "trades.bin", d / "deep" / "trades.bin"):  # not at the depth of logs
+        other.parent.mkdir(exist_ok=True)
+        trade_logs.write_log(str(other), [("s", "5", "W03-IS", t(3))])
+    assert trade_logs.read_trades(spark, str(tmp_path)).count() == 35 and trade_logs.read_trades(spark, str(tmp_path / "none")).count() == 0
     raw = open(path, "rb").read()
     open(path, "wb").write(raw[:-5])
     assert trade_logs.read_trades(spark, str(tmp_path)).count() == 34
