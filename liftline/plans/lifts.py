@@ -62,7 +62,7 @@ _add("pf_strata", _bins | {f"{n} + MC": f"{p} AND roi_rank >= 50" for n, p in _b
 
 
 #: Of nations' names; the longest that fits names the family, the others are OTHER.
-NAMED = ("C", "IND", "INDIA", "IRA", "UNITED")
+NAMED = ("NATION_1", "NATION_2", "NATION_21")
 
 
 def lift_by_named_family(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def mc_block_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: As many as the SQL twin can permute in seconds.
-PATHS = 200
+PATHS = 500
 _PATH = f"""sum(pnl)::BIGINT AS total, max(greatest(peak, 0) - eq)::BIGINT AS mdd FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS eq FROM"""
 _CALMAR = "CASE WHEN {0}.mdd > 0 THEN {0}.total::DOUBLE / {0}.mdd::DOUBLE ELSE 999.0::DOUBLE END"
 
