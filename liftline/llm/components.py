@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise
+from liftline.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,9 +25,11 @@ def stars(edges: DataFrame) -> DataFrame:
         least = materialise(both.groupBy("node").agg(F.min("root").alias("least")))
         large = both.join(least, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.least("node", "least").alias("root"))
         large = materialise(large.distinct())
+        discard(least, edges)
         least = materialise(large.groupBy("node").agg(F.min("root").alias("least")))
         small = large.join(least, "node").where(F.col("root") != F.col("least")).select(F.col("root").alias("node"), F.col("least").alias("root"))
         edges = materialise(small.unionByName(least.select("node", F.col("least").alias("root"))).distinct())
+        discard(least, large)
         if (new := _state(edges)) == state:
             break
         state = new

@@ -30,10 +30,11 @@ linked like any other; a text with fewer words than a shingle is one shingle;
 a row with null doc_id is linked too, and its component is null only if no
 document is in it (in ``similar`` its component is that of documents with its
 text, else null); rows that repeat a doc_id are one document; an empty table
-gives no rows. Extra columns are ignored. The fingerprints at one anchor
-are compared by one task: their number is that of distinct fingerprints within
-two bits of the anchor in a block, whatever the number of documents, and in
-``similar`` of the distinct texts that share its min-hashes too.
+gives no rows. Extra columns are ignored. An anchor with many members is dealt
+over a grid of pieces of its homes by pieces of its members, so that no task
+holds more of one than _HOMES and _VISITORS. Which anchors are so large is told
+from a sample of one fingerprint in _SAMPLE; that decides where pairs are
+compared, never which.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise, prepare, table
+from liftline.llm.common import discard, materialise, prepare, table
 from liftline.llm.components import stars
 
 SEED, BITS = 42, 64
@@ -58,6 +59,8 @@ BANDS, CODE, WHOLE = 9, 7, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _XOR, _TIMES = np.random.Generator(np.random.PCG64(43)).integers(0, 1 << 64, (2, BANDS * (CODE + WHOLE), 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 _PIECE, _PAIRS, _ROWS, _HASHED = 1 << 18, 1 << 21, 200_000, 1 << 12
+#: Homes and members of one anchor that a task compares, about; and of how many fingerprints one is counted to find anchors with more.
+_HOMES, _VISITORS, _SAMPLE = 1 << 14, 1 << 17, 64
 #: Bytes of shingle sets held by a task before it settles, and pairs decided between two looks at what is joined already.
 _SET_BYTES, _DECIDED = 32 << 20, 1024
 
@@ -169,6 +172,9 @@ def anchors(fps: np.ndarray, block: int, first: int, bits: int) -> tuple[np.ndar
     return index, (anchor | np.uint64(block << 32)).astype(np.int64), at_home
 
 
+_COPIES = "anchor bigint, fp bigint, lead bigint, home boolean"
+
+
 def _replicate(distance: int):  # noqa: ANN202
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,10 +331,33 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor")
 
 
+def _large(led: DataFrame, replicate) -> DataFrame:  # noqa: ANN001
+    """anchor, down, across: the anchors with many members, and in how many pieces of homes and of members they are dealt out."""
+    some = replicate(led.where(F.pmod(F.xxhash64("lead"), F.lit(_SAMPLE)) == 0))
+    size = some.groupBy("anchor").agg((F.sum(F.col("home").cast("long")) * _SAMPLE).alias("homes"), (F.count(F.lit(1)) * _SAMPLE).alias("members"))
+    pieces = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("int")
+    return materialise(size.where(F.col("members") > _VISITORS).select("anchor", pieces("homes", _HOMES).alias("down"), pieces("members", _VISITORS).alias("across")))
+
+
+def _dealt(led: DataFrame, replicate) -> DataFrame:  # noqa: ANN001
+    """The replicas, sorted by anchor. Each cell of a large anchor's grid has an anchor of its own; a home stands in the cells of its row, a member in those of its column, so that they meet in one."""
+    rows, large = replicate(led), _large(led, replicate)
+    if large.isEmpty():
+        return _sorted(rows)
+    own = lambda n: F.pmod(F.xxhash64("lead", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda d, a, home: F.struct(F.xxhash64("anchor", d, a).alias("anchor"), F.lit(home).alias("home"))
+    visits = F.transform(each("down"), lambda d: cell(d, own("across"), False))
+    stays = F.transform(each("across"), lambda a: cell(own("down"), a, True))
+    cells = F.when(F.col("down").isNull(), F.array(F.struct("anchor", "home"))).when(F.col("home"), F.concat(visits, stays)).otherwise(visits)
+    out = rows.join(large, "anchor", "left").select("fp", "lead", F.explode(cells).alias("cell"))
+    return _sorted(out.select("cell.anchor", "fp", "lead", "cell.home"))
+
+
 def _classes(led: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component_id: the least doc_id of every class that the edges between leads reach."""
+    """node, fp, component_id: the least doc_id of every class that the edges between leads reach."""
     found = stars(edges).select(F.col("node").alias("lead"), "root")
-    return materialise(led.join(found, "lead", "left").groupBy("node").agg(F.min(F.coalesce("root", "lead")).alias("component_id")))
+    return materialise(led.join(found, "lead", "left").groupBy("node", "fp").agg(F.min(F.coalesce("root", "lead")).alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -336,8 +365,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     prepare(docs.sparkSession)
     prints = materialise(fingerprints(docs, words))
     led = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")))
-    copies = led.select("fp", F.col("fp").alias("lead")).mapInArrow(_replicate(distance), "anchor bigint, fp bigint, lead bigint, home boolean")
-    links = stars(_sorted(copies).mapInArrow(_compare(distance), "node bigint, root bigint"))
+    replicate = lambda prints: prints.select("fp", "lead").mapInArrow(_replicate(distance), _COPIES)
+    links = stars(_dealt(led.select("fp", F.col("fp").alias("lead")), replicate).mapInArrow(_compare(distance), "node bigint, root bigint"))
     joined = led.join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("lead").alias("component_id"))
     return prints.join(joined.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -350,12 +379,14 @@ def similar(docs: DataFrame, settings: dict | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     prints = materialise(set_fingerprints(docs, s["words"]))
     led = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("node", "fp").agg(F.min("doc_id").alias("lead"), F.min("keys").alias("keys")))
-    copies = led.select("fp", "lead", "keys").mapInArrow(_replicate_bands, "anchor bigint, fp bigint, lead bigint, home boolean")
-    seen = materialise(_sorted(copies).mapInArrow(_compare(s["distance"], True), "anchor bigint, fp bigint, lead bigint, home boolean"))
+    replicate = lambda prints: prints.select("fp", "lead", "keys").mapInArrow(_replicate_bands, _COPIES)
+    seen = materialise(_dealt(led, replicate).mapInArrow(_compare(s["distance"], True), _COPIES))
     asked = docs.join(seen.select(F.col("lead").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = led.join(shingle_sets(asked, s["words"]).dropDuplicates(["lead", "node"]), ["lead", "node"]).select("lead", "fp", "shingles")
     edges = _sorted(seen.join(sets, ["lead", "fp"]).select("anchor", "fp", "lead", "home", "shingles")).mapInArrow(_decide(s["distance"], s["similarity"]), "node bigint, root bigint")
-    return prints.select("doc_id", "node").join(_classes(led.drop("keys"), edges), "node", "left").select("doc_id", "component_id")
+    classes = _classes(led.drop("keys"), edges)
+    discard(led, seen)
+    return prints.select("doc_id", "node", "fp").join(classes, ["node", "fp"], "left").select("doc_id", "component_id")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
