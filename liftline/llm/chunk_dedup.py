@@ -100,14 +100,15 @@ def _firsts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[~same], c[same & ~itself]
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_GONE = ["rid", "doc", "start", "end"]
+_SENT = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rid", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _gone(c: np.ndarray, buckets: int = 0) -> pa.RecordBatch:
     start = c["start"]
-    columns = [pa.array(c["rid"]), pa.array(start), pa.array(start + c["size"])]
+    columns = [pa.array(c["rid"]), pa.array(c["doc"]), pa.array(start), pa.array(start + c["size"])]
     if not buckets:
-        return pa.RecordBatch.from_arrays(columns, ["rid", "start", "end"])
+        return pa.RecordBatch.from_arrays(columns, _GONE)
     bucket = (c["rid"] % buckets).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(c), pa.binary()), *columns], schema=_SENT)
 
@@ -123,7 +124,7 @@ def _send(buckets: int):  # noqa: ANN202
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         blobs = [b"".join(np.ascontiguousarray(first[f][i:j]).tobytes() for f in _CHUNK.names) for i, j in zip(edge, [*edge[1:], len(first)], strict=True)]
         empty = pa.nulls(len(edge), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary()), empty, empty.cast(pa.int32()), empty.cast(pa.int32())], schema=_SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary()), empty, empty, empty.cast(pa.int32()), empty.cast(pa.int32())], schema=_SENT)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -150,23 +151,23 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> rid, start, end of the chunks that go. One bucket is held at a time."""
+    """Rows sorted by bucket -> rid, doc, start, end of the chunks that go. One bucket is held at a time."""
     for rows in whole_blobs(batches):
         settled = [x[1:] for x in rows if x[0] is None]
         if settled:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*settled, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["rid", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*settled, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], _GONE)
         blobs = [_unpack(x[0]) for x in rows if x[0] is not None]
         if blobs:
             yield _gone(_firsts(np.concatenate(blobs))[1])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """rid (row_key), starts, ends: the chunks that stand earlier too, written to the shared folder."""
+    """rid (row_key), doc (the doc_id), starts, ends: the chunks that stand earlier too, written to the shared folder."""
     prepare(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select(row_key().alias("rid"), "doc_id", "text")
     buckets, parts = sizes(docs, _BUCKET_BYTES)
-    sent = keyed.mapInArrow(_send(buckets), "bucket int, chunks binary, rid bigint, start int, end int")
-    gone = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "rid bigint, start int, end int")
+    sent = keyed.mapInArrow(_send(buckets), "bucket int, chunks binary, rid bigint, doc bigint, start int, end int")
+    gone = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "rid bigint, doc bigint, start int, end int")
     return gather(gone, parts)
 
 

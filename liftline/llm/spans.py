@@ -21,10 +21,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], as_text: bool = False, least: int = 0) -> DataFrame:
-    """kept_row (a struct of the columns), n_bytes, n_removed, n_spans and kept, for every row of docs; spans: rid, starts, ends (arrays), one row per rid. What is kept is binary, or text without letters that a cut splits. Runs under the least bytes stay, but for whole texts."""
+    """kept_row (a struct of the columns), n_bytes, n_removed, n_spans and kept, for every row of docs; spans: rid, doc, starts, ends (arrays), one row per row_key and doc_id. What is kept is binary, or text without letters that a cut splits. Runs under the least bytes stay, but for whole texts."""
     prepare(docs.sparkSession)
-    rows = docs.select(whole(docs, columns).alias("kept_row"), row_key().alias("rid"), F.col("text").alias("whole_text"))
-    joined = rows.join(spans, "rid", "left")  # Spark broadcasts by its own threshold, else shuffles both sides
+    rows = docs.select(whole(docs, columns).alias("kept_row"), row_key().alias("rid"), F.col("doc_id").alias("doc"), F.col("text").alias("whole_text"))
+    joined = rows.join(spans, ["rid", "doc"], "left")  # Spark broadcasts by its own threshold, else shuffles both sides
     kind = pa.string() if as_text else pa.binary()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,13 +65,13 @@ def digest_columns(cut_rows: DataFrame) -> DataFrame:
     return cut_rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def by_text(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
-    """Spans as one row for each text, merged."""
-    order = np.argsort(rid, kind="stable")
-    rid, start, end = rid[order], start[order], end[order]
-    edge = np.r_[np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]), len(rid)] if len(rid) else np.zeros(1, np.int64)
+def by_text(rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, list, list, list]:
+    """Spans as one row for each text, merged. A text is known by its key and its doc_id together."""
+    order = np.lexsort((doc, rid))
+    rid, doc, start, end = rid[order], doc[order], start[order], end[order]
+    edge = np.r_[np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1])]), len(rid)] if len(rid) else np.zeros(1, np.int64)
     runs = [merged(start[i:j], end[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
-    return rid[edge[:-1]].tolist(), [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs]
+    return rid[edge[:-1]].tolist(), doc[edge[:-1]].tolist(), [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs]
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[list[np.ndarray]]:
@@ -109,14 +109,14 @@ def whole_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    schema = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     for columns in whole_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(by_text(*columns), schema, strict=True)], schema=schema)
 
 
 def gather(pieces: DataFrame, parts: int) -> DataFrame:
-    """Rows of rid, start, end -> rid, starts, ends: one for each rid, merged, written to the shared folder. A task takes the spans of its texts in order of rid."""
-    return materialise(pieces.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_together, "rid bigint, starts array<int>, ends array<int>"))
+    """Rows of rid, doc, start, end -> rid, doc, starts, ends: one for each text, merged, written to the shared folder. A task takes the spans of its texts in order of rid."""
+    return materialise(pieces.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_together, "rid bigint, doc bigint, starts array<int>, ends array<int>"))
 
 
 #: Text bytes for each partition of what is made of the texts; partitions at most, as a shuffle has so many times the tasks before it pieces.

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm.common import materialise, prepare, row_key, table
+from liftline.llm.common import discard, materialise, prepare, row_key, table
 from liftline.llm.spans import by_text, cut, cut_texts, digest_columns, gather, sizes, whole_blobs, whole_keys
 
 MIN_BYTES = 50
@@ -246,10 +246,10 @@ def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid[edge[:-1]]), pa.array(bits, pa.binary())], ["rid", "bits"])
 
 
-#: rid, starts, ends: spans of a text that surely go. Else a bucket's blob of segments to compare.
-_SEGMENTS = "bucket int, rid bigint, starts array<int>, ends array<int>, blob binary"
-_SPAN = ["rid", "start", "end"]
-_SPANS_ARROW = pa.schema([("rid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+#: rid, doc, starts, ends: spans of a text that surely go. Else a bucket's blob of segments to compare.
+_SEGMENTS = "bucket int, rid bigint, doc bigint, starts array<int>, ends array<int>, blob binary"
+_SPAN = ["rid", "doc", "start", "end"]
+_SPANS_ARROW = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 _SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), *_SPANS_ARROW, ("blob", pa.binary())])
 #: Arrays of a blob, then the segments' bytes.
 _FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("rid", np.int64), ("start", np.int32), ("size", np.uint8))
@@ -269,8 +269,8 @@ def _segments(buckets: int, least: int, gram: int):  # noqa: ANN202
         kept = doc == lowest[which]
         if not kept.all():
             at = np.flatnonzero(~kept)
-            rids, starts, ends = by_text(rid[at], start[at], start[at] + size[at])
-            yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r in rids], pa.int32()), *(pa.array(c, f.type) for c, f in zip((rids, starts, ends), _SPANS_ARROW, strict=True)), pa.nulls(len(rids), pa.binary())], schema=_SEGMENTS_ARROW)
+            spans = by_text(rid[at], doc[at], start[at], start[at] + size[at])
+            yield pa.RecordBatch.from_arrays([pa.array([r % buckets for r in spans[0]], pa.int32()), *(pa.array(c, f.type) for c, f in zip(spans, _SPANS_ARROW, strict=True)), pa.nulls(len(spans[0]), pa.binary())], schema=_SEGMENTS_ARROW)
         at = np.flatnonzero(kept)
         bucket = _bucket(x[at], buckets)
         order = np.argsort(bucket, kind="stable")
@@ -384,8 +384,8 @@ def _owners(segs: list[bytes], lows: np.ndarray, least: int) -> np.ndarray:
     return lowest[group]
 
 
-def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rid, start, end of what goes: equal segments are one, and those of some anchors make a block."""
+def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+    """rid, doc, start, end of what goes: equal segments are one, and those of some anchors make a block."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(seg, len(number)) for seg in texts])  # equal segments have equal anchors
     keys = list(number)
@@ -412,11 +412,11 @@ def _settle(c: dict[str, np.ndarray], texts: list[bytes], least: int) -> tuple[n
     offset = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
     lost = np.flatnonzero(owner[first[which][entry] + offset] < c["doc"][entry])
     if not len(lost):
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     edge = np.flatnonzero(np.r_[True, (np.diff(lost) > 1) | (np.diff(entry[lost]) > 0)])
     low, high = lost[edge], lost[np.r_[edge[1:] - 1, len(lost) - 1]]
     e = entry[low]
-    return c["rid"][e], c["start"][e] + offset[low], c["start"][e] + offset[high] + least
+    return c["rid"][e], c["doc"][e], c["start"][e] + offset[low], c["start"][e] + offset[high] + least
 
 
 def _compare(least: int):  # noqa: ANN202
@@ -424,10 +424,10 @@ def _compare(least: int):  # noqa: ANN202
         for rows in whole_blobs(batches):  # sorted by bucket, which is held one at a time
             held: dict[str, list] = {f: [] for f, _ in _FIELDS}
             texts: list[bytes] = []
-            settled = [x[:3] for x in rows if x[3] is None]
+            settled = [x[:4] for x in rows if x[4] is None]
             if settled:
-                n = [len(starts) for _, starts, _ in settled]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r for r, _, _ in settled], n)), *(pa.array(np.concatenate([np.array(x[k], np.int32) for x in settled])) for k in (1, 2))], _SPAN)
+                n = [len(x[2]) for x in settled]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat([x[k] for x in settled], n)) for k in (0, 1)), *(pa.array(np.concatenate([np.array(x[k], np.int32) for x in settled])) for k in (2, 3))], _SPAN)
             for *_, blob in rows:
                 if blob is None:
                     continue
@@ -440,15 +440,15 @@ def _compare(least: int):  # noqa: ANN202
                     texts.append(blob[at : at + size])
                     at += size
             if texts:
-                rid, start, end = _settle({f: np.concatenate(x) for f, x in held.items()}, texts, least)
+                rid, doc, start, end = _settle({f: np.concatenate(x) for f, x in held.items()}, texts, least)
                 if len(rid):
-                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], _SPAN)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], _SPAN)
 
     return apply
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
-    """rid (row_key), starts, ends: byte spans that documents with smaller ids have too, written to the shared folder."""
+    """rid (row_key), doc (the doc_id), starts, ends: byte spans that documents with smaller ids have too, written to the shared folder."""
     prepare(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)).select(row_key().alias("rid"), "doc_id", "text")
     buckets, parts = sizes(docs, _BUCKET_BYTES)
@@ -457,7 +457,9 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, gram: int = GRAM) ->
     matter = materialise(matter.repartition(parts, "rid").sortWithinPartitions("rid").mapInArrow(_as_bits, "rid bigint, bits binary"))
     chosen = keyed.join(matter, "rid")
     segs = chosen.select("rid", "doc_id", "text", "bits").mapInArrow(_segments(buckets, least, gram), _SEGMENTS)
-    return gather(segs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(least), "rid bigint, start int, end int"), parts)
+    spans = gather(segs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(least), "rid bigint, doc bigint, start int, end int"), parts)
+    discard(matter)
+    return spans
 
 
 def dedup(docs: DataFrame, keep: list[str], least: int = MIN_BYTES) -> DataFrame:
