@@ -8,7 +8,10 @@ up only vectors are taken whose component along the query's main coordinate
 lies in the range that such a cosine allows, found in sorted components; below
 that, those long enough. What is left is verified by products.
 
-Every bucket meets every block of queries once, dealt over groups of buckets.
+A query's reach is the least length of a partner that its bound allows. Queries
+of similar reach make a block, and buckets of similar length a shell, of SHELLS
+at most; a block is sent to those shells only that reach as far, and dealt there
+over groups of buckets. So lengths prune before anything is sent.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with null id, take no part; rows with the query's vec_id are not its
@@ -33,6 +36,8 @@ from liftline.llm.vectors import BLOCK, BLOCK_ARROW, best, from_block, held, of_
 TOP, SCALE, EVERY = 5, 256, 50
 #: Vectors in a bucket and in the head that gives the first bounds; queries in a block; least cosine for which coordinates are used.
 BUCKET, HEAD, QUERIES, COORDINATE = 2048, 4096, 256, 0.4
+#: Shells of buckets at most, whose greatest lengths go into the plan.
+SHELLS = 64
 _SLACK = 1e-9
 
 
@@ -99,27 +104,50 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield dim, ids, scaled(data)
 
 
+def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], list(columns))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, ids, data in held(batches, _rows, BUCKET):
         for k in range(0, len(ids), BUCKET):
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(to_block(ids[k : k + BUCKET], data[k : k + BUCKET]), BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
+            own = data[k : k + BUCKET]
+            block = zip(to_block(ids[k : k + BUCKET], own), BLOCK_ARROW, strict=True)
+            yield _batch({f.name: ([x], f.type) for x, f in block} | {"longest": ([float(np.sqrt((own * own).sum(axis=1).max()))], pa.float64())})
+
 
+def _bounds(heads: dict[int, _Bucket], k: int):  # noqa: ANN202
+    """Of each query its k-th best score among the longest vectors, and the length that a partner needs to reach it."""
 
-def _pack_queries(heads: dict[int, _Bucket], k: int):  # noqa: ANN202
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dim, ids, data in held(batches, _rows, QUERIES):
-            for at in range(0, len(ids), QUERIES):
-                i, d = ids[at : at + QUERIES], data[at : at + QUERIES]
-                bounds = []
-                for q, v in zip(i.tolist(), d, strict=True):
+        for batch in batches:
+            for dim, ids, data in _rows(batch):
+                bounds, reach = np.full(len(ids), -np.inf), np.full(len(ids), -np.inf)
+                for n, (q, v) in enumerate(zip(ids.tolist(), data, strict=True)):
                     scores = heads[dim].top(q, v, -np.inf, k)[1] if dim in heads else ()
-                    bounds.append(float(scores[k - 1]) if len(scores) == k else -np.inf)
-                own = [*to_block(i, d), np.array(bounds).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in own], ["q_dim", "q_ids", "q_data", "bounds"]).cast(pa.schema([("q_dim", pa.int32()), ("q_ids", pa.binary()), ("q_data", pa.binary()), ("bounds", pa.binary())]))
+                    if len(scores) == k:
+                        bounds[n] = scores[k - 1]
+                        reach[n] = bounds[n] / np.sqrt(v @ v) if bounds[n] > 0 else -np.inf
+                yield _batch({"vec_id": (ids, pa.int64()), "scaled": (list(data), pa.list_(pa.float64())), "bound": (bounds, pa.float64()), "reach": (reach, pa.float64())})
 
     return apply
 
 
+def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries in order of their reach -> blocks with the least reach in each."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for dim, (ids, data) in of_rows(batch, 0, 1).items():  # bound and reach travel as two more components
+            at = np.diff(np.array(batch.column(1).offsets)) == dim
+            yield dim, ids, np.c_[data, np.array(batch.column(2))[at], np.array(batch.column(3))[at]]
+
+    for dim, ids, data in held(batches, rows, QUERIES):
+        for at in range(0, len(ids), QUERIES):
+            i, d = ids[at : at + QUERIES], data[at : at + QUERIES]
+            _, q_ids, q_data = to_block(i, d[:, :dim])
+            yield _batch({"q_dim": ([dim], pa.int32()), "q_ids": ([q_ids], pa.binary()), "q_data": ([q_data], pa.binary()), "bounds": ([d[:, dim].tobytes()], pa.binary()), "reach": ([d[:, dim + 1].min()], pa.float64())})
+
+
 def _verify(k: int):  # noqa: ANN202
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +166,18 @@ def _verify(k: int):  # noqa: ANN202
     return apply
 
 
+def _dealt(buckets: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets with their shell and slot, and blocks with each (q_shell, q_slot) that they are sent to."""
+    edges = sorted(set(buckets.approxQuantile("longest", [(i + 1) / SHELLS for i in range(SHELLS)], 0.25 / SHELLS)))
+    shells = len(edges) + 1  # the last for what is longer than the last edge, if anything is
+    slots = max(1, -(-buckets.count() // shells))
+    shell = sum((F.when(F.col("longest") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    left = buckets.withColumn("shell", shell).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    reached = F.array_compact(F.array(*(F.when(F.col("reach") * (1 - _SLACK) <= e, F.lit(i)) for i, e in enumerate(edges)), F.lit(len(edges))))
+    right = blocks.withColumn("q_shell", F.explode(reached)).withColumn("q_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return left, right
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of both tables' (vec_id, embedding) rows."""
     prepare(vectors.sparkSession)
@@ -145,17 +185,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     fine = vectors.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", "embedding", (-norm).alias("shortness"))
     asked = queries.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", "embedding")
     n = fine.count()
-    buckets = materialise(fine.repartitionByRange(max(1, -(-n // BUCKET)), "shortness", "vec_id").select("vec_id", "embedding").mapInArrow(_pack, BLOCK))
+    buckets = materialise(fine.repartitionByRange(max(1, -(-n // BUCKET)), "shortness", "vec_id").select("vec_id", "embedding").mapInArrow(_pack, BLOCK + ", longest double"))
     longest = fine.orderBy("shortness", "vec_id").limit(HEAD).select("vec_id", "embedding").toArrow().combine_chunks()
     heads: dict[int, _Bucket] = {}
     for batch in longest.to_batches():
         for dim, ids, data in _rows(batch):
             heads[dim] = _Bucket(ids, data)
-    groups = max(1, buckets.count())
-    blocks = materialise(asked.repartition(max(1, -(-n // (EVERY * QUERIES))), "vec_id").mapInArrow(_pack_queries(heads, k), "q_dim int, q_ids binary, q_data binary, bounds binary"))
-    left = buckets.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    right = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = left.join(right, "deal").select("dim", "ids", "data", "q_dim", "q_ids", "q_data", "bounds")
+    asked = materialise(asked.mapInArrow(_bounds(heads, k), "vec_id bigint, scaled array<double>, bound double, reach double"))
+    blocks = asked.repartitionByRange(max(1, -(-n // (EVERY * QUERIES))), "reach", "vec_id").sortWithinPartitions("reach", "vec_id")
+    blocks = materialise(blocks.mapInArrow(_pack_queries, "q_dim int, q_ids binary, q_data binary, bounds binary, reach double"))
+    left, right = _dealt(buckets, blocks)
+    met = left.join(right, (F.col("shell") == F.col("q_shell")) & (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim"))).select("dim", "ids", "data", "q_dim", "q_ids", "q_data", "bounds")
     return ranked(met.mapInArrow(_verify(k), "query_id bigint, vec_id bigint, score bigint"), k)
 
 

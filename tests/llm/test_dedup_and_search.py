@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from liftline.llm import chunk_dedup, components, exact_search, learned_partitions, registry, simhash_dedup, spans, suffix_dedup
 
@@ -124,6 +125,14 @@ def test_chunk_dedup_by_brute_force(spark):
     assert chunk_dedup.dedup(_docs(spark, rows).limit(0), ["doc_id"]).count() == 0
 
 
+def test_texts_with_equal_keys_keep_their_own_spans(spark, monkeypatch):
+    for module in (chunk_dedup, spans):
+        monkeypatch.setattr(module, "row_key", lambda: F.lit(7).cast("long"))
+    rows = list({d: (d, t) for d, t in _random_docs(60, 3, "abcdefgh ")}.values())
+    got = sorted((r.doc_id, r.n_bytes, r.kept_sha256) for r in spans.digest_columns(chunk_dedup.dedup(_docs(spark, rows), ["doc_id"])).collect())
+    assert got == sorted(_chunk_brute(rows))
+
+
 def test_cuts_resist_insertions():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
@@ -211,6 +220,29 @@ def test_simhash_edges(spark):
     assert simhash_dedup.near_duplicates(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_large_anchors_are_dealt_over_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = {}
+    for d in range(300):  # many within few bits of each other, so that they share anchors
+        base = int(rng.integers(0, 3)) * 0x0123456789ABCDEF % (1 << 63)
+        for b in rng.choice(63, int(rng.integers(0, 7)), replace=False):
+            base ^= 1 << int(b)
+        fps[d] = base
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, words: docs.selectExpr("doc_id", "CAST(text AS bigint) AS fp"))
+    docs = _docs(spark, [(d, str(f)) for d, f in fps.items()])
+    want = _components_brute(fps, 4)
+    for homes, members in ((1 << 14, 1 << 17), (3, 10)):
+        monkeypatch.setattr(simhash_dedup, "_HOMES", homes)
+        monkeypatch.setattr(simhash_dedup, "_VISITORS", members)
+        monkeypatch.setattr(simhash_dedup, "_SAMPLE", 1)
+        assert {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()} == want
+    led = docs.selectExpr("CAST(text AS bigint) AS fp", "CAST(text AS bigint) AS lead").distinct()
+    replicate = lambda x: x.mapInArrow(simhash_dedup._replicate(4), simhash_dedup._COPIES)
+    assert simhash_dedup._large(led, replicate).agg({"across": "max"}).first()[0] > 3
+    cells = simhash_dedup._dealt(led, replicate).groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert cells < replicate(led).groupBy("anchor").count().agg({"count": "max"}).first()[0] / 2
+
+
 @pytest.mark.parametrize("distance", [4, 9])
 def test_anchors_cover(distance):
     rng = np.random.default_rng(5)
@@ -345,6 +377,29 @@ def test_exact_search_by_brute_force(spark):
     assert exact_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_exact_search_sends_blocks_no_further_than_they_reach(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    length = 2.0 ** rng.integers(-6, 6, 2000)
+    data = rng.normal(0, 1, (2000, 8)) * length[:, None]
+    df = _vectors(spark, list(enumerate(data.tolist())))
+    monkeypatch.setattr(exact_search, "BUCKET", 50)
+    monkeypatch.setattr(exact_search, "HEAD", 200)
+    sent = []
+    dealt = exact_search._dealt
+    monkeypatch.setattr(exact_search, "_dealt", lambda a, b: sent.append((a.count() * b.count(), *dealt(a, b))) or sent[-1][1:])
+    got = sorted(map(tuple, exact_search.search(df, df.where("vec_id % 10 = 0")).collect()))
+    e = np.floor(256 * data).astype(int)
+    want = []
+    for q in range(0, 2000, 10):
+        s = e @ e[q]
+        other = np.delete(np.arange(2000), q)
+        top = other[np.lexsort((other, -s[other]))[:5]]
+        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(top)]
+    assert got == sorted(want)
+    full, left, right = sent[0]
+    assert left.join(right, (left.shell == right.q_shell) & (left.slot == right.q_slot)).count() < full / 2
+
+
 def test_exact_search_prunes_without_loss():
     rng = np.random.default_rng(9)
     centre = rng.normal(0, 100, 16)
