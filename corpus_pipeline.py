@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm import bpe_automaton, language_id, simhash_dedup, source_mixing, suffix_dedup
-from liftline.llm.common import materialise, prepare, table
+from liftline.llm.common import discard, materialise, prepare, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        was, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if k:
+            discard(was)  # its only reader has been written; the last stage's input stays
+    return STAGES[-1][1](spark, docs, sf_dir)
