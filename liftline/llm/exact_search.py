@@ -15,7 +15,8 @@ over groups of buckets. So lengths prune before anything is sent.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with null id, take no part; rows with the query's vec_id are not its
-partners; vectors of another dimension are not either; equal scores go to the
+partners; vectors of another dimension are not either; vectors without
+components take part, with products of 0; equal scores go to the
 smaller vec_id, repeated candidate rows count each; an empty table gives no
 rows. Products are exact up to 2^53, else in wrapping 64-bit numbers. Extra
 columns are ignored.
@@ -42,7 +43,7 @@ _SLACK = 1e-9
 
 
 def _products(data: np.ndarray, query: np.ndarray) -> np.ndarray:
-    if len(data) and np.abs(data).max() * max(1.0, np.abs(query).max()) * len(query) >= 2**53:
+    if data.size and np.abs(data).max() * max(1.0, np.abs(query).max()) * len(query) >= 2**53:
         return data.astype(np.int64) @ query.astype(np.int64)
     return (data @ query).astype(np.int64)
 

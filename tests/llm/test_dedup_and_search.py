@@ -357,7 +357,7 @@ def _vectors(spark, rows):
 def _odd_vectors(n=300, dim=8, seed=1):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 1 + i % 7, dim))]) for i in range(n)]
-    rows += [(n, rows[0][1]), (n + 1, rows[0][1]), (n + 2, [0.0] * dim), (n + 3, None), (n + 4, [float("nan")] * dim), (n + 5, [1.0, None] * (dim // 2)), (n + 6, [float("inf")] * dim), (None, rows[1][1])]
+    rows += [(n, rows[0][1]), (n + 1, rows[0][1]), (n + 2, [0.0] * dim), (n + 3, None), (n + 4, [float("nan")] * dim), (n + 5, [1.0, None] * (dim // 2)), (n + 6, [float("inf")] * dim), (None, rows[1][1]), (n + 10, []), (n + 11, []), (n + 12, [])]
     return rows
 
 
@@ -368,13 +368,15 @@ def test_exact_search_by_brute_force(spark):
     want = []
     for q, a in good:
         if q % 10 == 0:
-            top = sorted(((-int(a @ b), i) for i, b in good if i != q))[:5]
+            top = sorted(((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b)))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(top)]
     got = sorted(map(tuple, exact_search.search(df, df.where("vec_id % 10 = 0")).collect()))
     assert got == sorted(want)
     few = _vectors(spark, rows[:3])
     assert exact_search.search(few, few.where("vec_id = 0")).count() == 2
     assert exact_search.search(df.limit(0), df.limit(0)).count() == 0
+    hollow = _vectors(spark, [(0, []), (5, []), (10, []), (3, None)])
+    assert sorted(map(tuple, exact_search.search(hollow, hollow.where("vec_id % 10 = 0")).collect())) == [(0, 1, 5, 0), (0, 2, 10, 0), (10, 1, 0, 0), (10, 2, 5, 0)]
 
 
 def test_exact_search_sends_blocks_no_further_than_they_reach(spark, monkeypatch):
