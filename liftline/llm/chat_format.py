@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A conversation is a set of rows (conv_id, turn, role, parts). ``parts`` is an
-array of typed pieces: text is escaped in place, every other type (image,
+array of typed pieces: text is escaped in place (neighbouring texts as one), every other type (image,
 audio, document) leaves an ordered placeholder in the string, and its
 reference and expanded token count are recorded in ``attachments``.
 
@@ -43,9 +43,17 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens")))
 
 
-def _visit(part: Column) -> Column:
-    """What a part leaves in the string."""
-    return F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit(PART), escape(F.coalesce(part["type"], F.lit("unknown"))), F.lit("]")))
+def _visit(parts: Column) -> Column:
+    """What parts leave in the string. Neighbouring texts are put together before they are escaped, so no control string comes about where they meet; what stands between two placeholders is one text."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("texts"))
+
+    def step(s: Column, p: Column) -> Column:
+        kind = F.replace(escape(F.coalesce(p["type"], F.lit("unknown"))), F.lit("]"), F.lit("\\]"))
+        held = F.struct(s["done"].alias("done"), F.concat(s["texts"], F.coalesce(p["text"], F.lit(""))).alias("texts"))
+        placed = F.struct(F.concat(s["done"], escape(s["texts"]), F.lit(PART), kind, F.lit("]")).alias("done"), F.lit("").alias("texts"))
+        return F.when(p["type"].eqNullSafe("text"), held).otherwise(placed)
+
+    return F.aggregate(parts, start, step, lambda s: F.concat(s["done"], escape(s["texts"])))
 
 
 def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -59,7 +67,7 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
         "conv_id",
         "turn",
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("body"),
+        _visit(parts).alias("body"),
         F.transform(F.filter(parts, lambda p: ~p["type"].eqNullSafe("text")), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0).cast("long")).alias("tokens"))).alias("held"),
     )
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
