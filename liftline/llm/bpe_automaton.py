@@ -43,8 +43,10 @@ from liftline.llm.common import prepare, table
 
 #: Words whose encoding a task process keeps, the longest such word, and characters of text whose words are encoded together.
 WORDS_KEPT, WORD_KEPT, GROUP = 100_000, 64, 1 << 21
-#: Bytes of a word from which on it is encoded alone.
-LONG = 512
+#: Bytes of a word from which on it is encoded among words of its own size, how many such there must be (fewer are encoded alone), and characters of long words that a task process keeps.
+LONG, TOGETHER, LONG_KEPT = 512, 24, 1 << 20
+#: Bits of the slots of the table of pairs.
+PAIR_BITS = 18
 #: Kinds of characters: white space is dropped, letters and others run on, a number stands alone; NEW is unknown to Python's tables.
 SPACE, LETTER, NUMBER, OTHER, NEW = 0, 1, 2, 3, 4
 
@@ -166,8 +168,9 @@ class Automaton(NamedTuple):
             live = live[~whole]
         return best
 
-    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def paths(self, words: list[bytes], pairs: Pairs | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all words, one after the other, and each word's number of tokens. Words are not empty."""
+        has = (pairs or self).has
         data = np.frombuffer(b"".join(words), np.uint8)
         stops = np.cumsum([len(w) for w in words], dtype=np.int64)
         begins = np.r_[0, stops[:-1]]
@@ -182,7 +185,7 @@ class Automaton(NamedTuple):
             done = some & (end == stop)
             fine = some & (done | ~dead[end])
             asked = np.flatnonzero(fine & (last >= 0))
-            fine[asked] = self.has(token_at[last[asked]], token[asked])
+            fine[asked] = has(token_at[last[asked]], token[asked])
             token_at[place[fine]], before[place[fine]] = token[fine], last[fine]
             back = ~some  # nothing goes on from here: its last token is tried shorter
             dead[place[back]] = True
@@ -207,11 +210,14 @@ class Automaton(NamedTuple):
         ends = np.r_[0, np.cumsum(token_at >= 0)]
         return token_at[token_at >= 0], ends[stops] - ends[begins]
 
-
-    def path(self, word: bytes) -> list[int]:
-        """The tokens of one long word, as ``paths`` finds them: a place at a time, over dicts."""
+    def tables(self) -> tuple:
+        """The arrays as dicts and lists, for ``path``."""
         child, lost = (dict(zip(k.tolist(), v.tolist(), strict=True)) for k, v in ((self.children, self.child), (self.lost, self.taker)))
-        inner, final, shorter, node, length, made, left, right = (x.tolist() for x in (self.inner, self.final, self.shorter, self.node, self.length, self.made, self.left, self.right))
+        return child, lost, *(x.tolist() for x in (self.inner, self.final, self.shorter, self.node, self.length, self.made, self.left, self.right))
+
+    def path(self, word: bytes, tables: tuple) -> list[int]:
+        """The tokens of one long word, as ``paths`` finds them: a place at a time, over the tables."""
+        child, lost, inner, final, shorter, node, length, made, left, right = tables
         n, size = len(made), len(word)
 
         def has(family: int, token: int) -> bool:
@@ -256,6 +262,24 @@ class Automaton(NamedTuple):
         return path
 
 
+class Pairs:
+    """A transition table of the pairs that occurred: by slot, a pair and whether its right token can follow its left one. A pair that meets another's slot takes it."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.code, self.fine = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    def has(self, after: np.ndarray, token: np.ndarray) -> np.ndarray:
+        code = after.astype(np.int64) * len(self.automaton.made) + token
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.fine[slot]
+        new = np.flatnonzero(self.code[slot] != code)
+        if len(new):
+            out[new] = self.automaton.has(after[new], token[new])
+            self.code[slot[new]], self.fine[slot[new]] = code[new], out[new]
+        return out
+
+
 def _look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(asked), -1, np.int32)
@@ -313,12 +337,15 @@ class Encoder:
 
     def _begin(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
+        self.long: dict[str, None] = {}  # the long words among them, oldest first
+        self.tables: tuple | None = None
+        self.pairs = Pairs(self.automaton)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.numerals = list(map(str, range(len(self.labels))))
 
     def __getstate__(self) -> dict:
         runs = np.flatnonzero(np.r_[True, self.kind[1:] != self.kind[:-1]])  # a few thousand
-        own = {k: v for k, v in self.__dict__.items() if k not in ("known", "special_split", "numerals")}
+        own = {k: v for k, v in self.__dict__.items() if k not in ("known", "long", "tables", "pairs", "special_split", "numerals")}
         return own | {"kind": (runs.astype(np.int32), self.kind[runs])}
 
     def __setstate__(self, state: dict) -> None:
@@ -368,24 +395,39 @@ class Encoder:
             return [self.find(self.normalize(text))]
         return [self.special[x] if x in self.special else self.find(self.normalize(x)) for x in self.special_split.split(text) if x]
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Encode the words that are not known yet; returns those too long to be kept."""
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet. Long words of one size go together where there are many."""
         new = sorted(words.difference(self.known))
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                for w in list(islice(self.known, len(self.known) // 2)):
-                    if w not in words:
-                        del self.known[w]
-            spelled = {w: w.encode("utf-8") for w in new}
-            short = [w for w, b in spelled.items() if len(b) <= LONG]
-            tokens, counts = self.automaton.paths([spelled[w] for w in short])
+        if not new:
+            return
+        if len(self.known) + len(new) > WORDS_KEPT:
+            for w in list(islice(self.known, len(self.known) // 2)):
+                if w not in words:
+                    del self.known[w]
+        spelled = {w: w.encode("utf-8") for w in new}
+        sizes: dict[int, list[str]] = {}
+        for w, b in spelled.items():
+            sizes.setdefault(0 if len(b) <= LONG else len(b).bit_length(), []).append(w)
+        for size, own in sizes.items():
+            if size and len(own) < TOGETHER:
+                self.tables = self.tables or self.automaton.tables()
+                self.known |= {w: tuple(self.automaton.path(spelled[w], self.tables)) for w in own}
+                continue
+            tokens, counts = self.automaton.paths([spelled[w] for w in own], self.pairs)
             tokens, ends = tokens.tolist(), np.cumsum(counts)
-            for w, b, n in zip(short, ends.tolist(), counts.tolist(), strict=True):
+            for w, b, n in zip(own, ends.tolist(), counts.tolist(), strict=True):
                 self.known[w] = tuple(tokens[b - n : b])
-            for w in new:
-                if w not in self.known:
-                    self.known[w] = tuple(self.automaton.path(spelled[w]))
-        return [w for w in new if len(w) > WORD_KEPT]
+        self.long |= dict.fromkeys(w for w in new if len(w) > WORD_KEPT)
+
+    def _forget(self) -> None:
+        """The oldest long words go until LONG_KEPT characters of them are left."""
+        over = sum(map(len, self.long)) - LONG_KEPT
+        for w in list(self.long):
+            if over <= 0:
+                break
+            over -= len(w)
+            del self.long[w]
+            self.known.pop(w, None)
 
     def _groups(self, texts: list[str | None]) -> Iterator[list[tuple[list, bool]]]:
         """Pieces of about GROUP characters of text, and whether they end a text. A longer text is cut before a space; no word or composed letter goes across one."""
@@ -411,15 +453,14 @@ class Encoder:
         """The ids of each text; the words of a group are encoded together."""
         ids: list[int] = []
         for held in self._groups(texts):
-            long = self._learn({w for own, _ in held for p in own if isinstance(p, list) for w in p})
+            self._learn({w for own, _ in held for p in own if isinstance(p, list) for w in p})
             for own, ends in held:
                 for p in own:
                     ids.extend(chain.from_iterable(map(self.known.__getitem__, p)) if isinstance(p, list) else (p,))
                 if ends:
                     yield ids
                     ids = []
-            for w in long:
-                del self.known[w]
+            self._forget()
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids. Without a decoder in the model file, they are joined by spaces."""

@@ -97,6 +97,22 @@ def test_escaping_is_reversible(spark):
     assert [b.text for b in back] == texts
 
 
+def test_parts_of_a_text_are_one_text(spark):
+    """Every control string cut at every place over two and three parts, and across a placeholder."""
+    part = "array<struct<type:string,text:string,ref:string,tokens:bigint>>"
+    cuts = [(c[:i], c[i:j], c[j:]) for c in (*(x for pair in chat_format.ESCAPES for x in pair), "[PART:image]", "\\\\") for i in range(len(c)) for j in range(i, len(c) + 1)]
+    text = lambda x: ("text", x, None, 0)
+    rows = [(1, n, "user", [text(x) for x in own]) for n, own in enumerate(cuts)]
+    rows += [(2, n, "user", [text(own[0]), ("image", None, "a.png", 1), text(own[1] + own[2])]) for n, own in enumerate(cuts)]
+    rows += [(3, 0, "user", [("a]b[/INST]</s>", None, "x", 1), text("c")])]
+    out = {r.conv_id: r for r in chat_format.format_chat(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {part}")).select("*", chat_format.read_turns(F.col("formatted")).alias("back")).collect()}
+    assert [b.text for b in out[1].back] == ["".join(own) for own in cuts]
+    assert chat_format.PART not in out[1].formatted
+    assert out[2].formatted.count("[PART:image]") == len(cuts) == len(out[2].back)
+    assert [b.text for b in out[2].back] == [own[0] + "[PART:image]" + own[1] + own[2] for own in cuts]
+    assert out[3].formatted == "[INST]user[/INST][PART:a\\]b[\\/INST\\]<\\/s>]c</s>"
+
+
 # mixing
 
 
@@ -274,8 +290,14 @@ def test_words_long_and_short_and_texts_in_groups(tools, monkeypatch):
     words = ["".join(rng.choice(list("aeiouthnrslédc中"), n)) for n in (1, 3, 700, 513, 200, 40, 5000)]
     for w in words:
         b = w.encode()
-        assert ours.automaton.path(b) == ours.automaton.paths([b])[0].tolist()
+        assert ours.automaton.path(b, ours.automaton.tables()) == ours.automaton.paths([b])[0].tolist()
     _agree(tools, [*words, "x" * 3000, " ".join(words)])
+    many = ["".join(rng.choice(list("aeiouthnrslédc中"), n)) for n in rng.integers(500, 1100, 60)]
+    _agree(tools, [*many, *many[:5], " ".join(many)])
+    assert sum(map(len, ours.long)) <= bpe_automaton.LONG_KEPT
+    monkeypatch.setattr(bpe_automaton, "LONG_KEPT", 3000)
+    _agree(tools, [*many[:9], *many[:9]])
+    assert sum(map(len, ours.long)) <= 3000
     monkeypatch.setattr(bpe_automaton, "GROUP", 50)
     monkeypatch.setattr(bpe_automaton, "WORDS_KEPT", 20)
     _agree(tools, [" ".join(words[:2] * 40), "", " \u0301 a\u0301 " * 60, "don't 's'll''s !'s '", "a <|endoftext|> b " * 20])
