@@ -327,7 +327,7 @@ def test_automaton_of_a_small_model():
     tokens, counts = auto.paths([w.encode() for w in words])
     names, at = list(number), 0
     for w, n in zip(words, counts, strict=True):
-        assert [names[i] for i in tokens[at : at + n]] == plain(w) == [names[i] for i in auto.path(w.encode())], w
+        assert [names[i] for i in tokens[at : at + n]] == plain(w) == [names[i] for i in auto.path(w.encode(), auto.tables())], w
         at += n
 
 
