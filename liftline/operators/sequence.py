@@ -1,4 +1,4 @@
-"""Series operators: resampling, averages, signals, trades, rolling correlation. A series is a group; only true recurrences leave SQL."""
+"""Series operators: resampling, averages, signals, trades, rolling correlation. Recurrences are in ``scan``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline.functions.expressions import safe_corr
+from liftline.operators.scan import numbered
 
 
 def hourly_last(bars: DataFrame, series: str, ts: str, close: str, tie: str) -> DataFrame:
@@ -20,12 +21,7 @@ def common_hours(hourly: DataFrame) -> DataFrame:
     """Only hours that every series has, numbered from 0 in each."""
     k = hourly.select("series").distinct().count()  # one number
     shared = hourly.groupBy("hour").agg(F.countDistinct("series").alias("k")).where(F.col("k") == k).select("hour")
-    return hourly.join(shared, "hour", "left_semi").withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("hour")) - 1)
-
-
-def log_returns(series: DataFrame) -> DataFrame:
-    order = Window.partitionBy("series").orderBy("t")
-    return series.withColumn("ret", F.ln(F.col("close") / F.lag("close").over(order)))
+    return hourly.join(numbered(shared, "hour"), "hour")
 
 
 def sma(x: Column | str, period: int, order: Window) -> Column:
@@ -39,12 +35,6 @@ def crossover(fast: Column, slow: Column, t: Column, warm: int, short: bool = Fa
     return F.when((t < warm) | fast.isNull() | slow.isNull(), 0).when(fast > slow, 1).otherwise(-1 if short else 0)
 
 
-def hysteresis(x: Column, enter: float, leave: float, order: Window) -> Column:
-    """In a position from x < enter until x > leave: the last of the two events holds, exactly, as enter < leave."""
-    event = F.when(x < enter, F.lit(1)).when(x > leave, F.lit(0))
-    return F.coalesce(F.last(event, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-
-
 def trade_runs(bars: DataFrame, keys: list[str], position: str = "position", ret: str = "ret", cost: float = 0.0) -> DataFrame:
     """keys, run, position, first_t, last_t, pnl: runs of one non-zero position; its results summed, less a cost."""
     order = Window.partitionBy(*keys).orderBy("t")
@@ -91,39 +81,6 @@ def eigenvalues(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w").applyInPandas(apply, "w int, rank int, eigenvalue double")
 
 
-def ema_values(x: np.ndarray, period: int) -> np.ndarray:
-    """Begun at the first value, weight 2 / (period + 1)."""
-    return pd.Series(x).ewm(alpha=2 / (period + 1), adjust=False).mean().to_numpy()
-
-
-def rsi_values(x: np.ndarray, period: int) -> np.ndarray:
-    """Smoothed as Wilder does: 50 for the first period + 1 bars, a ratio of 100 where losses vanish."""
-    out = np.full(len(x), 50.0)
-    d = np.diff(x)
-    if len(d) <= period:
-        return out
-    gain, loss = np.maximum(d, 0), np.maximum(-d, 0)
-    for y in (gain, loss):
-        y[period - 1] = y[:period].mean()
-    smooth = [pd.Series(y[period - 1 :]).ewm(alpha=1 / period, adjust=False).mean().to_numpy()[1:] for y in (gain, loss)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(smooth[1] <= 1e-10, 100.0, smooth[0] / smooth[1])
-    out[period + 1 :] = 100 - 100 / (1 + ratio)
-    return out
-
-
-def indicators(series: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, rsi: int = 14) -> DataFrame:
-    """series, t, close, ema_fast, ema_slow, macd, macd_signal, rsi. These are recurrences, so a series is one group."""
-
-    def apply(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        x = g["close"].to_numpy(float)
-        f, s = ema_values(x, fast), ema_values(x, slow)
-        return pd.DataFrame({"series": g["series"], "t": g["t"], "close": x, "ema_fast": f, "ema_slow": s, "macd": f - s, "macd_signal": ema_values(f - s, signal), "rsi": rsi_values(x, rsi)})
-
-    return series.select("series", "t", "close").groupBy("series").applyInPandas(apply, "series string, t int, close double, ema_fast double, ema_slow double, macd double, macd_signal double, rsi double")
-
-
 def expand_intervals(trades: DataFrame, keys: list[str], first: str, last: str, order: list[str], value: str) -> DataFrame:
     """keys, bar, value: every bar from first to last; where trades overlap the last in order holds."""
     rows = trades.withColumn("bar", F.explode(F.sequence(first, last)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftline.functions import rng
-from liftline.operators import resample, sequence
+from liftline.operators import resample, scan, sequence
 from liftline.operators.lift import FilterSet, lift
 from liftline.session import ship
 
@@ -53,7 +53,7 @@ def strategy_grid(spark: SparkSession, fast: range, slow: range, ratio: float =
 def grid_positions(series: DataFrame, pairs: list[tuple[int, int]], short: bool = False) -> DataFrame:
     """series, t, ret, strategy, position: every average is computed once, however many strategies use it."""
     order = Window.partitionBy("series").orderBy("t")
-    r = sequence.log_returns(series)
+    r = scan.log_returns(series)
     r = r.withColumns({f"s{p}": sequence.sma("close", p, order) for p in sorted({x for pair in pairs for x in pair})})
     cells = F.array(*(F.struct(F.lit(k + 1).alias("strategy"), sequence.crossover(F.col(f"s{f}"), F.col(f"s{s}"), F.col("t"), s + 5, short).alias("position")) for k, (f, s) in enumerate(pairs)))
     return r.select("series", "t", "ret", F.inline(cells))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.functions.rng import draw_sql
-from liftline.operators import resample
+from liftline.operators import resample, scan
 from liftline.plans.given import PANEL_SQL, TRADE_ORDER, TRADES_SQL, panel, strategies, trades
 from liftline.session import ship
 
@@ -100,13 +100,10 @@ def mc_path_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("drawdown", f"{_NUMBERED} SELECT strategy, window_i, max(peak - eq)::BIGINT AS mdd_cents, max(greatest(peak, 0) - eq)::BIGINT AS mdd_from_origin_cents FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, window_i ORDER BY i) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i ORDER BY i) AS eq FROM seq)) GROUP BY strategy, window_i")
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximum drawdown of each sequence in window functions, with both starts of the peak."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*_KEYS).orderBy(*TRADE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades(spark, sf_dir).withColumn("eq", F.sum("pnl").over(order))
-    rows = rows.withColumn("peak", F.max("eq").over(order))
-    return rows.groupBy(*_KEYS).agg(F.max(F.col("peak") - F.col("eq")).alias("mdd_cents"), F.max(F.greatest("peak", F.lit(0)) - F.col("eq")).alias("mdd_from_origin_cents"))
+    """Maximum drawdown of each sequence, with both starts of the peak."""
+    ship(spark)
+    found = scan.drawdowns(trades(spark, sf_dir), _KEYS, list(TRADE_ORDER), "pnl")
+    return found.select(*_KEYS, F.col("mdd").alias("mdd_cents"), F.col("mdd_from_origin").alias("mdd_from_origin_cents"))
 
 
 def _tally(spark: SparkSession, sf_dir: str, clusters: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftline.operators import sequence
+from liftline.operators import scan, sequence
 from liftline.plans.given import pnl_cents, table
 from liftline.session import ship
 
@@ -60,7 +60,7 @@ _SIGNAL = f"sig AS (SELECT *, CASE WHEN t < 25 OR slow IS NULL THEN 0 WHEN fast
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sequence.log_returns(_series(spark, sf_dir))
+    r = scan.log_returns(_series(spark, sf_dir))
     r = r.withColumns({"fast": sequence.sma("close", 5, _by_series()), "slow": sequence.sma("close", 20, _by_series())})
     return r.withColumn("position", sequence.crossover(F.col("fast"), F.col("slow"), F.col("t"), 25, short=True))
 
@@ -72,8 +72,8 @@ def sma_cross_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("hysteresis", f"{_SERIES} SELECT series, t, coalesce(last_value(CASE WHEN ret < -0.2 THEN 1 WHEN ret > 0.2 THEN 0 END IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position FROM r")
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sequence.log_returns(_series(spark, sf_dir))
-    return r.select("series", "t", sequence.hysteresis(F.col("ret"), -0.2, 0.2, _by_series()).alias("position"))
+    r = scan.log_returns(_series(spark, sf_dir))
+    return scan.hysteresis(r, ["series"], "ret", -0.2, 0.2).select("series", "t", "position")
 
 
 _RUNS = "runs AS (SELECT *, sum(turn) OVER (PARTITION BY series ORDER BY t) AS run FROM (SELECT *, (position <> coalesce(lag(position) OVER (PARTITION BY series ORDER BY t), 0))::INT AS turn FROM sig))"
@@ -95,7 +95,7 @@ _GRID = ((3, 12), (5, 20), (8, 24), (10, 40))
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sequence.log_returns(_series(spark, sf_dir))
+    r = scan.log_returns(_series(spark, sf_dir))
     r = r.withColumns({f"s{p}": sequence.sma("close", p, _by_series()) for p in sorted({x for pair in _GRID for x in pair})})
     cells = F.array(*(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), sequence.crossover(F.col(f"s{f}"), F.col(f"s{s}"), F.col("t"), s + 5).alias("position")) for f, s in _GRID))
     return r.select("series", "t", "ret", F.inline(cells))
@@ -124,7 +124,7 @@ _ROLL = f"wn AS (SELECT unnest(range({_NW}))::INTEGER AS w), sp AS (SELECT w, t,
 
 
 def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.rolling_corr(sequence.log_returns(_series(spark, sf_dir)), WIDTH, STEP)
+    return sequence.rolling_corr(scan.log_returns(_series(spark, sf_dir)), WIDTH, STEP)
 
 
 @_register("rolling_corr", f"{_SERIES}, {_ROLL} SELECT w, (w * {STEP} + {WIDTH})::INTEGER AS last_t, a, b, n, round(r, 6) AS r FROM roll")
@@ -176,13 +176,13 @@ def _ema_sql(name: str, source: str, column: str, period: int) -> str:
 @_register("macd", f"{_SERIES}, {_ema_sql('ef', 's', 'close', 12)}, {_ema_sql('es', 's', 'close', 26)}, m AS (SELECT ef.series, ef.t, ef.e AS f, es.e AS sl, ef.e - es.e AS d FROM ef JOIN es USING (series, t)), {_ema_sql('sg', 'm', 'd', 9)} SELECT series, t, round(f, 6) AS ema_fast, round(sl, 6) AS ema_slow, round(d, 6) AS macd, round(sg.e, 6) AS macd_signal FROM m JOIN sg USING (series, t)")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sequence.indicators(_series(spark, sf_dir)).select("series", "t", *(F.round(c, 6).alias(c) for c in ("ema_fast", "ema_slow", "macd", "macd_signal")))
+    return scan.indicators(_series(spark, sf_dir)).select("series", F.col("t").cast("int").alias("t"), *(F.round(c, 6).alias(c) for c in ("ema_fast", "ema_slow", "macd", "macd_signal")))
 
 
 @_register("rsi", f"{_SERIES}, d AS (SELECT series, t, greatest(close - lag(close) OVER o, 0) AS g, greatest(lag(close) OVER o - close, 0) AS l FROM s WINDOW o AS (PARTITION BY series ORDER BY t)), wil AS (SELECT series, 14 AS t, avg(g) AS g, avg(l) AS l FROM d WHERE t BETWEEN 1 AND 14 GROUP BY series UNION ALL SELECT d.series, d.t, (y.g * 13 + d.g) / 14, (y.l * 13 + d.l) / 14 FROM wil y JOIN d ON d.series = y.series AND d.t = y.t + 1) SELECT s.series, s.t, round(CASE WHEN s.t <= 14 THEN 50.0::DOUBLE ELSE 100 - 100 / (1 + CASE WHEN l <= 1e-10 THEN 100.0::DOUBLE ELSE g / l END) END, 6) AS rsi FROM s LEFT JOIN wil USING (series, t)")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sequence.indicators(_series(spark, sf_dir)).select("series", "t", F.round("rsi", 6).alias("rsi"))
+    return scan.indicators(_series(spark, sf_dir)).select("series", F.col("t").cast("int").alias("t"), F.round("rsi", 6).alias("rsi"))
 
 
 #: Days a position is held.

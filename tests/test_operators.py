@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from liftline.functions import expressions as E
 from liftline.functions import rng, student
-from liftline.operators import correlation, panel, resample, sequence, simulate
+from liftline.operators import correlation, panel, resample, scan, sequence, simulate
 from liftline.operators.lift import FilterSet, lift, ranking
 
 
@@ -121,17 +121,6 @@ def _series(spark, n=120, seed=1):
     return spark.createDataFrame(pd.DataFrame({"series": "a", "t": np.arange(n, dtype=np.int32), "close": x})), x
 
 
-def test_indicators(spark):
-    df, x = _series(spark)
-    out = sequence.indicators(df).orderBy("t").toPandas()
-    e = x[0]
-    for k in range(1, len(x)):
-        e = 2 / 13 * x[k] + 11 / 13 * e
-    assert out.ema_fast.iloc[-1] == pytest.approx(e)
-    assert (out.rsi[:15] == 50).all() and out.rsi[15:].between(0, 100).all()
-    assert sequence.rsi_values(np.full(30, 5.0), 14)[-1] == pytest.approx(100 - 100 / 101)
-
-
 def test_trade_runs_against_a_loop(spark):
     rng_ = np.random.default_rng(3)
     pos, ret = rng_.integers(-1, 2, 60), rng_.normal(0, 0.01, 60)
@@ -151,19 +140,11 @@ def test_trade_runs_against_a_loop(spark):
 def test_eigenvalues_sum_to_the_number_of_series(spark):
     parts = [_series(spark, seed=s)[0].withColumn("series", F.lit(f"s{s}")) for s in range(4)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    pairs = sequence.rolling_corr(sequence.log_returns(rows), 40, 20)
+    pairs = sequence.rolling_corr(scan.log_returns(rows), 40, 20)
     out = sequence.eigenvalues(pairs).toPandas()
     assert out.groupby("w").eigenvalue.sum().round(9).eq(4).all()
 
 
-def test_hysteresis_holds_the_last_event(spark):
-    from pyspark.sql import Window
-
-    df = spark.createDataFrame([("a", t, x) for t, x in enumerate([50.0, 20.0, 40.0, 80.0, 60.0, 25.0])], "s string, t int, x double")
-    w = Window.partitionBy("s").orderBy("t")
-    assert [r[0] for r in df.select("t", sequence.hysteresis(F.col("x"), 30, 70, w).alias("p")).orderBy("t").select("p").collect()] == [0, 1, 1, 0, 0, 1]
-
-
 def test_histogram_keeps_empty_bins_and_the_upper_end(spark):
     df = spark.createDataFrame([(1.0,), (-1.0,), (0.0,), (None,)], "r double")
     out = {r.bin: r.n for r in correlation.histogram(df, 10).collect()}
