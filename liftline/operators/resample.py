@@ -174,15 +174,45 @@ def cluster_bootstrap(counts: DataFrame, order: list[str], by: list[str] | None
     return out.withColumn("z", F.try_divide("point", "se_pop")).select(*by, "clusters", "point", "mean", "se_pop", "se_samp", "low", "high", "z", "share_positive")
 
 
-def placebo(rows: DataFrame, by: list[str], pool: Column, chosen: Column, hit: str, unit: str, window: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """by, n_pool, n_chosen, rate, low, high, below: the chosen rows' rate against subsamples of the pool of the same size, drawn without replacement by the generator's order."""
-    pooled = rows.where(F.coalesce(pool, F.lit(False))).select(*by, unit, window, F.col(hit).alias("hit"), F.coalesce(chosen, F.lit(False)).alias("is_chosen"))
-    counts = pooled.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pool"), F.count_if("is_chosen").alias("n_chosen"), F.count_if(F.col("is_chosen") & (F.col("hit") > 0)).alias("chosen_hits")).where("n_chosen > 0")
-    drawn = pooled.drop("is_chosen").join(counts, by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    keyed = drawn.withColumn("key", rng.draw(F.col(unit), F.col(window), F.col("rep"), F.lit(3), seed))
-    at = F.row_number().over(Window.partitionBy(*by, "rep").orderBy("key", unit, window))
-    taken = keyed.withColumn("at", at).where(F.col("at") <= F.col("n_chosen"))
-    rates = taken.groupBy(*by, "n_pool", "n_chosen", "chosen_hits", "rep").agg((F.count_if(F.col("hit") > 0) * 100.0 / F.first("n_chosen")).alias("x"))
+#: Standard deviations about the mean beyond which a count of a placebo is as unlikely as 1e-30, far under the generator's step of 2 ** -31.
+_SPREAD = 12
+
+
+def drawn_hits(counts: DataFrame, by: list[str], reps: int, seed: int = 42) -> DataFrame:
+    """by, rep, count: how many of ``n_hits`` hits are among ``n_chosen`` rows drawn without replacement from ``n_pool``.
+
+    The hypergeometric distribution is inverted: its weights about the mean are summed up in order from ratios of
+    neighbours, and a replicate's count is the first whose share reaches the replicate's number. What is handled for a
+    group is some spreads of the count and one row for each replicate, never a row of the pool.
+    """
+    n, k, m = (F.col(c).cast("double") for c in ("n_pool", "n_hits", "n_chosen"))
+    mean = F.try_divide(m * k, n)
+    spread = F.ceil(F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.try_divide(mean * (n - k) * (n - m), n * (n - 1)), F.lit(0.0)))) * _SPREAD) + 2
+    low, high = F.greatest(F.lit(0), F.col("n_chosen") + F.col("n_hits") - F.col("n_pool")), F.least("n_chosen", "n_hits")
+    numbered = counts.withColumn("unit", F.row_number().over(Window.orderBy(*by)))  # one row for each group
+    values = numbered.withColumn("count", F.explode(F.sequence(F.greatest(low, F.floor(mean) - spread), F.least(high, F.ceil(mean) + spread))))
+    order = Window.partitionBy("unit").orderBy("count")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("count").cast("double")
+    step = F.when(F.row_number().over(order) > 1, F.ln(F.try_divide((k - x + 1) * (m - x + 1), x * (n - k - m + x)))).otherwise(F.lit(0.0))
+    values = values.withColumn("step", step).withColumn("log", F.sum("step").over(upto))
+    values = values.withColumn("weight", F.exp(F.col("log") - F.max("log").over(Window.partitionBy("unit"))))
+    values = values.select("unit", "count", (F.sum("weight").over(upto) / F.sum("weight").over(Window.partitionBy("unit"))).alias("at"), F.lit(1).alias("kind"))
+    zero = F.lit(0)
+    drawn = numbered.select("unit", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = drawn.select("unit", "rep", rng.uniform(F.col("unit"), zero, F.col("rep"), F.lit(3), seed).alias("at"), F.lit(0).alias("kind"))
+    both = drawn.withColumn("count", F.lit(None).cast("bigint")).unionByName(values.withColumn("rep", F.lit(None).cast("int")))
+    after = Window.partitionBy("unit").orderBy("at", "kind", "count").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("count", F.first("count", ignorenulls=True).over(after)).where("kind = 0")
+    last = values.groupBy("unit").agg(F.max("count").alias("last"))  # a share summed to just under 1
+    return found.join(last, "unit").join(numbered.select("unit", *by), "unit").select(*by, "rep", F.coalesce("count", "last").alias("count"))
+
+
+def placebo(rows: DataFrame, by: list[str], pool: Column, chosen: Column, hit: str, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """by, n_pool, n_chosen, rate, low, high, below: the chosen rows' rate against that of as many rows drawn from the pool without replacement, from tallies alone."""
+    pooled = rows.where(F.coalesce(pool, F.lit(False))).select(*by, F.col(hit).alias("hit"), F.coalesce(chosen, F.lit(False)).alias("is_chosen"))
+    counts = pooled.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pool"), F.count_if(F.col("hit") > 0).alias("n_hits"), F.count_if("is_chosen").alias("n_chosen"), F.count_if(F.col("is_chosen") & (F.col("hit") > 0)).alias("chosen_hits")).where("n_chosen > 0")
+    rates = drawn_hits(counts, by, reps, seed).join(counts, by).withColumn("x", F.col("count") * 100.0 / F.col("n_chosen"))
     out = rates.groupBy(*by, "n_pool", "n_chosen", "chosen_hits").agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
     rate = ratio(F.col("chosen_hits") * 100.0, F.col("n_chosen"))
     return out.select(*by, "n_pool", "n_chosen", rate.alias("rate"), "low", "high", (rate < F.col("low")).alias("below"))

@@ -232,14 +232,23 @@ def mean_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mean_bootstrap(panel(spark, sf_dir).where("next_roi IS NOT NULL").groupBy("asset", "window_i").agg(F.avg("next_roi").alias("x")), ["window_i"])
 
 
-@_register("placebo_ci", f"""{PANEL_SQL}, pool AS (SELECT asset, strategy, window_i, next_hit, roi_rank >= 50 AS chosen FROM panel WHERE next_hit IS NOT NULL AND pf > 1.0),
-c AS (SELECT asset, count(*) AS n_pool, count(*) FILTER (WHERE chosen) AS n_chosen, count(*) FILTER (WHERE chosen AND next_hit > 0) AS chosen_hits FROM pool GROUP BY asset),
-k AS (SELECT p.asset, n_pool, n_chosen, chosen_hits, rep, next_hit, row_number() OVER (PARTITION BY p.asset, rep ORDER BY {draw_sql('strategy::BIGINT', 'window_i::BIGINT', 'rep::BIGINT', '3::BIGINT')}, strategy, window_i) AS place FROM pool p JOIN c ON c.asset = p.asset AND n_chosen > 0, (SELECT unnest(range(1000)) AS rep)),
-x AS (SELECT asset, n_pool, n_chosen, chosen_hits, rep, count(*) FILTER (WHERE next_hit > 0) * 100.0::DOUBLE / max(n_chosen) AS x FROM k WHERE place <= n_chosen GROUP BY ALL)
-SELECT asset, n_pool, n_chosen, round(chosen_hits * 100.0::DOUBLE / n_chosen, 6) AS rate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, chosen_hits * 100.0::DOUBLE / n_chosen < quantile_cont(x, 0.025) AS below FROM x GROUP BY asset, n_pool, n_chosen, chosen_hits""")
+_LOG_STEP = "CASE WHEN row_number() OVER (PARTITION BY unit ORDER BY x) > 1 THEN ln((k - x + 1) * (m - x + 1) / (x * (n - k - m + x))) ELSE 0 END"
+
+
+@_register("placebo_ci", f"""{PANEL_SQL}, pool AS (SELECT asset, next_hit, roi_rank >= 50 AS chosen FROM panel WHERE next_hit IS NOT NULL AND pf > 1.0),
+c AS (SELECT asset, count(*) AS n_pool, count(*) FILTER (WHERE next_hit > 0) AS n_hits, count(*) FILTER (WHERE chosen) AS n_chosen, count(*) FILTER (WHERE chosen AND next_hit > 0) AS chosen_hits FROM pool GROUP BY asset HAVING count(*) FILTER (WHERE chosen) > 0),
+u AS (SELECT *, row_number() OVER (ORDER BY asset) AS unit, n_pool::DOUBLE AS n, n_hits::DOUBLE AS k, n_chosen::DOUBLE AS m FROM c),
+v AS (SELECT unit, n, k, m, unnest(range(greatest(0, n_chosen + n_hits - n_pool), least(n_chosen, n_hits) + 1))::DOUBLE AS x FROM u),
+l AS (SELECT unit, x, sum(step) OVER (PARTITION BY unit ORDER BY x) AS log FROM (SELECT unit, x, {_LOG_STEP} AS step FROM v)),
+w AS (SELECT unit, x, exp(log - max(log) OVER (PARTITION BY unit)) AS w FROM l),
+d AS (SELECT unit, x, sum(w) OVER (PARTITION BY unit ORDER BY x) / sum(w) OVER (PARTITION BY unit) AS share FROM w),
+r AS (SELECT unit, rep, {draw_sql('unit::BIGINT', '0::BIGINT', 'rep::BIGINT', '3::BIGINT')} / 2147483647.0::DOUBLE AS spot FROM u, (SELECT unnest(range(1000)) AS rep)),
+h AS (SELECT r.unit, rep, coalesce(min(x) FILTER (WHERE share >= spot), max(x)) AS hits FROM r JOIN d ON d.unit = r.unit GROUP BY r.unit, rep)
+SELECT asset, n_pool, n_chosen, round(chosen_hits * 100.0::DOUBLE / n_chosen, 6) AS rate, round(quantile_cont(hits * 100 / m, 0.025), 6) AS low, round(quantile_cont(hits * 100 / m, 0.975), 6) AS high, chosen_hits * 100.0::DOUBLE / n_chosen < quantile_cont(hits * 100 / m, 0.025) AS below
+FROM h JOIN u USING (unit) GROUP BY asset, n_pool, n_chosen, chosen_hits""")
 def placebo_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir).where("next_hit IS NOT NULL")
-    return _rounded(resample.placebo(rows, ["asset"], F.col("pf") > 1.0, F.col("roi_rank") >= 50, "next_hit", "strategy", "window_i"))
+    return _rounded(resample.placebo(rows, ["asset"], F.col("pf") > 1.0, F.col("roi_rank") >= 50, "next_hit"))
 
 
 @_register("stratified_sample", f"{PANEL_SQL} SELECT family, strategy FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {draw_sql('strategy::BIGINT', '0::BIGINT', '0::BIGINT', '0::BIGINT', 123)}, strategy) AS r FROM strategies) WHERE r <= 40")

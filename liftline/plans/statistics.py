@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from liftline.functions.expressions import ratio, safe_corr
 from liftline.functions.student import r_p_value, t_critical, t_p_value
+from liftline.operators.selection import percentiles
 from liftline.plans.given import PANEL_SQL, panel
+from liftline.scratch import settle
 from liftline.session import ship
 
 QUERIES: dict = {}
@@ -35,8 +37,10 @@ _SUMMARY_SQL = " UNION ALL ".join(f"SELECT asset, '{m}' AS metric, {m} AS x FROM
 
 @_register("rank_summary", f"SELECT asset, metric, count(*) AS n, round(avg(x), {PLACES}) AS mean, round(avg((x < 50)::INT::DOUBLE) * 100, {PLACES}) AS below_50_pct, round(median(x), {PLACES}) AS median, round(stddev_samp(x), {PLACES}) AS sd FROM ({_SUMMARY_SQL}) GROUP BY asset, metric")
 def rank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = panel(spark, sf_dir).where("oos_hit IS NOT NULL").unpivot(["asset"], list(_RANKS), "metric", "x")
-    return long.groupBy("asset", "metric").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("x"), "mean"), _r(F.avg((F.col("x") < 50).cast("double")) * 100, "below_50_pct"), _r(F.median("x"), "median"), _r(F.stddev_samp("x"), "sd"))
+    long = settle(panel(spark, sf_dir).where("oos_hit IS NOT NULL").unpivot(["asset"], list(_RANKS), "metric", "x"))
+    moments = long.groupBy("asset", "metric").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("x"), "mean"), _r(F.avg((F.col("x") < 50).cast("double")) * 100, "below_50_pct"), _r(F.stddev_samp("x"), "sd"))
+    middle = percentiles(long, ["asset", "metric"], "x", {"median": 0.5})
+    return moments.join(middle, ["asset", "metric"]).select("asset", "metric", "n", "mean", "below_50_pct", _r(F.col("median"), "median"), "sd")
 
 
 def rank_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +125,23 @@ def is_oos_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEDIANS = {"none": "true", "gate": "pf > 1.0", "rob_all": "pf > 1.0 AND ent_pf > 1.0 AND fee_pf > 1.0 AND sli_pf > 1.0 AND entind_pf > 1.0", "mc_roi": "roi_rank >= 50", "mc_sharpe": "sharpe_rank >= 50", "mc_roi_gate": "pf > 1.0 AND roi_rank >= 50"}
 
 
+def _medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset, and the median out-of-sample Sharpe of the rows that pass each filter."""
+    names = F.array_compact(F.array(*(F.when(F.expr(p), F.lit(n)) for n, p in _MEDIANS.items())))
+    rows = panel(spark, sf_dir).where("oos_sharpe IS NOT NULL").select("asset", F.explode(names).alias("filter"), "oos_sharpe")
+    found = percentiles(rows, ["asset", "filter"], "oos_sharpe", {"x": 0.5})
+    return found.groupBy("asset").pivot("filter", list(_MEDIANS)).agg(F.max("x"))
+
+
 @_register("median_sharpe_matrix", "SELECT asset, " + ", ".join(f"round(median(oos_sharpe) FILTER (WHERE {p}), {PLACES}) AS {n}" for n, p in _MEDIANS.items()) + " FROM panel WHERE oos_sharpe IS NOT NULL GROUP BY asset")
 def median_sharpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).where("oos_sharpe IS NOT NULL").groupBy("asset").agg(*(_r(F.median(F.when(F.expr(p), F.col("oos_sharpe"))), n) for n, p in _MEDIANS.items()))
+    return _medians(spark, sf_dir).select("asset", *(_r(F.col(n), n) for n in _MEDIANS))
 
 
 @_register("sharpe_delta", "SELECT filter, round(avg(m - b), 6) AS avg_delta FROM (" + " UNION ALL ".join(f"SELECT asset, '{n}' AS filter, median(oos_sharpe) FILTER (WHERE {p}) AS m, median(oos_sharpe) FILTER (WHERE {'pf > 1.0' if n == 'mc_roi_gate' else 'true'}) AS b FROM panel WHERE oos_sharpe IS NOT NULL GROUP BY asset" for n, p in _MEDIANS.items() if n != "none") + ") GROUP BY filter")
 def sharpe_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over assets of the median's change: against all rows, the last against the gate."""
-    m = panel(spark, sf_dir).where("oos_sharpe IS NOT NULL").groupBy("asset").agg(*(F.median(F.when(F.expr(p), F.col("oos_sharpe"))).alias(n) for n, p in _MEDIANS.items()))
+    m = settle(_medians(spark, sf_dir))
     rows = F.array(*(F.struct(F.lit(n).alias("filter"), (F.col(n) - F.col("gate" if n == "mc_roi_gate" else "none")).alias("d")) for n in _MEDIANS if n != "none"))
     return m.select(F.inline(rows)).groupBy("filter").agg(_r(F.avg("d"), "avg_delta"))
 
@@ -212,7 +224,9 @@ def rank_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("tier_quantiles", "SELECT asset, round(avg(roi), 6) AS mean, round(quantile_cont(roi, 0.025), 6) AS low, round(quantile_cont(roi, 0.975), 6) AS high FROM panel GROUP BY asset")
 def tier_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).groupBy("asset").agg(_r(F.avg("roi"), "mean"), _r(F.percentile("roi", 0.025), "low"), _r(F.percentile("roi", 0.975), "high"))
+    rows = settle(panel(spark, sf_dir).select("asset", "roi"))
+    ends = percentiles(rows, ["asset"], "roi", {"low": 0.025, "high": 0.975})
+    return rows.groupBy("asset").agg(_r(F.avg("roi"), "mean")).join(ends, "asset").select("asset", "mean", _r(F.col("low"), "low"), _r(F.col("high"), "high"))
 
 
 @_register("next_outcome_consistency", "SELECT p.asset, count(*) AS n, sum((p.next_roi = q.oos_roi)::INT)::BIGINT AS equal FROM panel p JOIN panel q ON q.strategy = p.strategy AND q.window_i = p.window_i + 1 WHERE p.next_roi IS NOT NULL GROUP BY p.asset")
