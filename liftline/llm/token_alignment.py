@@ -26,6 +26,8 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,75 +41,101 @@ from liftline.llm.common import discard, materialise, prepare, table
 
 #: Bytes of text whose pairs are counted together, and what a row counts at least.
 CHUNK, LEAST = 8 << 20, 256
+#: Characters of texts that are encoded together.
+GROUP = 1 << 18
+#: How piece models write a space.
+SPACE = "▁"
 #: Fixed value: how byte-level models split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Models:
-    """Both tokenizers with the bytes of each id. The driver reads the files; tasks get their contents."""
+    """Both tokenizers with the bytes of each id. The driver reads the files; a task process loads their contents once."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        with open(byte_level, encoding="utf-8") as f:
-            spec = json.load(f)
-        with open(pieces, "rb") as f:
-            self.pieces = f.read()
+    def __init__(self, byte_level: bytes, pieces: bytes):
+        import sentencepiece
+        import tiktoken
+        from sentencepiece import sentencepiece_model_pb2
+
+        self.contents = byte_level, pieces
+        spec = json.loads(byte_level)
         byte = {x: b for b, x in enumerate(byte_symbols())}
         special = {x["content"] for x in spec["added_tokens"]}
-        self.ranks = {bytes(byte[c] for c in entry): i for entry, i in spec["model"]["vocab"].items() if entry not in special}
-        made = [spec["model"]["vocab"][u + v] for u, v in (x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"])]
+        vocab = spec["model"]["vocab"]
+        ranks = {bytes(byte[c] for c in entry): i for entry, i in vocab.items() if entry not in special}
+        made = [vocab[u + v] for u, v in (x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"])]
         if made != sorted(made):  # the encoder merges by id
             raise ValueError("a byte-level model is needed whose ids ascend with its merges")
-        self._begin()
-        if not (self.size_a[list(self.ranks.values())].all() and self.size_b.all()):
-            raise ValueError("a model with entries of no bytes cannot be aligned")
-
-    def _begin(self) -> None:
-        import sentencepiece
-        import tiktoken
-
-        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=self.pieces)
-        self.bytes_a = [b""] * (max(self.ranks.values()) + 1)
-        for spelled, i in self.ranks.items():
+        rules = sentencepiece_model_pb2.ModelProto.FromString(pieces)
+        plain = rules.normalizer_spec.name == "identity" and rules.normalizer_spec.add_dummy_prefix and not rules.normalizer_spec.remove_extra_whitespaces
+        if not plain:
+            raise ValueError("a piece model is needed that puts a space before texts and else leaves them as they are")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for spelled, i in ranks.items():
             self.bytes_a[i] = spelled
-        b = self.b
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in range(b.get_piece_size()) for p in (b.id_to_piece(i),)]
+        self.bytes_b = [bytes([int(x.piece[3:5], 16)]) if self.b.is_byte(i) else x.piece.replace(SPACE, " ").encode() for i, x in enumerate(rules.pieces)]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = (list(map(str, range(len(x)))) for x in (self.bytes_a, self.bytes_b))
-
-    def __getstate__(self) -> dict:
-        return {"ranks": self.ranks, "pieces": self.pieces}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._begin()
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The ids of both sides; none where a side does not spell a space and the text."""
-        if not text:
-            return [], []
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        whole = (" " + text).encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return [], []
-        return a, b
-
-    def cuts(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """For every common end in order, how many tokens of A and of B are before it."""
-        if not a:
-            return []
-        index_a = dict(zip(np.cumsum(self.size_a[a]).tolist(), range(1, len(a) + 1), strict=True))
-        index_b = dict(zip(np.cumsum(self.size_b[b]).tolist(), range(1, len(b) + 1), strict=True))
-        return [(index_a[e], index_b[e]) for e in sorted(index_a.keys() & index_b.keys())]
-
-    def spelled(self, a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-        x, y = [self.text_a[i] for i in a], [self.text_b[i] for i in b]
-        out, i, j = [], 0, 0
-        for p, q in cuts:
-            out.append(f"{x[i]}|{y[j]}" if p - i == 1 == q - j else f"{','.join(x[i:p])}|{','.join(y[j:q])}")
-            i, j = p, q
-        return ";".join(out)
+        if not all(ranks) or not self.size_b.all():
+            raise ValueError("a model with entries of no bytes cannot be aligned")
+        self.inner_a, self.last_a, self.inner_b, self.last_b = (np.array([f"{i}{mark}" for i in range(len(x))], object) for x, mark in ((self.bytes_a, ","), (self.bytes_a, "|"), (self.bytes_b, ","), (self.bytes_b, ";")))
+
+    def __reduce__(self):  # noqa: ANN204
+        return loaded, self.contents
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both sides of each text; none where a side does not spell a space and the text. One model after the other, as each fills the processor's caches."""
+        asked = [t if t and SPACE not in t else "" for t in texts]  # B spells that as a space
+        found = self.b.encode(asked, num_threads=1)
+        found = [b if t and b"".join(map(self.bytes_b.__getitem__, b)) == f" {t}".encode() else [] for t, b in zip(asked, found, strict=True)]
+        # A's tokens are slices of the text's bytes, so they always spell it
+        pairs = [(self.a.encode_ordinary(f" {t}") if b else [], b) for t, b in zip(asked, found, strict=True)]
+        return [(np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))) for a, b in pairs]
+
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every common end in order, how many tokens of A, and of B, are before it: A's ends, which ascend, are looked up in the dictionary of B's."""
+        ends_a, ends_b = (np.cumsum(size[ids]).tolist() for size, ids in ((self.size_a, a), (self.size_b, b)))
+        index_b = dict(zip(ends_b, range(1, len(b) + 1), strict=True))
+        found = np.fromiter(map(index_b.get, ends_a, repeat(0)), np.int64, len(a))
+        index_a = np.flatnonzero(found)
+        return index_a + 1, found[index_a]
+
+    def spelled(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of every group, each with what stands after it."""
+        if not len(p):
+            return ""
+        out = np.empty(len(a) + len(b), object)
+        at_a = np.arange(len(a)) + np.repeat(np.r_[0, q[:-1]], np.diff(p, prepend=0))
+        at_b = np.arange(len(b)) + np.repeat(p, np.diff(q, prepend=0))
+        out[at_a], out[at_b] = self.inner_a[a], self.inner_b[b]
+        out[at_a[p - 1]], out[at_b[q - 1]] = self.last_a[a[p - 1]], self.last_b[b[q - 1]]
+        return "".join(out.tolist())[:-1]
+
+
+@lru_cache(maxsize=1)
+def loaded(byte_level: bytes, pieces: bytes) -> Models:
+    """One pair of models is kept by a process."""
+    return Models(byte_level, pieces)
+
+
+def models_of(byte_level: str, pieces: str) -> Models:
+    """The models of two files, a byte-level BPE as JSON and a piece model."""
+    with open(byte_level, "rb") as f, open(pieces, "rb") as g:
+        return loaded(f.read(), g.read())
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that are encoded together: about GROUP characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size > GROUP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def align(docs: DataFrame, models: Models) -> DataFrame:
@@ -117,9 +145,9 @@ def align(docs: DataFrame, models: Models) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [models.encode(t) for t in batch.column(1).to_pylist()]
-            cuts = [[{"a": p, "b": q} for p, q in models.cuts(*x)] for x in found]
-            arrays = [batch.column(0), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)), pa.array(cuts, pa.list_(pair))]
+            found = [x for some in _groups(batch.column(1).to_pylist()) for x in models.encode(some)]
+            cuts = [[{"a": p, "b": q} for p, q in zip(*map(np.ndarray.tolist, models.cuts(*x)), strict=True)] for x in found]
+            arrays = [batch.column(0), *(pa.array([x[k].tolist() for x in found], pa.list_(pa.int32())) for k in (0, 1)), pa.array(cuts, pa.list_(pair))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids_a", "ids_b", "cuts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -161,17 +189,16 @@ def _linked(models: Models, id_type: pa.DataType, chunk: int):  # noqa: ANN202
             yield batch_of([(number, *[None] * 7, pairs, n)])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = models.encode(text)
-                cuts = models.cuts(a, b)
-                digest = hashlib.sha256(models.spelled(a, b, cuts).encode()).hexdigest() if a else ""
-                ends = np.array(cuts, np.int64).reshape(-1, 2) - 1
-                codes = np.array(a, np.int64)[ends[:, 0]] * n_b + np.array(b, np.int64)[ends[:, 1]] if a else np.empty(0, np.int64)
-                held.append((doc_id, len(a), len(b), len(cuts), digest, codes))
-                size += max(LEAST, len(text or ""))
-                if size > chunk:
-                    yield from flush()
-                    number, held, size = number + 1, [], 0
+            ids = iter(batch.column(0).to_pylist())
+            for some in _groups(batch.column(1).to_pylist()):
+                for text, (a, b) in zip(some, models.encode(some), strict=True):
+                    p, q = models.cuts(a, b)
+                    digest = hashlib.sha256(models.spelled(a, b, p, q).encode()).hexdigest() if len(a) else ""
+                    held.append((next(ids), len(a), len(b), len(p), digest, a[p - 1] * n_b + b[q - 1]))
+                    size += max(LEAST, len(text or ""))
+                    if size > chunk:
+                        yield from flush()
+                        number, held, size = number + 1, [], 0
         if held:
             yield from flush()
 
@@ -211,7 +238,7 @@ def corpus_counts(docs: DataFrame, models: Models, chunk: int = CHUNK) -> DataFr
 def default_models() -> Models:
     import public_tokenizers
 
-    return Models(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return models_of(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def _alignment_brute(rows):
 
 
 COUNTS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-ODD = [None, "", " ", "a", "▁ held", "<s> <|endoftext|> </s><unk>", "x\x00y\t\r\n\n  z ", "中文 naïve 🙂🙂", "don't  stop" * 50, "=" * 3000, "é" * 999, "<0x41>  ​"]
+ODD = [None, "", " ", "  ", "a ", "a  ", "   a   b  ", " a", "\u00a0 x\u3000 ", "a", "▁ held", "<s> <|endoftext|> </s><unk>", "x\x00y\t\r\n\n  z ", "中文 naïve 🙂🙂", "don't  stop" * 50, "=" * 3000, "é" * 999, "<0x41>  ​"]
 
 
 def test_alignment_of_odd_texts(spark, models):
@@ -192,7 +192,7 @@ def test_models_are_refused_whose_ids_do_not_follow_the_merges(tmp_path):
     path = tmp_path / "turned.json"
     path.write_text(json.dumps(spec), encoding="utf-8")
     with pytest.raises(ValueError, match="ascend"):
-        token_alignment.Models(str(path), P.path("piece_bpe_32k.model"))
+        token_alignment.models_of(str(path), P.path("piece_bpe_32k.model"))
 
 
 # manifest
