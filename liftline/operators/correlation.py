@@ -27,52 +27,41 @@ def null_abs_corr(n: Column) -> Column:
     return F.sqrt(F.lit(2.0) / (F.pi() * n))
 
 
-def within_cross(pairs: DataFrame) -> DataFrame:
-    """same_family, pairs, mean, median, above_07_pct, mean_abs, null_abs."""
-    out = pairs.where("r IS NOT NULL").groupBy((F.col("family_i") == F.col("family_j")).alias("same_family"))
-    return out.agg(F.count(F.lit(1)).alias("pairs"), F.avg("r").alias("mean"), F.median("r").alias("median"), (F.avg((F.col("r") > 0.7).cast("double")) * 100).alias("above_07_pct"), F.avg(F.abs("r")).alias("mean_abs"), F.avg(null_abs_corr(F.col("n"))).alias("null_abs"))
-
-
-def floor_percentile(x: str, p: float) -> Column:
-    """The value at index int(p * (n - 1)) of the sorted values. A group's values meet in one array: for groups of bounded size."""
-    ordered = F.sort_array(F.collect_list(x))
-    return F.element_at(ordered, (F.floor(F.lit(p) * (F.count(x) - 1)) + 1).cast("int"))
-
-
-def histogram(pairs: DataFrame, bins: int = 200, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """bin, n over fixed bins, empty ones included; the upper end is in the last."""
-    spark = pairs.sparkSession
-    b = F.least(F.greatest(F.floor((F.col("r") - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    counts = pairs.where("r IS NOT NULL").groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def family_means(pairs: DataFrame) -> DataFrame:
-    """family_i, family_j, pairs, mean_r, symmetric."""
-    both = pairs.select("family_i", "family_j", "r").where("r IS NOT NULL")
-    both = both.unionByName(both.where("family_i <> family_j").select(F.col("family_j").alias("family_i"), F.col("family_i").alias("family_j"), "r"))
-    return both.groupBy("family_i", "family_j").agg(F.count(F.lit(1)).alias("pairs"), F.avg("r").alias("mean_r"))
-
-
 def as_matrix(means: DataFrame, families: list) -> DataFrame:
     """One row and column for each family; 0 where there are no pairs."""
     wide = means.groupBy("family_i").pivot("family_j", families).agg(F.first("mean_r"))
     return wide.select("family_i", *(F.coalesce(F.col(f"`{f}`"), F.lit(0.0)).alias(f"f{f}") for f in families))
 
 
-def sparse_corr(positions: DataFrame, unit: str = "strategy", bar: str = "bar", value: str = "dir") -> DataFrame:
-    """i, j, r for i < j of +1/-1 positions on bars, 0 elsewhere, over all bars that any unit has. Pairs without a common bar have a dot product of 0 and are included."""
-    stats = positions.groupBy(unit).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("c"))
-    bars = positions.agg(F.countDistinct(bar).alias("nb"))
-    a = positions.select(F.col(bar).alias("b"), F.col(unit).alias("i"), F.col(value).alias("x"))
-    b = positions.select(F.col(bar).alias("b"), F.col(unit).alias("j"), F.col(value).alias("y"))
-    dots = a.join(b, "b").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
-    left = stats.select(F.col(unit).alias("i"), F.col("s").alias("si"), F.col("c").alias("ci"))
-    right = stats.select(F.col(unit).alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
-    every = left.join(right, F.col("i") < F.col("j")).join(dots, ["i", "j"], "left").join(F.broadcast(bars))
+def packed_positions(positions: DataFrame, unit: str = "strategy", bar: str = "bar", value: str = "dir") -> DataFrame:
+    """u, word, up, down: the bars of a unit's +1 and -1 positions as bits, 64 bars a row."""
+    bit = F.expr(f"shiftleft(1L, CAST(pmod({bar}, 64) AS INT))")
+    side = lambda sign: F.coalesce(F.bit_or(F.when(F.col(value) == sign, bit)), F.lit(0).cast("bigint"))
+    return positions.groupBy(F.col(unit).alias("u"), F.floor(F.col(bar) / 64).alias("word")).agg(side(1).alias("up"), side(-1).alias("down"))
+
+
+def family_pairs(units: DataFrame, unit: str, family: str) -> DataFrame:
+    """i, j for i < j: all pairs of units of one family."""
+    a, b = units.select(F.col(family).alias("f"), F.col(unit).alias("i")), units.select(F.col(family).alias("f"), F.col(unit).alias("j"))
+    return a.join(b, "f").where("i < j").select("i", "j")
+
+
+def position_corr(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (i, j) with nb and r, of +1/-1 positions on bars, 0 elsewhere; bars are the nb ones that any unit has. Words meet on the pairs alone, and a dot product is a count of bits."""
+    count, both = F.bit_count, lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.col(y)))
+    stats = packed.groupBy("u").agg(F.sum(count("up") - count("down")).cast("double").alias("s"), F.sum(count("up") + count("down")).cast("double").alias("c"))
+    words = packed.groupBy("word").agg(F.bit_or(F.col("up").bitwiseOR(F.col("down"))).alias("any"))
+    bars = words.agg(F.sum(count("any")).cast("double").alias("nb"))
+    a = packed.select(F.col("u").alias("i"), "word", F.col("up").alias("iu"), F.col("down").alias("id"))
+    b = packed.select(F.col("u").alias("j"), "word", F.col("up").alias("ju"), F.col("down").alias("jd"))
+    met = pairs.select("i", "j").join(a, "i").join(b, ["j", "word"])
+    dots = met.groupBy("i", "j").agg(F.sum(both("iu", "ju") + both("id", "jd") - both("iu", "jd") - both("id", "ju")).cast("double").alias("dot"))
+    every = pairs.join(dots, ["i", "j"], "left").crossJoin(F.broadcast(bars))  # one row
+    for side in "ij":
+        every = every.join(stats.select(F.col("u").alias(side), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}")), side)
     top = F.coalesce("dot", F.lit(0.0)) - F.col("si") * F.col("sj") / F.col("nb")
     norm = F.sqrt((F.col("ci") - F.col("si") * F.col("si") / F.col("nb")) * (F.col("cj") - F.col("sj") * F.col("sj") / F.col("nb")))
-    return every.select("i", "j", F.when(norm > 1e-12, top / F.when(norm > 1e-12, norm)).otherwise(F.lit(0.0)).alias("r"))
+    return every.select(*pairs.columns, "nb", F.when(norm > 1e-12, top / F.when(norm > 1e-12, norm)).otherwise(F.lit(0.0)).alias("r"))
 
 
 def random_projection(positions: DataFrame, unit: str = "strategy", bar: str = "bar", value: str = "dir", dims: int = 3) -> DataFrame:
@@ -114,21 +103,6 @@ def sample_pairs(units: DataFrame, unit: str, family: str, draws: int, seed: int
     return pair.agg(F.sum("times").alias("times"))
 
 
-def sampled_corr(positions: DataFrame, pairs: DataFrame, unit: str = "strategy", bar: str = "bar", value: str = "dir") -> DataFrame:
-    """The pairs with r, of +1/-1 positions on bars, 0 elsewhere; bars are all that any unit has. Positions meet on the drawn pairs only."""
-    stats = positions.groupBy(unit).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("c"))
-    bars = positions.agg(F.countDistinct(bar).cast("double").alias("nb"))
-    a = positions.select(F.col(unit).alias("i"), F.col(bar).alias("bar"), F.col(value).alias("x"))
-    b = positions.select(F.col(unit).alias("j"), F.col(bar).alias("bar"), F.col(value).alias("y"))
-    dots = pairs.select("i", "j").join(a, "i").join(b, ["j", "bar"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
-    every = pairs.join(dots, ["i", "j"], "left").crossJoin(F.broadcast(bars))  # one row
-    for side in "ij":
-        every = every.join(stats.select(F.col(unit).alias(side), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}")), side)
-    top = F.coalesce("dot", F.lit(0.0)) - F.col("si") * F.col("sj") / F.col("nb")
-    norm = F.sqrt((F.col("ci") - F.col("si") * F.col("si") / F.col("nb")) * (F.col("cj") - F.col("sj") * F.col("sj") / F.col("nb")))
-    return every.select("i", "j", "same_family", "times", "nb", F.when(norm > 1e-12, top / F.when(norm > 1e-12, norm)).otherwise(F.lit(0.0)).alias("r"))
-
-
 def weighted_summary(rows: DataFrame, by: str, x: str, weight: str, cuts: tuple[int, ...], shares: tuple[float, ...]) -> DataFrame:
     """by, n, mean, floor-index percentiles and shares above, of values that count several times. The values of a group are few: those of the drawn pairs."""
     order = Window.partitionBy(by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)

@@ -145,12 +145,6 @@ def test_eigenvalues_sum_to_the_number_of_series(spark):
     assert out.groupby("w").eigenvalue.sum().round(9).eq(4).all()
 
 
-def test_histogram_keeps_empty_bins_and_the_upper_end(spark):
-    df = spark.createDataFrame([(1.0,), (-1.0,), (0.0,), (None,)], "r double")
-    out = {r.bin: r.n for r in correlation.histogram(df, 10).collect()}
-    assert len(out) == 10 and out[9] == 1 and out[0] == 1 and out[5] == 1 and sum(out.values()) == 3
-
-
 def test_simulation(spark):
     paths = simulate.price_paths(spark, 3, 240, seed=4)
     assert paths.groupBy("series").count().collect()[0]["count"] == 240
