@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline.llm.common import table
+from liftline.llm.license_rules import BODIES
 
 #: ASCII characters outside words, one by one: Java looks such a class up in a table, a union of ranges it tries in turn. Capitals count as word characters in the text as it is.
 _OTHERS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
@@ -156,10 +157,10 @@ _LICENSE = "licen[cs]e"
 TEMPLATES = (
     (1, "{name} " + _LICENSE),
     (2, "{name}(?: " + _LICENSE + ")? (?:version |v)\\d+(?: \\d+){0,3}"),
-    (3, "licen[cs]ed under (?:the )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
-    (3, "released under (?:the )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
-    (3, "distributed under (?:the )?(?:terms of (?:the )?)?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
-    (3, "under the terms of (?:the )?{name} " + _LICENSE + _VERSION + "?"),
+    (3, "licen[cs]ed under (?:the |a |an )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
+    (3, "released under (?:the |a |an )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
+    (3, "distributed under (?:the )?(?:terms of )?(?:the |a |an )?{name}(?: " + _LICENSE + ")?" + _VERSION + "?"),
+    (3, "under the terms of (?:the |a |an )?{name} " + _LICENSE + _VERSION + "?"),
     (3, "spdx licen[cs]e identifier {name}(?: \\d+){0,3}(?: only| or later)?"),
 )
 _PRIORITIES = (1, 2, 3)
@@ -175,9 +176,9 @@ def rules() -> dict[str, list[tuple[str, str, int]]]:
                 words = ["licensed", "licenced"] if regex.startswith("licen[cs]ed") else [regex.split(" ")[0].split("(")[0]]
                 for word in words:
                     found[word].append((label, f"^{regex} ", priority))
-    for label, wordings in WORDINGS.items():
+    for label, wordings in (*WORDINGS.items(), *BODIES.items()):
         for regex in wordings:
-            found[regex.split(" ")[0].split("(")[0]].append((label, f"^{regex} ", 3 if regex.count(" ") > 4 else 2))
+            found[regex.split(" ")[0].split("(")[0]].append((label, f"^{regex} ", 3 if regex.count(" ") > 4 or not label else 2))
     return dict(found)
 
 
@@ -185,30 +186,69 @@ def rules() -> dict[str, list[tuple[str, str, int]]]:
 _CONTEXT = 32
 
 
+#: What stands after a word.
+_END = r"(?![A-Za-z0-9\x80-\uFFFF])"
+
+
 def _gate() -> str:
-    """A regex that every text with a hit or a base phrase matches: the plain words that a name or wording begins with, three at most, at the start of a word; put together by first letters."""
-    heads: set[tuple[str, ...]] = set()
-    for regex in (*(n for own in NAMES.values() for n in own), *(w for own in WORDINGS.values() for w in own)):
+    """A regex that every text with a hit or a base phrase matches, at the start of a word; put together by first letters.
+
+    It asks for the plain words that a rule begins with, three at most. A name of one word, such as mit, counts only
+    where a template has it: before license or a version, or after a template's own beginning.
+    """
+    heads = {"(?:licensed|licenced|released|distributed)" + _RAW_GAP + "under", "under" + _RAW_GAP + "the" + _RAW_GAP + "terms", "spdx"}
+    heads = {h + _END for h in heads}
+
+    def add(regex: str, name: bool) -> None:
         words = regex.split(" ")
-        plain = next((k for k, w in enumerate(words) if not w.isalnum()), len(words))
-        heads.add(tuple(words[: min(plain, 3)]) if plain else (words[0].split("(")[0],))
+        plain = words[: min(3, next((k for k, w in enumerate(words) if not w.isalnum()), len(words)))] or [words[0].split("(")[0]]
+        if len(plain) == 1 and name:
+            heads.add(plain[0] + _RAW_GAP + r"(?:licen[cs]e|version|v?\d)" if regex == plain[0] else plain[0] + _END)
+        elif len(plain) == 1 and len(words) > 1 and words[0] == plain[0] and words[1].lstrip("(?:[")[:1].isdigit():
+            heads.add(plain[0] + _RAW_GAP + r"\d")
+        else:
+            heads.add(_RAW_GAP.join(plain) + _END)
+
+    for own in NAMES.values():
+        for name in own:
+            add(name, True)
+    for rules in (WORDINGS, BODIES):
+        for own in rules.values():
+            for wording in own:
+                add(wording, False)
     by_letters: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
     for head in sorted(heads):
-        phrase = _RAW_GAP.join(head)
-        second = phrase[1] if len(head[0]) > 1 else ""
-        by_letters[phrase[0]][second].append(phrase[1 + len(second) :])
+        plain = head[:2].isalnum()
+        by_letters[head[0] if plain else ""][head[1] if plain else ""].append(head[2:] if plain else head)
     letters = ("{}(?:{})".format(a, "|".join("{}(?:{})".format(b, "|".join(own)) for b, own in seconds.items())) for a, seconds in by_letters.items())
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(letters) + ")"
+    return r"(?i)(?<![A-Za-z0-9\x80-\uFFFF])(?:" + "|".join(letters) + ")"
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _hits(words: Column, by_word: dict[str, list[tuple[str, str, int]]]) -> Column:
+def keyed(by_word: dict[str, list[tuple[str, str, int]]]) -> dict[str, list[tuple[str, str, int]]]:
+    """The rules by what is looked up: the first two words where both are plain, else the first."""
+    found: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
+    for word, own in by_word.items():
+        for rule in own:
+            second = rule[1].split(" ")[1]
+            found[f"{word} {second}" if second.isalnum() else word].append(rule)
+    return dict(found)
+
+
+def _hits(words: Column, by_key: dict[str, list[tuple[str, str, int]]]) -> Column:
     """The (start, -end, -priority, label) of each rule at each word that starts one, sorted."""
-    table_of = F.create_map(*(x for word, own in by_word.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority")) for a, b, c in own)))))
-    starts = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(*by_word))
+    table_of = F.create_map(*(x for key, own in by_key.items() for x in (F.lit(key), F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority")) for a, b, c in own)))))
+    firsts = {key.split(" ")[0] for key in by_key}
+    begun = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(*firsts))
+
+    def looked_up(x: Column) -> Column:
+        pair = F.concat(x["word"], F.lit(" "), F.coalesce(F.get(words, x["at"] + 1), F.lit("")))
+        return F.filter(F.array(x, F.struct(x["at"].alias("at"), pair.alias("word"))), lambda y: y["word"].isin(*by_key))
+
+    starts = F.flatten(F.transform(begun, looked_up))
 
     def at(x: Column) -> Column:
         near = F.concat(F.array_join(F.slice(words, x["at"] + 1, F.lit(_CONTEXT)), " "), F.lit(" "))
@@ -226,6 +266,7 @@ def _kept(hits: Column) -> Column:
         end, priority = -h["end"], -h["priority"]
         held = F.greatest(*(F.when(priority <= p, s[f"e{p}"]).otherwise(F.lit(0)) for p in _PRIORITIES)) >= end
         ends = (F.when(priority == p, F.greatest(s[f"e{p}"], end)).otherwise(s[f"e{p}"]).alias(f"e{p}") for p in _PRIORITIES)
+        held = held | (h["label"] == "")  # a negative rule holds others and gives nothing
         return F.struct(*ends, F.when(held, s["labels"]).otherwise(F.array_union(s["labels"], F.array(h["label"]))).alias("labels"), (s["words"] + F.when(held, F.lit(0)).otherwise(end - h["start"])).alias("words"))
 
     return F.aggregate(hits, start, step, lambda s: F.struct(s["labels"].alias("labels"), s["words"].alias("words")))
@@ -241,7 +282,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(text.rlike(_gate()), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _RAW_GAP, " ")), F.lit(" "))).alias("norm"),
     )
     norm = F.col("norm")
-    found = cut.select("*", F.when(norm.isNotNull(), _kept(_hits(F.split(F.trim(norm), " "), rules()))).alias("kept"), *(F.when(norm.contains(f" {p} "), F.split(norm, f"(?<= ){p}(?= )")).alias(f"p{i}") for i, p in enumerate(BASE)))
+    found = cut.select("*", F.when(norm.isNotNull(), _kept(_hits(F.split(F.trim(norm), " "), keyed(rules())))).alias("kept"), *(F.when(norm.contains(f" {p} "), F.split(norm, f"(?<= ){p}(?= )")).alias(f"p{i}") for i, p in enumerate(BASE)))
     firsts = [_spaces(F.col(f"p{i}")[0]) - 1 for i in range(len(BASE))]
     lasts = [_spaces(norm) - _spaces(F.element_at(f"p{i}", -1)) - len(p.split()) for i, p in enumerate(BASE)]
     base = F.filter(F.array(*(F.when(F.col(f"p{i}").isNotNull(), label) for i, label in enumerate(BASE.values()))), lambda x: x.isNotNull())

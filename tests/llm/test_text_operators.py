@@ -163,7 +163,7 @@ def _license_brute(text):
                 hits.append((i, i + m[0].count(" "), priority, label))
     kept = [h for h in hits if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] and (o[0], -o[1], -o[2], o[3]) < (h[0], -h[1], -h[2], h[3]) for o in hits)]
     every = [x for s in starts.values() for x in s]
-    labels = sorted(set(starts) | {h[3] for h in kept})
+    labels = sorted(set(starts) | {h[3] for h in kept if h[3]})
     return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(starts)), ",".join(labels)
 
 
@@ -229,12 +229,29 @@ HEADERS = [
         "ecl": ["ECL-2.0"], "elastic": ["Elastic-2.0"], "eupl": ["EUPL-1.2"], "fdl": ["GFDL-1.3"], "lppl": ["LPPL-1.3c"], "ms-pl": ["MS-PL"], "ms-rl": ["MS-RL"], "osl": ["OSL-3.0"],
         "psf": ["PSF-2.0"], "qpl": ["QPL-1.0"], "sspl": ["SSPL-1.0"], "zpl": ["ZPL-2.1"], "afl": ["AFL-3.0"], "apsl": ["APSL-2.0"], "busl": ["BUSL-1.1"],
     }.items() for t in own],
+    ("cc-by,creative-commons", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 3.0 Unported"), ("cc-by-nc-nd", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"), ("creative-commons,share-alike", "you must give appropriate credit, provide a link to the license; you must distribute your contributions under the same license"),
+    ("gnu", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."), ("gnu", "This program is distributed in the hope that it will be useful"),
+    ("as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'), ("all-rights-reserved", "All rights reserved."), ("as-is", "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies"), ("isc", "the above copyright notice and this permission notice appear in all copies"),
+    ("apache", "you may not use this file except in compliance with the License."), ("apache", "See the License for the specific language governing permissions and limitations under the License."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"), ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("gpl", "You should have received a copy of the GNU General Public License"), ("gpl,lgpl", "You should have received a copy of the GNU Lesser General Public License"), ("agpl,gpl", "You should have received a copy of the GNU Affero General Public License"),
+    ("gpl-exception", "with the Classpath Exception"), ("zlib", "3. This notice may not be removed or altered from any source distribution."), ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("eula", "This software is licensed, not sold. You may not reverse engineer, decompile, or disassemble it."), ("proprietary", "No part of this publication may be reproduced"), ("noncommercial", "for non-commercial use only"),
+    ("ofl", "with Reserved Font Name Foo"), ("json", "The Software shall be used for Good, not Evil."), ("beerware", "you can buy me a beer in return"), ("blue-oak", "BlueOak-1.0.0"), ("commons-clause", "Commons Clause License Condition v1.0"), ("curl", "curl license"),
+    ("edl", "EDL-1.0"), ("freetype", "The FreeType Project LICENSE"), ("hippocratic", "Hippocratic License"), ("hpnd", "Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted"), ("ibm-pl", "IBM Public License"), ("icu", "ICU License"),
+    ("imagemagick", "ImageMagick License"), ("libtiff", "Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted without fee, provided that (i)"), ("mulan", "Mulan PSL v2"), ("odbl", "Open Database License"), ("odc-by", "ODC-By-1.0"), ("ogl", "Open Government Licence"),
+    ("openrail", "OpenRAIL-M"), ("openssl", "OpenSSL License"), ("oracle-bcl", "Oracle Binary Code License"), ("pddl", "PDDL-1.0"), ("php", "PHP License"), ("polyform", "PolyForm Noncommercial"), ("rsa-md", "RSA Data Security, Inc. MD5 Message-Digest Algorithm"), ("sgi", "SGI Free Software License"),
+    ("sleepycat", "Sleepycat License"), ("source-available", "Source Available License"), ("tcl", "Tcl/Tk License"), ("unicode", "Unicode License"), ("vim", "Vim License"), ("xfree86", "XFree86 License"), ("zend", "Zend Engine License"),
+    # negative rules; a base phrase stays
+    ("mit", "an MIT license plate"), ("", "a BSD license plate, and some artistic license"), ("", "It was not released into the public domain."), ("", "not licensed under the GPL license"),
     ("", "permission to leave, version nine, released on bail; a public square, subject to delay, the same terms"),
 ]
 
 
 def test_headers_of_every_license(spark):
-    assert {x for label, _ in HEADERS for x in label.split(",") if x} == set(license_scan.NAMES) | set(license_scan.WORDINGS)
+    assert {x for label, _ in HEADERS for x in label.split(",") if x} == (set(license_scan.NAMES) | set(license_scan.WORDINGS) | set(license_scan.BODIES)) - {""}
     got = license_scan.scan(_docs(spark, [t for _, t in HEADERS])).orderBy("doc_id").collect()
     assert [r.labels for r in got] == [label for label, _ in HEADERS]
     assert [r.labels for r in got] == [_license_brute(t)[-1] for _, t in HEADERS]
