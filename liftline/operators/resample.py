@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from liftline.functions import rng
 from liftline.functions.expressions import ratio
+from liftline.scratch import settle
 
 
 def sequences(trades: DataFrame, keys: list[str], order: tuple[str, ...], value: str = "pnl") -> DataFrame:
@@ -132,13 +133,120 @@ def bootstrap_ranks(seqs: DataFrame, keys: list[str], reps: int = 1000, seed: in
     return _by_group(rows, keys, ["roi_rank", "sharpe_rank", "pf_rank"], lambda p, s, w: bootstrap_kernel(p, s, w, reps, seed))
 
 
+#: Trades of a group above which its samples are split over pieces.
+PIECE = 1 << 16
+
+
+def split_counts(sizes: np.ndarray, piece: int, reps: int, key: tuple[int, ...]) -> np.ndarray:
+    """How many of each replicate's draws, as many as there are values, fall into a piece of a group.
+
+    A binomial tree over the pieces: a node's draws are split between its halves by their sizes. A node's numbers
+    depend on the key and the node alone, so every piece finds the same ones on its way from the root.
+    """
+    low, high = 0, len(sizes)
+    counts = np.full(reps, int(sizes.sum()), np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = sizes[low:middle].sum() / sizes[low:high].sum()
+        left = np.random.Generator(np.random.Philox(np.random.SeedSequence([*key, low, high]))).binomial(counts, share)
+        counts, low, high = (left, low, middle) if piece < middle else (counts - left, middle, high)
+    return counts
+
+
+def split_bootstrap_ranks(trades: DataFrame, keys: list[str], value: str = "pnl", reps: int = 1000, seed: int = 42, piece: int = PIECE) -> DataFrame:
+    """As ``bootstrap_ranks``, of groups of any size: a piece of a group resamples its own share of each replicate's draws, and sums are merged by replicate.
+
+    ``keys`` are two whole numbers. What a task holds is one piece; a group gives a row of sums for each piece and replicate.
+    """
+    rows = settle(trades.select(*keys, F.col(value).cast("bigint").alias("v"), F.monotonically_increasing_id().alias("row")))
+    sums = [F.sum("v").cast("double").alias("s1"), F.sum(F.col("v").cast("double") * F.col("v")).alias("s2"), F.sum(F.greatest("v", F.lit(0))).cast("double").alias("won"), F.sum(F.greatest(-F.col("v"), F.lit(0))).cast("double").alias("lost")]
+    actual = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums))
+    dealt = rows.join(actual.select(*keys, F.ceil(F.col("n") / piece).alias("pieces")), keys).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")))
+    counted = dealt.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("piece", "c"))).alias("sizes"))  # a number for each piece
+    sized = counted.select(*keys, "piece").join(sizes, keys).select(*(F.col(k).alias(f"g_{k}") for k in keys), F.col("piece").alias("g_piece"), F.col("sizes.piece").alias("places"), F.col("sizes.c").alias("counts"))
+
+    def resample(part: pa.Table, group: pa.Table) -> pa.Table:
+        key = tuple(int(part.column(k)[0].as_py()) for k in keys)
+        own = int(part.column("piece")[0].as_py())
+        v = np.sort(part.column("v").to_numpy())  # an order that does not hang on the shuffle
+        counts = np.array(group.column("counts")[0].as_py(), np.int64)
+        at = group.column("places")[0].as_py().index(own)
+        salt = (seed, *(k % (1 << 32) for k in key))
+        drawn = split_counts(counts, at, reps, salt)
+        random = np.random.Generator(np.random.Philox(np.random.SeedSequence([*salt, own, 1 << 31])))
+        out = np.zeros((reps, 4))
+        for b, k in enumerate(drawn.tolist()):
+            x = v[random.integers(0, len(v), k)]
+            up = x[x > 0].sum()
+            out[b] = x.sum(), np.square(x.astype(float)).sum(), up, up - x.sum()
+        same = {name: pa.array(np.full(reps, k), part.schema.field(name).type) for name, k in zip(keys, key, strict=True)}
+        return pa.table(same | {"rep": pa.array(range(reps), pa.int32())} | {name: pa.array(out[:, k]) for k, name in enumerate(("s1", "s2", "won", "lost"))})
+
+    schema = dealt.select(*keys).schema
+    for name, kind in (("rep", "integer"), ("s1", "double"), ("s2", "double"), ("won", "double"), ("lost", "double")):
+        schema = schema.add(name, kind)
+    parts = dealt.groupBy(*keys, "piece").cogroup(sized.groupBy(*(f"g_{k}" for k in keys), "g_piece")).applyInArrow(resample, schema)
+    drawn = parts.groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in ("s1", "s2", "won", "lost")))
+
+    def stats(side: str) -> list[Column]:
+        c = lambda name: F.col(f"{side}.{name}")
+        mean, n = c("s1") / F.col("a.n"), F.col("a.n")
+        variance = c("s2") / n - mean * mean
+        pf = F.when(c("lost") == 0, F.when(c("won") == 0, 1.0).otherwise(100.0)).otherwise(F.least(F.try_divide(c("won"), c("lost")), F.lit(100.0)))
+        return [c("s1"), F.when(variance > 1e-24, mean / F.sqrt(variance)).otherwise(0.0), pf]
+
+    met = drawn.alias("r").join(actual.alias("a"), keys)
+    ranks = (F.avg((x < y).cast("double")) * 100 for x, y in zip(stats("r"), stats("a"), strict=True))
+    return met.groupBy(*keys).agg(*(r.alias(f"{name}_rank") for r, name in zip(ranks, ("roi", "sharpe", "pf"), strict=True)))
+
+
+def bootstrap_ranks_of(trades: DataFrame, keys: list[str], order: tuple[str, ...], value: str = "pnl", reps: int = 1000, seed: int = 42, min_trades: int = 10, piece: int = PIECE) -> DataFrame:
+    """keys and the ranks of ``bootstrap_ranks``: a group of at most ``piece`` trades is one array, a larger one is split."""
+    sizes = settle(trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")))
+    small = trades.join(sizes.where((F.col("size") <= piece) & (F.col("size") >= min_trades)).select(*keys), keys, "left_semi")
+    found = bootstrap_ranks(sequences(small, keys, order, value), keys, reps, seed, min_trades)
+    large = sizes.where(F.col("size") > piece)
+    if large.isEmpty():
+        return found
+    return found.unionByName(split_bootstrap_ranks(trades.join(large.select(*keys), keys, "left_semi"), keys, value, reps, seed, piece))
+
+
+def block_parts(pnls: np.ndarray, size: int) -> np.ndarray:
+    """Of every block of so many trades, the last maybe shorter: sum, highest and lowest running sum, greatest fall. Rows compose as in ``scan``."""
+    ends = [pnls[k : k + size] for k in range(0, len(pnls), size)]
+    runs = [np.cumsum(x) for x in ends]
+    return np.array([(r[-1], r.max(), r.min(), (np.maximum.accumulate(r) - r).max()) for r in runs], np.int64).T
+
+
+def block_falls(parts: np.ndarray, order: np.ndarray, include_origin: bool = False) -> np.ndarray:
+    """The maximum drawdown of each row of ``order``, a sequence of blocks: only one number of a block's inside is looked at, so the work is one step a block."""
+    total, top, low, fall = parts
+    after = np.cumsum(total[order], axis=1)
+    before = after - total[order]
+    peak = np.maximum.accumulate(before + top[order], axis=1)
+    lowest = before + low[order]
+    falls = np.full(len(order), fall.max())  # within a block, in whatever order
+    if order.shape[1] > 1:
+        falls = np.maximum(falls, (peak[:, :-1] - lowest[:, 1:]).max(axis=1))
+    return np.maximum(falls, (-lowest).max(axis=1)) if include_origin else falls
+
+
 def block_ranks(seqs: DataFrame, keys: list[str], blocks: tuple[int, ...] = (1, 2, 3, 5, 10, 20), reps: int = 1000, seed: int = 42, min_trades: int = 10, include_origin: bool = False) -> DataFrame:
-    """Share of block permutations with a larger maximum drawdown, for each block size. A permuted sum never changes, so ranks are of a statistic of the path."""
+    """Share of block permutations with a larger maximum drawdown, for each block size. A permuted sum never changes, so ranks are of a statistic of the path. A rest after the last whole block stays at the end; too short for two blocks: single trades."""
 
     def kernel(p: np.ndarray, s: int, w: int) -> tuple[float, ...]:
-        actual = max_drawdown(p[None, :], include_origin)[0]
-        above = (sum(int((max_drawdown(p[block_order(len(p), b, s, w, some, seed)], include_origin) > actual).sum()) for some in _pieces(reps, len(p))) for b in blocks)
-        return tuple(x / reps * 100.0 for x in above)
+        actual, out = max_drawdown(p[None, :], include_origin)[0], []
+        for b in blocks:
+            size = b if len(p) >= 2 * b else 1
+            whole, parts = len(p) // size, block_parts(p, size)
+            rest = np.arange(whole, parts.shape[1])
+            above = 0
+            for some in _pieces(reps, whole):
+                order = np.argsort(_draws(s, w, some * 101 + size, np.arange(whole), seed), axis=1, kind="stable")
+                above += int((block_falls(parts, np.hstack([order, np.tile(rest, (len(some), 1))]), include_origin) > actual).sum())
+            out.append(above / reps * 100.0)
+        return tuple(out)
 
     return _by_group(seqs.where(F.size("pnls") >= min_trades), keys, [f"block{b}_rank" for b in blocks], kernel)
 

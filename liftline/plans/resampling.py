@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftline.functions.calendar import by_quarter
 from liftline.functions.rng import draw_sql
 from liftline.operators import resample, scan
 from liftline.plans.given import PANEL_SQL, TRADE_ORDER, TRADES_SQL, panel, strategies, trades
+from liftline.scratch import settle
 from liftline.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-REPS, PATH_REPS, BLOCKS, BOOT = 1000, 20, (1, 2, 3, 5, 10, 20), 10_000
+REPS, BLOCKS, BOOT = 1000, (1, 2, 3, 5, 10, 20), 10_000
 _KEYS = ["strategy", "window_i"]
 
 
@@ -47,27 +51,36 @@ SELECT a.strategy, a.window_i, avg((r.s1 < a.s1)::INT::DOUBLE) * 100 AS roi_rank
 FROM r JOIN a USING (strategy, window_i) GROUP BY a.strategy, a.window_i""",
 )
 def mc_bootstrap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_ranks(_sequences(spark, sf_dir), _KEYS, REPS)
+    ship(spark)
+    return resample.bootstrap_ranks_of(trades(spark, sf_dir), _KEYS, TRADE_ORDER, reps=REPS)
+
+
+_PART = "{'t': s.t + x.t, 'hi': greatest(s.hi, s.t + x.hi), 'lo': least(s.lo, s.t + x.lo), 'f': greatest(s.f, x.f, s.hi - (s.t + x.lo))}"
+
+
+def _fall_sql(parts: str) -> str:
+    """The drawdown of a list of blocks, one after the other."""
+    return f"list_reduce({parts}, lambda s, x: {_PART}).f"
 
 
 def _block_sql(block: int) -> str:
-    size = f"(CASE WHEN n >= {2 * block} THEN {block} ELSE 1 END)"
-    key = draw_sql("strategy::BIGINT", "window_i::BIGINT", f"(b * 101 + {size})::BIGINT", f"((i - 1) // {size})::BIGINT")
-    tail = f"((i - 1) // {size} >= n // {size})"
-    return f"""SELECT strategy, window_i, b, max(peak - eq) AS mdd FROM (
-    SELECT *, max(eq) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS peak FROM (
-      SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i, b ORDER BY pos) AS eq FROM (
-        SELECT strategy, window_i, b, pnl, row_number() OVER (PARTITION BY strategy, window_i, b ORDER BY {tail}, CASE WHEN {tail} THEN 0 ELSE {key} END, (i - 1) // {size}, i) AS pos FROM fit, (SELECT unnest(range({PATH_REPS})) AS b)))) GROUP BY ALL"""
+    """strategy, window_i, rank: the blocks of a group are made lists of their sums, highest and lowest running sums and falls, and lists are permuted."""
+    key = draw_sql("strategy", "window_i", "(b * 101 + size)", "j")
+    return f"""z{block} AS (SELECT strategy::BIGINT AS strategy, window_i::BIGINT AS window_i, n::BIGINT AS n, i, pnl, CASE WHEN n >= {2 * block} THEN {block} ELSE 1 END::BIGINT AS size, (i - 1) // CASE WHEN n >= {2 * block} THEN {block} ELSE 1 END AS j FROM fit),
+e{block} AS (SELECT *, max(e) OVER (PARTITION BY strategy, window_i, j ORDER BY i) AS pk FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i, j ORDER BY i)::BIGINT AS e FROM z{block})),
+p{block} AS (SELECT strategy, window_i, size, n // size AS whole, list({{'t': t, 'hi': hi, 'lo': lo, 'f': f}} ORDER BY j) AS parts FROM (SELECT strategy, window_i, n, size, j, sum(pnl)::BIGINT AS t, max(e) AS hi, min(e) AS lo, max(pk - e) AS f FROM e{block} GROUP BY ALL) GROUP BY ALL),
+r{block} AS (SELECT strategy, window_i, avg((mdd > own)::INT::DOUBLE) * 100 AS block{block}_rank FROM (
+    SELECT strategy, window_i, {_fall_sql("parts")} AS own, {_fall_sql("list_transform(keys, lambda k: parts[k % 1048576 + 1]) || parts[whole + 1 :]")} AS mdd
+    FROM (SELECT *, list_sort(list_transform(range(whole), lambda j: {key} * 1048576 + j)) AS keys FROM p{block}, (SELECT unnest(range({REPS}))::BIGINT AS b))) GROUP BY ALL)"""
 
 
 @_register(
     "mc_block_rank",
-    f"""{_NUMBERED}, actual AS (SELECT strategy, window_i, max(peak - eq) AS mdd FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, window_i ORDER BY i) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY strategy, window_i ORDER BY i) AS eq FROM fit)) GROUP BY ALL),
-{", ".join(f"m{b} AS ({_block_sql(b)}), r{b} AS (SELECT strategy, window_i, avg((m{b}.mdd > actual.mdd)::INT::DOUBLE) * 100 AS block{b}_rank FROM m{b} JOIN actual USING (strategy, window_i) GROUP BY ALL)" for b in BLOCKS)}
-SELECT strategy, window_i, {", ".join(f"block{b}_rank" for b in BLOCKS)} FROM r{BLOCKS[0]} {" ".join(f"JOIN r{b} USING (strategy, window_i)" for b in BLOCKS[1:])}""",
+    f"""{_NUMBERED}, {", ".join(_block_sql(b) for b in BLOCKS)}
+SELECT strategy, window_i::INTEGER AS window_i, {", ".join(f"block{b}_rank" for b in BLOCKS)} FROM r{BLOCKS[0]} {" ".join(f"JOIN r{b} USING (strategy, window_i)" for b in BLOCKS[1:])}""",
 )
 def mc_block_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.block_ranks(_sequences(spark, sf_dir), _KEYS, BLOCKS, PATH_REPS)
+    return resample.block_ranks(_sequences(spark, sf_dir), _KEYS, BLOCKS, REPS)
 
 
 #: As many as the SQL twin can permute in seconds.
@@ -148,16 +161,10 @@ def cluster_bootstrap_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.cluster_bootstrap(_tally(spark, sf_dir, ["asset", "window_i"]), ["window_i"], ["asset"], BOOT))
 
 
-@_register("mc_block_rank_full", None)
-def mc_block_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With 1000 permutations, which is more than SQL can do in reasonable time."""
-    return resample.block_ranks(_sequences(spark, sf_dir), _KEYS, BLOCKS, 1000)
-
-
 _METHODS = [f"block{b}_rank" for b in BLOCKS]
 
 
-@_register("block_rank_sweep", f"""{PANEL_SQL}, ranks AS ({ORACLES["mc_block_rank"]}), long AS ({" UNION ALL ".join(f"SELECT asset, strategy, next_hit, '{m}' AS method, {m} AS rank FROM panel JOIN ranks USING (strategy, window_i) WHERE next_hit IS NOT NULL" for m in _METHODS)})
+@_register("block_rank_sweep", f"""{PANEL_SQL}, ranks AS MATERIALIZED ({ORACLES["mc_block_rank"]}), long AS ({" UNION ALL ".join(f"SELECT asset, strategy, next_hit, '{m}' AS method, {m} AS rank FROM panel JOIN ranks USING (strategy, window_i) WHERE next_hit IS NOT NULL" for m in _METHODS)})
 SELECT asset, method, count(*) AS n, count(DISTINCT strategy) AS strategies, round(avg(rank), 6) AS mean_rank, round(CASE WHEN stddev_samp(rank) > 0 THEN (avg(rank) - 50) / (stddev_samp(rank) / sqrt(count(*))) END, 6) AS t50,
        round(avg((rank >= 50)::INT::DOUBLE), 6) AS pass_share, round(avg(next_hit) FILTER (WHERE rank >= 50), 6) AS pass_hit, round(avg(next_hit) FILTER (WHERE NOT rank >= 50), 6) AS fail_hit, round(avg(next_hit), 6) AS base_hit,
        round(avg(next_hit) FILTER (WHERE rank >= 50) - avg(next_hit), 6) AS lift, round(CASE WHEN stddev_pop(rank) > 1e-9 AND stddev_pop(next_hit) > 1e-9 THEN covar_pop(rank, next_hit) / (stddev_pop(rank) * stddev_pop(next_hit)) END, 6) AS corr
@@ -187,12 +194,31 @@ def cluster_bootstrap_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.cluster_bootstrap(counts[0].unionByName(counts[1]).unionByName(counts[2]), ["asset", "window_i"], ["method"], BOOT))
 
 
-@_register("calendar_bootstrap_ci", _boot_sql(f"SELECT (window_i + 1994)::INTEGER AS period, sum(n) AS n, sum(hits) AS hits, sum(n_pass) AS n_pass, sum(pass_hits) AS pass_hits FROM ({_tally_sql('asset, window_i')}) GROUP BY 1", "period"))
+_BLOCK_TALLIES = " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({_tally_sql('asset, window_i').replace('FROM panel', 'FROM panel JOIN ranks USING (strategy, window_i)').replace('roi_rank', m)})" for m in _METHODS)
+
+
+@_register("cluster_bootstrap_blocks", _boot_sql(_BLOCK_TALLIES, "asset, window_i", "method").replace(", tally AS (", f", ranks AS MATERIALIZED ({ORACLES['mc_block_rank']}), tally AS (", 1))
+def cluster_bootstrap_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One resampling of the clusters, and the lift of the permutation ranks of all six block sizes over it."""
+    rows = settle(panel(spark, sf_dir).join(mc_block_rank(spark, sf_dir), _KEYS))
+    counts = [resample.tallies(rows, ["asset", "window_i"], F.col(m) >= 50).select(F.lit(m).alias("method"), "*") for m in _METHODS]
+    return _rounded(resample.cluster_bootstrap(reduce(DataFrame.unionByName, counts), ["asset", "window_i"], ["method"], BOOT))
+
+
+_QUARTER = "(year(m) * 4 + quarter(m) - 1)::INTEGER"
+_QUARTERS_SQL = f"""SELECT period, sum(n) AS n, sum(hits) AS hits, sum(n_pass) AS n_pass, sum(pass_hits) AS pass_hits FROM ({_tally_sql('asset, window_i')}) JOIN (
+    SELECT asset, (w - 2)::INTEGER AS window_i, {_QUARTER} AS period FROM (SELECT asset, year(l_shipdate) - 1994 AS w, (min(l_shipdate)::DATE + ((max(l_shipdate)::DATE - min(l_shipdate)::DATE) // 2)::INTEGER)::DATE AS m FROM trades JOIN strategies USING (strategy) GROUP BY ALL)
+) USING (asset, window_i) GROUP BY period"""
+
+
+@_register("calendar_bootstrap_ci", _boot_sql(_QUARTERS_SQL, "period"))
 def calendar_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window tallies rolled up over assets to the calendar periods of their ship dates, then resampled."""
-    rolled = _tally(spark, sf_dir, ["asset", "window_i"]).withColumn("period", F.col("window_i") + 1994)
-    rolled = rolled.groupBy("period").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "n_pass", "pass_hits")))
-    return _rounded(resample.cluster_bootstrap(rolled, ["period"], reps=BOOT))
+    """Window tallies rolled up over assets to the quarters of their outcome periods' midpoints, then resampled. A window's outcome is judged two windows on; the period is that window's first to last trade of the asset."""
+    days = trades(spark, sf_dir).join(strategies(spark, sf_dir), "strategy").groupBy("asset", (F.col("window_i") - 2).alias("window_i")).agg(F.min(F.to_date("l_shipdate")).alias("start"), F.max(F.to_date("l_shipdate")).alias("end"))
+    middle = F.date_add("start", F.floor(F.datediff("end", "start") / 2).cast("int"))
+    periods = days.select("asset", "window_i", F.year(middle).alias("year"), F.quarter(middle).alias("quarter"))
+    rolled = by_quarter(_tally(spark, sf_dir, ["asset", "window_i"]), periods).withColumn("period", F.col("year") * 4 + F.col("quarter") - 1)
+    return _rounded(resample.cluster_bootstrap(rolled.drop("year", "quarter"), ["period"], reps=BOOT))
 
 
 _W_LIFT = f"SELECT asset, window_i, (pass_hits::DOUBLE / n_pass::DOUBLE - hits::DOUBLE / n::DOUBLE) * 100 AS x FROM ({_tally_sql('asset, window_i')}) WHERE n >= 10 AND n_pass > 5"

@@ -104,6 +104,17 @@ def test_permutations_keep_what_they_must(pnls, block):
     assert all(0 <= x <= 100 for x in resample.bootstrap_kernel(p, 1, 1, 20, 42))
 
 
+@pytest.mark.parametrize("n", [10, 23, 40, 41])
+@pytest.mark.parametrize("origin", [False, True])
+def test_falls_of_permuted_blocks_are_those_of_the_trades(n, origin):
+    p = np.random.default_rng(n).integers(-50, 50, n)
+    for block in (1, 2, 5, 20, 30):
+        size = block if n >= 2 * block else 1
+        order = resample.block_order(n, block, 5, 2, np.arange(40), 42)
+        blocks = order[:, ::size] // size  # the rest after the last whole block is a block of its own
+        assert (resample.block_falls(resample.block_parts(p, size), blocks, origin) == resample.max_drawdown(p[order], origin)).all()
+
+
 def test_drawdown_starts():
     assert resample.max_drawdown(np.array([[-5, 3, -4]]))[0] == 4
     assert resample.max_drawdown(np.array([[-5, 3, -4]]), True)[0] == 6
