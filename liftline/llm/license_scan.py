@@ -187,11 +187,11 @@ _CONTEXT = 32
 
 
 #: What stands after a word.
-_END = r"(?![A-Za-z0-9\x80-\uFFFF])"
+_END = r"(?![a-z0-9])"
 
 
 def _gate() -> str:
-    """A regex that every text with a hit or a base phrase matches, at the start of a word; put together by first letters.
+    """A regex that every lower-case text with a hit or a base phrase matches, at the start of a word; put together by first letters.
 
     It asks for the plain words that a rule begins with, three at most. A name of one word, such as mit, counts only
     where a template has it: before license or a version, or after a template's own beginning.
@@ -221,7 +221,7 @@ def _gate() -> str:
         plain = head[:2].isalnum()
         by_letters[head[0] if plain else ""][head[1] if plain else ""].append(head[2:] if plain else head)
     letters = ("{}(?:{})".format(a, "|".join("{}(?:{})".format(b, "|".join(own)) for b, own in seconds.items())) for a, seconds in by_letters.items())
-    return r"(?i)(?<![A-Za-z0-9\x80-\uFFFF])(?:" + "|".join(letters) + ")"
+    return r"(?<![a-z0-9])(?:" + "|".join(letters) + ")"
 
 
 def _spaces(text: Column) -> Column:
@@ -279,7 +279,7 @@ def scan(docs: DataFrame) -> DataFrame:
     cut = docs.select(
         "doc_id",
         F.regexp_count(text, F.lit(_RAW_WORD)).cast("long").alias("n_words"),
-        F.when(text.rlike(_gate()), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _RAW_GAP, " ")), F.lit(" "))).alias("norm"),
+        F.when(F.lower(text).rlike(_gate()), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _RAW_GAP, " ")), F.lit(" "))).alias("norm"),
     )
     norm = F.col("norm")
     found = cut.select("*", F.when(norm.isNotNull(), _kept(_hits(F.split(F.trim(norm), " "), keyed(rules())))).alias("kept"), *(F.when(norm.contains(f" {p} "), F.split(norm, f"(?<= ){p}(?= )")).alias(f"p{i}") for i, p in enumerate(BASE)))
