@@ -204,6 +204,8 @@ def _gate() -> str:
         plain = words[: min(3, next((k for k, w in enumerate(words) if not w.isalnum()), len(words)))] or [words[0].split("(")[0]]
         if len(plain) == 1 and name:
             heads.add(plain[0] + _RAW_GAP + r"(?:licen[cs]e|version|v?\d)" if regex == plain[0] else plain[0] + _END)
+        elif len(plain) == 1 and len(words) > 1 and words[1].startswith("licen[cs]e"):
+            heads.add(plain[0] + _RAW_GAP + "licen[cs]e")
         elif len(plain) == 1 and len(words) > 1 and words[0] == plain[0] and words[1].lstrip("(?:[")[:1].isdigit():
             heads.add(plain[0] + _RAW_GAP + r"\d")
         else:
