@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +42,92 @@ def packed_positions(positions: DataFrame, unit: str = "strategy", bar: str = "b
     return positions.groupBy(F.col(unit).alias("u"), F.floor(F.col(bar) / 64).alias("word")).agg(side(1).alias("up"), side(-1).alias("down"))
 
 
+#: Units of a family that meet another such block in one task.
+UNITS = 1024
+#: Words of 64 bars that are spelled out at a time.
+_WORDS = 64
+
+
 def family_pairs(units: DataFrame, unit: str, family: str) -> DataFrame:
     """i, j for i < j: all pairs of units of one family."""
     a, b = units.select(F.col(family).alias("f"), F.col(unit).alias("i")), units.select(F.col(family).alias("f"), F.col(unit).alias("j"))
     return a.join(b, "f").where("i < j").select("i", "j")
 
 
+def _dots(a: list[pa.Array], b: list[pa.Array]) -> np.ndarray:
+    """Dot products of every unit of a with every unit of b; a side is its units' words, up and down bits."""
+    sides = []
+    for word, up, down in (a, b):
+        row = np.repeat(np.arange(len(word)), np.diff(word.offsets.to_numpy()))
+        sides.append((len(word), row, *(x.flatten().to_numpy() for x in (word, up, down))))
+    shared = np.intersect1d(sides[0][2], sides[1][2])
+    out = np.zeros((len(a[0]), len(b[0])))
+
+    def spelled(n: int, row: np.ndarray, word: np.ndarray, up: np.ndarray, down: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(some, word), len(some) - 1)
+        fine = some[at] == word
+        bits = np.zeros((2, n, len(some)), np.int64)
+        bits[0, row[fine], at[fine]], bits[1, row[fine], at[fine]] = up[fine], down[fine]
+        plus, minus = np.unpackbits(bits.view(np.uint8), axis=-1).view(np.int8)
+        return (plus - minus).astype(np.float32)  # sums of a chunk are whole numbers far below 2 ** 24
+
+    for k in range(0, len(shared), _WORDS):
+        some = shared[k : k + _WORDS]
+        out += spelled(*sides[0], some) @ spelled(*sides[1], some).T
+    return out
+
+
+def _corr(dot: Column, nb: Column, si: Column, sj: Column, ci: Column, cj: Column, root=np.sqrt):  # noqa: ANN001, ANN202
+    """Numerator and denominator of r, from a dot product, sums and counts; of columns or arrays."""
+    return dot - si * sj / nb, root((ci - si * si / nb) * (cj - sj * sj / nb))
+
+
+def _stats(packed: DataFrame) -> tuple[list[Column], DataFrame]:
+    """Aggregates s and c of a unit, and the one row nb: the number of bars that any unit has."""
+    count = F.bit_count
+    stats = [F.sum(count("up") - count("down")).cast("double").alias("s"), F.sum(count("up") + count("down")).cast("double").alias("c")]
+    words = packed.groupBy("word").agg(F.bit_or(F.col("up").bitwiseOR(F.col("down"))).alias("any"))
+    return stats, words.agg(F.sum(count("any")).cast("double").alias("nb"))
+
+
+def family_corr(packed: DataFrame, units: DataFrame, unit: str, family: str, block: int = UNITS) -> DataFrame:
+    """i, j, r for i < j: ``position_corr`` of all pairs of units of one family.
+
+    A family is dealt over blocks of units, a unit is one row of its words, and two blocks meet in one task, which
+    multiplies them. What is shuffled is each unit once for each block of its family; pairs are only put out.
+    """
+    stats, bars = _stats(packed)
+    rows = packed.groupBy("u").agg(*stats, F.collect_list(F.struct("word", "up", "down")).alias("bits"))
+    named = units.select(F.col(unit).alias("u"), F.col(family).alias("family")).where("family IS NOT NULL")
+    sizes = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # one row for each family
+    dealt = named.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    rows = rows.join(dealt, "u").crossJoin(F.broadcast(bars)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # one row
+    rows = rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.col("u").cast("bigint").alias("u"), "s", "c", "nb", *(F.col(f"bits.{c}").alias(c) for c in ("word", "up", "down")))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        low, high, own = (group.column(c).to_numpy() for c in ("low", "high", "own"))
+        a, b = (group.take(np.flatnonzero(own == side[0])) for side in (low, high))
+        bits = lambda t: [t.column(c).combine_chunks() for c in ("word", "up", "down")]
+        (u, si, ci), (v, sj, cj) = (([t.column(c).to_numpy() for c in ("u", "s", "c")]) for t in (a, b))
+        if not (len(u) and len(v)):
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "r": pa.array([], pa.float64())})
+        top, norm = _corr(_dots(bits(a), bits(b)), group.column("nb")[0].as_py(), si[:, None], sj[None, :], ci[:, None], cj[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(norm > 1e-12, top / norm, 0.0)
+        x, y = np.nonzero(u[:, None] < v[None, :]) if low[0] == high[0] else (k.ravel() for k in np.indices(r.shape))
+        return pa.table({"i": np.minimum(u[x], v[y]), "j": np.maximum(u[x], v[y]), "r": r[x, y]})
+
+    kind = units.schema[unit].dataType.simpleString()
+    met = rows.groupBy("family", "low", "high").applyInArrow(meet, "i bigint, j bigint, r double")
+    return met.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "r")
+
+
 def position_corr(packed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (i, j) with nb and r, of +1/-1 positions on bars, 0 elsewhere; bars are the nb ones that any unit has. Words meet on the pairs alone, and a dot product is a count of bits."""
-    count, both = F.bit_count, lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.col(y)))
-    stats = packed.groupBy("u").agg(F.sum(count("up") - count("down")).cast("double").alias("s"), F.sum(count("up") + count("down")).cast("double").alias("c"))
-    words = packed.groupBy("word").agg(F.bit_or(F.col("up").bitwiseOR(F.col("down"))).alias("any"))
-    bars = words.agg(F.sum(count("any")).cast("double").alias("nb"))
+    both = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.col(y)))
+    sums, bars = _stats(packed)
+    stats = packed.groupBy("u").agg(*sums)
     a = packed.select(F.col("u").alias("i"), "word", F.col("up").alias("iu"), F.col("down").alias("id"))
     b = packed.select(F.col("u").alias("j"), "word", F.col("up").alias("ju"), F.col("down").alias("jd"))
     met = pairs.select("i", "j").join(a, "i").join(b, ["j", "word"])
@@ -59,8 +135,7 @@ def position_corr(packed: DataFrame, pairs: DataFrame) -> DataFrame:
     every = pairs.join(dots, ["i", "j"], "left").crossJoin(F.broadcast(bars))  # one row
     for side in "ij":
         every = every.join(stats.select(F.col("u").alias(side), F.col("s").alias(f"s{side}"), F.col("c").alias(f"c{side}")), side)
-    top = F.coalesce("dot", F.lit(0.0)) - F.col("si") * F.col("sj") / F.col("nb")
-    norm = F.sqrt((F.col("ci") - F.col("si") * F.col("si") / F.col("nb")) * (F.col("cj") - F.col("sj") * F.col("sj") / F.col("nb")))
+    top, norm = _corr(F.coalesce("dot", F.lit(0.0)), *(F.col(c) for c in ("nb", "si", "sj", "ci", "cj")), root=F.sqrt)
     return every.select(*pairs.columns, "nb", F.when(norm > 1e-12, top / F.when(norm > 1e-12, norm)).otherwise(F.lit(0.0)).alias("r"))
 
 

@@ -134,9 +134,9 @@ def _members(spark: SparkSession, sf_dir: str, packed: DataFrame) -> DataFrame:
 @_register("sparse_corr", f"{_SPARSE} SELECT a.strategy AS i, b.strategy AS j, round((coalesce(dot, 0) - a.s * b.s / nb) / sqrt((a.c - a.s * a.s / nb) * (b.c - b.s * b.s / nb)), 6) AS r FROM st a JOIN st b ON a.strategy < b.strategy AND a.family = b.family LEFT JOIN dots ON dots.i = a.strategy AND dots.j = b.strategy, nb")
 def sparse_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of the sparse positions of all pairs of strategies of one family."""
+    ship(spark)
     packed = settle(correlation.packed_positions(positions(spark, sf_dir)))
-    pairs = correlation.family_pairs(_members(spark, sf_dir, packed), "strategy", "family")
-    return correlation.position_corr(packed, pairs).select("i", "j", F.round("r", 6).alias("r"))
+    return correlation.family_corr(packed, strategies(spark, sf_dir), "strategy", "family").select("i", "j", F.round("r", 6).alias("r"))
 
 
 _E = ", ".join(f"sum(dir * ({draw_sql('bar::BIGINT', f'{d}::BIGINT', '0::BIGINT', '0::BIGINT')} / {float(PRIME)}::DOUBLE * 2 - 1)) AS e{d}" for d in range(3))

@@ -100,3 +100,17 @@ def test_positions_as_bits(spark):
 def test_pairs_of_families(spark):
     units = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, None)], "u int, f string")
     assert sorted((r.i, r.j) for r in correlation.family_pairs(units, "u", "f").collect()) == [(1, 2), (1, 4), (2, 4)]
+
+
+@pytest.mark.parametrize("block", [1, 5, 1024])
+def test_pairs_of_families_meet_in_blocks(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(b) * 7 - 900, int(d)) for i in range(15) for b, d in enumerate(rng.choice([-1, 0, 1], 400)) if d and i != 6]
+    rows += [(15, 10**7, 1), (16, 64 * 10**6, -1)]  # bars that few share
+    packed = correlation.packed_positions(spark.createDataFrame(rows, "strategy int, bar bigint, dir int")).cache()
+    units = spark.createDataFrame([(i, None if i == 4 else "ab"[i % 2]) for i in range(18)], "strategy int, family string")
+    pairs = correlation.family_pairs(units.join(packed.select(packed.u.alias("strategy")).distinct(), "strategy", "left_semi"), "strategy", "family")
+    want = {(r.i, r.j): r.r for r in correlation.position_corr(packed, pairs).collect()}
+    frame = correlation.family_corr(packed, units, "strategy", "family", block)
+    found = {(r.i, r.j): r.r for r in frame.collect()}
+    assert frame.count() == len(found) and found == want and (15, 16) not in found and (1, 15) in found
