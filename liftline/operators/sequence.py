@@ -81,10 +81,20 @@ def eigenvalues(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w").applyInPandas(apply, "w int, rank int, eigenvalue double")
 
 
+#: Bars that are shuffled as one interval.
+SPAN = 64
+
+
 def expand_intervals(trades: DataFrame, keys: list[str], first: str, last: str, order: list[str], value: str) -> DataFrame:
-    """keys, bar, value: every bar from first to last; where trades overlap the last in order holds."""
-    rows = trades.withColumn("bar", F.explode(F.sequence(first, last)))
-    return rows.groupBy(*keys, "bar").agg(F.max_by(value, F.struct(*order)).alias(value))
+    """keys, bar, value: every bar from first to last; where trades overlap the last in order holds.
+
+    Trades are cut at multiples of SPAN bars, shuffled by span, and spelled out bar by bar where they have arrived.
+    """
+    span = F.explode(F.sequence(F.floor(F.col(first) / SPAN), F.floor(F.col(last) / SPAN))).alias("span")
+    cut = trades.select(*keys, F.col(first).alias("first"), F.col(last).alias("last"), F.struct(*order, value).alias("held"), span).repartition(*keys, "span")
+    bar = F.sequence(F.greatest(F.col("first"), F.col("span") * SPAN), F.least(F.col("last"), F.col("span") * SPAN + SPAN - 1))
+    rows = cut.select(*keys, "span", "held", F.explode(bar).alias("bar"))
+    return rows.groupBy(*keys, "span", "bar").agg(F.max("held").alias("held")).select(*keys, "bar", F.col(f"held.{value}").alias(value))
 
 
 def turnover_returns(bars: DataFrame, keys: list[str], fee: float) -> DataFrame:
