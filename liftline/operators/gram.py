@@ -1,14 +1,15 @@
 """Correlations of all pairs of units by blocks, tallied where they are made.
 
-Units are packed into blocks of rows; a block meets another in a kernel of matrix products, which also gives the right
-coefficient where values are missing (over the windows that both units have). Pairs are counted in the task and never
-become rows: what is shuffled is the blocks and one table of tallies for each task. Means by family need no pairs at
+Units are packed into blocks of rows, and blocks into groups; two groups meet in one task, so that a block is shuffled
+once for each group and not for each block. Units that have all windows are standardised once, and r is their matrix
+product; where values are missing another kernel gives the coefficient over the windows that both units have. Pairs are
+counted in the task and never become rows. The work is quadratic in units; what a task holds is two groups, some rows
+of coefficients and a table of tallies. Means by family need no pairs at
 all: of standardised units, the sum of r over two families' pairs is the product of the families' summed vectors.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,13 @@ BLOCK = 2048
 SCALE = 10**9
 _DIGIT = 16
 
-Tally = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[tuple[int, int], float]]
+#: Blocks of a group at most, tasks for each core at least, and coefficients that a kernel holds at a time.
+_GROUP, _TASKS, _NEAR = 32, 8, 1 << 16
+
+#: Takes coefficients, the number of windows of each (or of all), and 1 for pairs within a family, else 0.
+Add = Callable[[np.ndarray, "np.ndarray | float", int], None]
+#: Starts a task's tally: what adds to it, and what returns its keys and values for each side.
+Tally = Callable[[], tuple[Add, Callable[[], list[tuple[np.ndarray, np.ndarray]]]]]
 
 
 def present(x: Column) -> Column:
@@ -72,58 +79,115 @@ def corr_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(r, -1.0, 1.0), n
 
 
-def tallied(blocks: DataFrame, windows: int, tally: Tally) -> DataFrame:
-    """kind, key, value: the tallies of all pairs of different units, summed. Each pair of blocks is one piece of work."""
+class _Block:
+    """A block's units in order of their families: standardised ones, and those with gaps."""
+
+    def __init__(self, families: bytes, data: bytes, windows: int) -> None:
+        codes, x = np.frombuffer(families, np.int64), np.frombuffer(data).reshape(-1, windows)
+        order = np.argsort(codes, kind="stable")
+        codes, x = codes[order], x[order]
+        gaps = np.isnan(x).any(axis=1)
+        c = x[~gaps] - x[~gaps].mean(axis=1, keepdims=True)
+        squares = (c * c).sum(axis=1)
+        varied = squares > 1e-13  # constant units have no r
+        self.z, self.codes = c[varied] / np.sqrt(squares[varied])[:, None], codes[~gaps][varied]
+        self.x, self.x_codes = x[~gaps][varied], codes[gaps]
+        self.gaps = x[gaps]
+
+    def runs(self, width: int) -> Iterator[tuple[int, int]]:
+        """Rows of one family, so many that a kernel's coefficients stay few."""
+        ends = [0, *(np.flatnonzero(np.diff(self.codes)) + 1).tolist(), len(self.codes)]
+        step = max(1, _NEAR // max(1, width))
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            for k in range(low, high, step):
+                yield k, min(high, k + step)
+
+
+def _meet(a: _Block, b: _Block, windows: int, add: Add) -> None:
+    """Adds every pair of different units of two blocks, or of one, once."""
+    own = a is b
+    for low, high in a.runs(len(b.z)):
+        first, last = np.searchsorted(b.codes, [a.codes[low], a.codes[low] + 1]).tolist()
+        for start, end, side in ((0, first, 0), (first, last, 1), (last, len(b.z), 0)):
+            start = max(start, high) if own else start
+            if start < end:
+                add((a.z[low:high] @ b.z[start:end].T).ravel(), windows, side)
+        if own and high - low > 1:
+            add((a.z[low:high] @ a.z[low:high].T)[np.triu_indices(high - low, 1)], windows, 1)
+    with_gaps = [(a.gaps, a.x_codes, b.x, b.codes), (a.gaps, a.x_codes, b.gaps, b.x_codes)] + ([] if own else [(b.gaps, b.x_codes, a.x, a.codes)])
+    for x, fx, y, fy in with_gaps:
+        step = max(1, _NEAR // max(1, len(y)))
+        for k in range(0, len(x) if len(y) else 0, step):
+            r, n = corr_of(x[k : k + step], y)
+            fine, same = ~np.isnan(r), fx[k : k + step, None] == fy[None, :]
+            if own and y is x:
+                fine &= np.arange(len(y))[None, :] > np.arange(k, k + len(r))[:, None]
+            for side in (0, 1):
+                at = fine & (same == bool(side))
+                add(r[at], n[at], side)
+
+
+def tallied(blocks: DataFrame, windows: int, *tallies: Tally) -> DataFrame:
+    """kind, key, value: the tallies of all pairs of different units, summed; a tally's kinds are two, across families and within, after those of the tallies before it."""
     count = blocks.count()
-    # block i meets i + 1, i + 2, ... half around the ring, so every two blocks meet once
-    left = blocks.select(F.col("block").alias("i"), *(F.col(c).alias(f"a_{c}") for c in ("units", "families", "data")))
-    half = F.when((F.lit(count) % 2 == 0) & (F.col("i") >= count // 2), (count - 1) // 2).otherwise(count // 2)
-    slots = blocks.select("block").withColumn("slot", F.row_number().over(Window.orderBy("block")) - 1)  # one number for each block
-    left = left.join(slots, F.col("i") == F.col("block")).drop("block", "i").withColumnRenamed("slot", "i")
-    right = blocks.join(slots.withColumnRenamed("block", "b"), F.col("block") == F.col("b")).select("slot", "units", "families", "data")
-    left = left.withColumn("step", F.explode(F.sequence(F.lit(0), half)))
-    met = left.join(right, (F.col("i") + F.col("step")) % count == F.col("slot")).select((F.col("step") == 0).alias("own"), "a_units", "a_families", "a_data", "units", "families", "data")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for own, _, fa, da, _, fb, db in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fa, fb = np.frombuffer(fa, np.int64), np.frombuffer(fb, np.int64)
-                r, n = corr_of(np.frombuffer(da).reshape(-1, windows), np.frombuffer(db).reshape(-1, windows))
-                fine = ~np.isnan(r)
-                if own:
-                    fine &= np.triu(np.ones(r.shape, bool), 1)
-                same = fa[:, None] == fb[None, :]
-                for key, value in tally(r[fine], n[fine], same[fine]).items():
-                    total[key] += value
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int64()), pa.array([float(v) for v in total.values()])], ["kind", "key", "value"])
-
-    parts = met.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, count))
-    return parts.mapInArrow(apply, "kind bigint, key bigint, value double").groupBy("kind", "key").agg(F.sum("value").alias("value"))
-
-
-def _counted(keys: np.ndarray, same: np.ndarray, kind: int = 0) -> dict[tuple[int, int], float]:
-    """Counts by key, of pairs within a family as kind + 1."""
-    out = {}
-    for side in (0, 1):
-        found, counts = np.unique(keys[same == bool(side)], return_counts=True)
-        out |= {(kind + side, k): c for k, c in zip(found.tolist(), counts.tolist(), strict=True)}
-    return out
+    parallel = blocks.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(count, max(int(np.ceil(np.sqrt(2 * _TASKS * parallel))), -(-count // _GROUP))))
+    place = F.row_number().over(Window.orderBy("block")) - 1  # one number for each block
+    slots = blocks.select("block").withColumn("slot", place)
+    dealt = blocks.join(slots, "block").select("slot", (F.col("slot") % groups).alias("own"), "families", "data")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sent = sent.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "slot", "families", "data")
+
+    def meet(group: pa.Table) -> pa.Table:
+        started = [t() for t in tallies]
+
+        def add(r: np.ndarray, n: np.ndarray | float, side: int) -> None:
+            if len(r):
+                for more, _ in started:
+                    more(r, n, side)
+
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        sides: dict[int, list[tuple[int, _Block]]] = {low: [], high: []}
+        for own, slot, families, data in zip(*(group.column(c).to_pylist() for c in ("own", "slot", "families", "data")), strict=True):
+            sides[own].append((slot, _Block(families, data, windows)))
+        for i, a in sides[low]:
+            for j, b in sides[high]:
+                if low != high or i <= j:
+                    _meet(a, b, windows, add)
+        found = [(2 * t + side, keys, values) for t, (_, done) in enumerate(started) for side, (keys, values) in enumerate(done())]
+        column = lambda parts, kind: pa.array(np.concatenate([np.asarray(x, kind) for x in parts]))
+        return pa.table({"kind": column([np.full(len(k), kind) for kind, k, _ in found], np.int64), "key": column([k for _, k, _ in found], np.int64), "value": column([v for *_, v in found], float)})
+
+    parts = sent.repartition(groups * (groups + 1) // 2, "low", "high")  # few rows that cost much: not coalesced by their size
+    return parts.groupBy("low", "high").applyInArrow(meet, "kind bigint, key bigint, value double").groupBy("kind", "key").agg(F.sum("value").alias("value"))
+
+
+def _counting(size: int, keys: Callable[[np.ndarray], np.ndarray], split: bool = True) -> Tally:
+    """Counts of keys from 0 to below ``size``; those of both sides as one unless they are split."""
+
+    def start():  # noqa: ANN202
+        counts = np.zeros((2, size), np.int64)
+
+        def add(r: np.ndarray, n: np.ndarray | float, side: int) -> None:
+            own, k = counts[side if split else 0], keys(r)
+            if len(k) * 4 < size:
+                np.add.at(own, k, 1)
+            else:
+                own += np.bincount(k, minlength=size)
+
+        return add, lambda: [(k := np.flatnonzero(own), own[k]) for own in counts]
+
+    return start
 
 
 def rounded(r: np.ndarray) -> np.ndarray:
-    return np.round(r * SCALE).astype(np.int64)
+    return np.rint(r * SCALE).astype(np.int64)
 
 
 def histogram(blocks: DataFrame, windows: int, bins: int) -> DataFrame:
     """bin, n over [-1, 1], empty bins included; the upper end is in the last."""
-
-    def tally(r: np.ndarray, n: np.ndarray, same: np.ndarray) -> dict:
-        at = np.minimum((rounded(r) + SCALE) * bins // (2 * SCALE), bins - 1)
-        return _counted(at, np.zeros(len(at), bool))
-
-    counts = tallied(blocks, windows, tally).select(F.col("key").cast("int").alias("b"), F.col("value").cast("bigint").alias("n"))
+    at = lambda r: np.minimum((rounded(r) + SCALE) * bins // (2 * SCALE), bins - 1)
+    counts = tallied(blocks, windows, _counting(bins, at, False)).select(F.col("key").cast("int").alias("b"), F.col("value").cast("bigint").alias("n"))
     every = blocks.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counts, F.col("bin") == F.col("b"), "left").select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
@@ -132,32 +196,53 @@ def histogram(blocks: DataFrame, windows: int, bins: int) -> DataFrame:
 _SUMS = ("pairs", "r", "abs", "above", "null_abs")
 
 
+def _summing(above: float, of_abs: bool) -> Tally:
+    def start():  # noqa: ANN202
+        sums = np.zeros((2, len(_SUMS)))
+
+        def add(r: np.ndarray, n: np.ndarray | float, side: int) -> None:
+            size = np.abs(r)
+            null = np.sqrt(2 / (np.pi * n))
+            sums[side] += len(r), r.sum(), size.sum(), np.count_nonzero((size if of_abs else r) > above), null.sum() if np.ndim(n) else null * len(r)
+
+        return add, lambda: [(np.arange(len(own)), own) if own[0] else ([], []) for own in sums]
+
+    return start
+
+
+def _keys(of_abs: bool) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda r: rounded(np.abs(r) if of_abs else r) + (0 if of_abs else SCALE)
+
+
+def _leading(of_abs: bool) -> Tally:
+    keys = _keys(of_abs)
+    return _counting((2 * SCALE >> _DIGIT) + 1, lambda r: keys(r) >> _DIGIT)
+
+
+def moments_and_digits(blocks: DataFrame, windows: int, above: float, of_abs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ``moments`` returns, and the counts that ``ranked`` begins with, of one pass over the pairs."""
+    both = settle(tallied(blocks, windows, _summing(above, of_abs), _leading(of_abs)))
+    return _moments(both.where("kind < 2")), both.where("kind >= 2").withColumn("kind", F.col("kind") - 2)
+
+
 def moments(blocks: DataFrame, windows: int, above: float, of_abs: bool = False) -> DataFrame:
     """same_family, pairs, mean, mean_abs, above (share of r, or of |r|, that is greater), null_abs (mean |r| of independent series)."""
+    return _moments(tallied(blocks, windows, _summing(above, of_abs)))
 
-    def tally(r: np.ndarray, n: np.ndarray, same: np.ndarray) -> dict:
-        x = np.abs(r) if of_abs else r
-        out = {}
-        for side in (0, 1):
-            at = same == bool(side)
-            sums = (at.sum(), r[at].sum(), np.abs(r[at]).sum(), (x[at] > above).sum(), np.sqrt(2 / (np.pi * n[at])).sum())
-            out |= {(side, k): v for k, v in enumerate(sums) if at.any()}
-        return out
 
-    wide = tallied(blocks, windows, tally).groupBy("kind").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(name) for k, name in enumerate(_SUMS)))
+def _moments(sums: DataFrame) -> DataFrame:
+    wide = sums.groupBy("kind").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(name) for k, name in enumerate(_SUMS)))
     mean = lambda c: F.col(c) / F.col("pairs")
     return wide.select((F.col("kind") == 1).alias("same_family"), F.col("pairs").cast("bigint").alias("pairs"), mean("r").alias("mean"), mean("abs").alias("mean_abs"), mean("above").alias("above"), mean("null_abs").alias("null_abs"))
 
 
-def ranked(blocks: DataFrame, windows: int, wanted: DataFrame, of_abs: bool = False) -> DataFrame:
+def ranked(blocks: DataFrame, windows: int, wanted: DataFrame, of_abs: bool = False, digits: DataFrame | None = None) -> DataFrame:
     """same_family, place, r: of all pairs within families, and across, the coefficient at each wanted (same_family, place), from 0; exact in parts of 1 / SCALE.
 
-    One pass counts the coefficients by their leading digit, a second those in the digits that hold a wanted place.
+    One pass counts the coefficients by their leading digit (unless ``digits`` are those counts), a second those in the
+    digits that hold a wanted place.
     """
 
-    def keys(r: np.ndarray) -> np.ndarray:
-        return rounded(np.abs(r) if of_abs else r) + (0 if of_abs else SCALE)
-
     def narrowed(counts: DataFrame, left: DataFrame, head: Column) -> DataFrame:
         counts = counts.select((F.col("kind") == 1).alias("side"), F.col("key").alias("cell"), head.alias("top"), F.col("value").cast("bigint").alias("c"))
         counts = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("side", "top").orderBy("cell")))
@@ -165,15 +250,22 @@ def ranked(blocks: DataFrame, windows: int, wanted: DataFrame, of_abs: bool = Fa
         return settle(met.select("same_family", "place", (F.col("inner") - F.col("upto") + F.col("c")).alias("inner"), F.col("cell").alias("head")))
 
     left = wanted.select("same_family", "place", F.col("place").alias("inner"), F.lit(None).cast("bigint").alias("head"))
-    left = narrowed(tallied(blocks, windows, lambda r, n, same: _counted(keys(r) >> _DIGIT, same)), left, F.lit(None).cast("bigint"))
+    left = narrowed(tallied(blocks, windows, _leading(of_abs)) if digits is None else digits, left, F.lit(None).cast("bigint"))
     held = np.array(sorted({r["head"] for r in left.select("head").distinct().collect()}), np.int64)  # at most one for each wanted place
+    slot = np.full((2 * SCALE >> _DIGIT) + 1, -1, np.int64)
+    slot[held] = np.arange(len(held))
+    keys = _keys(of_abs)
 
-    def second(r: np.ndarray, n: np.ndarray, same: np.ndarray) -> dict:
+    def cells(r: np.ndarray) -> np.ndarray:
         k = keys(r)
-        fine = np.isin(k >> _DIGIT, held)
-        return _counted(k[fine], same[fine])
-
-    left = narrowed(tallied(blocks, windows, second), left, F.shiftright("key", _DIGIT))
+        at = slot.take(k >> _DIGIT)
+        fine = np.flatnonzero(at >= 0)
+        return (at[fine] << _DIGIT) + (k[fine] & ((1 << _DIGIT) - 1))
+
+    found = tallied(blocks, windows, _counting(max(1, len(held)) << _DIGIT, cells))
+    heads = F.array(*(F.lit(h) for h in held.tolist())).cast("array<bigint>")
+    found = found.withColumn("key", F.shiftleft(F.element_at(heads, F.shiftright("key", _DIGIT).cast("int") + 1), _DIGIT) + F.col("key") % (1 << _DIGIT))
+    left = narrowed(found, left, F.shiftright("key", _DIGIT))
     value = F.col("head") if of_abs else F.col("head") - SCALE
     return left.select("same_family", "place", (value / F.lit(float(SCALE))).alias("r"))
 

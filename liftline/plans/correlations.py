@@ -66,9 +66,9 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_corr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All units' pairs, within families and across; the pairs are tallied and never made rows."""
     blocks = _blocks(spark, sf_dir)
-    sums = settle(gram.moments(blocks, WINDOWS, 0.7))
+    sums, digits = gram.moments_and_digits(blocks, WINDOWS, 0.7)
     middle = sums.select("same_family", F.explode(F.array(F.floor((F.col("pairs") - 1) / 2), F.ceil((F.col("pairs") - 1) / 2))).alias("place"))
-    medians = gram.ranked(blocks, WINDOWS, middle.distinct()).groupBy("same_family").agg(F.avg("r").alias("median"))
+    medians = gram.ranked(blocks, WINDOWS, middle.distinct(), digits=digits).groupBy("same_family").agg(F.avg("r").alias("median"))
     out = sums.join(medians, "same_family").withColumn("above_07_pct", F.col("above") * 100)
     return out.select("same_family", "pairs", *(F.round(c, 6).alias(c) for c in ("mean", "median", "above_07_pct", "mean_abs", "null_abs")))
 
@@ -80,9 +80,9 @@ _CUTS = (50, 90, 95, 99)
 def pair_corr_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floor-index percentiles of |r|, its mean over the null's, and the share above 0.2, over all units' pairs."""
     blocks = _blocks(spark, sf_dir)
-    sums = settle(gram.moments(blocks, WINDOWS, 0.2, of_abs=True))
+    sums, digits = gram.moments_and_digits(blocks, WINDOWS, 0.2, of_abs=True)
     places = sums.select("same_family", F.inline(F.array(*(F.struct(F.lit(f"p{c}").alias("cut"), F.floor(F.lit(c / 100) * (F.col("pairs") - 1)).alias("place")) for c in _CUTS))))
-    found = places.join(gram.ranked(blocks, WINDOWS, places.select("same_family", "place").distinct(), of_abs=True), ["same_family", "place"])
+    found = places.join(gram.ranked(blocks, WINDOWS, places.select("same_family", "place").distinct(), of_abs=True, digits=digits), ["same_family", "place"])
     cuts = found.groupBy("same_family").agg(*(F.round(F.max(F.when(F.col("cut") == f"p{c}", F.col("r"))), 6).alias(f"p{c}") for c in _CUTS))
     return sums.join(cuts, "same_family").select("same_family", *(f"p{c}" for c in _CUTS), F.round(F.col("mean_abs") - correlation.null_abs_corr(F.lit(WINDOWS)), 6).alias("excess"), F.round("above", 6).alias("above_02"))
 
