@@ -417,6 +417,60 @@ def test_exact_search_prunes_without_loss():
         assert near is None or len(near) <= 400
 
 
+def test_exact_search_gathers_no_block_for_a_join(spark):
+    rng = np.random.default_rng(21)
+    df = _vectors(spark, list(enumerate(rng.normal(0, 1, (500, 8)).tolist())))
+    plan = exact_search.search(df, df.where("vec_id % 10 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_exact_search_in_many_cells(spark, monkeypatch):
+    for name, value in {"BUCKET": 20, "PACKED": 1, "HEAD": 30, "QUERIES": 4, "CELL": 1, "SHELLS": 6, "GROUP": 600}.items():
+        monkeypatch.setattr(exact_search, name, value)
+    groups, dealt = [], exact_search._dealt
+    monkeypatch.setattr(exact_search, "_dealt", lambda a, b: (x := dealt(a, b)) and (groups.append((x[1].select("q_group").distinct().count(), x[1].select("q_slot").distinct().count())) or x))
+    rows = _odd_vectors(260)
+    rows += [(2000 + i, rows[i % 20][1]) for i in range(60)] + [(3000 + i, [float(i), -1.0, 2.0]) for i in range(40)] + [(10, rows[11][1]), (20, rows[20][1])]
+    df = _vectors(spark, rows)
+    good = [(i, np.floor(256 * np.float64(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    by = {}
+    for q, a in good:
+        if q % 10 == 0:
+            by.setdefault(q, []).extend((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))
+    want = [(q, k + 1, i, -s) for q, found in by.items() for k, (s, i) in enumerate(sorted(found)[:5])]
+    assert sorted(map(tuple, exact_search.search(df, df.where("vec_id % 10 = 0")).collect())) == sorted(want)
+    assert groups[0][0] > 2 and groups[0][1] > 1
+
+
+@pytest.mark.parametrize("scale", [1, 100, 10**5, 10**6])
+@pytest.mark.parametrize("spread", [0.02, 1.0, 50.0])
+def test_exact_search_keeps_the_best_of_all_buckets(scale, spread, monkeypatch):
+    monkeypatch.setattr(exact_search, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    data = np.floor(scale * (rng.normal(0, 3, 12) + spread * rng.normal(0, 1, (600, 12))))
+    data[300:330], data[400:410] = data[7], 0
+    ids = rng.permutation(700)[:600]
+    ids[550:560] = ids[5]
+    data[np.r_[0:60:4], np.r_[0:60:4] % 12] += np.ceil(40 * scale * spread)  # these and their near copies point along one coordinate
+    data[500:515] = data[0:60:4] + 1
+    asked = np.r_[0:120, 300:310, 400:402, 550:553]
+    whole = data.astype(np.int64).astype(object)
+    narrow, used = exact_search._Best._narrow, []
+    monkeypatch.setattr(exact_search._Best, "_narrow", lambda self, *a: used.append(narrow(self, *a)) or used[-1])
+    for first in (-np.inf, None):
+        want = []
+        bounds = np.full(len(asked), -np.inf)
+        for n, q in enumerate(asked.tolist()):
+            best = sorted((-int(whole[i] @ whole[q]), int(ids[i])) for i in range(600) if ids[i] != ids[q])[:5]
+            want += [(int(ids[q]), i, -s) for s, i in best]
+            bounds[n] = -best[-1][0] if first is None else first
+        met = exact_search._Best(ids[asked], data[asked], bounds, 5)
+        for k in range(0, 600, 150):
+            met.meet(exact_search._Bucket(ids[k : k + 150], data[k : k + 150]))
+        assert sorted(zip(*(x.tolist() for x in met.rows()), strict=True)) == sorted(want)
+    assert spread != 1.0 or scale == 1 or any(few.any() for few, _, _ in used)
+
+
 def test_learned_partitions_recall(spark, small):
     got = registry.QUERIES["op8_learned_partitions"](spark, small).toPandas()
     v = spark.read.parquet(f"{small}/embeddings.parquet").toPandas().sort_values("vec_id")
