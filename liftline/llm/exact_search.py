@@ -302,20 +302,25 @@ def _verify(k: int):  # noqa: ANN202
 
 def _dealt(buckets: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets with their shell and slot and each group that reaches them, blocks with their group and each (q_shell, q_slot) that they reach; both with the number of the cell."""
-    edges = sorted(set(buckets.approxQuantile("longest", [(i + 1) / SHELLS for i in range(SHELLS)], 0.25 / SHELLS)))
+    n, edges = buckets.agg(F.count("*"), F.percentile_approx("longest", [(i + 1) / SHELLS for i in range(SHELLS)], 4 * SHELLS)).first()
+    edges = sorted(set(edges or ()))
     shells = len(edges) + 1  # the last for what is longer than the last edge, if anything is
-    slots = max(1, -(-buckets.count() // (shells * CELL)))
-    size, parts = blocks.agg(F.coalesce(F.sum(F.length("q_ids") * (F.col("q_dim") + 16)), F.lit(0)), F.coalesce(F.max("part") + 1, F.lit(1))).first()
-    groups = max(1, -(-size // GROUP))
-    blocks = blocks.withColumn("q_group", F.floor(F.col("part") * groups / parts).cast("int"))
-    least = blocks.groupBy("q_group").agg(F.min("reach") * (1 - _SLACK)).collect()
+    slots = max(1, -(-n // (shells * CELL)))
+    packed = blocks.groupBy("part").agg(F.sum(F.length("q_ids") * (F.col("q_dim") + 16)), F.min("reach")).collect()  # one row for each partition of blocks
+    parts, groups = max((p for p, _, _ in packed), default=0) + 1, max(1, -(-sum(size for _, size, _ in packed) // GROUP))
+    least: dict[int, float] = {}
+    for p, _, reach in packed:
+        least[p * groups // parts] = min(reach * (1 - _SLACK), least.get(p * groups // parts, np.inf))
+    blocks = blocks.withColumn("q_group", F.expr(f"int(part * {groups}L div {parts})"))
     shell = sum((F.when(F.col("longest") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    sent = F.array_compact(F.array(*(F.when(F.col("longest") >= r, F.lit(g)) for g, r in least))).cast("array<int>")
+    sent = F.array_compact(F.array(*(F.when(F.col("longest") >= r, F.lit(g)) for g, r in least.items()))).cast("array<int>")
     left = buckets.withColumn("shell", shell).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int")).withColumn("group", F.explode(sent))
     reached = F.array_compact(F.array(*(F.when(F.col("reach") * (1 - _SLACK) <= e, F.lit(i)) for i, e in enumerate(edges)), F.lit(len(edges))))
     right = blocks.withColumn("q_shell", F.explode(reached)).withColumn("q_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     cell = lambda group, shell, slot: ((F.col(group) * shells + F.col(shell)) * slots + F.col(slot)).cast("int")
-    return left.withColumn("cell", cell("group", "shell", "slot")), right.withColumn("cell", cell("q_group", "q_shell", "q_slot"))
+    left, right = left.withColumn("cell", cell("group", "shell", "slot")), right.withColumn("cell", cell("q_group", "q_shell", "q_slot"))
+    left.cells = groups * shells * slots
+    return left, right
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -337,10 +342,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     blocks = placed.repartitionByRange(max(1, -(-asked.count() // QUERIES)), "reach", "vec_id", "place").sortWithinPartitions("reach", "vec_id")
     blocks = materialise(blocks.mapInArrow(_pack_queries, "q_dim int, q_ids binary, q_data binary, bounds binary, reach double, part int"))
     left, right = _dealt(buckets, blocks)
-    cells = (right.agg(F.max("cell")).first()[0] or 0) + 1
     held_first = right.select("cell", F.lit(0).alias("kind"), F.col("reach").alias("nth"), F.col("q_dim").alias("dim"), F.col("q_ids").alias("ids"), F.col("q_data").alias("data"), "bounds")
     passing = left.select("cell", F.lit(1).alias("kind"), (-F.col("longest")).alias("nth"), "dim", "ids", "data", F.lit(None).cast("binary").alias("bounds"))
-    met = held_first.union(passing).repartitionById(cells, "cell").sortWithinPartitions("cell", "kind", "nth").select("cell", "dim", "ids", "data", "bounds")
+    met = held_first.union(passing).repartitionById(left.cells, "cell").sortWithinPartitions("cell", "kind", "nth").select("cell", "dim", "ids", "data", "bounds")
     return ranked(met.mapInArrow(_verify(k), "query_id bigint, vec_id bigint, score bigint"), k)
 
 
